@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from casegrid import schema as S
 from casegrid.config import ReportConfig
+from casegrid.functions import count_when, pct
 from casegrid.plans import reports as R
-from casegrid.plans.daily import daily_table
+from casegrid.plans.catalog import create_if_absent, read_case_table, replace_table, write_case_table
+from casegrid.plans.daily import DAILY_KEYS, MEASURES, daily_table, with_unit_measures
+from casegrid.plans.sinks import overwrite_in_place, read_report_csv, write_report_csv
+from casegrid.session import scratch_path
+from casegrid.sources import complaints_csv as C
 from casegrid.sources import testdata as TD
+from casegrid.sources.series import load_series, series_range, write_series_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,5 +67,94 @@ def report_queries() -> dict[str, Query]:
     return q
 
 
+# Ingest, catalog and sink paths. Each writes into a fresh folder under the
+# shared scratch folder (``spark.checkpoint.dir``) and reads the result back.
+
+def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases -> extract-layout CSV (S14) -> tolerant typed read (S1/S13) -> counts."""
+    base = scratch_path(spark, "csv-roundtrip")
+    C.to_source_layout(TD.case_fact(spark, sf_dir)).write.option("header", True).csv(f"{base}/csv")
+    good, _bad = C.read_complaints(spark, f"{base}/csv", f"{base}/landed")
+    return good.groupBy(*S.CASE_SCHEMA.fieldNames()).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _landed_series(spark: SparkSession, sf_dir: str) -> str:
+    """Land the quarterly series as a CSV file, with empty rates outside 1996-2000
+    (the NULL rows the loader must drop)."""
+    path = scratch_path(spark, "series")
+    od = F.col("o_orderdate").cast("date")
+    inside = (od >= F.lit(TD.SERIES_FROM).cast("date")) & (od <= F.lit(TD.SERIES_UNTIL).cast("date"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    allq = (orders.groupBy(F.trunc(od, "quarter").alias("observation_date"))
+            .agg(pct(count_when(inside & (F.col("o_orderstatus") == F.lit("F"))),
+                     count_when(inside), 2).alias("value")))
+    write_series_csv(allq, path)
+    return path
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_series(spark, _landed_series(spark, sf_dir))
+
+
+def _series_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_range(_series(spark, sf_dir))
+
+
+def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population table created, then replaced (S3, S5); read from the catalog."""
+    path = scratch_path(spark, "population")
+    name = "population_" + path.rsplit("-", 1)[-1]
+    pop = TD.population(spark, sf_dir)
+    create_if_absent(pop, name, path)
+    created_again = create_if_absent(pop, name, path)   # IF NOT EXISTS: no-op
+    assert not created_again
+    return replace_table(pop, name, path + "-v2")
+
+
+def _csv_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export K3 as CSV, read it back, merge categories, overwrite the same file."""
+    cfg = TD.TESTDATA_CONFIG
+    path = scratch_path(spark, "product-analysis")
+    write_report_csv(R.k3_product_state_relief(test_inputs(spark, sf_dir), cfg), path)
+    merged = R.e2_merge_categories(read_report_csv(spark, path, S.PRODUCT_STATE_SCHEMA), cfg)
+    overwrite_in_place(merged, path)
+    return read_report_csv(spark, path, S.PRODUCT_STATE_SCHEMA)
+
+
+def _case_table_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 over the written, month-partitioned case table (partition pruning path)."""
+    path = scratch_path(spark, "cases")
+    write_case_table(TD.case_fact(spark, sf_dir), path)
+    cases = with_unit_measures(read_case_table(spark, path))
+    return R.q1_state_share(R.ReportInputs(cases=cases), TD.TESTDATA_CONFIG)
+
+
+def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land extract files, ingest them with the streaming job in several
+    micro-batches, and return the daily table re-summed per key."""
+    from casegrid.streaming.ingest import start_ingest
+
+    base = scratch_path(spark, "stream")
+    C.to_source_layout(TD.case_fact(spark, sf_dir)).repartition(4) \
+        .write.option("header", True).csv(f"{base}/landing")
+    columns = C.header_columns(spark, f"{base}/landing")
+    q = start_ingest(spark, f"{base}/landing", columns, cases_path=f"{base}/cases",
+                     daily_path=f"{base}/daily", quarantine_path=f"{base}/bad",
+                     checkpoint_path=f"{base}/_checkpoint",
+                     relief_response=TD.TESTDATA_CONFIG.relief_response,
+                     max_files_per_trigger=2)
+    q.awaitTermination()
+    daily = spark.read.parquet(f"{base}/daily")
+    return daily.groupBy(*DAILY_KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
 def ingest_queries() -> dict[str, Query]:
-    return {}
+    return {
+        "ingest_csv_roundtrip": _csv_roundtrip,
+        "ingest_series": _series,
+        "ingest_series_range": _series_range,
+        "table_replace": _table_replace,
+        "csv_overwrite_in_place": _csv_overwrite,
+        "q1_from_case_table": _case_table_q1,
+        "stream_ingest_daily": _stream_daily,
+    }
