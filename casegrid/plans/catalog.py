@@ -43,7 +43,7 @@ def describe(df: DataFrame) -> DataFrame:
 
 def row_count(spark: SparkSession, table_or_path: str) -> int:
     """Row count of a *written* table (never of a lazily parsed CSV)."""
-    if spark.catalog.tableExists(table_or_path):
+    if "/" not in table_or_path and spark.catalog.tableExists(table_or_path):
         return spark.table(table_or_path).count()
     return spark.read.parquet(table_or_path).count()
 

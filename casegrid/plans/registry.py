@@ -23,7 +23,7 @@ from casegrid.sources.series import load_series, series_range, write_series_csv
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def test_inputs(spark: SparkSession, sf_dir: str, daily: bool = False) -> R.ReportInputs:
+def mapped_inputs(spark: SparkSession, sf_dir: str, daily: bool = False) -> R.ReportInputs:
     cases = TD.case_counts(spark, sf_dir)
     if daily:
         cases = daily_table(cases)
@@ -37,12 +37,12 @@ def test_inputs(spark: SparkSession, sf_dir: str, daily: bool = False) -> R.Repo
 
 
 def _report(fn, cfg: ReportConfig = TD.TESTDATA_CONFIG, daily: bool = False) -> Query:
-    return lambda spark, sf_dir: fn(test_inputs(spark, sf_dir, daily), cfg)
+    return lambda spark, sf_dir: fn(mapped_inputs(spark, sf_dir, daily), cfg)
 
 
 def _e2_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = TD.TESTDATA_CONFIG
-    return R.e2_merge_categories(R.k3_product_state_relief(test_inputs(spark, sf_dir), cfg), cfg)
+    return R.e2_merge_categories(R.k3_product_state_relief(mapped_inputs(spark, sf_dir), cfg), cfg)
 
 
 def _e2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _csv_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export K3 as CSV, read it back, merge categories, overwrite the same file."""
     cfg = TD.TESTDATA_CONFIG
     path = scratch_path(spark, "product-analysis")
-    write_report_csv(R.k3_product_state_relief(test_inputs(spark, sf_dir), cfg), path)
+    write_report_csv(R.k3_product_state_relief(mapped_inputs(spark, sf_dir), cfg), path)
     merged = R.e2_merge_categories(read_report_csv(spark, path, S.PRODUCT_STATE_SCHEMA), cfg)
     overwrite_in_place(merged, path)
     return read_report_csv(spark, path, S.PRODUCT_STATE_SCHEMA)
