@@ -65,8 +65,8 @@ def growth_vs_lag(df: DataFrame, order: str, value: str, *, partition: Sequence[
     ``min_base``: keep only rows whose lagged value is ``>= min_base``.
     """
     w = Window.partitionBy(*partition).orderBy(order)
-    out = (df.withColumn(prev_out, F.lag(value, lag).over(w))
-             .withColumn(pct_out, pct_change(F.col(value), F.col(prev_out), scale)))
+    out = df.withColumn(prev_out, F.lag(value, lag).over(w))
+    out = out.withColumn(pct_out, pct_change(F.col(value), F.col(prev_out), scale))
     if min_base is not None:
         out = out.filter(F.col(prev_out).isNotNull() & (F.col(prev_out) >= F.lit(min_base)))
     return out
@@ -103,18 +103,18 @@ def zscore(df: DataFrame, value: str, *, z_out: str = "z_score", scale: int = 2,
     """
     if band_on not in ("rounded", "raw"):
         raise ValueError("band_on must be 'rounded' or 'raw'")
-    mean = F.avg(F.col(value)).over(_all())
-    sd = F.stddev_samp(F.col(value)).over(_all())
-    # Bind the two window aggregates once, then derive from the columns.
-    out = (df.withColumn("__mean", mean).withColumn("__sd", sd)
-             .withColumn("__z", safe_div(F.col(value) - F.col("__mean"), F.col("__sd"))))
-    out = out.withColumn(z_out, round_half_away(F.col("__z"), scale))
+    # Bind the two window aggregates once (one Window node), then derive
+    # everything else in a single projection.
+    stats = df.withColumns({"__mean": F.avg(F.col(value)).over(_all()),
+                            "__sd": F.stddev_samp(F.col(value)).over(_all())})
+    z = safe_div(F.col(value) - F.col("__mean"), F.col("__sd"))
+    z_rounded = round_half_away(z, scale)
+    derived = {z_out: z_rounded}
     if mean_out:
-        out = out.withColumn(mean_out, round_half_away(F.col("__mean"), mean_scale))
+        derived[mean_out] = round_half_away(F.col("__mean"), mean_scale)
     if band_out:
-        basis = F.col(z_out) if band_on == "rounded" else F.col("__z")
-        out = out.withColumn(band_out, band(basis, cuts, labels, default))
-    return out.drop("__mean", "__sd", "__z")
+        derived[band_out] = band(z_rounded if band_on == "rounded" else z, cuts, labels, default)
+    return stats.withColumns(derived).drop("__mean", "__sd")
 
 
 # C7 ----------------------------------------------------------------------
@@ -141,15 +141,14 @@ def trend_class(df: DataFrame, order: str, value: str, *, partition: Sequence[st
     up, down, mixed = labels
     w = Window.partitionBy(*partition).orderBy(order)
     v = F.col(value)
-    out = (df.withColumn("m1", F.lag(value, 1).over(w))
-             .withColumn("m2", F.lag(value, 2).over(w))
-             .withColumn("m3", F.lag(value, 3).over(w)))
+    out = df.withColumns({f"m{k}": F.lag(value, k).over(w) for k in (1, 2, 3)})
     m1, m2, m3 = F.col("m1"), F.col("m2"), F.col("m3")
-    return (out.withColumn(growth_out, pct_change(v, m3, scale))
-               .withColumn(trend_out,
-                           F.when((v > m1) & (m1 > m2) & (m2 > m3), F.lit(up))
-                            .when((v < m1) & (m1 < m2), F.lit(down))
-                            .otherwise(F.lit(mixed))))
+    return out.withColumns({
+        growth_out: pct_change(v, m3, scale),
+        trend_out: (F.when((v > m1) & (m1 > m2) & (m2 > m3), F.lit(up))
+                     .when((v < m1) & (m1 < m2), F.lit(down))
+                     .otherwise(F.lit(mixed))),
+    })
 
 
 # C9 ----------------------------------------------------------------------

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CASE_PARTITION = "received_month"
+from casegrid import schema as S
+
+CASE_PARTITION = "received_year"
 
 
 def create_if_absent(df: DataFrame, name: str, path: str, partition_by: list[str] | None = None) -> bool:
@@ -49,17 +52,22 @@ def row_count(spark: SparkSession, table_or_path: str) -> int:
 
 
 def write_case_table(cases: DataFrame, path: str) -> None:
-    """Write typed case rows as Parquet, partitioned by received month.
-
-    No shuffle: each task writes the months present in its own split, sorted
-    by date inside each file so row-group statistics prune date filters. The
-    month column lets ``date >= x`` also prune whole directories when the
-    reader adds ``received_month >= trunc(x, 'month')``.
+    """Write typed case rows as Parquet, partitioned by received year.
+
+    Year folders prune every report's date floor (all floors are 1 January);
+    inside a year, files are sorted by date so Parquet row-group statistics
+    prune the rest. ``rebalance`` on the partition column lets AQE size the
+    write tasks (small years coalesced, a hot year split into several
+    tasks), so each folder gets a few well-sized files instead of one file
+    per (task, folder).
     """
-    (cases.withColumn(CASE_PARTITION, F.trunc("date_received", "month"))
+    (cases.withColumn(CASE_PARTITION, F.year("date_received"))
+          .hint("rebalance", CASE_PARTITION)
           .sortWithinPartitions(CASE_PARTITION, "date_received")
           .write.mode("overwrite").partitionBy(CASE_PARTITION).parquet(path))
 
 
 def read_case_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The case table with its declared schema (no inference job)."""
+    schema = T.StructType(S.CASE_SCHEMA.fields + [T.StructField(CASE_PARTITION, T.IntegerType())])
+    return spark.read.schema(schema).parquet(path)

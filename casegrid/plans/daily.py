@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegrid import schema as S
 
@@ -41,3 +42,16 @@ def daily_table(counted_cases: DataFrame) -> DataFrame:
     """Sum the unit measures per day, state and product (NULL keys kept)."""
     return (counted_cases.groupBy(*DAILY_KEYS)
             .agg(*[F.sum(m).alias(m) for m in MEASURES]))
+
+
+DAILY_SCHEMA = T.StructType([
+    T.StructField("date_received", T.DateType()),
+    T.StructField("state", T.StringType()),
+    T.StructField("product", T.StringType()),
+    *[T.StructField(m, T.LongType()) for m in MEASURES],
+])
+
+
+def read_daily(spark, path: str) -> DataFrame:
+    """A written daily table, with its declared schema."""
+    return spark.read.schema(DAILY_SCHEMA).parquet(path)

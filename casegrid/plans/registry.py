@@ -31,7 +31,7 @@ def mapped_inputs(spark: SparkSession, sf_dir: str, daily: bool = False) -> R.Re
         cases=cases,
         population=TD.population(spark, sf_dir),
         series=TD.delinquency(spark, sf_dir),
-        population_bound=TD.NATION_MAX_ROWS,   # one row per nation (checked)
+        population_bound=None,                 # derived: size left to AQE
         series_bound=TD.DELINQUENCY_BOUND,     # one row per quarter of 1996-2000
     )
 
@@ -42,7 +42,7 @@ def _report(fn, cfg: ReportConfig = TD.TESTDATA_CONFIG, daily: bool = False) ->
 
 def _e2_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = TD.TESTDATA_CONFIG
-    return R.e2_merge_categories(R.k3_product_state_relief(mapped_inputs(spark, sf_dir), cfg), cfg)
+    return R.e2_merge_categories(R.k3_rows(mapped_inputs(spark, sf_dir), cfg), cfg)
 
 
 def _e2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def _csv_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _case_table_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1 over the written, month-partitioned case table (partition pruning path)."""
+    """Q1 over the written, year-partitioned case table (partition pruning path)."""
     path = scratch_path(spark, "cases")
     write_case_table(TD.case_fact(spark, sf_dir), path)
     cases = with_unit_measures(read_case_table(spark, path))

@@ -24,6 +24,7 @@ from casegrid.config import DEFAULT, ReportConfig
 from casegrid.functions import before, in_regions, month_of, pct, quarter_of, round_half_away, since
 from casegrid.operators import metrics as M
 from casegrid.operators.joins import unmatched_keys
+from casegrid.plans.catalog import CASE_PARTITION
 
 
 @dataclass
@@ -45,8 +46,14 @@ def _asc(c: str) -> Column:
 
 def _base(inp: ReportInputs, cfg: ReportConfig, floor: str, whitelist: bool = True,
           until: str | None = None) -> DataFrame:
-    """The shared filter: received since ``floor`` (and inside the whitelist)."""
+    """The shared filter: received since ``floor`` (and inside the whitelist).
+
+    On the year-partitioned case table the implied ``received_year >= year``
+    is added as well, so whole year folders are pruned at planning time.
+    """
     cond = since("date_received", floor)
+    if CASE_PARTITION in inp.cases.columns:
+        cond = (F.col(CASE_PARTITION) >= F.year(F.lit(floor).cast("date"))) & cond
     if whitelist:
         cond = cond & in_regions("state", cfg.regions)
     if until:
@@ -143,19 +150,23 @@ def q4_product_resolution(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> Dat
             .orderBy(_desc("total_complaints"), _asc("product")))
 
 
-def q5_top5_per_state(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+def q5_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since), ["state", "product"],
                              {"complaints": "n"})
-    return (M.top_n_per_group(counts, ["state"], [_desc("complaints"), _asc("product")],
-                              cfg.top_n, rank_out="rank_in_state")
-            .orderBy(_asc("state"), _asc("rank_in_state")))
+    return M.top_n_per_group(counts, ["state"], [_desc("complaints"), _asc("product")],
+                             cfg.top_n, rank_out="rank_in_state")
+
+
+def q5_top5_per_state(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    return q5_rows(inp, cfg).orderBy(_asc("state"), _asc("rank_in_state"))
 
 
 def q5_sample_states(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
-    return q5_top5_per_state(inp, cfg).filter(F.col("state").isin(list(cfg.sample_states)))
+    return (q5_rows(inp, cfg).filter(F.col("state").isin(list(cfg.sample_states)))
+            .orderBy(_asc("state"), _asc("rank_in_state")))
 
 
-def q6_quarter_rolling(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+def q6_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.history_since),
                              [quarter_of("date_received").alias("quarter")], {"complaints": "n"})
     # Rolling mean first, over all quarters; the series join drops quarters after.
@@ -164,12 +175,15 @@ def q6_quarter_rolling(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFr
     rolled = rolled.withColumn("rolling_avg", round_half_away("__avg", 0)).drop("__avg")
     return (M.attach_series(rolled, "quarter", inp.series, how="inner",
                             series_bound=inp.series_bound)
-            .select("quarter", "complaints", "rolling_avg", "delinquency_rate")
-            .orderBy(_asc("quarter")))
+            .select("quarter", "complaints", "rolling_avg", "delinquency_rate"))
+
+
+def q6_quarter_rolling(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    return q6_rows(inp, cfg).orderBy(_asc("quarter"))
 
 
 def q6_last12(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 12) -> DataFrame:
-    return q6_quarter_rolling(inp, cfg).orderBy(_desc("quarter")).limit(k).orderBy(_asc("quarter"))
+    return q6_rows(inp, cfg).orderBy(_desc("quarter")).limit(k).orderBy(_asc("quarter"))
 
 
 def q7_national_trend(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 24) -> DataFrame:
@@ -187,39 +201,45 @@ def q7_national_trend(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 2
 
 # Q8-Q10 -----------------------------------------------------------------------
 
-def q8_zscore_band(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+def q8_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.baseline_since), ["state"], {"complaints": "n"})
     return (M.zscore(counts, "complaints", z_out="z_score", scale=2,
                      mean_out="national_mean", mean_scale=0, band_out="risk_level",
                      band_on="rounded", cuts=S.RISK_CUTS, labels=S.RISK_LABELS,
                      default=S.RISK_DEFAULT)
-            .select("state", "complaints", "national_mean", "z_score", "risk_level")
-            .orderBy(_desc("z_score"), _asc("state")))
+            .select("state", "complaints", "national_mean", "z_score", "risk_level"))
+
+
+def q8_zscore_band(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    return q8_rows(inp, cfg).orderBy(_desc("z_score"), _asc("state"))
 
 
 def q8b_band_counts(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
-    return (q8_zscore_band(inp, cfg).filter(F.col("risk_level").isNotNull())
+    return (q8_rows(inp, cfg).filter(F.col("risk_level").isNotNull())
             .groupBy("risk_level").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(_desc("count"), _asc("risk_level")))
 
 
-def q9_rolling_90(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+def q9_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.current_since),
                              ["state", F.col("date_received").alias("complaint_date")],
                              {"daily_count": "n"})
     # Partitioned by state; each partition holds at most one row per calendar day.
-    return (M.rolling(counts, "complaint_date", "daily_count", cfg.rolling_day_rows, fn="sum",
-                      partition=["state"], out="rolling_90d_total")
-            .orderBy(_asc("state"), _desc("complaint_date")))
+    return M.rolling(counts, "complaint_date", "daily_count", cfg.rolling_day_rows, fn="sum",
+                     partition=["state"], out="rolling_90d_total")
+
+
+def q9_rolling_90(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    return q9_rows(inp, cfg).orderBy(_asc("state"), _desc("complaint_date"))
 
 
 def q9b_latest_top15(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15) -> DataFrame:
-    latest = M.latest_per_group(q9_rolling_90(inp, cfg), ["state"], "complaint_date")
+    latest = M.latest_per_group(q9_rows(inp, cfg), ["state"], "complaint_date")
     return (latest.select("state", "complaint_date", "rolling_90d_total")
             .orderBy(_desc("rolling_90d_total"), _asc("state")).limit(k))
 
 
-def q10_trend_class(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+def q10_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.current_since, until=cfg.trend_until),
                              ["state", month_of("date_received").alias("month")],
                              {"complaints": "n"})
@@ -227,8 +247,11 @@ def q10_trend_class(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame
                            labels=(S.TREND_ACCELERATING, S.TREND_DECELERATING, S.TREND_MIXED),
                            growth_out="growth_vs_3mo_ago_pct", trend_out="trend", scale=1)
     latest = M.at_latest_period(lagged, "month", F.col("m3").isNotNull())
-    return (latest.select("state", "month", "complaints", "growth_vs_3mo_ago_pct", "trend")
-            .orderBy(_desc("growth_vs_3mo_ago_pct"), _asc("state")))
+    return latest.select("state", "month", "complaints", "growth_vs_3mo_ago_pct", "trend")
+
+
+def q10_trend_class(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    return q10_rows(inp, cfg).orderBy(_desc("growth_vs_3mo_ago_pct"), _asc("state"))
 
 
 def q10_top20(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 20) -> DataFrame:
@@ -236,7 +259,7 @@ def q10_top20(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 20) -> Da
 
 
 def q10b_accelerating(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
-    acc = q10_trend_class(inp, cfg).filter(F.col("trend") == F.lit(S.TREND_ACCELERATING))
+    acc = q10_rows(inp, cfg).filter(F.col("trend") == F.lit(S.TREND_ACCELERATING))
     # The filtered frame has at most one row per state.
     return (acc.select("state", "growth_vs_3mo_ago_pct",
                        F.count(F.lit(1)).over(Window.partitionBy()).alias("accelerating_states"))
@@ -263,7 +286,6 @@ def k1_state_risk_summary(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> Dat
     return (M.zscore(shared, "total_complaints", z_out="z_score", scale=2,
                      band_out="risk_level", band_on="raw", cuts=S.RISK_CUTS,
                      labels=S.RISK_LABELS, default=S.RISK_DEFAULT)
-            .select("*")
             .orderBy(_desc("z_score"), _asc("state")))
 
 
@@ -274,12 +296,15 @@ def k2_state_month(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
             .orderBy(_asc("state"), _asc("month")))
 
 
-def k3_product_state_relief(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+def k3_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since), ["product", "state"],
                              {"complaints": "n", "__relief": "n_relief"})
-    return (counts.select("product", "state", "complaints",
-                          pct("__relief", "complaints", 1).alias("relief_rate"))
-            .orderBy(_desc("complaints"), _asc("product"), _asc("state")))
+    return counts.select("product", "state", "complaints",
+                         pct("__relief", "complaints", 1).alias("relief_rate"))
+
+
+def k3_product_state_relief(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    return k3_rows(inp, cfg).orderBy(_desc("complaints"), _asc("product"), _asc("state"))
 
 
 def k4_quarter_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:

@@ -5,7 +5,7 @@ once and never again. Here new extract files dropped into a folder are
 picked up exactly once (the file source records processed files in its
 checkpoint), typed and split as in the batch ingest, and written to
 
-* the typed case table (partitioned by received month), and
+* the typed case table (partitioned by received year), and
 * the daily summary table.
 
 Writing per micro-batch leaves a key ``(day, state, product)`` in several
@@ -41,7 +41,7 @@ def _batch_writer(cases_path: str, daily_path: str, quarantine_path: str,
         rows = C.typed(batch, date_format).persist()  # read once by three sinks
         try:
             good, bad = C.split(rows)
-            (good.withColumn(CASE_PARTITION, F.trunc("date_received", "month"))
+            (good.withColumn(CASE_PARTITION, F.year("date_received"))
                  .write.mode("overwrite").partitionBy(CASE_PARTITION)
                  .parquet(f"{cases_path}/{sub}"))
             core = good.select(*S.CASE_SCHEMA.fieldNames())

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from casegrid import schema as S
 from casegrid.config import DEFAULT
 from casegrid.operators import metrics as M
-from casegrid.operators.joins import assert_unique_key, broadcast_if_bounded, unmatched_keys
+from casegrid.operators.joins import (assert_unique_key, broadcast_if_bounded, probe_rows,
+                                      unmatched_keys)
 from casegrid.plans import reports as R
 from casegrid.plans.daily import daily_table, with_unit_measures
 from casegrid.sources.dims import population_table
@@ -257,10 +258,14 @@ def test_daily_table_sums_to_base_count(spark):
 
 def test_broadcast_if_bounded(spark):
     small = spark.range(10)
-    assert "Broadcast" in _plan(small.join(broadcast_if_bounded(small, 100), "id"))
+    assert "Broadcast" in _plan(small.join(broadcast_if_bounded(small, bound=10), "id"),
+                                adaptive=False)
     big = spark.range(1000)
-    assert "BroadcastHashJoin" not in _plan(
-        spark.range(5).join(broadcast_if_bounded(big, 100), "id"), adaptive=False)
+    # Unknown or too large a bound: no hint, Spark's size checks decide.
+    for bound in (None, 10_000_000):
+        assert "BroadcastHashJoin" not in _plan(
+            spark.range(5).join(broadcast_if_bounded(big, bound=bound), "id"), adaptive=False)
+    assert probe_rows(big, 100) is None and probe_rows(small, 100) == 10
 
 
 def test_unmatched_keys(spark):
