@@ -28,6 +28,18 @@ def create_if_absent(df: DataFrame, name: str, path: str, partition_by: list[str
     return True
 
 
+def register_files(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
+    """Register Parquet files already written at ``path`` as an external table
+    (no data is rewritten); partition folders are discovered."""
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source=fmt)
+        try:
+            spark.catalog.recoverPartitions(name)
+        except Exception:  # not partitioned, or the catalog discovers them itself
+            pass
+    return spark.table(name)
+
+
 def replace_table(df: DataFrame, name: str, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """``DROP TABLE IF EXISTS`` + ``CREATE TABLE AS``; returns the table."""
     spark = df.sparkSession
