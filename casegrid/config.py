@@ -8,7 +8,7 @@ complaint table (``DEFAULT``) and on re-mapped test tables (see
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from casegrid import schema as S
 
@@ -27,16 +27,18 @@ class ReportConfig:
     rolling_day_rows: int = S.ROLLING_DAY_ROWS
     relief_response: str = S.RELIEF_RESPONSE
     sample_states: tuple[str, ...] = S.SAMPLE_STATES
-    product_merge: dict = field(default_factory=lambda: dict(S.PRODUCT_MERGE))
+    # Category merge as (old name, new name) pairs; ``merge_map`` gives the dict.
+    product_merge: tuple[tuple[str, str], ...] = tuple(S.PRODUCT_MERGE.items())
     # Optional exclusive upper bound on the received date for the trend report
-    # (None = keep the last, possibly partial, month as the reference does).
+    # (None = keep the last, possibly partial, month, as the published report does).
     trend_until: str | None = None
 
+    @property
+    def merge_map(self) -> dict[str, str]:
+        return dict(self.product_merge)
+
     def with_(self, **kw) -> "ReportConfig":
         return replace(self, **kw)
 
-    def __hash__(self) -> int:  # dict field: hash on the scalar parts only
-        return hash((self.regions, self.history_since, self.baseline_since))
-
 
 DEFAULT = ReportConfig()

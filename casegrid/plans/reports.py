@@ -321,7 +321,7 @@ def e2_merge_categories(product_state: DataFrame, cfg: ReportConfig = DEFAULT) -
     Complaints add up; the merged relief rate is the *unweighted* mean of the
     already rounded rates, as in the published cleaning step.
     """
-    return (M.unify_categories(product_state, "product", cfg.product_merge,
+    return (M.unify_categories(product_state, "product", cfg.merge_map,
                                ["product", "state"],
                                {"complaints": "sum", "relief_rate": "mean"})
             .orderBy(_asc("product"), _asc("state")))

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegrid import schema as S
 from casegrid.operators.joins import assert_unique_key
 
 
@@ -45,5 +44,3 @@ def write_series_csv(series: DataFrame, path: str) -> None:
     """Land a (small) series as one CSV file with a header."""
     series.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
-
-SERIES_SCHEMA = S.SERIES_SCHEMA

@@ -46,7 +46,7 @@ TESTDATA_CONFIG = ReportConfig(
     current_since="1999-01-01",
     min_base=20,
     sample_states=("NATION_1", "NATION_4", "NATION_7", "NATION_10", "NATION_13"),
-    product_merge={"SMALL": "Compact", "MEDIUM": "Compact"},
+    product_merge=(("SMALL", "Compact"), ("MEDIUM", "Compact")),
 )
 
 # Exclusive bound that drops the partial last month (2001-11) of the test data.

@@ -110,7 +110,7 @@ def test_rolling_and_lag_brute_force(spark, rows, width):
             assert got[(s, d)] == (want_r, want_prev)
 
 
-def test_round_half_away_random_against_reference_formula(spark):
+def test_round_half_away_random_against_python_formula(spark):
     rnd = random.Random(3)
     vals = [rnd.randint(0, 10**6) / rnd.randint(1, 10**4) for _ in range(2000)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
