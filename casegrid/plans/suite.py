@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from casegrid import schema as S
 from casegrid.config import DEFAULT, ReportConfig
 from casegrid.plans import reports as R
-from casegrid.plans.catalog import read_case_table, register_files, write_case_table
+from casegrid.plans.catalog import (read_case_table, register_files, replace_table,
+                                    write_case_table)
 from casegrid.plans.daily import daily_table, read_daily, with_unit_measures
 from casegrid.plans.sinks import overwrite_in_place, read_report_csv
 from casegrid.sources import complaints_csv as C
@@ -111,12 +112,15 @@ def run(spark: SparkSession, csv_path: str, series_path: str, work_dir: str, out
     ``population``: the per-state dimension; default the fixed 49-row table.
     """
     cases = load_case_table(spark, csv_path, work_dir, table)
-    series = load_series(spark, series_path)
+    # Series and population become (replaced) catalog tables, as in the load step.
+    series = replace_table(load_series(spark, series_path), f"{table}_delinquency",
+                           f"{work_dir}/delinquency")
     daily = build_daily(cases, f"{work_dir}/daily", cfg)
     if population is None:
         population, bound = population_table(spark), len(S.POPULATION_STATES)
     else:
         bound = None
+    population = replace_table(population, f"{table}_population", f"{work_dir}/population")
     inputs = R.ReportInputs(cases=daily, population=population, series=series,
                             population_bound=bound)
     base_rows = with_unit_measures(read_case_table(spark, f"{work_dir}/cases"),
