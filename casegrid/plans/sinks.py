@@ -35,13 +35,19 @@ def overwrite_in_place(df: DataFrame, path: str, single_file: bool = True) -> No
     """Replace the CSV at ``path`` with ``df``, even when ``df`` is read from it.
 
     Spark reads lazily, so writing straight to the input path would delete the
-    input first. The new content is written to a staging sibling, then the
-    old folder is removed and the staging folder renamed into place.
+    input first. Instead: write the new content to a staging sibling, move the
+    old folder aside, move the staging folder into place, then delete the old
+    one. A failure at any step leaves a complete old or new copy on disk.
     """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:8]}"
+    tag = uuid.uuid4().hex[:8]
+    staging = f"{path.rstrip('/')}.staging-{tag}"
     write_report_csv(df, staging, single_file)
     fs, target, jvm = _fs(spark, path)
-    fs.delete(target, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+    Path = jvm.org.apache.hadoop.fs.Path
+    old = Path(f"{path.rstrip('/')}.old-{tag}")
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(Path(staging), target):
         raise OSError(f"could not move {staging} to {path}")
+    fs.delete(old, True)

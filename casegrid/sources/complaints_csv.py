@@ -83,9 +83,10 @@ def typed(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
         else:
             out.append(src.alias(name))
     t = raw.select(*out, F.col(CORRUPT))
-    reason = (F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_record"))
-              .when(F.col("__date_raw").isNotNull() & F.col("date_received").isNull(),
-                    F.lit("bad_date")))
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_record"))
+    if "__date_raw" in t.columns:
+        reason = reason.when(F.col("__date_raw").isNotNull() & F.col("date_received").isNull(),
+                             F.lit("bad_date"))
     if "__timely_raw" in t.columns:
         reason = reason.when(F.col("__timely_raw").isNotNull()
                              & F.col("timely_response").isNull(), F.lit("bad_timely"))

@@ -106,3 +106,13 @@ def test_overwrite_in_place(spark, tmpdir_path):
     out = sinks.read_report_csv(spark, path, S.PRODUCT_STATE_SCHEMA).collect()
     assert [tuple(r) for r in out] == [("X", "A", 4, 1.5)]
     assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1
+
+
+def test_extract_without_flag_or_date_columns(spark, tmpdir_path):
+    os.makedirs(tmpdir_path, exist_ok=True)
+    p = os.path.join(tmpdir_path, "narrow.csv")
+    with open(p, "w") as f:
+        f.write("State,Product\nTX,Card\nCA,Loan,extra\n")
+    good, bad = C.read_complaints(spark, p, tmpdir_path + "/landed")
+    assert [tuple(r) for r in good.collect()] == [("TX", "Card")]
+    assert [r.reject_reason for r in bad.collect()] == ["malformed_record"]
