@@ -283,3 +283,13 @@ def _plan(df, adaptive=True):
         return df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_q4_counts_all_states_including_null_and_territories(spark):
+    rows = [(D(2022, 3, 1), s, "Card", None, True) for s in ["TX", None, "AP", "GU"]]
+    rows.append((D(2021, 12, 31), "TX", "Card", None, True))    # before the floor
+    out = R.q4_product_resolution(R.ReportInputs(cases=cases(spark, rows))).first()
+    assert out.total_complaints == 4 and out.pct_of_total == 100.0
+    q1 = R.q1_state_share(R.ReportInputs(cases=cases(spark, rows)),
+                          DEFAULT.with_(baseline_since="2022-01-01")).collect()
+    assert [(r.state, r.total_complaints) for r in q1] == [("TX", 1)]
