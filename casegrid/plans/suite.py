@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.config import DEFAULT, ReportConfig
+from casegrid.operators.joins import probe_rows
 from casegrid.plans import reports as R
 from casegrid.plans.catalog import (read_case_table, register_files, replace_table,
                                     write_case_table)
@@ -122,7 +123,7 @@ def run(spark: SparkSession, csv_path: str, series_path: str, work_dir: str, out
         bound = None
     population = replace_table(population, f"{table}_population", f"{work_dir}/population")
     inputs = R.ReportInputs(cases=daily, population=population, series=series,
-                            population_bound=bound)
+                            population_bound=bound, series_bound=probe_rows(series))
     base_rows = with_unit_measures(read_case_table(spark, f"{work_dir}/cases"),
                                    cfg.relief_response)
     return export_reports(inputs, base_rows, out_dir, cfg, threads)
