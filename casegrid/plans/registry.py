@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from casegrid import schema as S
@@ -27,6 +26,7 @@ def mapped_inputs(spark: SparkSession, sf_dir: str, daily: bool = False) -> R.Re
     cases = TD.case_counts(spark, sf_dir)
     if daily:
         cases = daily_table(cases)
+    """Report inputs mapped from the test tables (FIXTURES.md section 2)."""
     return R.ReportInputs(
         cases=cases,
         population=TD.population(spark, sf_dir),
