@@ -23,12 +23,15 @@ def main() -> None:
     ap.add_argument("--work", required=True, help="folder for tables (shared on a cluster)")
     ap.add_argument("--out", required=True, help="folder for CSV exports")
     ap.add_argument("--threads", type=int, default=4)
+    ap.add_argument("--no-multiline", action="store_true",
+                    help="the extract has no quoted newlines: read it as splittable CSV")
     a = ap.parse_args()
     b = SparkSession.builder.appName("casegrid")
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    print(json.dumps(run(spark, a.csv, a.series, a.work, a.out, threads=a.threads), indent=1))
+    print(json.dumps(run(spark, a.csv, a.series, a.work, a.out, threads=a.threads,
+                         multiline=not a.no_multiline), indent=1))
 
 
 if __name__ == "__main__":

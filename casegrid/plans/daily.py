@@ -52,6 +52,17 @@ DAILY_SCHEMA = T.StructType([
 ])
 
 
+def write_daily(daily: DataFrame, path: str) -> None:
+    """Write the daily table range-partitioned and sorted by date.
+
+    Each file then covers a date range, so Parquet file and row-group
+    statistics skip whole files for every report's date floor. A day holds at
+    most states x products rows, so no range can be skewed by a hot day.
+    """
+    (daily.repartitionByRange("date_received").sortWithinPartitions("date_received")
+          .write.mode("overwrite").parquet(path))
+
+
 def read_daily(spark, path: str) -> DataFrame:
     """A written daily table, with its declared schema."""
     return spark.read.schema(DAILY_SCHEMA).parquet(path)

@@ -25,7 +25,7 @@ from casegrid.operators.joins import probe_rows
 from casegrid.plans import reports as R
 from casegrid.plans.catalog import (read_case_table, register_files, replace_table,
                                     write_case_table)
-from casegrid.plans.daily import daily_table, read_daily, with_unit_measures
+from casegrid.plans.daily import daily_table, read_daily, with_unit_measures, write_daily
 from casegrid.plans.sinks import overwrite_in_place, read_report_csv
 from casegrid.sources import complaints_csv as C
 from casegrid.sources.dims import population_table
@@ -53,7 +53,8 @@ BASE_ROW_EXPORTS = {"profile_responses": R.profile_responses}
 
 
 def load_case_table(spark: SparkSession, csv_path: str, base_dir: str,
-                    table: str = "complaints", date_format: str = "yyyy-MM-dd") -> DataFrame:
+                    table: str = "complaints", date_format: str = "yyyy-MM-dd",
+                    multiline: bool = True) -> DataFrame:
     """``CREATE TABLE IF NOT EXISTS complaints AS <tolerant CSV read>``.
 
     Lands the CSV once, writes good rows as the year-partitioned case table
@@ -61,7 +62,8 @@ def load_case_table(spark: SparkSession, csv_path: str, base_dir: str,
     Skipped when the table already exists.
     """
     if not spark.catalog.tableExists(table):
-        good, bad = C.read_complaints(spark, csv_path, f"{base_dir}/landed", date_format)
+        good, bad = C.read_complaints(spark, csv_path, f"{base_dir}/landed", date_format,
+                                      multiline)
         write_case_table(good, f"{base_dir}/cases")
         bad.write.mode("overwrite").parquet(f"{base_dir}/quarantine")
         register_files(spark, table, f"{base_dir}/cases")
@@ -71,7 +73,7 @@ def load_case_table(spark: SparkSession, csv_path: str, base_dir: str,
 def build_daily(cases: DataFrame, path: str, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """Write the daily summary table once and return it read back."""
     core = cases.select(*S.CASE_SCHEMA.fieldNames())
-    daily_table(with_unit_measures(core, cfg.relief_response)).write.mode("overwrite").parquet(path)
+    write_daily(daily_table(with_unit_measures(core, cfg.relief_response)), path)
     return read_daily(cases.sparkSession, path)
 
 
@@ -107,12 +109,13 @@ def export_reports(inputs: R.ReportInputs, base_rows: DataFrame, out_dir: str,
 
 def run(spark: SparkSession, csv_path: str, series_path: str, work_dir: str, out_dir: str,
         cfg: ReportConfig = DEFAULT, threads: int = 4, population: DataFrame | None = None,
-        table: str = "complaints") -> dict[str, int]:
+        table: str = "complaints", multiline: bool = True) -> dict[str, int]:
     """Load, summarise and export everything (the seven published scripts).
 
     ``population``: the per-state dimension; default the fixed 49-row table.
+    ``multiline``: False for extracts without quoted newlines (splittable read).
     """
-    cases = load_case_table(spark, csv_path, work_dir, table)
+    cases = load_case_table(spark, csv_path, work_dir, table, multiline=multiline)
     # Series and population become (replaced) catalog tables, as in the load step.
     series = replace_table(load_series(spark, series_path), f"{table}_delinquency",
                            f"{work_dir}/delinquency")

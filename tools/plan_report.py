@@ -17,7 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from casegrid.plans import reports as R  # noqa: E402
 from casegrid.plans.catalog import read_case_table, write_case_table  # noqa: E402
-from casegrid.plans.daily import daily_table, read_daily, with_unit_measures  # noqa: E402
+from casegrid.plans.daily import (daily_table, read_daily, with_unit_measures,  # noqa: E402
+                                  write_daily)
 from casegrid.plans.registry import mapped_inputs  # noqa: E402
 from casegrid.session import local_session, scratch_path  # noqa: E402
 from casegrid.sources import testdata as TD  # noqa: E402
@@ -45,7 +46,7 @@ def main() -> None:
     cases_path, daily_path = scratch_path(spark, "plan-cases"), scratch_path(spark, "plan-daily")
     write_case_table(TD.case_fact(spark, sf_dir), cases_path)
     cases = with_unit_measures(read_case_table(spark, cases_path), cfg.relief_response)
-    daily_table(cases).write.parquet(daily_path)
+    write_daily(daily_table(cases), daily_path)
     dims = mapped_inputs(spark, sf_dir)
     kw = dict(population=dims.population, series=dims.series, series_bound=dims.series_bound)
     on_daily = R.ReportInputs(cases=read_daily(spark, daily_path), **kw)
