@@ -13,7 +13,7 @@ from casegrid.functions import count_when, pct
 from casegrid.plans import reports as R
 from casegrid.plans.catalog import create_if_absent, read_case_table, replace_table, write_case_table
 from casegrid.plans.daily import DAILY_KEYS, MEASURES, daily_table, with_unit_measures
-from casegrid.plans.sinks import overwrite_in_place, read_report_csv, write_report_csv
+from casegrid.plans.sinks import csv_writer, overwrite_in_place, read_report_csv, write_report_csv
 from casegrid.session import scratch_path
 from casegrid.sources import complaints_csv as C
 from casegrid.sources import testdata as TD
@@ -73,7 +73,7 @@ def report_queries() -> dict[str, Query]:
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases -> extract-layout CSV (S14) -> tolerant typed read (S1/S13) -> counts."""
     base = scratch_path(spark, "csv-roundtrip")
-    C.to_source_layout(TD.case_fact(spark, sf_dir)).write.option("header", True).csv(f"{base}/csv")
+    csv_writer(C.to_source_layout(TD.case_fact(spark, sf_dir))).csv(f"{base}/csv")
     good, _bad = C.read_complaints(spark, f"{base}/csv", f"{base}/landed")
     return good.groupBy(*S.CASE_SCHEMA.fieldNames()).agg(F.count(F.lit(1)).alias("n"))
 
@@ -135,8 +135,8 @@ def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegrid.streaming.ingest import start_ingest
 
     base = scratch_path(spark, "stream")
-    C.to_source_layout(TD.case_fact(spark, sf_dir)).repartition(4) \
-        .write.option("header", True).csv(f"{base}/landing")
+    csv_writer(C.to_source_layout(TD.case_fact(spark, sf_dir)).repartition(4)) \
+        .csv(f"{base}/landing")
     columns = C.header_columns(spark, f"{base}/landing")
     q = start_ingest(spark, f"{base}/landing", columns, cases_path=f"{base}/cases",
                      daily_path=f"{base}/daily", quarantine_path=f"{base}/bad",

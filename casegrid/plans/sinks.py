@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def csv_writer(df: DataFrame, mode: str = "overwrite"):
+    """A CSV ``DataFrameWriter`` in the extract's dialect: header row, values
+    quoted when needed, quotes inside values doubled (RFC 4180), which is what
+    ``sources.complaints_csv`` and common CSV tools read. Spark's default
+    would escape quotes with a backslash and trim spaces around values."""
+    return (df.write.mode(mode).option("header", True)
+            .option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_report_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     """CSV with a header, no index column.
 
@@ -15,13 +25,13 @@ def write_report_csv(df: DataFrame, path: str, single_file: bool = True) -> None
     report outputs, whose size is bounded by the dimensions (states, months,
     products), never for case-level data.
     """
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    csv_writer(df.coalesce(1) if single_file else df).csv(path)
 
 
 def read_report_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read an exported report back with a declared schema (no inference)."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", True).schema(schema).csv(path))
 
 
 def _fs(spark: SparkSession, path: str):

@@ -26,7 +26,7 @@ from casegrid.plans import reports as R
 from casegrid.plans.catalog import (read_case_table, register_files, replace_table,
                                     write_case_table)
 from casegrid.plans.daily import daily_table, read_daily, with_unit_measures, write_daily
-from casegrid.plans.sinks import overwrite_in_place, read_report_csv
+from casegrid.plans.sinks import csv_writer, overwrite_in_place, read_report_csv
 from casegrid.sources import complaints_csv as C
 from casegrid.sources.dims import population_table
 from casegrid.sources.series import load_series
@@ -79,8 +79,7 @@ def build_daily(cases: DataFrame, path: str, cfg: ReportConfig = DEFAULT) -> Dat
 
 def _export(df: DataFrame, path: str) -> int:
     obs = Observation()
-    df.observe(obs, F.count(F.lit(1)).alias("rows")) \
-        .coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    csv_writer(df.observe(obs, F.count(F.lit(1)).alias("rows")).coalesce(1)).csv(path)
     return obs.get["rows"]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegrid.operators.joins import assert_unique_key
+from casegrid.plans.sinks import csv_writer
 
 
 def load_series(spark: SparkSession, path: str, fmt: str = "csv",
@@ -42,5 +43,5 @@ def series_range(series: DataFrame, date_col: str = "date") -> DataFrame:
 
 def write_series_csv(series: DataFrame, path: str) -> None:
     """Land a (small) series as one CSV file with a header."""
-    series.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    csv_writer(series.coalesce(1)).csv(path)
 

@@ -4,6 +4,8 @@ import datetime as dt
 import os
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from casegrid import schema as S
@@ -59,7 +61,7 @@ def test_source_layout_roundtrip(spark, tmpdir_path):
     rows = [(dt.date(2023, 1, 1), "P", "TX", S.RELIEF_RESPONSE, True),
             (dt.date(2023, 1, 2), None, None, None, None)]
     df = spark.createDataFrame(rows, S.CASE_SCHEMA)
-    C.to_source_layout(df).write.option("header", True).csv(tmpdir_path + "/csv")
+    sinks.csv_writer(C.to_source_layout(df)).csv(tmpdir_path + "/csv")
     good, bad = C.read_complaints(spark, tmpdir_path + "/csv", tmpdir_path + "/landed")
     assert bad.count() == 0
     assert sorted(map(tuple, good.select(*S.CASE_SCHEMA.fieldNames()).collect()), key=str) == \
@@ -116,3 +118,22 @@ def test_extract_without_flag_or_date_columns(spark, tmpdir_path):
     good, bad = C.read_complaints(spark, p, tmpdir_path + "/landed")
     assert [tuple(r) for r in good.collect()] == [("TX", "Card")]
     assert [r.reject_reason for r in bad.collect()] == ["malformed_record"]
+
+
+_text = st.text(alphabet=list('ab ,"\n;\\é'), min_size=1, max_size=12)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.dates(dt.date(1990, 1, 1), dt.date(2030, 12, 31)),
+                          st.one_of(st.none(), _text), st.one_of(st.none(), _text),
+                          st.one_of(st.none(), _text), st.one_of(st.none(), st.booleans())),
+                min_size=1, max_size=20))
+def test_extract_roundtrip_with_hostile_text(spark, rows):
+    from casegrid.session import scratch_path
+    base = scratch_path(spark, "hyp-csv")
+    df = spark.createDataFrame(rows, S.CASE_SCHEMA)
+    sinks.csv_writer(C.to_source_layout(df)).csv(base + "/csv")
+    good, bad = C.read_complaints(spark, base + "/csv", base + "/landed")
+    assert bad.count() == 0
+    got = sorted(map(tuple, good.select(*S.CASE_SCHEMA.fieldNames()).collect()), key=repr)
+    assert got == sorted(map(tuple, df.collect()), key=repr)

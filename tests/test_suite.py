@@ -4,6 +4,7 @@ import os
 
 import __spark_entry__ as E
 from casegrid.plans import suite
+from casegrid.plans.sinks import csv_writer
 from casegrid.plans.registry import _landed_series
 from casegrid.sources import complaints_csv as C
 from casegrid.sources import testdata as TD
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_suite_exports_match_registered_queries(spark, tmpdir_path):
     csv = os.path.join(tmpdir_path, "extract")
-    C.to_source_layout(TD.case_fact(spark, SF)).write.option("header", True).csv(csv)
+    csv_writer(C.to_source_layout(TD.case_fact(spark, SF))).csv(csv)
     series = _landed_series(spark, SF)
     counts = suite.run(spark, csv, series, os.path.join(tmpdir_path, "work"),
                        os.path.join(tmpdir_path, "out"), cfg=TD.TESTDATA_CONFIG,
