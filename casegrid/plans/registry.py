@@ -85,7 +85,7 @@ def _landed_series(spark: SparkSession, sf_dir: str) -> str:
     od = F.col("o_orderdate").cast("date")
     inside = (od >= F.lit(TD.SERIES_FROM).cast("date")) & (od <= F.lit(TD.SERIES_UNTIL).cast("date"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    allq = (orders.groupBy(F.trunc(od, "quarter").alias("observation_date"))
+    allq = (orders.groupBy(F.trunc(od, "quarter").alias("date"))
             .agg(pct(count_when(inside & (F.col("o_orderstatus") == F.lit("F"))),
                      count_when(inside), 2).alias("value")))
     write_series_csv(allq, path)
@@ -114,7 +114,7 @@ def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _csv_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export K3 as CSV, read it back, merge categories, overwrite the same file."""
     cfg = TD.TESTDATA_CONFIG
-    path = scratch_path(spark, "product-analysis")
+    path = scratch_path(spark, "k3-export")
     write_report_csv(R.k3_product_state_relief(mapped_inputs(spark, sf_dir), cfg), path)
     merged = R.e2_merge_categories(read_report_csv(spark, path, S.PRODUCT_STATE_SCHEMA), cfg)
     overwrite_in_place(merged, path)

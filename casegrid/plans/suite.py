@@ -31,24 +31,14 @@ from casegrid.sources import complaints_csv as C
 from casegrid.sources.dims import population_table
 from casegrid.sources.series import load_series
 
-# Export file names (folders) and the report behind each.
-EXPORTS = {
-    "q1_state_volume": R.q1_state_share,
-    "q2_mom_growth": R.q2_mom_growth,
-    "q3_per_100k": R.q3_rate_per_100k,
-    "q4_products": R.q4_product_resolution,
-    "q5_top_products_by_state": R.q5_top5_per_state,
-    "q6_complaints_vs_delinquency": R.q6_quarter_rolling,
-    "q7_national_trend": R.q7_national_trend,
-    "q8_zscore_risk": R.q8_zscore_band,
-    "q9_rolling_90d": R.q9_rolling_90,
-    "q10_acceleration": R.q10_trend_class,
-    "combined_trend": R.e1_month_with_rate,
-    "state_risk_summary": R.k1_state_risk_summary,
-    "monthly_trends": R.k2_state_month,
-    "product_analysis": R.k3_product_state_relief,
-    "quarterly_delinquency": R.k4_quarter_rate,
-}
+# Exported reports: one CSV folder per report, named by its key.
+EXPORTED = ("q1_state_share", "q2_mom_growth", "q3_rate_per_100k", "q4_product_resolution",
+            "q5_top5_per_state", "q6_quarter_rolling", "q7_national_trend", "q8_zscore_band",
+            "q9_rolling_90", "q10_trend_class", "e1_month_with_rate", "k1_state_risk_summary",
+            "k2_state_month", "k3_product_state_relief", "k4_quarter_rate")
+EXPORTS = {name: R.REPORTS[name] for name in EXPORTED}
+# The product x state export whose categories are merged in place afterwards.
+MERGED_EXPORT = "k3_product_state_relief"
 BASE_ROW_EXPORTS = {"profile_responses": R.profile_responses}
 
 
@@ -87,7 +77,8 @@ def export_reports(inputs: R.ReportInputs, base_rows: DataFrame, out_dir: str,
                    cfg: ReportConfig = DEFAULT, threads: int = 4) -> dict[str, int]:
     """Write every report as a single-file CSV under ``out_dir``; return row counts.
 
-    Then merge the product categories of ``product_analysis`` in place.
+    Then merge the product categories of the product x state export in place
+    (its count is reported as ``e2_merge_categories``).
     """
     base = R.ReportInputs(cases=base_rows, population=inputs.population, series=inputs.series,
                           population_bound=inputs.population_bound,
@@ -97,11 +88,11 @@ def export_reports(inputs: R.ReportInputs, base_rows: DataFrame, out_dir: str,
     with ThreadPoolExecutor(threads) as pool:
         counts = dict(pool.map(
             lambda j: (j[0], _export(j[1](j[2], cfg), os.path.join(out_dir, j[0]))), jobs))
-    path = os.path.join(out_dir, "product_analysis")
+    path = os.path.join(out_dir, MERGED_EXPORT)
     merged = R.e2_merge_categories(read_report_csv(base_rows.sparkSession, path,
                                                    S.PRODUCT_STATE_SCHEMA), cfg)
     overwrite_in_place(merged, path)
-    counts["product_analysis_merged"] = read_report_csv(
+    counts["e2_merge_categories"] = read_report_csv(
         base_rows.sparkSession, path, S.PRODUCT_STATE_SCHEMA).count()
     return counts
 

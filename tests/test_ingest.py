@@ -72,7 +72,7 @@ def test_series_loader(spark, tmpdir_path):
     p = tmpdir_path + "/series.csv"
     os.makedirs(tmpdir_path, exist_ok=True)
     with open(p, "w") as f:
-        f.write("observation_date,DRCCLACBS\n2020-01-01,2.5\n2020-04-01,\n2020-07-01,3.1\n")
+        f.write("date,value\n2020-01-01,2.5\n2020-04-01,\n2020-07-01,3.1\n")
     s = load_series(spark, p)
     assert [tuple(r) for r in s.orderBy("date").collect()] == [
         (dt.date(2020, 1, 1), 2.5), (dt.date(2020, 7, 1), 3.1)]
