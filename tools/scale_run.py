@@ -6,8 +6,11 @@ keeps its size while the case table grows N times - the situation of real
 data, where millions of cases fall on a few hundred thousand keys.
 
 Times the daily-table build and Q2, Q5, Q9, K1 from case rows and from the
-daily table. Prints one JSON line. Usage:
-    python tools/scale_run.py [sf_dir] [copies]
+daily table. With ``--csv`` it also writes the replicated cases as an
+extract-layout CSV (8 files, 5 columns) and times the tolerant CSV ingest
+(land, type, split, write the year-partitioned table). Prints one JSON line.
+Usage:
+    python tools/scale_run.py [sf_dir] [copies] [--csv]
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from casegrid import schema as S  # noqa: E402
 from casegrid.plans import reports as R  # noqa: E402
+from casegrid.plans.sinks import csv_writer  # noqa: E402
+from casegrid.sources import complaints_csv as C  # noqa: E402
 from casegrid.plans.catalog import read_case_table, write_case_table  # noqa: E402
 from casegrid.plans.daily import (daily_table, read_daily, with_unit_measures,  # noqa: E402
                                   write_daily)
@@ -43,8 +49,10 @@ def _timed(fn) -> float:
 
 
 def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    copies = int(sys.argv[2]) if len(sys.argv) > 2 else 30
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    sf_dir = args[0] if args else "/root/testdata/sf0.1"
+    copies = int(args[1]) if len(args) > 1 else 30
+    with_csv = "--csv" in sys.argv
     spark = local_session(8, shuffle_partitions=16, app="casegrid-scale",
                           extra={"spark.driver.memory": "16g"})
     cfg = TD.TESTDATA_CONFIG
@@ -80,6 +88,19 @@ def main() -> None:
     k1_one = {r.state: r.total_complaints for r in
               R.k1_state_risk_summary(mapped_inputs(spark, sf_dir), cfg).collect()}
     out["k1_counts_scale_exactly"] = all(k1_big[s] == copies * k1_one[s] for s in k1_one)
+
+    if with_csv:
+        csv_path = scratch_path(spark, f"extract-x{copies}")
+        csv_writer(C.to_source_layout(read_case_table(spark, big_path)
+                                      .select(*S.CASE_SCHEMA.fieldNames())).repartition(8)).csv(csv_path)
+        base = scratch_path(spark, f"ingest-x{copies}")
+
+        def ingest():
+            good, bad = C.read_complaints(spark, csv_path, f"{base}/landed")
+            write_case_table(good, f"{base}/cases")
+            bad.write.mode("overwrite").parquet(f"{base}/quarantine")
+        out["csv_ingest_sec"] = _timed(ingest)
+        out["csv_ingest_rows"] = read_case_table(spark, f"{base}/cases").count()
     print(json.dumps(out))
     spark.stop()
 
