@@ -6,10 +6,13 @@ Three steps, each a plain Spark job:
    record column (``PERMISSIVE``), and write it as Parquet. A quoted-newline
    (``multiLine``) CSV file cannot be split, so it is parsed exactly once;
    all later passes read splittable, columnar Parquet.
-2. **Type**: rename the queried columns to snake_case, parse the date and the
-   Yes/No flag with ``try_*`` casts, and tag each row with a rejection reason
-   (malformed record, unparsable date, unparsable flag).
-3. **Split**: good rows -> typed case table, rejected rows -> quarantine.
+   Each row is tagged in the same pass with a rejection reason (malformed
+   record, unparsable date, unparsable Yes/No flag).
+2. **Type**: rename the queried columns to snake_case and parse the date and
+   the flag with ``try_*`` casts.
+3. **Split** on the stored reason: good rows -> typed case table, rejected
+   rows -> quarantine (a pushed-down ``IS NOT NULL`` that skips clean row
+   groups, so the quarantine pass reads next to nothing).
 
 The published load silently drops rows its sniffer cannot parse; here they are
 kept in a quarantine table instead, and counts are taken from the written
@@ -61,37 +64,56 @@ def read_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
             .csv(path))
 
 
-def land(raw: DataFrame, staging_path: str) -> None:
-    """Write the raw string table once (step 1). All columns are selected, so
-    every record is fully parsed and validated."""
-    raw.write.mode("overwrite").parquet(staging_path)
+def _source_of(columns: list[str], name: str) -> str | None:
+    return next((c for c in columns if snake(c) == name), None)
+
+
+def _parse_date(src, date_format: str):
+    return F.try_to_date(src, date_format)
+
+
+def with_reject_reason(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """Add ``reject_reason`` from the raw string columns (NULL = good row):
+    malformed record, unparsable date, unparsable Yes/No flag."""
+    if REASON in raw.columns:
+        return raw
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_record"))
+    date_src = _source_of(raw.columns, "date_received")
+    if date_src:
+        d = F.col(f"`{date_src}`")
+        reason = reason.when(d.isNotNull() & _parse_date(d, date_format).isNull(),
+                             F.lit("bad_date"))
+    flag_src = _source_of(raw.columns, "timely_response")
+    if flag_src:
+        t = F.col(f"`{flag_src}`")
+        reason = reason.when(t.isNotNull() & t.try_cast("boolean").isNull(), F.lit("bad_timely"))
+    return raw.withColumn(REASON, reason)
+
+
+def land(raw: DataFrame, staging_path: str, date_format: str = "yyyy-MM-dd") -> None:
+    """Write the raw string table once (step 1), with each row's rejection
+    reason. All columns are selected, so every record is fully parsed and
+    validated; later passes filter on the stored reason, which Parquet
+    statistics can skip on (almost every row group has no rejected row)."""
+    with_reject_reason(raw, date_format).write.mode("overwrite").parquet(staging_path)
 
 
 def typed(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Rename and type the landed rows; add ``reject_reason`` (NULL = good row)."""
-    cols = [c for c in raw.columns if c != CORRUPT]
+    """Rename and type the landed rows; keep ``reject_reason`` (NULL = good row)."""
+    raw = with_reject_reason(raw, date_format)
     out = []
-    for c in cols:
+    for c in raw.columns:
+        if c in (CORRUPT, REASON):
+            continue
         name = snake(c)
         src = F.col(f"`{c}`")
         if name == "date_received":
-            out.append(F.try_to_date(src, date_format).alias(name))
-            out.append(src.alias("__date_raw"))
+            out.append(_parse_date(src, date_format).alias(name))
         elif name == "timely_response":
             out.append(src.try_cast("boolean").alias(name))
-            out.append(src.alias("__timely_raw"))
         else:
             out.append(src.alias(name))
-    t = raw.select(*out, F.col(CORRUPT))
-    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_record"))
-    if "__date_raw" in t.columns:
-        reason = reason.when(F.col("__date_raw").isNotNull() & F.col("date_received").isNull(),
-                             F.lit("bad_date"))
-    if "__timely_raw" in t.columns:
-        reason = reason.when(F.col("__timely_raw").isNotNull()
-                             & F.col("timely_response").isNull(), F.lit("bad_timely"))
-    drop = [c for c in ("__date_raw", "__timely_raw") if c in t.columns]
-    return t.withColumn(REASON, reason).drop(*drop)
+    return raw.select(*out, F.col(CORRUPT), F.col(REASON))
 
 
 def split(typed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +127,7 @@ def read_complaints(spark: SparkSession, csv_path: str, staging_path: str,
                     ) -> tuple[DataFrame, DataFrame]:
     """Land the CSV once, then return (good typed rows, rejected rows), both lazy
     over the landed Parquet."""
-    land(read_raw(spark, csv_path, multiline=multiline), staging_path)
+    land(read_raw(spark, csv_path, multiline=multiline), staging_path, date_format)
     return split(typed(spark.read.parquet(staging_path), date_format))
 
 
