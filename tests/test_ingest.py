@@ -137,3 +137,10 @@ def test_extract_roundtrip_with_hostile_text(spark, rows):
     assert bad.count() == 0
     got = sorted(map(tuple, good.select(*S.CASE_SCHEMA.fieldNames()).collect()), key=repr)
     assert got == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_literal_dimension_queried_by_name(spark):
+    from casegrid.sources.dims import population_table, register
+    register(population_table(spark), "population_dim")
+    r = spark.sql("SELECT COUNT(*) AS n, SUM(population) AS total FROM population_dim").first()
+    assert r.n == 49 and r.total == sum(S.POPULATION_VALUES)
