@@ -61,10 +61,14 @@ def load_case_table(spark: SparkSession, csv_path: str, base_dir: str,
 
 
 def build_daily(cases: DataFrame, path: str, cfg: ReportConfig = DEFAULT) -> DataFrame:
-    """Write the daily summary table once and return it read back."""
+    """Write the daily summary table once and return it read back, cached.
+
+    Its size is bounded by days x states x products and every export reads it;
+    a lost cached block is re-read from the written table.
+    """
     core = cases.select(*S.CASE_SCHEMA.fieldNames())
     write_daily(daily_table(with_unit_measures(core, cfg.relief_response)), path)
-    return read_daily(cases.sparkSession, path)
+    return read_daily(cases.sparkSession, path).cache()
 
 
 def _export(df: DataFrame, path: str) -> int:
