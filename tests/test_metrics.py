@@ -275,12 +275,19 @@ def test_unmatched_keys(spark):
 
 
 def _plan(df, adaptive=True):
+    """Physical plan text via the public ``explain``; ``adaptive=False`` turns
+    off Spark's own size-based broadcast so only explicit hints remain."""
+    import contextlib
+    import io
     spark = df.sparkSession
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     if not adaptive:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        return df._jdf.queryExecution().executedPlan().toString()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 

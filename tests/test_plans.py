@@ -1,5 +1,8 @@
 """Plan checks: the physical plans have the shape the design relies on."""
 
+import contextlib
+import io
+
 import pytest
 
 import __spark_entry__ as E
@@ -10,13 +13,16 @@ from casegrid.sources import testdata as TD
 SF = "/root/testdata/sf0.001"
 
 
-def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+def _explain(df, mode: str = "formatted") -> str:
+    """The text of ``df.explain(mode)`` (public API; it prints to stdout)."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode)
+    return buf.getvalue()
 
 
-def _explain(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+def _plan(df) -> str:
+    return _explain(df, "simple")
 
 
 @pytest.fixture(scope="module")

@@ -9,6 +9,8 @@ Prints a markdown table. Usage: python tools/plan_report.py [sf_dir]
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -25,7 +27,10 @@ from casegrid.sources import testdata as TD  # noqa: E402
 
 
 def census(df) -> dict:
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    plan = buf.getvalue()
     return {
         "shuffles": len(re.findall(r"Exchange (hashpartitioning|rangepartitioning)", plan)),
         "single": len(re.findall(r"Exchange SinglePartition", plan)),
