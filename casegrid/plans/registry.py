@@ -106,8 +106,8 @@ def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = "population_" + path.rsplit("-", 1)[-1]
     pop = TD.population(spark, sf_dir)
     create_if_absent(pop, name, path)
-    created_again = create_if_absent(pop, name, path)   # IF NOT EXISTS: no-op
-    assert not created_again
+    if create_if_absent(pop, name, path):   # IF NOT EXISTS: must be a no-op
+        raise RuntimeError(f"table {name} was created twice")
     return replace_table(pop, name, path + "-v2")
 
 

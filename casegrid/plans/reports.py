@@ -64,27 +64,32 @@ def _base(inp: ReportInputs, cfg: ReportConfig, floor: str, whitelist: bool = Tr
 # Profile ------------------------------------------------------------------
 
 def profile_range(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Earliest and latest received date and the number of cases."""
     return inp.cases.agg(F.min("date_received").alias("earliest"),
                          F.max("date_received").alias("latest"),
                          F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total_complaints"))
 
 
 def profile_top_products(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 10) -> DataFrame:
+    """The k products with the most cases."""
     return (M.period_counts(inp.cases, ["product"], {"count": "n"})
             .orderBy(_desc("count"), _asc("product")).limit(k))
 
 
 def profile_distinct_states(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Number of distinct non-NULL states."""
     return inp.cases.agg(F.countDistinct("state").alias("distinct_states"))
 
 
 def profile_null_states(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Number of cases without a state."""
     return (inp.cases.filter(F.col("state").isNull())
             .agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("null_states")))
 
 
 def profile_responses(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
-    """Needs base rows (the daily table does not keep the response)."""
+    """Cases per company response, most first. Needs case rows (the daily
+    table does not keep the response)."""
     return (M.period_counts(inp.cases, ["company_response"], {"count": "n"})
             .orderBy(_desc("count"), _asc("company_response")))
 
@@ -92,6 +97,7 @@ def profile_responses(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFra
 # Q1-Q3 ------------------------------------------------------------------------
 
 def q1_state_share(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15) -> DataFrame:
+    """Cases per whitelisted state since the baseline floor, with % of the total; top k."""
     counts = M.period_counts(_base(inp, cfg, cfg.baseline_since), ["state"],
                              {"total_complaints": "n"})
     return (M.share_of_total(counts, "total_complaints", "pct_of_total", 2)
@@ -99,6 +105,7 @@ def q1_state_share(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15)
 
 
 def q2_monthly(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Per state and month: cases, previous month's cases and % growth (base >= min_base)."""
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since),
                              ["state", month_of("date_received").alias("month")],
                              {"complaint_count": "n"})
@@ -108,6 +115,7 @@ def q2_monthly(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def q2_mom_growth(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 20) -> DataFrame:
+    """The k state-months with the highest month-over-month growth."""
     return (q2_monthly(inp, cfg)
             .orderBy(_desc("mom_growth_pct"), _asc("state"), _asc("month")).limit(k))
 
@@ -119,6 +127,7 @@ def _state_counts_since_baseline(inp: ReportInputs, cfg: ReportConfig) -> DataFr
 
 
 def q3_rates(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Cases per 100k residents per state (states without population drop out)."""
     counts = _state_counts_since_baseline(inp, cfg)
     return (M.rate_per(counts, inp.population, "state", "complaints", "population",
                        per=100000.0, out="complaints_per_100k", scale=1,
@@ -127,6 +136,7 @@ def q3_rates(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def q3_rate_per_100k(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15) -> DataFrame:
+    """The k states with the most cases per 100k residents."""
     return q3_rates(inp, cfg).orderBy(_desc("complaints_per_100k"), _asc("state")).limit(k)
 
 
@@ -139,6 +149,7 @@ def q3_unmatched_keys(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFra
 # Q4-Q7 ------------------------------------------------------------------------
 
 def q4_product_resolution(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Per product: cases, % of total, relief count, relief and timely rates."""
     # All rows since the floor: no state filter in this report.
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since, whitelist=False), ["product"],
                              {"total_complaints": "n", "resolved_with_relief": "n_relief",
@@ -151,6 +162,7 @@ def q4_product_resolution(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> Dat
 
 
 def q5_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Top products per state by cases (ties broken by product name)."""
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since), ["state", "product"],
                              {"complaints": "n"})
     return M.top_n_per_group(counts, ["state"], [_desc("complaints"), _asc("product")],
@@ -158,15 +170,18 @@ def q5_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def q5_top5_per_state(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Top products per state, ordered by state and rank."""
     return q5_rows(inp, cfg).orderBy(_asc("state"), _asc("rank_in_state"))
 
 
 def q5_sample_states(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """The top-products report for the configured sample states."""
     return (q5_rows(inp, cfg).filter(F.col("state").isin(list(cfg.sample_states)))
             .orderBy(_asc("state"), _asc("rank_in_state")))
 
 
 def q6_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Cases per quarter, their rolling 4-quarter mean and the quarter's series value."""
     counts = M.period_counts(_base(inp, cfg, cfg.history_since),
                              [quarter_of("date_received").alias("quarter")], {"complaints": "n"})
     # Rolling mean first, over all quarters; the series join drops quarters after.
@@ -179,14 +194,17 @@ def q6_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def q6_quarter_rolling(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Quarterly cases with rolling mean and series value, by quarter."""
     return q6_rows(inp, cfg).orderBy(_asc("quarter"))
 
 
 def q6_last12(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 12) -> DataFrame:
+    """The last 12 quarters of the quarterly report."""
     return q6_rows(inp, cfg).orderBy(_desc("quarter")).limit(k).orderBy(_asc("quarter"))
 
 
 def q7_national_trend(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 24) -> DataFrame:
+    """National cases per month with month-over-month and year-over-year %; latest k months."""
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since),
                              [month_of("date_received").alias("month")], {"complaints": "n"})
     # One row per month: the unpartitioned lag runs on a calendar-bounded frame.
@@ -202,6 +220,7 @@ def q7_national_trend(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 2
 # Q8-Q10 -----------------------------------------------------------------------
 
 def q8_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Cases per state, national mean, z-score and risk band of the rounded z."""
     counts = M.period_counts(_base(inp, cfg, cfg.baseline_since), ["state"], {"complaints": "n"})
     return (M.zscore(counts, "complaints", z_out="z_score", scale=2,
                      mean_out="national_mean", mean_scale=0, band_out="risk_level",
@@ -211,16 +230,19 @@ def q8_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def q8_zscore_band(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """The z-score report ordered by z."""
     return q8_rows(inp, cfg).orderBy(_desc("z_score"), _asc("state"))
 
 
 def q8b_band_counts(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Number of states per risk band."""
     return (q8_rows(inp, cfg).filter(F.col("risk_level").isNotNull())
             .groupBy("risk_level").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(_desc("count"), _asc("risk_level")))
 
 
 def q9_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Cases per state and day with the running total over the last 90 rows."""
     counts = M.period_counts(_base(inp, cfg, cfg.current_since),
                              ["state", F.col("date_received").alias("complaint_date")],
                              {"daily_count": "n"})
@@ -230,16 +252,19 @@ def q9_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def q9_rolling_90(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """The 90-row running totals, by state and newest day first."""
     return q9_rows(inp, cfg).orderBy(_asc("state"), _desc("complaint_date"))
 
 
 def q9b_latest_top15(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15) -> DataFrame:
+    """Each state's latest running total; the k highest."""
     latest = M.latest_per_group(q9_rows(inp, cfg), ["state"], "complaint_date")
     return (latest.select("state", "complaint_date", "rolling_90d_total")
             .orderBy(_desc("rolling_90d_total"), _asc("state")).limit(k))
 
 
 def q10_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Latest month's cases per state, growth against 3 months back, trend class."""
     counts = M.period_counts(_base(inp, cfg, cfg.current_since, until=cfg.trend_until),
                              ["state", month_of("date_received").alias("month")],
                              {"complaints": "n"})
@@ -251,14 +276,17 @@ def q10_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def q10_trend_class(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """The trend report ordered by growth."""
     return q10_rows(inp, cfg).orderBy(_desc("growth_vs_3mo_ago_pct"), _asc("state"))
 
 
 def q10_top20(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 20) -> DataFrame:
+    """The k states with the highest 3-month growth."""
     return q10_trend_class(inp, cfg).limit(k)
 
 
 def q10b_accelerating(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """States classed 'Accelerating', with their number."""
     acc = q10_rows(inp, cfg).filter(F.col("trend") == F.lit(S.TREND_ACCELERATING))
     # The filtered frame has at most one row per state.
     return (acc.select("state", "growth_vs_3mo_ago_pct",
@@ -269,6 +297,7 @@ def q10b_accelerating(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFra
 # Exports E1, E2, K1-K4 -------------------------------------------------------
 
 def e1_month_with_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Cases per month with the month's quarterly series value (NULL if none)."""
     counts = M.period_counts(_base(inp, cfg, cfg.history_since),
                              [month_of("date_received").alias("period")], {"complaints": "n"})
     # Left join: months of quarters without a rate keep a NULL rate.
@@ -280,6 +309,7 @@ def e1_month_with_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFr
 
 
 def k1_state_risk_summary(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Per state: cases, % of total, z-score and risk band of the raw z."""
     counts = M.period_counts(_base(inp, cfg, cfg.baseline_since), ["state"],
                              {"total_complaints": "n"})
     shared = M.share_of_total(counts, "total_complaints", "pct_of_total", 2)
@@ -290,6 +320,7 @@ def k1_state_risk_summary(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> Dat
 
 
 def k2_state_month(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Cases per state and month."""
     return (M.period_counts(_base(inp, cfg, cfg.monthly_since),
                             ["state", month_of("date_received").alias("month")],
                             {"complaints": "n"})
@@ -297,6 +328,7 @@ def k2_state_month(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def k3_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Per product and state: cases and relief rate."""
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since), ["product", "state"],
                              {"complaints": "n", "__relief": "n_relief"})
     return counts.select("product", "state", "complaints",
@@ -304,10 +336,12 @@ def k3_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 
 def k3_product_state_relief(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """The product x state report, most cases first."""
     return k3_rows(inp, cfg).orderBy(_desc("complaints"), _asc("product"), _asc("state"))
 
 
 def k4_quarter_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Cases per quarter with the quarter's series value (quarters with a value)."""
     counts = M.period_counts(_base(inp, cfg, cfg.history_since),
                              [quarter_of("date_received").alias("quarter")], {"complaints": "n"})
     return (M.attach_series(counts, "quarter", inp.series, how="inner",
@@ -328,6 +362,7 @@ def e2_merge_categories(product_state: DataFrame, cfg: ReportConfig = DEFAULT) -
 
 
 def e2_product_ranking(merged: DataFrame, k: int = 10) -> DataFrame:
+    """Total cases per merged product; the k largest."""
     return (merged.groupBy("product").agg(F.sum("complaints").alias("complaints"))
             .orderBy(_desc("complaints"), _asc("product")).limit(k))
 

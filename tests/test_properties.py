@@ -9,7 +9,6 @@ import statistics
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.operators import metrics as M
