@@ -41,7 +41,11 @@ def register_files(spark: SparkSession, name: str, path: str, fmt: str = "parque
 
 
 def replace_table(df: DataFrame, name: str, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``DROP TABLE IF EXISTS`` + ``CREATE TABLE AS``; returns the table."""
+    """``DROP TABLE IF EXISTS`` + ``CREATE TABLE AS``; returns the table.
+
+    ``df`` must not read from the table it replaces (Spark reads lazily); to
+    rewrite a table from itself, write a new path first, as ``sinks`` does.
+    """
     spark = df.sparkSession
     w = df.write.mode("overwrite").format("parquet").option("path", path)
     if partition_by:
