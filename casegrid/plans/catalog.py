@@ -77,10 +77,14 @@ def write_case_table(cases: DataFrame, path: str) -> None:
     tasks), so each folder gets a few well-sized files instead of one file
     per (task, folder).
     """
-    (cases.withColumn(CASE_PARTITION, F.year("date_received"))
-          .hint("rebalance", CASE_PARTITION)
-          .sortWithinPartitions(CASE_PARTITION, "date_received")
-          .write.mode("overwrite").partitionBy(CASE_PARTITION).parquet(path))
+    case_table_layout(cases).write.mode("overwrite").partitionBy(CASE_PARTITION).parquet(path)
+
+
+def case_table_layout(cases: DataFrame) -> DataFrame:
+    """Case rows with the year column, rebalanced by year and date-sorted."""
+    return (cases.withColumn(CASE_PARTITION, F.year("date_received"))
+                 .hint("rebalance", CASE_PARTITION)
+                 .sortWithinPartitions(CASE_PARTITION, "date_received"))
 
 
 def read_case_table(spark: SparkSession, path: str) -> DataFrame:
