@@ -101,11 +101,15 @@ def land(raw: DataFrame, staging_path: str, date_format: str = "yyyy-MM-dd") ->
 def typed(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Rename and type the landed rows; keep ``reject_reason`` (NULL = good row)."""
     raw = with_reject_reason(raw, date_format)
-    out = []
+    out, used = [], set()
     for c in raw.columns:
         if c in (CORRUPT, REASON):
             continue
         name = snake(c)
+        base, k = name, 2
+        while name in used:            # two headers with the same snake-case name
+            name, k = f"{base}_{k}", k + 1
+        used.add(name)
         src = F.col(f"`{c}`")
         if name == "date_received":
             out.append(_parse_date(src, date_format).alias(name))

@@ -144,3 +144,13 @@ def test_literal_dimension_queried_by_name(spark):
     register(population_table(spark), "population_dim")
     r = spark.sql("SELECT COUNT(*) AS n, SUM(population) AS total FROM population_dim").first()
     assert r.n == 49 and r.total == sum(S.POPULATION_VALUES)
+
+
+def test_headers_with_the_same_snake_case_name(spark, tmpdir_path):
+    os.makedirs(tmpdir_path, exist_ok=True)
+    p = os.path.join(tmpdir_path, "dup.csv")
+    with open(p, "w") as f:
+        f.write("State,ZIP code,Zip-Code\nTX,1,2\n")
+    good, _ = C.read_complaints(spark, p, tmpdir_path + "/landed")
+    assert good.columns == ["state", "zip_code", "zip_code_2"]
+    assert [tuple(r) for r in good.collect()] == [("TX", "1", "2")]
