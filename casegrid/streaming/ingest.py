@@ -53,18 +53,20 @@ def _batch_writer(cases_path: str, daily_path: str, quarantine_path: str,
     return write
 
 
-def start_ingest(spark: SparkSession, landing_dir: str, columns: list[str], *,
+def start_ingest(spark: SparkSession, landing_dir: str, columns: list[str] | None = None, *,
                  cases_path: str, daily_path: str, quarantine_path: str,
                  checkpoint_path: str, relief_response: str = S.RELIEF_RESPONSE,
                  date_format: str = "yyyy-MM-dd", multiline: bool = True,
                  available_now: bool = True, max_files_per_trigger: int | None = None,
                  ) -> StreamingQuery:
-    """Start the stream. ``columns``: the extract's header (string columns).
+    """Start the stream. ``columns``: the extract's header (string columns);
+    by default read from a file already in ``landing_dir``.
 
     Output folders get one ``ingest_batch=<epoch>`` sub-folder per micro-batch,
     so a re-run epoch overwrites its own output (exactly-once at the folder
     level); readers see ``ingest_batch`` as a partition column.
     """
+    columns = columns or C.header_columns(spark, landing_dir, multiline)
     reader = (spark.readStream.schema(C.raw_schema(columns))
               .option("header", True).option("multiLine", multiline)
               .option("escape", '"').option("mode", "PERMISSIVE")
