@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +54,27 @@ def overwrite_in_place(df: DataFrame, path: str, single_file: bool = True) -> No
     spark = df.sparkSession
     tag = uuid.uuid4().hex[:8]
     staging = f"{path.rstrip('/')}.staging-{tag}"
+    old_path = f"{path.rstrip('/')}.old-{tag}"
     write_report_csv(df, staging, single_file)
-    fs, target, jvm = _fs(spark, path)
+    try:
+        fs, target, jvm = _fs(spark, path)
+    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): local paths only
+        _swap_local(path, staging, old_path)
+        return
     Path = jvm.org.apache.hadoop.fs.Path
-    old = Path(f"{path.rstrip('/')}.old-{tag}")
+    old = Path(old_path)
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"could not move {path} aside")
     if not fs.rename(Path(staging), target):
         raise OSError(f"could not move {staging} to {path}")
     fs.delete(old, True)
+
+
+def _swap_local(path: str, staging: str, old_path: str) -> None:
+    local = path.removeprefix("file:")
+    if "://" in local:
+        raise NotImplementedError("in-place overwrite of a remote path needs a JVM session")
+    if os.path.exists(local):
+        os.replace(local, old_path.removeprefix("file:"))
+    os.replace(staging.removeprefix("file:"), local)
+    shutil.rmtree(old_path.removeprefix("file:"), ignore_errors=True)

@@ -45,15 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     folder is not visible to other executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext          # absent under Spark Connect
+    except Exception:  # noqa: BLE001
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if d:
         return d.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     d = tempfile.mkdtemp(prefix="casegrid-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
     return d
 
