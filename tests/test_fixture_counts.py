@@ -49,3 +49,18 @@ def test_fixture_row_counts(spark, sf):
         rows=R.profile_range(inp, CFG).first().total_complaints,
     )
     assert got == want
+
+
+def test_fixture_band_facts(spark):
+    """FIXTURES.md: sf0.001 reaches all five bands (highest z 2.50); sf0.01 has no
+    'Critical' state (highest z 1.53) and one 'Accelerating' state on complete months."""
+    small = R.q8_rows(mapped_inputs(spark, "/root/testdata/sf0.001"), CFG).collect()
+    assert len({r.risk_level for r in small}) == 5
+    assert max(r.z_score for r in small) == 2.5
+    inp = mapped_inputs(spark, "/root/testdata/sf0.01")
+    mid = R.q8_rows(inp, CFG).collect()
+    assert "Critical" not in {r.risk_level for r in mid}
+    assert max(r.z_score for r in mid) == 1.53
+    acc = R.q10b_accelerating(inp, CFG.with_(trend_until=TD.TEST_COMPLETE_MONTHS_UNTIL)).collect()
+    assert len(acc) == 1 and acc[0].accelerating_states == 1
+    assert R.q10b_accelerating(inp, CFG).count() == 0
