@@ -13,7 +13,7 @@ import json
 from pyspark.sql import SparkSession
 
 from casegrid.plans.suite import run
-from casegrid.session import RECOMMENDED_CONF
+from casegrid.session import RECOMMENDED_CONF, size_shuffle_partitions
 
 
 def main() -> None:
@@ -30,6 +30,7 @@ def main() -> None:
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    size_shuffle_partitions(spark, a.csv)
     print(json.dumps(run(spark, a.csv, a.series, a.work, a.out, threads=a.threads,
                          multiline=not a.no_multiline), indent=1))
 

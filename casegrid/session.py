@@ -64,3 +64,35 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def input_bytes(spark: SparkSession, path: str) -> int | None:
+    """Total size of the files under ``path`` (any Hadoop file system), or None."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(p).getLength())
+    except Exception:  # noqa: BLE001 - no JVM handle: local paths only
+        local = path.removeprefix("file:")
+        if not os.path.exists(local):
+            return None
+        if os.path.isfile(local):
+            return os.path.getsize(local)
+        return sum(os.path.getsize(os.path.join(r, f))
+                   for r, _, fs in os.walk(local) for f in fs)
+
+
+def size_shuffle_partitions(spark: SparkSession, path: str,
+                            target_bytes: int = 256 * 1024 * 1024) -> int:
+    """Set ``spark.sql.shuffle.partitions`` for an input of the size at ``path``
+    (about ``target_bytes`` per partition at the heaviest shuffle, never below
+    Spark's default of 200), unless the user has set it. AQE coalesces the
+    partitions of the small report stages. Returns the value in effect."""
+    current = spark.conf.get("spark.sql.shuffle.partitions")
+    if current != "200":            # set explicitly: keep it
+        return int(current)
+    size = input_bytes(spark, path)
+    n = max(200, -(-size // target_bytes)) if size else 200
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n

@@ -68,3 +68,22 @@ def test_population_fixed_values():
     assert len(S.POPULATION_STATES) == len(S.POPULATION_VALUES) == 49
     missing = set(S.US_STATE_CODES) - set(S.POPULATION_STATES)
     assert missing == {"MO", "WI"}
+
+
+def test_shuffle_partitions_sized_from_input(spark, tmpdir_path):
+    import os
+    from casegrid.session import input_bytes, size_shuffle_partitions
+    os.makedirs(tmpdir_path)
+    with open(os.path.join(tmpdir_path, "f.csv"), "w") as f:
+        f.write("x" * 1000)
+    assert input_bytes(spark, tmpdir_path) == 1000
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert size_shuffle_partitions(spark, tmpdir_path, target_bytes=10) == 200
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert size_shuffle_partitions(spark, tmpdir_path, target_bytes=1) == 1000
+        spark.conf.set("spark.sql.shuffle.partitions", "7")      # user's choice is kept
+        assert size_shuffle_partitions(spark, tmpdir_path) == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
