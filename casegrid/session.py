@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
@@ -52,13 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if d:
-        return d.rstrip("/")
+        return _plain_local(d).rstrip("/")
     if sc is None or not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     d = tempfile.mkdtemp(prefix="casegrid-ckpt-")
+    # spark.checkpoint.dir is a core setting and cannot be changed at runtime;
+    # registering the folder is enough, later calls find it through the context.
     sc.setCheckpointDir(d)
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    return _plain_local(sc.getCheckpointDir() or d)
+
+
+def _plain_local(uri: str) -> str:
+    """``file:/x`` or ``file:///x`` -> ``/x``; other URIs unchanged."""
+    parsed = urlparse(uri)
+    return parsed.path if parsed.scheme == "file" else uri
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -83,16 +91,30 @@ def input_bytes(spark: SparkSession, path: str) -> int | None:
                    for r, _, fs in os.walk(local) for f in fs)
 
 
+def partitions_for(size_bytes: int | None, target_bytes: int = 256 * 1024 * 1024) -> int:
+    """About ``target_bytes`` per shuffle partition, never below Spark's default 200."""
+    return max(200, -(-size_bytes // target_bytes)) if size_bytes else 200
+
+
+def _set_explicitly(spark: SparkSession, key: str, default: str) -> bool:
+    """True if ``key`` came from spark-submit / defaults / the builder, or was
+    changed at runtime."""
+    try:
+        if spark.sparkContext.getConf().contains(key):
+            return True
+    except Exception:  # noqa: BLE001 - no context handle: only runtime values are visible
+        pass
+    return spark.conf.get(key) != default
+
+
 def size_shuffle_partitions(spark: SparkSession, path: str,
                             target_bytes: int = 256 * 1024 * 1024) -> int:
     """Set ``spark.sql.shuffle.partitions`` for an input of the size at ``path``
-    (about ``target_bytes`` per partition at the heaviest shuffle, never below
-    Spark's default of 200), unless the user has set it. AQE coalesces the
+    (``partitions_for``), unless the user has set it. AQE coalesces the
     partitions of the small report stages. Returns the value in effect."""
-    current = spark.conf.get("spark.sql.shuffle.partitions")
-    if current != "200":            # set explicitly: keep it
-        return int(current)
-    size = input_bytes(spark, path)
-    n = max(200, -(-size // target_bytes)) if size else 200
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    key = "spark.sql.shuffle.partitions"
+    if _set_explicitly(spark, key, "200"):
+        return int(spark.conf.get(key))
+    n = partitions_for(input_bytes(spark, path), target_bytes)
+    spark.conf.set(key, str(n))
     return n

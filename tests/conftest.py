@@ -16,10 +16,8 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     s = local_session(4, shuffle_partitions=8, app="casegrid-tests")
     # Tests run locally: give them their own shared folder if none is set.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="casegrid-test-ckpt-")
-        s.sparkContext.setCheckpointDir(d)
-        s.conf.set("spark.checkpoint.dir", d)
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="casegrid-test-ckpt-"))
     yield s
     s.stop()
 

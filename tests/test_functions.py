@@ -72,18 +72,14 @@ def test_population_fixed_values():
 
 def test_shuffle_partitions_sized_from_input(spark, tmpdir_path):
     import os
-    from casegrid.session import input_bytes, size_shuffle_partitions
+    from casegrid.session import input_bytes, partitions_for, size_shuffle_partitions
     os.makedirs(tmpdir_path)
     with open(os.path.join(tmpdir_path, "f.csv"), "w") as f:
         f.write("x" * 1000)
     assert input_bytes(spark, tmpdir_path) == 1000
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        spark.conf.set("spark.sql.shuffle.partitions", "200")
-        assert size_shuffle_partitions(spark, tmpdir_path, target_bytes=10) == 200
-        spark.conf.set("spark.sql.shuffle.partitions", "200")
-        assert size_shuffle_partitions(spark, tmpdir_path, target_bytes=1) == 1000
-        spark.conf.set("spark.sql.shuffle.partitions", "7")      # user's choice is kept
-        assert size_shuffle_partitions(spark, tmpdir_path) == 7
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert partitions_for(1000, target_bytes=10) == 200          # never below the default
+    assert partitions_for(1000, target_bytes=1) == 1000
+    assert partitions_for(None) == 200
+    # The test session sets the value in its builder: an explicit choice is kept.
+    assert size_shuffle_partitions(spark, tmpdir_path, target_bytes=1) == \
+        int(spark.conf.get("spark.sql.shuffle.partitions"))
