@@ -1,7 +1,9 @@
 from casegrid.functions.columns import (
+    asc_nl,
     band,
     before,
     count_when,
+    desc_nl,
     in_regions,
     month_of,
     pct,
@@ -13,6 +15,6 @@ from casegrid.functions.columns import (
 )
 
 __all__ = [
-    "band", "before", "count_when", "in_regions", "month_of", "pct", "pct_change",
+    "asc_nl", "desc_nl", "band", "before", "count_when", "in_regions", "month_of", "pct", "pct_change",
     "quarter_of", "round_half_away", "safe_div", "since",
 ]

@@ -22,9 +22,10 @@ def round_half_away(c: Column | str, scale: int) -> Column:
     """
     p = float(10 ** scale)
     x = _col(c).cast("double")
-    if scale == 0:
-        return F.round(x, 0)
-    return F.round(x * F.lit(p), 0) / F.lit(p)
+    r = F.round(x, 0) if scale == 0 else F.round(x * F.lit(p), 0) / F.lit(p)
+    # Keep the sign of a negative value that rounds to zero (-0.004 -> -0.0),
+    # as the SQL engine does; Spark's decimal-based round returns +0.0.
+    return F.when((r == F.lit(0.0)) & (x < F.lit(0.0)), r * F.lit(-1.0)).otherwise(r)
 
 
 def safe_div(num: Column | str, den: Column | str) -> Column:
@@ -84,3 +85,13 @@ def month_of(c: Column | str) -> Column:
 def quarter_of(c: Column | str) -> Column:
     """First day of the quarter as DATE."""
     return F.trunc(_col(c), "quarter")
+
+
+def asc_nl(c: Column | str) -> Column:
+    """Ascending, NULLs last (the SQL engine's default for ASC)."""
+    return _col(c).asc_nulls_last()
+
+
+def desc_nl(c: Column | str) -> Column:
+    """Descending, NULLs last."""
+    return _col(c).desc_nulls_last()

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegrid.functions import band, pct, pct_change, round_half_away, safe_div
+from casegrid.functions import asc_nl, band, desc_nl, pct, pct_change, round_half_away, safe_div
 from casegrid.operators.joins import broadcast_if_bounded
 
 
@@ -24,14 +24,6 @@ def _all():
     return Window.partitionBy()
 
 
-def _desc(c: str) -> Column:
-    return F.col(c).desc_nulls_last()
-
-
-def _asc(c: str) -> Column:
-    return F.col(c).asc_nulls_last()
-
-
 # C15 ---------------------------------------------------------------------
 
 def period_counts(cases: DataFrame, keys: Sequence[Column | str],
@@ -64,7 +56,7 @@ def growth_vs_lag(df: DataFrame, order: str, value: str, *, partition: Sequence[
 
     ``min_base``: keep only rows whose lagged value is ``>= min_base``.
     """
-    w = Window.partitionBy(*partition).orderBy(order)
+    w = Window.partitionBy(*partition).orderBy(asc_nl(order))
     out = df.withColumn(prev_out, F.lag(value, lag).over(w))
     out = out.withColumn(pct_out, pct_change(F.col(value), F.col(prev_out), scale))
     if min_base is not None:
@@ -126,7 +118,7 @@ def rolling(df: DataFrame, order: str, value: str, rows: int, *, fn: str = "sum"
     The first rows of a partition use fewer rows (no NULL padding).
     """
     agg = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "max": F.max, "min": F.min}[fn]
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(-(rows - 1), 0)
+    w = Window.partitionBy(*partition).orderBy(asc_nl(order)).rowsBetween(-(rows - 1), 0)
     return df.withColumn(out, agg(F.col(value)).over(w))
 
 
@@ -139,7 +131,7 @@ def trend_class(df: DataFrame, order: str, value: str, *, partition: Sequence[st
     """Three row-lags; growth against lag 3; 'accelerating' = three rises in a
     row, 'decelerating' = two falls in a row, else mixed. Keeps m1..m3."""
     up, down, mixed = labels
-    w = Window.partitionBy(*partition).orderBy(order)
+    w = Window.partitionBy(*partition).orderBy(asc_nl(order))
     v = F.col(value)
     out = df.withColumns({f"m{k}": F.lag(value, k).over(w) for k in (1, 2, 3)})
     m1, m2, m3 = F.col("m1"), F.col("m2"), F.col("m3")
@@ -170,7 +162,7 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 def latest_per_group(df: DataFrame, group: Sequence[str], order_desc: str,
                      tie: Sequence[str] = ()) -> DataFrame:
     """Latest row per group (largest ``order_desc``)."""
-    w = Window.partitionBy(*group).orderBy(_desc(order_desc), *[_asc(t) for t in tie])
+    w = Window.partitionBy(*group).orderBy(desc_nl(order_desc), *[asc_nl(t) for t in tie])
     return (df.withColumn("__rn", F.row_number().over(w))
               .filter(F.col("__rn") == 1).drop("__rn"))
 

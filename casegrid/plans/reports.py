@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.config import DEFAULT, ReportConfig
-from casegrid.functions import before, in_regions, month_of, pct, quarter_of, round_half_away, since
+from casegrid.functions import (asc_nl, before, desc_nl, in_regions, month_of, pct, quarter_of,
+                                round_half_away, since)
 from casegrid.operators import metrics as M
 from casegrid.operators.joins import unmatched_keys
 from casegrid.plans.catalog import CASE_PARTITION
@@ -36,14 +37,6 @@ class ReportInputs:
     series_bound: int | None = None
 
 
-def _desc(c: str) -> Column:
-    return F.col(c).desc_nulls_last()
-
-
-def _asc(c: str) -> Column:
-    return F.col(c).asc_nulls_last()
-
-
 def _base(inp: ReportInputs, cfg: ReportConfig, floor: str, whitelist: bool = True,
           until: str | None = None) -> DataFrame:
     """The shared filter: received since ``floor`` (and inside the whitelist).
@@ -73,7 +66,7 @@ def profile_range(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 def profile_top_products(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 10) -> DataFrame:
     """The k products with the most cases."""
     return (M.period_counts(inp.cases, ["product"], {"count": "n"})
-            .orderBy(_desc("count"), _asc("product")).limit(k))
+            .orderBy(desc_nl("count"), asc_nl("product")).limit(k))
 
 
 def profile_distinct_states(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -91,7 +84,7 @@ def profile_responses(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFra
     """Cases per company response, most first. Needs case rows (the daily
     table does not keep the response)."""
     return (M.period_counts(inp.cases, ["company_response"], {"count": "n"})
-            .orderBy(_desc("count"), _asc("company_response")))
+            .orderBy(desc_nl("count"), asc_nl("company_response")))
 
 
 # Q1-Q3 ------------------------------------------------------------------------
@@ -101,7 +94,7 @@ def q1_state_share(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15)
     counts = M.period_counts(_base(inp, cfg, cfg.baseline_since), ["state"],
                              {"total_complaints": "n"})
     return (M.share_of_total(counts, "total_complaints", "pct_of_total", 2)
-            .orderBy(_desc("total_complaints"), _asc("state")).limit(k))
+            .orderBy(desc_nl("total_complaints"), asc_nl("state")).limit(k))
 
 
 def q2_monthly(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -117,7 +110,7 @@ def q2_monthly(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 def q2_mom_growth(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 20) -> DataFrame:
     """The k state-months with the highest month-over-month growth."""
     return (q2_monthly(inp, cfg)
-            .orderBy(_desc("mom_growth_pct"), _asc("state"), _asc("month")).limit(k))
+            .orderBy(desc_nl("mom_growth_pct"), asc_nl("state"), asc_nl("month")).limit(k))
 
 
 def _state_counts_since_baseline(inp: ReportInputs, cfg: ReportConfig) -> DataFrame:
@@ -137,7 +130,7 @@ def q3_rates(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 def q3_rate_per_100k(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15) -> DataFrame:
     """The k states with the most cases per 100k residents."""
-    return q3_rates(inp, cfg).orderBy(_desc("complaints_per_100k"), _asc("state")).limit(k)
+    return q3_rates(inp, cfg).orderBy(desc_nl("complaints_per_100k"), asc_nl("state")).limit(k)
 
 
 def q3_unmatched_keys(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -158,26 +151,26 @@ def q4_product_resolution(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> Dat
     return (out.select("product", "total_complaints", "pct_of_total", "resolved_with_relief",
                        pct("resolved_with_relief", "total_complaints", 1).alias("relief_rate_pct"),
                        pct("__timely", "total_complaints", 1).alias("timely_response_pct"))
-            .orderBy(_desc("total_complaints"), _asc("product")))
+            .orderBy(desc_nl("total_complaints"), asc_nl("product")))
 
 
 def q5_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """Top products per state by cases (ties broken by product name)."""
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since), ["state", "product"],
                              {"complaints": "n"})
-    return M.top_n_per_group(counts, ["state"], [_desc("complaints"), _asc("product")],
+    return M.top_n_per_group(counts, ["state"], [desc_nl("complaints"), asc_nl("product")],
                              cfg.top_n, rank_out="rank_in_state")
 
 
 def q5_top5_per_state(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """Top products per state, ordered by state and rank."""
-    return q5_rows(inp, cfg).orderBy(_asc("state"), _asc("rank_in_state"))
+    return q5_rows(inp, cfg).orderBy(asc_nl("state"), asc_nl("rank_in_state"))
 
 
 def q5_sample_states(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """The top-products report for the configured sample states."""
     return (q5_rows(inp, cfg).filter(F.col("state").isin(list(cfg.sample_states)))
-            .orderBy(_asc("state"), _asc("rank_in_state")))
+            .orderBy(asc_nl("state"), asc_nl("rank_in_state")))
 
 
 def q6_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -195,12 +188,12 @@ def q6_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 def q6_quarter_rolling(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """Quarterly cases with rolling mean and series value, by quarter."""
-    return q6_rows(inp, cfg).orderBy(_asc("quarter"))
+    return q6_rows(inp, cfg).orderBy(asc_nl("quarter"))
 
 
 def q6_last12(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 12) -> DataFrame:
     """The last 12 quarters of the quarterly report."""
-    return q6_rows(inp, cfg).orderBy(_desc("quarter")).limit(k).orderBy(_asc("quarter"))
+    return q6_rows(inp, cfg).orderBy(desc_nl("quarter")).limit(k).orderBy(asc_nl("quarter"))
 
 
 def q7_national_trend(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 24) -> DataFrame:
@@ -214,7 +207,7 @@ def q7_national_trend(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 2
                           pct_out="yoy_pct", scale=1)
     return (out.select("month", "complaints", "prev_month", "same_month_last_year",
                        "mom_pct", "yoy_pct")
-            .orderBy(_desc("month")).limit(k))
+            .orderBy(desc_nl("month")).limit(k))
 
 
 # Q8-Q10 -----------------------------------------------------------------------
@@ -231,14 +224,14 @@ def q8_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 def q8_zscore_band(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """The z-score report ordered by z."""
-    return q8_rows(inp, cfg).orderBy(_desc("z_score"), _asc("state"))
+    return q8_rows(inp, cfg).orderBy(desc_nl("z_score"), asc_nl("state"))
 
 
 def q8b_band_counts(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """Number of states per risk band."""
     return (q8_rows(inp, cfg).filter(F.col("risk_level").isNotNull())
             .groupBy("risk_level").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(_desc("count"), _asc("risk_level")))
+            .orderBy(desc_nl("count"), asc_nl("risk_level")))
 
 
 def q9_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -253,14 +246,14 @@ def q9_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 def q9_rolling_90(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """The 90-row running totals, by state and newest day first."""
-    return q9_rows(inp, cfg).orderBy(_asc("state"), _desc("complaint_date"))
+    return q9_rows(inp, cfg).orderBy(asc_nl("state"), desc_nl("complaint_date"))
 
 
 def q9b_latest_top15(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15) -> DataFrame:
     """Each state's latest running total; the k highest."""
     latest = M.latest_per_group(q9_rows(inp, cfg), ["state"], "complaint_date")
     return (latest.select("state", "complaint_date", "rolling_90d_total")
-            .orderBy(_desc("rolling_90d_total"), _asc("state")).limit(k))
+            .orderBy(desc_nl("rolling_90d_total"), asc_nl("state")).limit(k))
 
 
 def q10_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -277,7 +270,7 @@ def q10_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 def q10_trend_class(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """The trend report ordered by growth."""
-    return q10_rows(inp, cfg).orderBy(_desc("growth_vs_3mo_ago_pct"), _asc("state"))
+    return q10_rows(inp, cfg).orderBy(desc_nl("growth_vs_3mo_ago_pct"), asc_nl("state"))
 
 
 def q10_top20(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 20) -> DataFrame:
@@ -291,7 +284,7 @@ def q10b_accelerating(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFra
     # The filtered frame has at most one row per state.
     return (acc.select("state", "growth_vs_3mo_ago_pct",
                        F.count(F.lit(1)).over(Window.partitionBy()).alias("accelerating_states"))
-            .orderBy(_desc("growth_vs_3mo_ago_pct"), _asc("state")))
+            .orderBy(desc_nl("growth_vs_3mo_ago_pct"), asc_nl("state")))
 
 
 # Exports E1, E2, K1-K4 -------------------------------------------------------
@@ -303,7 +296,7 @@ def e1_month_with_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFr
     # Left join: months of quarters without a rate keep a NULL rate.
     return (M.attach_series(counts, "period", inp.series, how="left",
                             series_bound=inp.series_bound)
-            .orderBy(_asc("period"))
+            .orderBy(asc_nl("period"))
             .select(F.date_format("period", "yyyy-MM-dd").alias("period"),
                     "complaints", "delinquency_rate"))
 
@@ -316,7 +309,7 @@ def k1_state_risk_summary(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> Dat
     return (M.zscore(shared, "total_complaints", z_out="z_score", scale=2,
                      band_out="risk_level", band_on="raw", cuts=S.RISK_CUTS,
                      labels=S.RISK_LABELS, default=S.RISK_DEFAULT)
-            .orderBy(_desc("z_score"), _asc("state")))
+            .orderBy(desc_nl("z_score"), asc_nl("state")))
 
 
 def k2_state_month(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -324,7 +317,7 @@ def k2_state_month(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     return (M.period_counts(_base(inp, cfg, cfg.monthly_since),
                             ["state", month_of("date_received").alias("month")],
                             {"complaints": "n"})
-            .orderBy(_asc("state"), _asc("month")))
+            .orderBy(asc_nl("state"), asc_nl("month")))
 
 
 def k3_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -337,7 +330,7 @@ def k3_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 
 def k3_product_state_relief(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """The product x state report, most cases first."""
-    return k3_rows(inp, cfg).orderBy(_desc("complaints"), _asc("product"), _asc("state"))
+    return k3_rows(inp, cfg).orderBy(desc_nl("complaints"), asc_nl("product"), asc_nl("state"))
 
 
 def k4_quarter_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -346,7 +339,7 @@ def k4_quarter_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame
                              [quarter_of("date_received").alias("quarter")], {"complaints": "n"})
     return (M.attach_series(counts, "quarter", inp.series, how="inner",
                             series_bound=inp.series_bound)
-            .select("quarter", "complaints", "delinquency_rate").orderBy(_asc("quarter")))
+            .select("quarter", "complaints", "delinquency_rate").orderBy(asc_nl("quarter")))
 
 
 def e2_merge_categories(product_state: DataFrame, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -358,13 +351,13 @@ def e2_merge_categories(product_state: DataFrame, cfg: ReportConfig = DEFAULT) -
     return (M.unify_categories(product_state, "product", cfg.merge_map,
                                ["product", "state"],
                                {"complaints": "sum", "relief_rate": "mean"})
-            .orderBy(_asc("product"), _asc("state")))
+            .orderBy(asc_nl("product"), asc_nl("state")))
 
 
 def e2_product_ranking(merged: DataFrame, k: int = 10) -> DataFrame:
     """Total cases per merged product; the k largest."""
     return (merged.groupBy("product").agg(F.sum("complaints").alias("complaints"))
-            .orderBy(_desc("complaints"), _asc("product")).limit(k))
+            .orderBy(desc_nl("complaints"), asc_nl("product")).limit(k))
 
 
 REPORTS = {

@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import pandas as pd
 import pytest
@@ -22,6 +24,7 @@ def test_round_matches_duckdb_on_many_ratios(spark):
     rnd = random.Random(7)
     vals = ROUND_CASES + [rnd.randint(0, 9999) * 100.0 / rnd.randint(1, 9999) for _ in range(20000)]
     vals += [rnd.uniform(-50, 50) for _ in range(20000)]
+    vals += [-0.004, -0.04, -0.4, -0.0049, 0.004, 0.0, -0.5, -0.05, -0.005]   # signs of zero
     pdf = pd.DataFrame({"i": range(len(vals)), "x": vals})
     con = duckdb.connect()
     con.register("t", pdf)
@@ -29,7 +32,9 @@ def test_round_matches_duckdb_on_many_ratios(spark):
     sp = (spark.createDataFrame(pdf)
           .select("i", *[round_half_away("x", n).alias(f"r{n}") for n in (0, 1, 2)])
           .orderBy("i").collect())
-    assert [tuple(r)[1:] for r in sp] == [tuple(r) for r in dd]
+    def signed(row):                      # -0.0 and 0.0 compare equal: keep the sign too
+        return tuple((v, math.copysign(1.0, v)) for v in row)
+    assert [signed(tuple(r)[1:]) for r in sp] == [signed(tuple(r)) for r in dd]
 
 
 def test_safe_div_and_pct(spark):
