@@ -57,9 +57,13 @@ def raw_schema(columns: list[str]) -> T.StructType:
 
 def read_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
              multiline: bool = True) -> DataFrame:
-    """All-string read; malformed records (wrong field count) keep their text in ``_corrupt_record``."""
+    """All-string read; malformed records (wrong field count) keep their text in
+    ``_corrupt_record``. Every file's header is checked against ``columns``
+    (``enforceSchema=false``): a file whose columns are reordered or renamed
+    fails the load instead of being read into the wrong columns."""
     columns = columns or header_columns(spark, path, multiline)
     return (_csv_reader(spark, multiline).schema(raw_schema(columns))
+            .option("enforceSchema", False)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .csv(path))
 

@@ -15,10 +15,24 @@ up to the same totals (compaction is an optional rewrite).
 
 Run with ``trigger(availableNow=True)`` for scheduled catch-up jobs, or with a
 processing-time trigger for a continuously running stream.
+
+Operating rules (they are the file source's contract):
+
+* Land each extract file atomically: write it elsewhere, then move it into
+  the landing folder. A file is listed once; one still being copied would be
+  read partially, and a file rewritten under the same name is not read again.
+* The checkpoint is the record of what was ingested. Keep it with the output
+  folders; a new checkpoint re-reads every landed file. Output sub-folders
+  carry a run id derived from the checkpoint path, so a new checkpoint never
+  overwrites an older run's batches (point it at new output folders).
+* Every file's header is checked against the expected columns: a file with
+  reordered or renamed columns fails the stream instead of being misread.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,12 +46,12 @@ BATCH_COLUMN = "ingest_batch"
 
 
 def _batch_writer(cases_path: str, daily_path: str, quarantine_path: str,
-                  relief_response: str, date_format: str):
+                  relief_response: str, date_format: str, run_id: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        # Each epoch owns the folder ingest_batch=<id> of every sink and
-        # overwrites it: a batch replayed after a failure replaces its own
+        # Each epoch owns the folder ingest_batch=<run>-<epoch> of every sink
+        # and overwrites it: a batch replayed after a failure replaces its own
         # output instead of appending a second copy.
-        sub = f"{BATCH_COLUMN}={epoch_id}"
+        sub = f"{BATCH_COLUMN}={run_id}-{epoch_id:06d}"
         rows = C.typed(batch, date_format).persist()  # read once by three sinks
         try:
             good, bad = C.split(rows)
@@ -58,7 +72,7 @@ def start_ingest(spark: SparkSession, landing_dir: str, columns: list[str] | Non
                  checkpoint_path: str, relief_response: str = S.RELIEF_RESPONSE,
                  date_format: str = "yyyy-MM-dd", multiline: bool = True,
                  available_now: bool = True, max_files_per_trigger: int | None = None,
-                 ) -> StreamingQuery:
+                 max_file_age: str | None = None) -> StreamingQuery:
     """Start the stream. ``columns``: the extract's header (string columns);
     by default read from a file already in ``landing_dir``.
 
@@ -69,14 +83,17 @@ def start_ingest(spark: SparkSession, landing_dir: str, columns: list[str] | Non
     columns = columns or C.header_columns(spark, landing_dir, multiline)
     reader = (spark.readStream.schema(C.raw_schema(columns))
               .option("header", True).option("multiLine", multiline)
-              .option("escape", '"').option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", C.CORRUPT))
+              .option("escape", '"').option("enforceSchema", False)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", C.CORRUPT))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_file_age:       # e.g. "3650d" when old extracts may still be landed
+        reader = reader.option("maxFileAge", max_file_age)
+    run_id = hashlib.sha1(checkpoint_path.rstrip("/").encode()).hexdigest()[:8]
     stream = reader.csv(landing_dir)
     writer = (stream.writeStream
               .foreachBatch(_batch_writer(cases_path, daily_path, quarantine_path,
-                                          relief_response, date_format))
+                                          relief_response, date_format, run_id))
               .option("checkpointLocation", checkpoint_path))
     writer = (writer.trigger(availableNow=True) if available_now
               else writer.trigger(processingTime="1 minute"))

@@ -154,3 +154,14 @@ def test_headers_with_the_same_snake_case_name(spark, tmpdir_path):
     good, _ = C.read_complaints(spark, p, tmpdir_path + "/landed")
     assert good.columns == ["state", "zip_code", "zip_code_2"]
     assert [tuple(r) for r in good.collect()] == [("TX", "1", "2")]
+
+
+def test_file_with_reordered_header_fails_loudly(spark, tmpdir_path):
+    os.makedirs(tmpdir_path + "/x")
+    with open(tmpdir_path + "/x/a.csv", "w") as f:
+        f.write("State,Product\nTX,Card\n")
+    with open(tmpdir_path + "/x/b.csv", "w") as f:
+        f.write("Product,State\nLoan,CA\n")            # same columns, other order
+    with pytest.raises(Exception):
+        C.read_complaints(spark, tmpdir_path + "/x", tmpdir_path + "/landed",
+                          multiline=True)

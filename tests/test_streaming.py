@@ -51,3 +51,12 @@ def test_incremental_ingest_exactly_once(spark, tmpdir_path):
     assert (t3.n, t3.n_relief, t3.n_timely, batches3) == (6, 3, 3, 2)
     cases = spark.read.parquet(f"{base}/cases")
     assert cases.count() == 6 and os.path.isdir(f"{base}/bad")
+
+    # A new checkpoint re-reads every landed file, into new batch folders:
+    # the earlier run's output is never overwritten.
+    q = start_ingest(spark, f"{landing}/*", columns, cases_path=f"{base}/cases",
+                     daily_path=f"{base}/daily", quarantine_path=f"{base}/bad",
+                     checkpoint_path=f"{base}/_ckpt_new")
+    q.awaitTermination()
+    t4, batches4 = _totals(spark, base)
+    assert t4.n == 12 and batches4 > batches3
