@@ -133,9 +133,17 @@ def q3_rate_per_100k(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15
     return q3_rates(inp, cfg).orderBy(desc_nl("complaints_per_100k"), asc_nl("state")).limit(k)
 
 
-def q3_unmatched_keys(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
-    """Whitelisted states with cases but no population row (dropped by Q3's join)."""
-    keys = _base(inp, cfg, cfg.baseline_since).select("state")
+def q3_unmatched_keys(inp: ReportInputs, cfg: ReportConfig = DEFAULT,
+                      whitelist: bool = True) -> DataFrame:
+    """States with cases since the baseline floor but no population row.
+
+    ``whitelist=True``: whitelisted states only (the dimension's gaps, e.g. MO
+    and WI). ``whitelist=False``: every non-NULL state Q3's inner join drops,
+    territories included (Q3 itself has no whitelist).
+    """
+    keys = _base(inp, cfg, cfg.baseline_since, whitelist=whitelist).select("state")
+    if not whitelist:
+        keys = keys.filter(F.col("state").isNotNull())
     return unmatched_keys(keys, inp.population, "state")
 
 

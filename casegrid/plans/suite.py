@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.config import DEFAULT, ReportConfig
-from casegrid.operators.joins import probe_rows
+from casegrid.operators.joins import assert_unique_key, probe_rows
 from casegrid.plans import reports as R
 from casegrid.plans.catalog import (read_case_table, register_files, replace_table,
                                     write_case_table)
@@ -117,7 +117,8 @@ def run(spark: SparkSession, csv_path: str, series_path: str, work_dir: str, out
     if population is None:
         population, bound = population_table(spark), len(S.POPULATION_STATES)
     else:
-        bound = None
+        # One row per state, or Q3's join would repeat states.
+        bound = probe_rows(assert_unique_key(population, "state"))
     population = replace_table(population, f"{table}_population", f"{work_dir}/population")
     inputs = R.ReportInputs(cases=daily, population=population, series=series,
                             population_bound=bound, series_bound=probe_rows(series))

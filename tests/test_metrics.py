@@ -300,3 +300,11 @@ def test_q4_counts_all_states_including_null_and_territories(spark):
     q1 = R.q1_state_share(R.ReportInputs(cases=cases(spark, rows)),
                           DEFAULT.with_(baseline_since="2022-01-01")).collect()
     assert [(r.state, r.total_complaints) for r in q1] == [("TX", 1)]
+
+
+def test_unmatched_keys_with_and_without_whitelist(spark):
+    rows = [(D(2023, 2, 1), s, "P", None, True) for s in ["TX", "MO", "AP", None]]
+    inp = R.ReportInputs(cases=cases(spark, rows), population=population_table(spark))
+    assert [r.state for r in R.q3_unmatched_keys(inp).collect()] == ["MO"]
+    got = sorted(r.state for r in R.q3_unmatched_keys(inp, whitelist=False).collect())
+    assert got == ["AP", "MO"]
