@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from casegrid.llm.common import table
+from casegrid.llm.decontaminate import contamination
 from casegrid.llm.near_dup import near_duplicates
 
 
@@ -15,6 +16,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP7_SQL = rf"""
@@ -42,10 +47,34 @@ SELECT c.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.doc_id = c.co
 FROM comp c LEFT JOIN sizes s ON s.doc_id = c.doc_id
 """
 
+OP10_SQL = rf"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, array_to_string(w[s + 1 : s + least(len(w), 10)], ' ') AS phrase, least(len(w), 10) AS m
+  FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), spans AS (
+  SELECT doc_id, m, s, array_to_string(w[s + 1 : s + m], ' ') AS phrase
+  FROM (SELECT doc_id, w, m, unnest(range(0, len(w) - m + 1)) AS s FROM docs, (SELECT DISTINCT m FROM wins) WHERE len(w) >= m)
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, s, m FROM spans JOIN wins USING (phrase, m)
+), cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+       sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_near_dedup": op7_near_dedup}
+    return {"op7_near_dedup": op7_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": OP7_SQL}
+    return {"op7_near_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
