@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from casegrid.llm.common import table
 from casegrid.llm.decontaminate import contamination
 from casegrid.llm.near_dup import near_duplicates
+from casegrid.llm.secrets import scan
 from casegrid.llm.toxicity import toxicity
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -79,7 +84,7 @@ FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_toxicity": op5_toxicity, "op7_near_dedup": op7_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op7_near_dedup": op7_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def llm_oracle_sql() -> dict[str, str]:
