@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casegrid.llm.common import table
 from casegrid.llm.decontaminate import contamination
+from casegrid.llm.fingerprints import fingerprint_edits
 from casegrid.llm.near_dup import near_duplicates
 from casegrid.llm.secrets import scan
 from casegrid.llm.toxicity import toxicity
@@ -22,6 +23,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -84,7 +89,7 @@ FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op7_near_dedup": op7_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def llm_oracle_sql() -> dict[str, str]:
