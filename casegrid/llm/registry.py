@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegrid.llm.common import table
+from casegrid.llm import token_files
+from casegrid.llm.common import public_tokenizer, scratch_path, table
 from casegrid.llm.decontaminate import contamination
 from casegrid.llm.fingerprints import fingerprint_edits
 from casegrid.llm.near_dup import near_duplicates
@@ -32,6 +33,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizer("byte_bpe_50k.json"))
+    return token_files.read(spark, path)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -89,7 +96,7 @@ FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op8_token_files": op8_token_files, "op10_decontaminate": op10_decontaminate}
 
 
 def llm_oracle_sql() -> dict[str, str]:
