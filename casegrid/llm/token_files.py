@@ -68,6 +68,20 @@ def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out & MASKS[width - 1]
 
 
+class _Places(dict):
+    """piece -> its place in the encoder's table; an unseen piece gets the next one."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead, self.new = encoder, lead, []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = self.encoder.size
+        self.encoder.size += 1
+        self.new.append(piece)
+        return place
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, through one tokenizer file."""
 
@@ -76,32 +90,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        top = max(vocabulary.values())
+        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.spaced = np.zeros(top + 1, bool)           # ids of tokens that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.size = 0
+        self.places = [_Places(self, ""), _Places(self, " ")]
+        self.ids = np.zeros(1 << 20, self.dtype)
+        self.used = 0
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [np.array(e.ids, self.dtype) for e in found]
+
+    def _encode_spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of them per word) of words that each follow a space."""
+        ids = self._encode([" " + " ".join(words)])[0]
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(words):
+            return ids, np.diff(np.append(starts, len(ids)))
+        each = self._encode([" " + w for w in words])
+        return np.concatenate(each), np.array([len(e) for e in each])
+
+    def _learn(self) -> None:
+        """Encode the pieces seen first since the last call. Pieces that aren't apart from
+        their neighbours (empty, or with white space at an edge) get the count -1."""
+        if self.size > len(self.begin):
+            more = np.zeros(2 * self.size - len(self.begin), np.int64)
+            self.begin, self.count = np.concatenate((self.begin, more)), np.concatenate((self.count, more))
+        for places in self.places:
+            new, places.new = places.new, []
+            apart = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+            if len(apart) < len(new):
+                self.count[[places[p] for p in set(new).difference(apart)]] = -1
+            for i in range(0, len(apart), 4096):
+                part = apart[i:i + 4096]
+                if places.lead:
+                    ids, n = self._encode_spaced(part)
+                else:
+                    each = self._encode(part)
+                    ids, n = np.concatenate(each), np.array([len(e) for e in each])
+                if self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), self.dtype)))
+                self.ids[self.used:self.used + len(ids)] = ids
+                at = np.fromiter(map(places.__getitem__, part), np.int64, len(part))
+                self.begin[at], self.count[at] = self.used + np.cumsum(n) - n, n
+                self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = []
+        if self.size > CACHE:
+            self._forget()
+        first, rest = (p.__getitem__ for p in self.places)
+        places, n = [], []
         for t in texts:
-            first, *rest = t.split(" ")
-            pieces.append([first, *[" " + r for r in rest]])
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = set().union(*pieces).difference(self.cache)
-        # A piece that is empty, or has white space at an edge besides its own space, isn't apart from its neighbours.
-        apart = [p for p in new if (b := p[1:] if p[0:1] == " " else p) and not b[0].isspace() and not b[-1].isspace()]
-        self.cache.update(dict.fromkeys(new))
-        self.cache.update(zip(apart, self._encode(apart), strict=True))
-        out: list[bytes] = []
-        get = self.cache.__getitem__
-        for t, p in zip(texts, pieces, strict=True):
-            try:
-                out.append(b"".join(map(get, p)))
-            except TypeError:                           # a None among them
-                out += self._encode([t])
+            head, *tail = t.split(" ")
+            places.append(first(head))
+            places.extend(map(rest, tail))
+            n.append(1 + len(tail))
+        self._learn()
+        at = np.array(places, np.int64)
+        count, begin = self.count[at], self.begin[at]
+        starts = np.cumsum(n) - n
+        whole = np.minimum.reduceat(count, starts) < 0
+        count = np.maximum(count, 0)
+        total = np.cumsum(count)
+        ids = self.ids[np.arange(int(total[-1])) + np.repeat(begin - total + count, count)]
+        ends = total[starts + n - 1]
+        out = [ids[s:e].tobytes() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        odd = np.flatnonzero(whole).tolist()
+        for i, e in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
+            out[i] = e.tobytes()
         return out
 
 
