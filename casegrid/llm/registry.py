@@ -10,11 +10,16 @@ from casegrid.llm import token_files
 from casegrid.llm.common import public_tokenizer, scratch_path, table
 from casegrid.llm.decontaminate import contamination
 from casegrid.llm.fingerprints import fingerprint_edits
+from casegrid.llm.html_text import extract
 from casegrid.llm.near_dup import near_duplicates
 from casegrid.llm.secrets import scan
 from casegrid.llm.toxicity import toxicity
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -96,7 +101,7 @@ FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op8_token_files": op8_token_files, "op10_decontaminate": op10_decontaminate}
+    return {"op2_html_text": op2_html_text, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op8_token_files": op8_token_files, "op10_decontaminate": op10_decontaminate}
 
 
 def llm_oracle_sql() -> dict[str, str]:
