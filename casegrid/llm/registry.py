@@ -12,7 +12,9 @@ from casegrid.llm.decontaminate import contamination
 from casegrid.llm.fingerprints import fingerprint_edits
 from casegrid.llm.html_text import extract
 from casegrid.llm.near_dup import near_duplicates
+from casegrid.llm.packing import pack
 from casegrid.llm.secrets import scan
+from casegrid.llm.sharding import placements
 from casegrid.llm.toxicity import toxicity
 
 
@@ -20,6 +22,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placements(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -101,7 +111,7 @@ FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_html_text": op2_html_text, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op8_token_files": op8_token_files, "op10_decontaminate": op10_decontaminate}
+    return {"op2_html_text": op2_html_text, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op8_token_files": op8_token_files, "op9_sharding": op9_sharding, "op10_decontaminate": op10_decontaminate}
 
 
 def llm_oracle_sql() -> dict[str, str]:
