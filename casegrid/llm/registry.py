@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegrid.llm import token_files
+from casegrid.llm import licences, token_files
 from casegrid.llm.common import public_tokenizer, scratch_path, table
 from casegrid.llm.decontaminate import contamination
 from casegrid.llm.fingerprints import fingerprint_edits
@@ -18,6 +18,10 @@ from casegrid.llm.sharding import placements
 from casegrid.llm.toxicity import toxicity
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -111,7 +115,7 @@ FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_html_text": op2_html_text, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op8_token_files": op8_token_files, "op9_sharding": op9_sharding, "op10_decontaminate": op10_decontaminate}
+    return {"op1_licences": op1_licences, "op2_html_text": op2_html_text, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_near_dedup": op7_near_dedup, "op8_token_files": op8_token_files, "op9_sharding": op9_sharding, "op10_decontaminate": op10_decontaminate}
 
 
 def llm_oracle_sql() -> dict[str, str]:
