@@ -15,7 +15,8 @@ classes. Links are found in two steps that never expand a bucket to all pairs:
 2. rest: buckets whose members the star links left in different components are
    cut into blocks of bounded size; each pair of blocks is one group, in which
    pairs of different components are tested, best first, until every pair is
-   linked, connected or refuted. Only confirmed links leave the group.
+   linked, connected or refuted. Groups are streamed through vectorised steps; only
+   confirmed links leave them.
 
 A pair at the threshold itself shares no band with probability 9e-7; nothing else
 is lost: no bucket, group or partner count is capped.
@@ -45,7 +46,9 @@ BASE, RATE, TOP = 1.2, 20.0, 255
 #: Log-likelihood by which the threshold may fall short of the best estimate (6 standard errors).
 SLACK = 18.0
 #: Members and shingles of a block in the second step.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
+#: Pairs that one vectorised step looks at.
+PAIRS = 1 << 18
 
 _U = np.uint64
 
@@ -133,9 +136,12 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame, *more: str) -> DataFrame:
+    """A row per class and band; ``short`` is the first half of the class's digest, on which
+    Spark aggregates by hash."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    return (classes.select("class", "n_shingles", "regs", *more, band.alias("band"))
-            .select("class", "n_shingles", *more, "band",
+    short = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")
+    return (classes.select("class", short.alias("short"), "n_shingles", "regs", *more, band.alias("band"))
+            .select("class", "short", "n_shingles", *more, "band",
                     F.xxhash64("band", F.expr(f"substring(regs, band * {ROWS} + 1, {ROWS})")).alias("bucket")))
 
 
@@ -150,10 +156,11 @@ def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFra
 def _star_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between each bucket's least class and its other members."""
     bands = _bands(classes)
-    leaders = (bands.groupBy("bucket").agg(F.min("class").alias("lead"), F.max("class").alias("last"))
+    leaders = (bands.groupBy("bucket").agg(F.min("short").alias("lead"), F.max("short").alias("last"))
                .where("lead < last").select("bucket", "lead"))
-    pairs = (bands.join(leaders, "bucket").where("class > lead")
-             .select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct())
+    pairs = (bands.join(leaders, "bucket").where("short > lead").select("lead", F.col("class").alias("b")).distinct())
+    named = _bands(classes).where("band = 0").select(F.col("short").alias("lead"), F.col("class").alias("a"))
+    pairs = pairs.join(named, "lead").select("a", "b")
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
     pairs = (pairs.join(side("a"), "a").join(side("b"), "b")
              .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
@@ -185,58 +192,79 @@ def _star_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     return written(likely_pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(confirm, "a binary, b binary"), "star-links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(class, root): the least class that the links (a, b) reach, for every class in a link.
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(class, root) for every class in a link (a, b): the least class that links reach.
 
-    Each round takes the least root among a class's neighbours and then the root's own
-    root; a round that changes nothing ends it. Each round's table is written."""
+    Each round takes the least root among a class and its neighbours and then that root's
+    own root, and is written; a round that changes nothing ends it. With ``rounds``, only
+    so many are made: classes of one root are then connected, but not the reverse."""
     edges = written(links.union(links.select("b", "a")).where("a != b").distinct(), "edges")
-    roots = written(edges.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("m"))
-                    .select("class", F.least("class", "m").alias("root")), "roots")
-    while True:
-        near = (edges.join(roots.select(F.col("class").alias("b"), "root"), "b")
-                .groupBy(F.col("a").alias("class")).agg(F.min("root").alias("near")))
-        step = roots.join(near, "class").select("class", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
+    roots = edges.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("m")).select("class", F.least("class", "m").alias("root"))
+    roots = written(roots, "roots")
+    while rounds is None or rounds > 0:
+        own = roots.select("class", "root", F.col("root").alias("was"))
+        near = edges.join(roots.select(F.col("class").alias("b"), "root"), "b").select(F.col("a").alias("class"), "root", F.lit(None).cast("binary").alias("was"))
+        step = own.union(near).groupBy("class").agg(F.min("root").alias("mid"), F.max("was").alias("was"))
         jump = roots.select(F.col("class").alias("mid"), F.col("root").alias("far"))
-        new = written(step.join(jump, "mid", "left")
-                      .select("class", "was", F.coalesce(F.least("mid", "far"), "mid").alias("root")), "roots")
-        changed = new.where("was != root").limit(1).count()
+        new = written(step.join(jump, "mid", "left").select("class", F.coalesce("far", "mid").alias("root"), "was"), "roots")
         roots = new.select("class", "root")
-        if not changed:
-            return roots
+        if rounds is None and new.where("was != root").isEmpty():
+            break
+        rounds = rounds and rounds - 1
+    return roots
 
 
-def _pairs_to_test(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i from the first block, j from the second) that collide first in
-    this band, lie in different components and may reach the threshold."""
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by ``keys``, cut between groups; a group is bounded by its blocks."""
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+        last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(pdf) if not last.any() else int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+        held = pdf.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def _pairs_to_test(pdf: pd.DataFrame, keys: list[str], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs (i, j) of whole groups, with the number of equal registers: rows of
+    different components and of the group's two blocks that collide first in the group's
+    band and may reach the threshold."""
     regs = np.frombuffer(b"".join(pdf["regs"]), np.uint8).reshape(-1, REGISTERS)
-    band, n = int(pdf["band"].iloc[0]), pdf["n_shingles"].to_numpy()
+    band, n = pdf["band"].to_numpy(np.int64), pdf["n_shingles"].to_numpy(np.int64)
     root = pd.factorize(pdf["root"].map(bytes))[0]
-    block = pdf["block"].to_numpy()
-    left = np.flatnonzero(block == pdf["x"].iloc[0])
-    right = np.flatnonzero(block == pdf["y"].iloc[0])
-    found_i, found_j = [], []
-    for i in left:
-        j = right[(root[right] != root[i])]
-        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
-            j = j[j > i]
-        lo, hi = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-        j = j[100 * lo >= percent * hi]
-        if not len(j):
-            continue
-        same = regs[j] == regs[i]
-        agree = same.reshape(len(j), BANDS, ROWS).all(2)
-        first = agree.argmax(1)                       # any pair here agrees in this band, unless the key's hash collides
-        ok = agree[:, band] & (first == band)
-        j = j[ok]
-        if not len(j):
-            continue
-        ok = may_reach(np.full(len(j), n[i]), n[j], (regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), percent / 100)
-        found_i.append(np.full(int(ok.sum()), i))
-        found_j.append(j[ok])
-    if not found_i:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(found_i), np.concatenate(found_j)
+    block, x, y = (pdf[k].to_numpy(np.int64) for k in ("block", "x", "y"))
+    group = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+    end = np.searchsorted(group, group, side="right")
+    partners = end - np.arange(len(group)) - 1
+    total = np.cumsum(partners)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    start = 0
+    while start < len(group):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(start, stop), partners[start:stop])
+        first = np.cumsum(partners[start:stop]) - partners[start:stop]
+        j = i + 1 + np.arange(len(i)) - np.repeat(first, partners[start:stop])
+        ok = (root[i] != root[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
+        ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = i[ok], j[ok]
+        for s in range(0, len(i), PAIRS // 8):
+            p, q = i[s:s + PAIRS // 8], j[s:s + PAIRS // 8]
+            same = regs[p] == regs[q]
+            agree = same.reshape(len(p), BANDS, ROWS).all(2)
+            ok = agree[np.arange(len(p)), band[p]] & (agree.argmax(1) == band[p])
+            p, q, same = p[ok], q[ok], same[ok].sum(1)
+            more = (regs[p] > regs[q]).sum(1)
+            ok = may_reach(n[p], n[q], more, REGISTERS - same - more, percent / 100)
+            found.append((p[ok], q[ok], same[ok]))
+        start = stop
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
@@ -254,53 +282,52 @@ def _rest_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, shingle:
     """Confirmed links between components that share a bucket."""
     labelled = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     bands = _bands(labelled, "root")
-    open_buckets = (bands.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                    .where("lo < hi").select("band", "bucket"))
-    rows = bands.join(open_buckets, ["band", "bucket"])
-    rows = written(rows, "open-rows")
-    if rows.isEmpty():
-        return rows.select(F.col("class").alias("a"), F.col("class").alias("b"))
+    mark = F.xxhash64("root")
+    open_buckets = bands.groupBy("bucket").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo < hi").select("bucket")
+    rows = written(bands.join(open_buckets, "bucket").drop("short"), "open-rows")
     keys = ["band", "bucket", "x", "y"]
-    regs = classes.select("class", "regs")
 
-    def hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = _pairs_to_test(pdf, percent)
-        return pdf.iloc[np.unique(np.concatenate((i, j)))][["band", "bucket", "class", "n_shingles", "root"]]
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys)
 
-    some = written(_blocked(rows).join(regs, "class").groupBy(*keys)
-                   .applyInPandas(hopeful, "band int, bucket long, class binary, n_shingles long, root binary")
-                   .distinct(), "hopeful")
+    def hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches, keys):
+            i, j, _ = _pairs_to_test(pdf, keys, percent)
+            yield pdf.iloc[np.unique(np.concatenate((i, j)))][["band", "bucket", "class", "n_shingles", "root"]]
+
+    regs = classes.select("class", "regs")
+    some = written(grouped(_blocked(rows).join(regs, "class"))
+                   .mapInPandas(hopeful, "band int, bucket long, class binary, n_shingles long, root binary").distinct(), "hopeful")
     texts = written(_texts_of(docs, classes, some).join(regs, "class"), "hopeful-texts")
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = _pairs_to_test(pdf, percent)
-        if not len(i):
-            return pd.DataFrame({"a": [], "b": []})
-        texts_ = utf8(pdf["text"])
-        sets: list[np.ndarray] = []
-        for s, e in chunks(texts_):
-            h, n = distinct_shingles(texts_[s:e], shingle)
-            sets += np.split(h, np.cumsum(n)[:-1])
-        regs_ = np.frombuffer(b"".join(pdf["regs"]), np.uint8).reshape(-1, REGISTERS)
-        order = np.argsort(-np.array([(regs_[x] == regs_[y]).sum() for x, y in zip(i, j, strict=True)]), kind="stable")
-        root = pd.factorize(pdf["root"].map(bytes))[0]
-        up = list(range(root.max() + 1))
-
-        def top(c: int) -> int:
-            while up[c] != c:
-                up[c] = up[up[c]]
-                c = up[c]
-            return c
-
-        cls, out = pdf["class"].to_list(), []
-        for x, y in zip(i[order], j[order], strict=True):
-            p, q = top(root[x]), top(root[y])
-            if p != q and _alike(sets[x], sets[y], percent):
-                up[p] = q
-                out.append((cls[x], cls[y]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return written(_blocked(some).join(texts, "class").groupBy(*keys).applyInPandas(confirm, "a binary, b binary"), "rest-links")
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches, keys):
+            i, j, same = _pairs_to_test(pdf, keys, percent)
+            used = np.unique(np.concatenate((i, j)))
+            raw = utf8(pdf["text"].iloc[used])
+            sets: dict[int, np.ndarray] = {}
+            for s, e in chunks(raw):
+                h, n = distinct_shingles(raw[s:e], shingle)
+                sets.update(zip(used[s:e].tolist(), np.split(h, np.cumsum(n)[:-1]), strict=True))
+            root = pd.factorize(pdf["root"].map(bytes))[0].tolist()
+            up = list(range(max(root, default=0) + 1))
+
+            def top(c: int, up: list[int] = up) -> int:
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            cls, out = pdf["class"].to_list(), []
+            order = np.argsort(-same, kind="stable")
+            for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                a, b = top(root[p]), top(root[q])
+                if a != b and _alike(sets[p], sets[q], percent):
+                    up[a] = b
+                    out.append((cls[p], cls[q]))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return written(grouped(_blocked(some).join(texts, "class")).mapInPandas(confirm, "a binary, b binary"), "rest-links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -312,7 +339,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.max("n_shingles").alias("n_shingles"), F.min("regs").alias("regs"),
         F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least")), "classes")
     star = _star_links(docs, classes, shingle, percent)
-    rest = _rest_links(docs, classes, components(star), shingle, percent)
+    rest = _rest_links(docs, classes, components(star, rounds=2), shingle, percent)
     roots = components(star.union(rest))
     least = (classes.join(roots, "class").groupBy("root").agg(F.min("least").alias("component")))
     named = roots.join(least, "root").select("class", "component")
