@@ -26,10 +26,11 @@ def main() -> None:
     ap.add_argument("--no-multiline", action="store_true",
                     help="the extract has no quoted newlines: read it as splittable CSV")
     a = ap.parse_args()
-    b = SparkSession.builder.appName("casegrid")
+    spark = SparkSession.builder.appName("casegrid").getOrCreate()
+    given = spark.sparkContext.getConf()
     for k, v in RECOMMENDED_CONF.items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
+        if not given.contains(k):           # what the user passed stays
+            spark.conf.set(k, v)
     size_shuffle_partitions(spark, a.csv)
     print(json.dumps(run(spark, a.csv, a.series, a.work, a.out, threads=a.threads,
                          multiline=not a.no_multiline), indent=1))

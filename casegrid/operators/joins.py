@@ -1,46 +1,16 @@
-"""Join helpers with explicit size discipline.
-
-A broadcast hint overrides Spark's own size checks, so it is only given to a
-side with a *structural* row bound - e.g. a literal dimension, or an
-aggregate keyed by a bounded domain such as the quarters of a date range.
-Every other join is left to Spark: the static planner broadcasts only sides
-whose estimated size is under ``spark.sql.autoBroadcastJoinThreshold``, and
-AQE re-decides at runtime from the measured shuffle size; above both it stays
-a shuffle (sort-merge) join, with AQE splitting skewed partitions.
+"""Join helpers.
+
+No join carries a broadcast hint: the static planner broadcasts only sides whose
+estimated size is under ``spark.sql.autoBroadcastJoinThreshold``, and AQE decides
+again from the measured shuffle size. Above both a join stays a shuffle join, with
+AQE splitting skewed partitions.
 """
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
-# Rows above which a dimension is never hinted for broadcast.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_bounded(df: DataFrame, bound: int | None = None,
-                         max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``bound`` (a row bound known by construction) is
-    at most ``max_rows``; otherwise ``df`` unchanged, so Spark's size-based
-    planning (static estimate, then AQE runtime statistics) decides."""
-    if bound is not None and bound <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def probe_rows(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> int | None:
-    """Measure a row bound for a loaded dimension of unknown size.
-
-    Runs one job that stops after ``max_rows + 1`` rows; returns the count, or
-    None when the frame is larger (then it must not be broadcast).
-    """
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
 
 def assert_unique_key(df: DataFrame, *keys: str) -> DataFrame:
     """Fail fast if ``keys`` repeat (a repeated key would multiply join rows)."""

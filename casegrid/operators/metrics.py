@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrid.functions import asc_nl, band, desc_nl, pct, pct_change, round_half_away, safe_div
-from casegrid.operators.joins import broadcast_if_bounded
 
 
 def _all():
@@ -67,15 +66,14 @@ def growth_vs_lag(df: DataFrame, order: str, value: str, *, partition: Sequence[
 # C3 ----------------------------------------------------------------------
 
 def rate_per(counts: DataFrame, dim: DataFrame, key: str, value: str, base_col: str,
-             per: float = 100000.0, out: str = "rate", scale: int = 1,
-             dim_bound: int | None = None) -> DataFrame:
+             per: float = 100000.0, out: str = "rate", scale: int = 1) -> DataFrame:
     """Join a small per-key dimension and compute ``value * per / base``.
 
     Aggregate first, join after: ``counts`` has one row per key, so the join is
-    small x small; the dimension is broadcast only under a proven size bound.
+    small x small; Spark chooses the join from the measured sizes.
     Inner join: keys missing in ``dim`` drop out (see ``unmatched_keys``).
     """
-    joined = counts.join(broadcast_if_bounded(dim, bound=dim_bound), key, "inner")
+    joined = counts.join(dim, key, "inner")
     return joined.withColumn(out, round_half_away(
         safe_div(F.col(value).cast("double") * F.lit(float(per)), F.col(base_col)), scale))
 
@@ -184,7 +182,7 @@ def at_latest_period(df: DataFrame, period: str, where: Column | None = None) ->
 
 def attach_series(df: DataFrame, period: str, series: DataFrame, *, date_col: str = "date",
                   value_cols: Sequence[str] = ("delinquency_rate",), grain: str = "quarter",
-                  how: str = "left", series_bound: int | None = None) -> DataFrame:
+                  how: str = "left") -> DataFrame:
     """Attach a coarser-grained series (e.g. quarterly) to period rows.
 
     Both sides are keyed by ``trunc(., grain)``; a month row gets its quarter's
@@ -195,7 +193,6 @@ def attach_series(df: DataFrame, period: str, series: DataFrame, *, date_col: st
     key = "__k"
     right = series.select(F.trunc(F.col(date_col).cast("date"), grain).alias(key),
                           *value_cols)
-    right = broadcast_if_bounded(right, bound=series_bound)
     out = df.withColumn(key, F.trunc(F.col(period), grain))
     if how == "inner":
         cond = None

@@ -33,10 +33,8 @@ def register_files(spark: SparkSession, name: str, path: str, fmt: str = "parque
     (no data is rewritten); partition folders are discovered."""
     if not spark.catalog.tableExists(name):
         spark.catalog.createTable(name, path=path, source=fmt)
-        try:
-            spark.catalog.recoverPartitions(name)
-        except Exception:  # not partitioned, or the catalog discovers them itself
-            pass
+        if any(c.isPartition for c in spark.catalog.listColumns(name)):
+            spark.catalog.recoverPartitions(name)   # a failure here must not pass as an empty table
     return spark.table(name)
 
 
@@ -67,6 +65,25 @@ def row_count(spark: SparkSession, table_or_path: str) -> int:
     return spark.read.parquet(table_or_path).count()
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table is at ``path`` (its writer's success mark is there)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_wide_table(rows: DataFrame, path: str) -> None:
+    """Write all source columns, partitioned by received year, from where they are
+    read: wide rows (narratives included) are never shuffled."""
+    (rows.withColumn(CASE_PARTITION, F.year("date_received"))
+         .write.mode("overwrite").partitionBy(CASE_PARTITION).parquet(path))
+
+
 def write_case_table(cases: DataFrame, path: str) -> None:
     """Write typed case rows as Parquet, partitioned by received year.
 

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.config import ReportConfig
-from casegrid.functions import count_when, pct
 from casegrid.plans import reports as R
-from casegrid.plans.catalog import create_if_absent, read_case_table, replace_table, write_case_table
-from casegrid.plans.daily import DAILY_KEYS, MEASURES, daily_table, with_unit_measures
+from casegrid.plans.catalog import (create_if_absent, read_case_table, replace_table,
+                                    write_case_table, write_wide_table)
+from casegrid.plans.daily import (DAILY_KEYS, MEASURES, daily_table, read_daily,
+                                  with_unit_measures, write_daily)
 from casegrid.plans.sinks import csv_writer, overwrite_in_place, read_report_csv, write_report_csv
 from casegrid.session import scratch_path
 from casegrid.sources import complaints_csv as C
 from casegrid.sources import testdata as TD
+from casegrid.sources.dims import register
 from casegrid.sources.series import load_series, series_range, write_series_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,14 +28,11 @@ def mapped_inputs(spark: SparkSession, sf_dir: str, daily: bool = False) -> R.Re
     """Report inputs mapped from the test tables (FIXTURES.md section 2)."""
     cases = TD.case_counts(spark, sf_dir)
     if daily:
-        cases = daily_table(cases)
-    return R.ReportInputs(
-        cases=cases,
-        population=TD.population(spark, sf_dir),
-        series=TD.delinquency(spark, sf_dir),
-        population_bound=None,                 # derived: size left to AQE
-        series_bound=TD.DELINQUENCY_BOUND,     # one row per quarter of 1996-2000
-    )
+        path = scratch_path(spark, "daily")
+        write_daily(daily_table(cases), path)
+        cases = read_daily(spark, path)
+    return R.ReportInputs(cases=cases, population=TD.population(spark, sf_dir),
+                          series=TD.delinquency(spark, sf_dir))
 
 
 def _report(fn, cfg: ReportConfig = TD.TESTDATA_CONFIG, daily: bool = False) -> Query:
@@ -55,9 +54,6 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_queries() -> dict[str, Query]:
     q: dict[str, Query] = {name: _report(fn) for name, fn in R.REPORTS.items()}
-    # Trend acceleration on complete months only (the test data ends mid-month).
-    q["q10b_accelerating"] = _report(
-        R.q10b_accelerating, TD.TESTDATA_CONFIG.with_(trend_until=TD.TEST_COMPLETE_MONTHS_UNTIL))
     q["e2_merge_categories"] = _e2_merge
     q["e2_product_ranking"] = _e2_ranking
     q["daily_table"] = _daily
@@ -79,16 +75,13 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed_series(spark: SparkSession, sf_dir: str) -> str:
-    """Land the quarterly series as a CSV file, with empty rates outside 1996-2000
-    (the NULL rows the loader must drop)."""
+    """Land the quarterly series as a CSV file, with an empty rate for each quarter that
+    has shipments but no orders (the NULL rows the loader must drop)."""
     path = scratch_path(spark, "series")
-    od = F.col("o_orderdate").cast("date")
-    inside = (od >= F.lit(TD.SERIES_FROM).cast("date")) & (od <= F.lit(TD.SERIES_UNTIL).cast("date"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    allq = (orders.groupBy(F.trunc(od, "quarter").alias("date"))
-            .agg(pct(count_when(inside & (F.col("o_orderstatus") == F.lit("F"))),
-                     count_when(inside), 2).alias("value")))
-    write_series_csv(allq, path)
+    rates = TD.delinquency(spark, sf_dir)
+    shipped = (TD.case_fact(spark, sf_dir).select(F.trunc("date_received", "quarter").alias("date")).distinct())
+    write_series_csv(rates.join(shipped, "date", "full")
+                     .select("date", F.col("delinquency_rate").alias("value")), path)
     return path
 
 
@@ -101,7 +94,7 @@ def _series_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Population table created, then replaced (S3, S5); read from the catalog."""
+    """Population table created, then replaced (S3); read from the catalog."""
     path = scratch_path(spark, "population")
     name = "population_" + path.rsplit("-", 1)[-1]
     pop = TD.population(spark, sf_dir)
@@ -111,6 +104,49 @@ def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_table(pop, name, path + "-v2")
 
 
+def _view_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame queried under its name (S5): states of at least the mean population."""
+    name = "population_view_" + scratch_path(spark, "v").rsplit("-", 1)[-1]
+    register(TD.population(spark, sf_dir), name)
+    return spark.sql(f"SELECT state, population FROM {name} "
+                     f"WHERE population >= (SELECT AVG(population) FROM {name})")
+
+
+def _landed_extract(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) rows of an extract with unqueried columns, quoted newlines and
+    unparsable dates, read back through the ingest."""
+    base = scratch_path(spark, "extract")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    day = F.col("l_shipdate").cast("date")
+    rows = li.select(
+        F.when(F.day(day) == TD.BAD_DATE_DAY, F.lit("not a date")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("Date received"),
+        F.concat(F.lit('note\n"'), "l_linestatus", F.lit('"')).alias("Note"),
+        F.lit("P").alias("Product"), F.lit("S").alias("State"), F.lit("none").alias("Company response to consumer"),
+        F.when(F.col("l_linestatus") == TD.TIMELY_STATUS, F.lit("Yes")).otherwise(F.lit("No")).alias("Timely response?"),
+        F.col("l_returnflag").alias("Batch code"), F.col("l_orderkey").alias("Complaint ID"))
+    csv_writer(rows).csv(f"{base}/csv")
+    return C.read_complaints(spark, f"{base}/csv", f"{base}/landed")
+
+
+def _ingest_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of the written case table and its quarantine."""
+    good, bad = _landed_extract(spark, sf_dir)
+    base = scratch_path(spark, "counted")
+    write_wide_table(good, f"{base}/cases")
+    bad.write.parquet(f"{base}/quarantine")
+    count = lambda name: (spark.read.parquet(f"{base}/{name}")
+                          .agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
+    return count("cases").union(count("quarantine"))
+
+
+def _ingest_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that no report reads survive the ingest whole."""
+    good, _bad = _landed_extract(spark, sf_dir)
+    return good.groupBy("batch_code").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("complaint_id").cast("long")).alias("order_sum"),
+        F.count_if("timely_response").alias("n_timely"), F.countDistinct("note").alias("notes"))
+
+
 def _csv_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export K3 as CSV, read it back, merge categories, overwrite the same file."""
     cfg = TD.TESTDATA_CONFIG
@@ -135,8 +171,7 @@ def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegrid.streaming.ingest import start_ingest
 
     base = scratch_path(spark, "stream")
-    csv_writer(C.to_source_layout(TD.case_fact(spark, sf_dir)).repartition(4)) \
-        .csv(f"{base}/landing")
+    csv_writer(C.to_source_layout(TD.case_fact(spark, sf_dir))).csv(f"{base}/landing")
     columns = C.header_columns(spark, f"{base}/landing")
     q = start_ingest(spark, f"{base}/landing", columns, cases_path=f"{base}/cases",
                      daily_path=f"{base}/daily", quarantine_path=f"{base}/bad",
@@ -153,7 +188,10 @@ def ingest_queries() -> dict[str, Query]:
         "ingest_csv_roundtrip": _csv_roundtrip,
         "ingest_series": _series,
         "ingest_series_range": _series_range,
+        "ingest_row_counts": _ingest_row_counts,
+        "ingest_all_columns": _ingest_all_columns,
         "table_replace": _table_replace,
+        "view_by_name": _view_by_name,
         "csv_overwrite_in_place": _csv_overwrite,
         "q1_from_case_table": _case_table_q1,
         "stream_ingest_daily": _stream_daily,

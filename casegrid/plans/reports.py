@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrid import schema as S
@@ -33,8 +33,6 @@ class ReportInputs:
     cases: DataFrame                       # case rows or daily table, with n / n_relief / n_timely
     population: DataFrame | None = None    # (state, population)
     series: DataFrame | None = None        # (date, delinquency_rate), one row per quarter
-    population_bound: int | None = None    # structural row bound, if known
-    series_bound: int | None = None
 
 
 def _base(inp: ReportInputs, cfg: ReportConfig, floor: str, whitelist: bool = True,
@@ -123,8 +121,7 @@ def q3_rates(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """Cases per 100k residents per state (states without population drop out)."""
     counts = _state_counts_since_baseline(inp, cfg)
     return (M.rate_per(counts, inp.population, "state", "complaints", "population",
-                       per=100000.0, out="complaints_per_100k", scale=1,
-                       dim_bound=inp.population_bound)
+                       per=100000.0, out="complaints_per_100k", scale=1)
             .select("state", "complaints", "population", "complaints_per_100k"))
 
 
@@ -189,8 +186,7 @@ def q6_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     rolled = M.rolling(counts, "quarter", "complaints", cfg.rolling_quarters, fn="avg",
                        out="__avg")
     rolled = rolled.withColumn("rolling_avg", round_half_away("__avg", 0)).drop("__avg")
-    return (M.attach_series(rolled, "quarter", inp.series, how="inner",
-                            series_bound=inp.series_bound)
+    return (M.attach_series(rolled, "quarter", inp.series, how="inner")
             .select("quarter", "complaints", "rolling_avg", "delinquency_rate"))
 
 
@@ -260,7 +256,7 @@ def q9_rolling_90(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
 def q9b_latest_top15(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 15) -> DataFrame:
     """Each state's latest running total; the k highest."""
     latest = M.latest_per_group(q9_rows(inp, cfg), ["state"], "complaint_date")
-    return (latest.select("state", "complaint_date", "rolling_90d_total")
+    return (latest.select("state", "rolling_90d_total")
             .orderBy(desc_nl("rolling_90d_total"), asc_nl("state")).limit(k))
 
 
@@ -287,14 +283,22 @@ def q10_top20(inp: ReportInputs, cfg: ReportConfig = DEFAULT, k: int = 20) -> Da
 
 
 def q10b_accelerating(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
-    """States classed 'Accelerating', with their number."""
+    """States classed 'Accelerating' with their growth."""
     acc = q10_rows(inp, cfg).filter(F.col("trend") == F.lit(S.TREND_ACCELERATING))
-    # The filtered frame has at most one row per state.
-    return (acc.select("state", "growth_vs_3mo_ago_pct",
-                       F.count(F.lit(1)).over(Window.partitionBy()).alias("accelerating_states"))
+    return (acc.select("state", "growth_vs_3mo_ago_pct")
             .orderBy(desc_nl("growth_vs_3mo_ago_pct"), asc_nl("state")))
 
 
+def q10c_trend_counts(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Number of states per trend class, zero included (the published count of
+    accelerating states is printed even when no state is left)."""
+    labels = (S.TREND_ACCELERATING, S.TREND_DECELERATING, S.TREND_MIXED)
+    per_class = F.array(*[F.struct(F.lit(x).alias("trend"),
+                                   F.count_if(F.col("trend") == F.lit(x)).alias("states"))
+                          for x in labels])
+    return q10_rows(inp, cfg).agg(per_class.alias("c")).selectExpr("inline(c)").orderBy("trend")
+
+
 # Exports E1, E2, K1-K4 -------------------------------------------------------
 
 def e1_month_with_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -302,8 +306,7 @@ def e1_month_with_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFr
     counts = M.period_counts(_base(inp, cfg, cfg.history_since),
                              [month_of("date_received").alias("period")], {"complaints": "n"})
     # Left join: months of quarters without a rate keep a NULL rate.
-    return (M.attach_series(counts, "period", inp.series, how="left",
-                            series_bound=inp.series_bound)
+    return (M.attach_series(counts, "period", inp.series, how="left")
             .orderBy(asc_nl("period"))
             .select(F.date_format("period", "yyyy-MM-dd").alias("period"),
                     "complaints", "delinquency_rate"))
@@ -345,8 +348,7 @@ def k4_quarter_rate(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame
     """Cases per quarter with the quarter's series value (quarters with a value)."""
     counts = M.period_counts(_base(inp, cfg, cfg.history_since),
                              [quarter_of("date_received").alias("quarter")], {"complaints": "n"})
-    return (M.attach_series(counts, "quarter", inp.series, how="inner",
-                            series_bound=inp.series_bound)
+    return (M.attach_series(counts, "quarter", inp.series, how="inner")
             .select("quarter", "complaints", "delinquency_rate").orderBy(asc_nl("quarter")))
 
 
@@ -391,6 +393,7 @@ REPORTS = {
     "q10_trend_class": q10_trend_class,
     "q10_top20": q10_top20,
     "q10b_accelerating": q10b_accelerating,
+    "q10c_trend_counts": q10c_trend_counts,
     "e1_month_with_rate": e1_month_with_rate,
     "k1_state_risk_summary": k1_state_risk_summary,
     "k2_state_month": k2_state_month,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +29,10 @@ def write_report_csv(df: DataFrame, path: str, single_file: bool = True) -> None
 
 
 def read_report_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read an exported report back with a declared schema (no inference)."""
+    """Read an exported report back with a declared schema (no inference). A header
+    in another order, or a value that does not parse, fails the read."""
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("enforceSchema", False).option("mode", "FAILFAST")
             .option("multiLine", True).schema(schema).csv(path))
 
 
@@ -56,25 +56,13 @@ def overwrite_in_place(df: DataFrame, path: str, single_file: bool = True) -> No
     staging = f"{path.rstrip('/')}.staging-{tag}"
     old_path = f"{path.rstrip('/')}.old-{tag}"
     write_report_csv(df, staging, single_file)
-    try:
-        fs, target, jvm = _fs(spark, path)
-    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): local paths only
-        _swap_local(path, staging, old_path)
-        return
+    fs, target, jvm = _fs(spark, path)
     Path = jvm.org.apache.hadoop.fs.Path
     old = Path(old_path)
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"could not move {path} aside")
     if not fs.rename(Path(staging), target):
+        if fs.exists(old):
+            fs.rename(old, target)      # the old content is back under its name
         raise OSError(f"could not move {staging} to {path}")
     fs.delete(old, True)
-
-
-def _swap_local(path: str, staging: str, old_path: str) -> None:
-    local = path.removeprefix("file:")
-    if "://" in local:
-        raise NotImplementedError("in-place overwrite of a remote path needs a JVM session")
-    if os.path.exists(local):
-        os.replace(local, old_path.removeprefix("file:"))
-    os.replace(staging.removeprefix("file:"), local)
-    shutil.rmtree(old_path.removeprefix("file:"), ignore_errors=True)

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.config import DEFAULT, ReportConfig
-from casegrid.operators.joins import assert_unique_key, probe_rows
+from casegrid.operators.joins import assert_unique_key
 from casegrid.plans import reports as R
-from casegrid.plans.catalog import (read_case_table, register_files, replace_table,
-                                    write_case_table)
+from casegrid.plans.catalog import (delete_path, is_written, register_files, replace_table,
+                                    write_wide_table)
 from casegrid.plans.daily import daily_table, read_daily, with_unit_measures, write_daily
 from casegrid.plans.sinks import csv_writer, overwrite_in_place, read_report_csv
 from casegrid.sources import complaints_csv as C
@@ -48,16 +48,21 @@ def load_case_table(spark: SparkSession, csv_path: str, base_dir: str,
     """``CREATE TABLE IF NOT EXISTS complaints AS <tolerant CSV read>``.
 
     Lands the CSV once, writes good rows as the year-partitioned case table
-    (all source columns kept) and rejected rows to ``<base_dir>/quarantine``.
-    Skipped when the table already exists.
+    (all source columns kept) and rejected rows to ``<base_dir>/quarantine``, then
+    deletes the landed copy. Skipped when the catalog has the table, or when an earlier
+    run finished it under ``base_dir`` (a session with an in-memory catalog): then the
+    written files are registered again.
     """
-    if not spark.catalog.tableExists(table):
-        good, bad = C.read_complaints(spark, csv_path, f"{base_dir}/landed", date_format,
-                                      multiline)
-        write_case_table(good, f"{base_dir}/cases")
+    if spark.catalog.tableExists(table):
+        return spark.table(table)
+    cases = f"{base_dir}/cases"
+    if not is_written(spark, cases):
+        landed = f"{base_dir}/landed"
+        good, bad = C.read_complaints(spark, csv_path, landed, date_format, multiline)
         bad.write.mode("overwrite").parquet(f"{base_dir}/quarantine")
-        register_files(spark, table, f"{base_dir}/cases")
-    return spark.table(table)
+        write_wide_table(good, cases)       # last: its success mark says that the load is whole
+        delete_path(spark, landed)
+    return register_files(spark, table, cases)
 
 
 def build_daily(cases: DataFrame, path: str, cfg: ReportConfig = DEFAULT) -> DataFrame:
@@ -84,9 +89,7 @@ def export_reports(inputs: R.ReportInputs, base_rows: DataFrame, out_dir: str,
     Then merge the product categories of the product x state export in place
     (its count is reported as ``e2_merge_categories``).
     """
-    base = R.ReportInputs(cases=base_rows, population=inputs.population, series=inputs.series,
-                          population_bound=inputs.population_bound,
-                          series_bound=inputs.series_bound)
+    base = R.ReportInputs(cases=base_rows, population=inputs.population, series=inputs.series)
     jobs = [(name, fn, inputs) for name, fn in EXPORTS.items()]
     jobs += [(name, fn, base) for name, fn in BASE_ROW_EXPORTS.items()]
     with ThreadPoolExecutor(threads) as pool:
@@ -115,13 +118,10 @@ def run(spark: SparkSession, csv_path: str, series_path: str, work_dir: str, out
                            f"{work_dir}/delinquency")
     daily = build_daily(cases, f"{work_dir}/daily", cfg)
     if population is None:
-        population, bound = population_table(spark), len(S.POPULATION_STATES)
+        population = population_table(spark)
     else:
-        # One row per state, or Q3's join would repeat states.
-        bound = probe_rows(assert_unique_key(population, "state"))
+        assert_unique_key(population, "state")      # else Q3's join would repeat states
     population = replace_table(population, f"{table}_population", f"{work_dir}/population")
-    inputs = R.ReportInputs(cases=daily, population=population, series=series,
-                            population_bound=bound, series_bound=probe_rows(series))
-    base_rows = with_unit_measures(read_case_table(spark, f"{work_dir}/cases"),
-                                   cfg.relief_response)
+    inputs = R.ReportInputs(cases=daily, population=population, series=series)
+    base_rows = with_unit_measures(cases.select(*S.CASE_SCHEMA.fieldNames()), cfg.relief_response)
     return export_reports(inputs, base_rows, out_dir, cfg, threads)

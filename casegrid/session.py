@@ -20,6 +20,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+# Further settings of local sessions (tests, the bench) only.
+LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -31,7 +34,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "8g"))
-    for k, v in {**RECOMMENDED_CONF, **(extra or {})}.items():
+    for k, v in {**RECOMMENDED_CONF, **LOCAL_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,9 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
         sc = None
     if not d and sc is not None:
         d = sc.getCheckpointDir()
+    local = sc is not None and sc.master.startswith("local")
     if d:
-        return _plain_local(d).rstrip("/")
-    if sc is None or not sc.master.startswith("local"):
+        if not local and urlparse(d).scheme == "file":
+            raise RuntimeError(f"spark.checkpoint.dir is {d}: a machine-local folder on a cluster")
+        return (_plain_local(d) if local else d).rstrip("/")
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     d = tempfile.mkdtemp(prefix="casegrid-ckpt-")
     # spark.checkpoint.dir is a core setting and cannot be changed at runtime;

@@ -2,7 +2,8 @@
 
 The published load fetches the series over HTTP on the driver. Here the series
 is a landed file (CSV or Parquet) read with a declared schema: two columns by
-position -> ``date``, ``delinquency_rate``; rows with any NULL are dropped;
+position -> ``date``, ``delinquency_rate``; rows with a value missing in the file
+are dropped, while a value that does not parse fails the load;
 one row per quarter is enforced before any join can multiply rows.
 """
 
@@ -24,7 +25,12 @@ def load_series(spark: SparkSession, path: str, fmt: str = "csv",
         raw_schema = T.StructType([T.StructField("c0", T.StringType()),
                                    T.StructField("c1", T.StringType())])
         raw = spark.read.option("header", True).schema(raw_schema).csv(path)
-        df = raw.select(F.try_to_date("c0").alias("c0"), F.col("c1").try_cast("double").alias("c1"))
+        bad = lambda c: F.raise_error(F.concat(F.lit("series value does not parse: "), F.col(c)))
+        present = lambda c: F.nullif(F.trim(c), F.lit(""))
+        parsed = lambda c, v: F.when(present(c).isNull(), F.lit(None)).otherwise(F.coalesce(v, bad(c)))
+        df = raw.select(
+            parsed("c0", F.try_to_date(F.trim("c0"))).cast("date").alias("c0"),
+            parsed("c1", F.trim("c1").try_cast("double")).cast("double").alias("c1"))
     else:
         df = spark.read.format(fmt).load(path)
     series = df.toDF(*names).select(F.col(names[0]).cast("date").alias(names[0]),

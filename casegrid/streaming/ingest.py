@@ -11,7 +11,7 @@ checkpoint), typed and split as in the batch ingest, and written to
 Writing per micro-batch leaves a key ``(day, state, product)`` in several
 rows of the daily table when its cases arrive in different batches. That is
 harmless by design: every report *sums* the measures, so duplicate keys add
-up to the same totals (compaction is an optional rewrite).
+up to the same totals; ``compact_daily`` rewrites them as one row per key.
 
 Run with ``trigger(availableNow=True)`` for scheduled catch-up jobs, or with a
 processing-time trigger for a continuously running stream.
@@ -21,17 +21,16 @@ Operating rules (they are the file source's contract):
 * Land each extract file atomically: write it elsewhere, then move it into
   the landing folder. A file is listed once; one still being copied would be
   read partially, and a file rewritten under the same name is not read again.
-* The checkpoint is the record of what was ingested. Keep it with the output
-  folders; a new checkpoint re-reads every landed file. Output sub-folders
-  carry a run id derived from the checkpoint path, so a new checkpoint never
-  overwrites an older run's batches (point it at new output folders).
+* The checkpoint is the record of what was ingested, and holds the stream's run
+  id. Each output folder names the run that owns it; another run (a new
+  checkpoint would read every landed file again) is refused there.
 * Every file's header is checked against the expected columns: a file with
   reordered or renamed columns fails the stream instead of being misread.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casegrid import schema as S
 from casegrid.plans.catalog import CASE_PARTITION
-from casegrid.plans.daily import daily_table, with_unit_measures
+from casegrid.plans.daily import daily_table, read_daily, with_unit_measures
 from casegrid.sources import complaints_csv as C
 
 BATCH_COLUMN = "ingest_batch"
@@ -56,17 +55,58 @@ def _batch_writer(cases_path: str, daily_path: str, quarantine_path: str,
         try:
             good, bad = C.split(rows)
             (good.withColumn(CASE_PARTITION, F.year("date_received"))
+                 .hint("rebalance", CASE_PARTITION)     # files by size, not by task and year
                  .write.mode("overwrite").partitionBy(CASE_PARTITION)
                  .parquet(f"{cases_path}/{sub}"))
             core = good.select(*S.CASE_SCHEMA.fieldNames())
             (daily_table(with_unit_measures(core, relief_response))
-                .write.mode("overwrite").parquet(f"{daily_path}/{sub}"))
+                .hint("rebalance").write.mode("overwrite").parquet(f"{daily_path}/{sub}"))
             bad.write.mode("overwrite").parquet(f"{quarantine_path}/{sub}")
         finally:
             rows.unpersist()
     return write
 
 
+RUN_FILE = "_casegrid_run"
+
+
+def _read_or_create(spark: SparkSession, folder: str, value: str) -> str:
+    """The text of ``RUN_FILE`` in ``folder`` (any Hadoop file system); written with
+    ``value`` if there is none yet."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{RUN_FILE}")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        stream = fs.open(p)
+        try:
+            return stream.readLine()
+        finally:
+            stream.close()
+    out = fs.create(p, False)
+    try:
+        out.writeBytes(value + "\n")
+    finally:
+        out.close()
+    return value
+
+
+def _own(spark: SparkSession, checkpoint_path: str, *outputs: str) -> str:
+    """The run id kept in the checkpoint folder; refuses outputs of another run."""
+    run_id = _read_or_create(spark, checkpoint_path, uuid.uuid4().hex[:8])
+    for path in outputs:
+        owner = _read_or_create(spark, path, run_id)
+        if owner != run_id:
+            raise ValueError(f"{path} belongs to ingest run {owner}, not to {run_id} of {checkpoint_path}")
+    return run_id
+
+
+def compact_daily(spark: SparkSession, daily_path: str, out_path: str) -> DataFrame:
+    """One row per day, state and product, summed over all batches, at a new path."""
+    (daily_table(spark.read.parquet(daily_path)).hint("rebalance")
+     .write.mode("overwrite").parquet(out_path))
+    return read_daily(spark, out_path)
+
+
 def start_ingest(spark: SparkSession, landing_dir: str, columns: list[str] | None = None, *,
                  cases_path: str, daily_path: str, quarantine_path: str,
                  checkpoint_path: str, relief_response: str = S.RELIEF_RESPONSE,
@@ -89,7 +129,7 @@ def start_ingest(spark: SparkSession, landing_dir: str, columns: list[str] | Non
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if max_file_age:       # e.g. "3650d" when old extracts may still be landed
         reader = reader.option("maxFileAge", max_file_age)
-    run_id = hashlib.sha1(checkpoint_path.rstrip("/").encode()).hexdigest()[:8]
+    run_id = _own(spark, checkpoint_path, cases_path, daily_path, quarantine_path)
     stream = reader.csv(landing_dir)
     writer = (stream.writeStream
               .foreachBatch(_batch_writer(cases_path, daily_path, quarantine_path,

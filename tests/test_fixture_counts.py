@@ -12,11 +12,11 @@ from casegrid.sources import testdata as TD
 CFG = TD.TESTDATA_CONFIG
 # sf -> expected counts (FIXTURES.md, "Row counts to expect")
 EXPECTED = {
-    "/root/testdata/sf0.001": dict(states=20, q2=0, q3=22, q3_unmatched=2, q4=6, q5=100, q6=20,
-                                   q7=59, q9=1950, q10=4, q10_complete=14, e1=83, e1_no_rate=23,
+    "/root/testdata/sf0.001": dict(states=20, q2=0, q3=24, q3_unmatched=0, q4=6, q5=100, q6=27,
+                                   q7=59, q9=1950, q10=4, e1=83, e1_no_rate=2,
                                    k2=1288, k3=120, e2=100, daily=5940, null_state=222, rows=6000),
-    "/root/testdata/sf0.01": dict(states=20, q2=1047, q3=22, q3_unmatched=2, q4=6, q5=100, q6=20,
-                                  q7=59, q9=12573, q10=19, q10_complete=20, e1=83, e1_no_rate=23,
+    "/root/testdata/sf0.01": dict(states=20, q2=1047, q3=24, q3_unmatched=0, q4=6, q5=100, q6=27,
+                                  q7=59, q9=12573, q10=19, e1=83, e1_no_rate=2,
                                   k2=1419, k3=120, e2=100, daily=55418, null_state=2468,
                                   rows=60000),
 }
@@ -37,7 +37,6 @@ def test_fixture_row_counts(spark, sf):
         q7=R.q7_national_trend(inp, CFG, k=10_000).count(),
         q9=R.q9_rows(inp, CFG).count(),
         q10=R.q10_rows(inp, CFG).count(),
-        q10_complete=R.q10_rows(inp, CFG.with_(trend_until=TD.TEST_COMPLETE_MONTHS_UNTIL)).count(),
         e1=R.e1_month_with_rate(inp, CFG).count(),
         e1_no_rate=R.e1_month_with_rate(inp, CFG)
                     .filter(F.col("delinquency_rate").isNull()).count(),
@@ -53,7 +52,7 @@ def test_fixture_row_counts(spark, sf):
 
 def test_fixture_band_facts(spark):
     """FIXTURES.md: sf0.001 reaches all five bands (highest z 2.50); sf0.01 has no
-    'Critical' state (highest z 1.53) and one 'Accelerating' state on complete months."""
+    'Critical' state (highest z 1.53) and no 'Accelerating' state in its partial last month."""
     small = R.q8_rows(mapped_inputs(spark, "/root/testdata/sf0.001"), CFG).collect()
     assert len({r.risk_level for r in small}) == 5
     assert max(r.z_score for r in small) == 2.5
@@ -61,6 +60,5 @@ def test_fixture_band_facts(spark):
     mid = R.q8_rows(inp, CFG).collect()
     assert "Critical" not in {r.risk_level for r in mid}
     assert max(r.z_score for r in mid) == 1.53
-    acc = R.q10b_accelerating(inp, CFG.with_(trend_until=TD.TEST_COMPLETE_MONTHS_UNTIL)).collect()
-    assert len(acc) == 1 and acc[0].accelerating_states == 1
     assert R.q10b_accelerating(inp, CFG).count() == 0
+    assert {r.trend: r.states for r in R.q10c_trend_counts(inp, CFG).collect()}["Accelerating"] == 0

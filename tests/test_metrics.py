@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from casegrid import schema as S
 from casegrid.config import DEFAULT
 from casegrid.operators import metrics as M
-from casegrid.operators.joins import (assert_unique_key, broadcast_if_bounded, probe_rows,
-                                      unmatched_keys)
+from casegrid.operators.joins import assert_unique_key, unmatched_keys
 from casegrid.plans import reports as R
 from casegrid.plans.daily import daily_table, with_unit_measures
 from casegrid.sources.dims import population_table
@@ -32,8 +31,7 @@ def counts_frame(spark, pairs, key="state", value="complaints"):
 
 def test_states_mixed_whitelist_and_dimension(spark):
     rows = [(D(2023, 2, 1), s, "P", None, True) for s in ["TX", "TX", "CA", None, "AP", "DC", "MO"]]
-    inp = R.ReportInputs(cases=cases(spark, rows), population=population_table(spark),
-                         population_bound=49)
+    inp = R.ReportInputs(cases=cases(spark, rows), population=population_table(spark))
     q1 = {r.state: (r.total_complaints, r.pct_of_total) for r in R.q1_state_share(inp).collect()}
     assert q1 == {"TX": (2, 40.0), "CA": (1, 20.0), "DC": (1, 20.0), "MO": (1, 20.0)}
     q3 = {r.state for r in R.q3_rates(inp).collect()}
@@ -256,18 +254,6 @@ def test_daily_table_sums_to_base_count(spark):
     assert (tot.n, tot.n_relief, tot.n_timely) == (40, 20, 14)
 
 
-def test_broadcast_if_bounded(spark):
-    small = spark.range(10)
-    assert "Broadcast" in _plan(small.join(broadcast_if_bounded(small, bound=10), "id"),
-                                adaptive=False)
-    big = spark.range(1000)
-    # Unknown or too large a bound: no hint, Spark's size checks decide.
-    for bound in (None, 10_000_000):
-        assert "BroadcastHashJoin" not in _plan(
-            spark.range(5).join(broadcast_if_bounded(big, bound=bound), "id"), adaptive=False)
-    assert probe_rows(big, 100) is None and probe_rows(small, 100) == 10
-
-
 def test_unmatched_keys(spark):
     a = spark.createDataFrame([("A",), ("B",), ("B",)], "state string")
     b = spark.createDataFrame([("A", 1)], "state string, population long")

@@ -28,7 +28,7 @@ def _rows(df):
 def both(spark):
     base = mapped_inputs(spark, SF)
     daily = R.ReportInputs(cases=daily_table(base.cases).cache(), population=base.population,
-                           series=base.series, series_bound=base.series_bound)
+                           series=base.series)
     return base, daily
 
 

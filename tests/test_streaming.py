@@ -3,13 +3,14 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.plans.daily import MEASURES
 from casegrid.plans.sinks import csv_writer
 from casegrid.sources import complaints_csv as C
-from casegrid.streaming.ingest import BATCH_COLUMN, start_ingest
+from casegrid.streaming.ingest import BATCH_COLUMN, compact_daily, start_ingest
 
 
 def _land(spark, rows, folder):
@@ -52,11 +53,13 @@ def test_incremental_ingest_exactly_once(spark, tmpdir_path):
     cases = spark.read.parquet(f"{base}/cases")
     assert cases.count() == 6 and os.path.isdir(f"{base}/bad")
 
-    # A new checkpoint re-reads every landed file, into new batch folders:
-    # the earlier run's output is never overwritten.
-    q = start_ingest(spark, f"{landing}/*", columns, cases_path=f"{base}/cases",
+    # A new checkpoint would read every landed file again: refused on these outputs.
+    with pytest.raises(ValueError, match="belongs to ingest run"):
+        start_ingest(spark, f"{landing}/*", columns, cases_path=f"{base}/cases",
                      daily_path=f"{base}/daily", quarantine_path=f"{base}/bad",
                      checkpoint_path=f"{base}/_ckpt_new")
-    q.awaitTermination()
-    t4, batches4 = _totals(spark, base)
-    assert t4.n == 12 and batches4 > batches3
+    assert _totals(spark, base)[0].n == 6
+
+    compact = compact_daily(spark, f"{base}/daily", f"{base}/daily_compact")
+    assert compact.count() == compact.select("date_received", "state", "product").distinct().count()
+    assert compact.agg(F.sum("n")).first()[0] == 6

@@ -53,7 +53,7 @@ def main() -> None:
     cases = with_unit_measures(read_case_table(spark, cases_path), cfg.relief_response)
     write_daily(daily_table(cases), daily_path)
     dims = mapped_inputs(spark, sf_dir)
-    kw = dict(population=dims.population, series=dims.series, series_bound=dims.series_bound)
+    kw = dict(population=dims.population, series=dims.series)
     on_daily = R.ReportInputs(cases=read_daily(spark, daily_path), **kw)
     on_cases = R.ReportInputs(cases=cases, **kw)
     print("| report | shuffles | single-partition | broadcast joins | windows | top-n pre-limit "

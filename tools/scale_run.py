@@ -72,10 +72,8 @@ def main() -> None:
     out["daily_rows"] = daily.count()
 
     dims = mapped_inputs(spark, sf_dir)
-    on_base = R.ReportInputs(cases=cases, population=dims.population, series=dims.series,
-                             series_bound=dims.series_bound)
-    on_daily = R.ReportInputs(cases=daily, population=dims.population, series=dims.series,
-                              series_bound=dims.series_bound)
+    on_base = R.ReportInputs(cases=cases, population=dims.population, series=dims.series)
+    on_daily = R.ReportInputs(cases=daily, population=dims.population, series=dims.series)
     for name in REPORTS:
         fn = R.REPORTS[name]
         _run(fn(on_base, cfg))   # warm
