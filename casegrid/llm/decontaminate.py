@@ -43,11 +43,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def _folded_words(text: Column) -> Column:
-    """Words with all letters in lower case. Capital sigma has two lower forms that
-    depend on its neighbours, so texts that have it are left to ``words``."""
-    lower = F.when(F.contains(text, F.lit("Σ")), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.array_remove(F.split(F.coalesce(lower, F.lit("")), SEPARATORS), "")
+def _folded(text: Column) -> Column:
+    """All letters in lower case, the same for a letter wherever it stands: lower() gives a
+    capital sigma its final form by its neighbours, so both forms become one."""
+    plain = lambda t: F.when(F.contains(t, F.lit("ς")), F.translate(t, "ς", "σ")).otherwise(t)
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), plain)[0]
 
 
 def n_words(text: Column) -> Column:
@@ -75,8 +75,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     wins = written(windows(items, window), "windows")
     phrases = wins.select("phrase", "m").distinct()
     split = phrases.withColumn("w", F.split("phrase", " "))
-    # Lower-casing each phrase by the scan's function gives the scan's words.
-    folded = F.array_remove(F.split(F.when(F.contains("phrase", F.lit("Σ")), F.col("phrase")).otherwise(F.lower("phrase")), SEPARATORS), "")
+    # Folding each phrase by the scan's function gives the scan's words.
+    folded = F.split(_folded(F.col("phrase")), " ")
     tokens = None
     for size in range(1, SHINGLE + 1):
         own = split.where(F.col("m") == size if size < SHINGLE else F.col("m") >= size).withColumn("f", folded)
@@ -89,7 +89,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         keys = F.broadcast(keys)
 
     text_hash = F.xxhash64("text").alias("text_hash")
-    scan = docs.select(F.col("doc_id"), text_hash, _folded_words(F.col("text")).alias("w"))
+    scan = docs.select(F.col("doc_id"), text_hash, F.array_remove(F.split(_folded(F.col("text")), SEPARATORS), "").alias("w"))
     found = None
     for size in sizes:
         part = (scan.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), size)).alias("pos", "h"))
@@ -109,11 +109,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
                   .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "m", "phrase")).alias("cands")))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     texts = docs.select("doc_id", text_hash, "text")
-    confirmed = (texts.join(candidates, same(texts, candidates))
-                 .select(texts["doc_id"], texts["text_hash"], "cands", words(F.col("text")).alias("w"))
+    # Rows of one id and text become one before the comparison, which so stays above the join.
+    confirmed = (texts.join(candidates, same(texts, candidates)).select(texts["doc_id"], texts["text_hash"], "text", "cands")
+                 .dropDuplicates(["doc_id", "text_hash"]).withColumn("w", words(F.col("text")))
                  .withColumn("hits", F.filter("cands", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["m"]), " ") == c["phrase"]))
-                 .where(F.size("hits") > 0).select("doc_id", "text_hash", "hits")
-                 .dropDuplicates(["doc_id", "text_hash"]))
+                 .select("doc_id", "text_hash", "hits").where(F.size("hits") > 0))
     confirmed = written(confirmed, "confirmed")
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["m"] - 1))))
     marked = confirmed.select("doc_id", "text_hash", F.size(covered).alias("n_hit"))

@@ -24,13 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import CHUNK_BYTES, shingle_hashes, utf8
+from casegrid.llm.common import CHUNK_BYTES, mix, shingle_hashes, utf8
 
 SHINGLE, BINS, BITS = 5, 256, 4
 
 _U = np.uint64
 _EMPTY = _U((1 << 64) - 1)
 _BIN_BITS = BINS.bit_length() - 1
+_SALT = mix(np.arange(1, BINS + 1, dtype=np.uint64))
 #: Row j: the order in which empty bin j looks for a filled one; the same in every run.
 _ORDER = np.stack([np.random.default_rng(j).permutation(BINS) for j in range(BINS)])
 
@@ -57,7 +58,8 @@ def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         source[o] = _ORDER[col[o], first]
     dense = least.copy()
     dense[row, col] = least[row, source]
-    return (dense & _U((1 << BITS) - 1)).astype(np.uint8), n > 0
+    # A copied value's low bits depend on its bin, too: chance agreements stay independent.
+    return (mix(dense + _SALT) & _U((1 << BITS) - 1)).astype(np.uint8), n > 0
 
 
 def packed(bits: np.ndarray, full: np.ndarray) -> list[str]:
