@@ -29,6 +29,10 @@ class ReportConfig:
     sample_states: tuple[str, ...] = S.SAMPLE_STATES
     # Category merge as (old name, new name) pairs; ``merge_map`` gives the dict.
     product_merge: tuple[tuple[str, str], ...] = tuple(S.PRODUCT_MERGE.items())
+    # Products that no report counts (none by default); cases without a product stay.
+    exclude_products: tuple[str, ...] = ()
+    # Export CSV files with the extract's header names (``State``, ``Product``).
+    source_headers: bool = False
     # Optional exclusive upper bound on the received date for the trend report
     # (None = keep the last, possibly partial, month, as the published report does).
     trend_until: str | None = None

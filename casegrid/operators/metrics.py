@@ -120,6 +120,14 @@ def rolling(df: DataFrame, order: str, value: str, rows: int, *, fn: str = "sum"
     return df.withColumn(out, agg(F.col(value)).over(w))
 
 
+def rolling_days(df: DataFrame, date_col: str, value: str, days: int, *,
+                 partition: Sequence[str] = (), out: str = "rolling") -> DataFrame:
+    """Sum over the last ``days`` calendar days, the row's own included (a ``RANGE`` frame)."""
+    day = F.unix_date(F.col(date_col)).cast("long")
+    w = Window.partitionBy(*partition).orderBy(day).rangeBetween(-(days - 1), 0)
+    return df.withColumn(out, F.sum(F.col(value)).over(w))
+
+
 # C8 ----------------------------------------------------------------------
 
 def trend_class(df: DataFrame, order: str, value: str, *, partition: Sequence[str] = (),

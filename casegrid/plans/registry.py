@@ -14,7 +14,8 @@ from casegrid.plans.catalog import (create_if_absent, read_case_table, replace_t
                                     write_case_table, write_wide_table)
 from casegrid.plans.daily import (DAILY_KEYS, MEASURES, daily_table, read_daily,
                                   with_unit_measures, write_daily)
-from casegrid.plans.sinks import csv_writer, overwrite_in_place, read_report_csv, write_report_csv
+from casegrid.plans.sinks import (csv_writer, overwrite_in_place, read_report_csv,
+                                  with_source_headers, write_report_csv)
 from casegrid.session import scratch_path
 from casegrid.sources import complaints_csv as C
 from casegrid.sources import testdata as TD
@@ -54,6 +55,9 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_queries() -> dict[str, Query]:
     q: dict[str, Query] = {name: _report(fn) for name, fn in R.REPORTS.items()}
+    q |= {name: _report(fn) for name, fn in R.OPTIONAL_REPORTS.items()}
+    q["q4_excluding_products"] = _report(
+        R.q4_product_resolution, TD.TESTDATA_CONFIG.with_(exclude_products=TD.EXCLUDED_PRODUCTS))
     q["e2_merge_categories"] = _e2_merge
     q["e2_product_ranking"] = _e2_ranking
     q["daily_table"] = _daily
@@ -157,6 +161,15 @@ def _csv_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_report_csv(spark, path, S.PRODUCT_STATE_SCHEMA)
 
 
+def _export_source_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 exported under the extract's header names and read back by them."""
+    cfg = TD.TESTDATA_CONFIG
+    path = scratch_path(spark, "k3-source-headers")
+    out = with_source_headers(R.k3_product_state_relief(mapped_inputs(spark, sf_dir), cfg))
+    write_report_csv(out, path)
+    return read_report_csv(spark, path, out.schema)
+
+
 def _case_table_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1 over the written, year-partitioned case table (partition pruning path)."""
     path = scratch_path(spark, "cases")
@@ -193,6 +206,7 @@ def ingest_queries() -> dict[str, Query]:
         "table_replace": _table_replace,
         "view_by_name": _view_by_name,
         "csv_overwrite_in_place": _csv_overwrite,
+        "export_source_headers": _export_source_headers,
         "q1_from_case_table": _case_table_q1,
         "stream_ingest_daily": _stream_daily,
     }

@@ -49,6 +49,8 @@ def _base(inp: ReportInputs, cfg: ReportConfig, floor: str, whitelist: bool = Tr
         cond = cond & in_regions("state", cfg.regions)
     if until:
         cond = cond & before("date_received", until)
+    if cfg.exclude_products:
+        cond = cond & (F.col("product").isNull() | ~F.col("product").isin(list(cfg.exclude_products)))
     return inp.cases.filter(cond)
 
 
@@ -238,6 +240,25 @@ def q8b_band_counts(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame
             .orderBy(desc_nl("count"), asc_nl("risk_level")))
 
 
+def q8c_per_capita_z(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """Z-score and risk band of the cases per 100k residents instead of the count."""
+    return (M.zscore(q3_rates(inp, cfg), "complaints_per_100k", z_out="z_score", scale=2,
+                     band_out="risk_level", band_on="rounded", cuts=S.RISK_CUTS,
+                     labels=S.RISK_LABELS, default=S.RISK_DEFAULT)
+            .select("state", "complaints_per_100k", "z_score", "risk_level")
+            .orderBy(desc_nl("z_score"), asc_nl("state")))
+
+
+def q9_range_90(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
+    """The running total over 90 calendar days instead of 90 rows."""
+    counts = M.period_counts(_base(inp, cfg, cfg.current_since),
+                             ["state", F.col("date_received").alias("complaint_date")],
+                             {"daily_count": "n"})
+    return (M.rolling_days(counts, "complaint_date", "daily_count", cfg.rolling_day_rows,
+                           partition=["state"], out="rolling_90d_total")
+            .orderBy(asc_nl("state"), desc_nl("complaint_date")))
+
+
 def q9_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     """Cases per state and day with the running total over the last 90 rows."""
     counts = M.period_counts(_base(inp, cfg, cfg.current_since),
@@ -370,6 +391,12 @@ def e2_product_ranking(merged: DataFrame, k: int = 10) -> DataFrame:
             .orderBy(desc_nl("complaints"), asc_nl("product")).limit(k))
 
 
+# Variants of published reports, off by default.
+OPTIONAL_REPORTS = {
+    "q8c_per_capita_z": q8c_per_capita_z,
+    "q9_range_90": q9_range_90,
+}
+
 REPORTS = {
     "profile_range": profile_range,
     "profile_top_products": profile_top_products,

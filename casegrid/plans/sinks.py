@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from casegrid import schema as S
+
 
 def csv_writer(df: DataFrame, mode: str = "overwrite"):
     """A CSV ``DataFrameWriter`` in the extract's dialect: header row, values
@@ -36,6 +38,12 @@ def read_report_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
             .option("multiLine", True).schema(schema).csv(path))
 
 
+def with_source_headers(df: DataFrame) -> DataFrame:
+    """Columns under the extract's header names where they have one (``State``, ``Product``)."""
+    names = {v: k for k, v in S.SOURCE_COLUMNS.items()}
+    return df.withColumnsRenamed({c: names[c] for c in df.columns if c in ("state", "product")})
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -26,7 +26,7 @@ from casegrid.plans import reports as R
 from casegrid.plans.catalog import (delete_path, is_written, register_files, replace_table,
                                     write_wide_table)
 from casegrid.plans.daily import daily_table, read_daily, with_unit_measures, write_daily
-from casegrid.plans.sinks import csv_writer, overwrite_in_place, read_report_csv
+from casegrid.plans.sinks import csv_writer, overwrite_in_place, read_report_csv, with_source_headers
 from casegrid.sources import complaints_csv as C
 from casegrid.sources.dims import population_table
 from casegrid.sources.series import load_series
@@ -76,8 +76,9 @@ def build_daily(cases: DataFrame, path: str, cfg: ReportConfig = DEFAULT) -> Dat
     return read_daily(cases.sparkSession, path).cache()
 
 
-def _export(df: DataFrame, path: str) -> int:
+def _export(df: DataFrame, path: str, source_headers: bool = False) -> int:
     obs = Observation()
+    df = with_source_headers(df) if source_headers else df
     csv_writer(df.observe(obs, F.count(F.lit(1)).alias("rows")).coalesce(1)).csv(path)
     return obs.get["rows"]
 
@@ -94,13 +95,16 @@ def export_reports(inputs: R.ReportInputs, base_rows: DataFrame, out_dir: str,
     jobs += [(name, fn, base) for name, fn in BASE_ROW_EXPORTS.items()]
     with ThreadPoolExecutor(threads) as pool:
         counts = dict(pool.map(
-            lambda j: (j[0], _export(j[1](j[2], cfg), os.path.join(out_dir, j[0]))), jobs))
+            lambda j: (j[0], _export(j[1](j[2], cfg), os.path.join(out_dir, j[0]),
+                                     cfg.source_headers)), jobs))
     path = os.path.join(out_dir, MERGED_EXPORT)
-    merged = R.e2_merge_categories(read_report_csv(base_rows.sparkSession, path,
-                                                   S.PRODUCT_STATE_SCHEMA), cfg)
-    overwrite_in_place(merged, path)
-    counts["e2_merge_categories"] = read_report_csv(
-        base_rows.sparkSession, path, S.PRODUCT_STATE_SCHEMA).count()
+    names = S.PRODUCT_STATE_SCHEMA.fieldNames()
+    frame = base_rows.sparkSession.createDataFrame([], S.PRODUCT_STATE_SCHEMA)
+    schema = with_source_headers(frame).schema if cfg.source_headers else S.PRODUCT_STATE_SCHEMA
+    merged = R.e2_merge_categories(
+        read_report_csv(base_rows.sparkSession, path, schema).toDF(*names), cfg)
+    overwrite_in_place(with_source_headers(merged) if cfg.source_headers else merged, path)
+    counts["e2_merge_categories"] = read_report_csv(base_rows.sparkSession, path, schema).count()
     return counts
 
 

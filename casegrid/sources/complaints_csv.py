@@ -3,9 +3,8 @@
 Three steps, each a plain Spark job:
 
 1. **Land**: read the CSV once with every column as a string plus a corrupt
-   record column (``PERMISSIVE``), and write it as Parquet. A quoted-newline
-   (``multiLine``) CSV file cannot be split, so it is parsed exactly once;
-   all later passes read splittable, columnar Parquet.
+   record column (``PERMISSIVE``), and write it as Parquet. One file with quoted
+   newlines is read by as many tasks as it has splits (``read_records``).
    Each row is tagged in the same pass with a rejection reason (malformed
    record, unparsable date, unparsable Yes/No flag).
 2. **Type**: rename the queried columns to snake_case and parse the date and
@@ -23,7 +22,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +54,58 @@ def raw_schema(columns: list[str]) -> T.StructType:
                         + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, is_header, record): the text of every CSV record, quoted newlines included,
+    read by lines so that a file is split over tasks.
+
+    A line lies inside a quoted field if the quotes before it in its file are odd in
+    number (RFC 4180: quotes in a field are doubled). Each split counts its own quotes;
+    the parity that each split begins with comes from one small row per split. A record
+    on one line passes on as it is; only lines of longer records are grouped.
+    """
+    lines = (spark.read.option("lineSep", "\n").text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("id"), "value")
+             .withColumn("odd", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2))
+    within = Window.partitionBy("file", "block").orderBy("id")
+    before = F.coalesce(F.sum("odd").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("before", before % 2)
+    # Where the split's last record begins, for either parity that the split may begin with.
+    last = lambda parity: F.max(F.when(F.col("before") == parity, F.col("id")))
+    splits = lines.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd"), last(0).alias("last0"), last(1).alias("last1"))
+    earlier = Window.partitionBy("file").orderBy("block")
+    carry = F.coalesce(F.sum("odd").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    splits = splits.withColumn("carry", carry)
+    begun = F.when(F.col("carry") == 0, F.col("last0")).otherwise(F.col("last1"))
+    splits = splits.withColumn("begun", begun).withColumn(
+        "open_record", F.last("begun", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+    lines = lines.join(splits.select("file", "block", "carry", "open_record"), ["file", "block"])
+    inside = (F.col("before") + F.col("carry")) % 2
+    starts = F.when(inside == 0, F.col("id"))
+    lines = (lines.withColumn("inside", inside).withColumn("closed", (F.col("inside") + F.col("odd")) % 2 == 0)
+             .withColumn("record", F.coalesce(F.last(starts, ignorenulls=True).over(within), "open_record"))
+             .withColumn("is_header", (F.col("block") == 0) & (F.row_number().over(within) == 1)))
+    alone = (F.col("inside") == 0) & F.col("closed")
+    whole = lines.where(alone).select("file", "is_header", F.col("value").alias("text"))
+    parts = lines.where(~alone).groupBy("file", "record").agg(
+        F.max("is_header").alias("is_header"), F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("parts"))
+    joined = parts.select("file", "is_header", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("text"))
+    text = F.regexp_replace("text", r"\r$", "")
+    return whole.union(joined).select("file", "is_header", text.alias("record")).where(F.trim("record") != "")
+
+
+def _read_split(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``read_raw`` through ``read_records``."""
+    records = read_records(spark, path)
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
+    header = F.from_csv("record", ", ".join(f"`{c}` string" for c in columns), {**options, "mode": "FAILFAST"})
+    same = lambda h: F.array(*[h[c] for c in columns]) == F.array(*[F.lit(c) for c in columns])
+    checked = F.when(F.col("is_header"), F.when(same(header), F.lit(False)).otherwise(F.raise_error(
+        F.concat(F.lit("unexpected CSV header in "), F.col("file"))).cast("boolean"))).otherwise(F.lit(True))
+    return records.where(checked).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+
+
 def read_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
              multiline: bool = True) -> DataFrame:
     """All-string read; malformed records (wrong field count) keep their text in
@@ -62,6 +113,8 @@ def read_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
     (``enforceSchema=false``): a file whose columns are reordered or renamed
     fails the load instead of being read into the wrong columns."""
     columns = columns or header_columns(spark, path, multiline)
+    if multiline:
+        return _read_split(spark, path, columns)
     return (_csv_reader(spark, multiline).schema(raw_schema(columns))
             .option("enforceSchema", False)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)

@@ -34,6 +34,7 @@ RESPONSE_BY_FLAG = {"R": "Closed with monetary relief", "A": "Closed with explan
 TIMELY_STATUS = "F"
 # Shipments of this day of the month get an unparsable date in the test extract.
 BAD_DATE_DAY = 13
+EXCLUDED_PRODUCTS = ("SMALL", "PROMO")
 
 # Whitelist rule: NATION_0 .. NATION_19 (NATION_20..23 act as territories).
 TEST_REGIONS: tuple[str, ...] = tuple(f"NATION_{i}" for i in range(20))

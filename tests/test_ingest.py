@@ -165,3 +165,61 @@ def test_file_with_reordered_header_fails_loudly(spark, tmpdir_path):
     with pytest.raises(Exception):
         C.read_complaints(spark, tmpdir_path + "/x", tmpdir_path + "/landed",
                           multiline=True)
+
+
+# One file with quoted newlines is split over tasks ----------------------------
+
+def test_split_read_equals_multiline_read(spark, tmp_path):
+    import random
+    rng = random.Random(1)
+    for f in range(2):
+        with open(tmp_path / f"f{f}.csv", "w", newline="") as out:
+            out.write("Date received,Note,Product\n")
+            for i in range(800):
+                note = rng.choice(["plain", 'with "q" in', "line one\nline two", "a,b", "\n\n", "",
+                                   "long " + "x" * rng.randint(0, 200), "end\r\nwin", "many\n" * rng.randint(1, 60)])
+                if rng.random() < 0.04:
+                    out.write(rng.choice([f"{i},only two\n", f"{i},a,b,c too many\n"]))
+                else:
+                    quoted = note.replace('"', '""')
+                    out.write(f'2020-01-{i % 28 + 1:02d},"{quoted}",p{i}\n')
+    path = str(tmp_path)
+    columns = C.header_columns(spark, path)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16000")
+    try:
+        lines = spark.read.option("lineSep", "\n").text(path)
+        assert lines.select(F.spark_partition_id()).distinct().count() > 4
+        got = sorted(map(tuple, C.read_raw(spark, path, columns).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    whole = (C._csv_reader(spark, True).schema(C.raw_schema(columns)).option("enforceSchema", False)
+             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", C.CORRUPT).csv(path))
+    assert got == sorted(map(tuple, whole.collect()), key=repr) and len(got) == 1600
+
+
+# Strict read-back and series load ----------------------------------------------
+
+def test_export_read_back_is_strict(spark, tmp_path):
+    from casegrid.plans.sinks import read_report_csv
+    schema = S.PRODUCT_STATE_SCHEMA
+    for name, text in (("order", "state,product,complaints,relief_rate\nTX,A,1,2.0\n"),
+                       ("count", "product,state,complaints,relief_rate\nA,TX,many,2.0\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.csv").write_text(text)
+        with pytest.raises(Exception):  # noqa: B017 - Spark wraps the reason
+            read_report_csv(spark, str(tmp_path / name), schema).collect()
+
+
+@pytest.mark.parametrize("line", ["2020-13-01,1.5", "2020-01-01,3;1", "soon,2"])
+def test_series_value_that_does_not_parse_fails(spark, tmp_path, line):
+    from casegrid.sources.series import load_series
+    (tmp_path / "s.csv").write_text(f"date,value\n2019-01-01,1.0\n{line}\n")
+    with pytest.raises(Exception, match="does not parse"):
+        load_series(spark, str(tmp_path / "s.csv")).collect()
+
+
+def test_series_missing_values_are_dropped(spark, tmp_path):
+    from casegrid.sources.series import load_series
+    (tmp_path / "s.csv").write_text("date,value\n2019-01-01,1.0\n2019-04-01,\n,2.0\n")
+    assert [r.delinquency_rate for r in load_series(spark, str(tmp_path / "s.csv")).collect()] == [1.0]

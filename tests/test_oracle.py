@@ -57,7 +57,7 @@ ORDERED = {
     "profile_top_products", "profile_responses", "q1_state_share", "q2_mom_growth",
     "q3_rate_per_100k", "q4_product_resolution", "q5_top5_per_state", "q5_sample_states",
     "q6_quarter_rolling", "q6_last12", "q7_national_trend", "q8_zscore_band", "q8b_band_counts",
-    "q9_rolling_90", "q9b_latest_top15", "q10_trend_class", "q10_top20", "q10b_accelerating", "q10c_trend_counts",
+    "q9_rolling_90", "q9b_latest_top15", "q10_trend_class", "q10_top20", "q10b_accelerating", "q10c_trend_counts", "q8c_per_capita_z", "q9_range_90", "q4_excluding_products",
     "e1_month_with_rate", "k1_state_risk_summary", "k2_state_month", "k3_product_state_relief",
     "k4_quarter_rate", "e2_merge_categories", "e2_product_ranking", "q1_from_daily",
     "q7_from_daily", "k3_from_daily", "q1_from_case_table",
