@@ -26,3 +26,16 @@ def test_suite_exports_match_registered_queries(spark, tmpdir_path):
         assert counts[name] == q[name](spark, SF).count(), name
     files = os.listdir(os.path.join(tmpdir_path, "out", "k1_state_risk_summary"))
     assert len([f for f in files if f.endswith(".csv")]) == 1
+
+
+def test_second_run_in_one_session(spark, tmpdir_path):
+    """The loaded table is used again, also with a new work folder and no extract."""
+    csv, series = os.path.join(tmpdir_path, "extract"), _landed_series(spark, SF)
+    csv_writer(C.to_source_layout(TD.case_fact(spark, SF))).csv(csv)
+    table = "again_" + os.path.basename(tmpdir_path).replace("-", "_")
+
+    def run(csv, work):
+        return suite.run(spark, csv, series, os.path.join(tmpdir_path, work), os.path.join(tmpdir_path, "out"),
+                         cfg=TD.TESTDATA_CONFIG, population=TD.population(spark, SF), table=table)
+
+    assert run(csv, "work1") == run(os.path.join(tmpdir_path, "gone"), "work2")
