@@ -8,11 +8,14 @@ created and registered.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Settings the library relies on; all are standard Spark SQL options.
@@ -75,9 +78,30 @@ def _plain_local(uri: str) -> str:
     return parsed.path if parsed.scheme == "file" else uri
 
 
+_scratch: list[str] = []
+
+
+def delete_at_exit(path: str) -> str:
+    """Have the scratch folder ``path`` deleted when the driver's Python ends."""
+    if not _scratch:
+        atexit.register(_delete_scratch)
+    _scratch.append(path)
+    return path
+
+
+def _delete_scratch() -> None:
+    sc = SparkContext._active_spark_context
+    for path in _scratch:
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(_plain_local(path), ignore_errors=True)
+        elif sc is not None and sc._jsc is not None:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the shared folder, deleted when the driver ends."""
+    return delete_at_exit(os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}"))
 
 
 def input_bytes(spark: SparkSession, path: str) -> int | None:

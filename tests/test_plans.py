@@ -81,3 +81,22 @@ def test_case_table_write_rebalances_only_under_aqe(spark):
             assert ("Exchange" in _plan(case_table_layout(df))) is want
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_nation_key_moves_customer_rows_only(spark):
+    """Without broadcasts the 25-value nation key is shuffled for customers, not for
+    orders or lineitem, and no exchange carries a column that the mapping does not use."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = _plan(TD.case_fact(spark, SF)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sum("Exchange" in line for line in lines) >= 8      # four sort-merge joins
+    for i, line in enumerate(lines):
+        if "Exchange" in line and "c_nationkey" in line:
+            scan = next(x for x in lines[i:] if "FileScan" in x)
+            assert "c_custkey" in scan and not any("Join" in x for x in lines[i:lines.index(scan)])
+    read = " ".join(x for x in lines if "FileScan" in x)
+    for unused in ("l_comment", "l_extendedprice", "o_totalprice", "c_name", "p_name", "n_regionkey"):
+        assert unused not in read.split("ReadSchema")[0]
