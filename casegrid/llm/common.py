@@ -11,6 +11,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from casegrid.session import delete_at_exit
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -36,7 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, deleted when the driver ends."""
+    return delete_at_exit(f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}")
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
