@@ -39,7 +39,7 @@ LEVELS = (1, 2, 3, 4, 6)
 STEMS = range(3, 8)
 MAX_TERMS = 2048
 MIN_TEXTS, MIN_Z = 4, 4.0
-FACTORS, STEPS, RATE, L2 = 8, 400, 0.05, 2e-4
+FACTORS, STEPS, RATE, L2 = 8, 400, 0.05, 2e-5
 #: Words whose kept terms a worker remembers before it starts anew.
 CACHE = 500_000
 
