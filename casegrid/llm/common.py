@@ -57,16 +57,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def chunks(texts: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` bytes each, of one text at least."""
+def chunks(*columns: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts (one per column) have about ``limit`` bytes, of one row at least."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, row in enumerate(zip(*columns, strict=True)):
+        n = sum(map(len, row))
+        if size and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        size += n + 1
+    if start < len(columns[0]):
+        yield start, len(columns[0])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

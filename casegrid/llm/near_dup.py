@@ -182,7 +182,7 @@ def _star_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
         for pdf in batches:
             ta, tb = utf8(pdf["t_a"]), utf8(pdf["t_b"])
             keep = np.zeros(len(pdf), bool)
-            for i, j in chunks([x + y for x, y in zip(ta, tb, strict=True)]):
+            for i, j in chunks(ta, tb):
                 h, n = distinct_shingles(ta[i:j] + tb[i:j], shingle)
                 cut = np.split(h, np.cumsum(n)[:-1])
                 for k in range(i, j):

@@ -41,7 +41,7 @@ MAX_TERMS = 2048
 MIN_TEXTS, MIN_Z = 4, 4.0
 FACTORS, STEPS, RATE, L2 = 8, 400, 0.05, 2e-5
 #: Words whose kept terms a worker remembers before it starts anew.
-CACHE = 500_000
+CACHE = 100_000
 
 _WORD = re.compile(r"\w+")
 _MASK = (1 << HASH_BITS) - 1
@@ -66,13 +66,13 @@ class Terms:
 
     def __init__(self, kept: np.ndarray | None = None):
         self.places = None if kept is None else {int(t): i for i, t in enumerate(kept)}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
-    def _useful(self, word: str) -> list[int]:
+    def _useful(self, word: str) -> tuple[int, ...]:
         stems = _stems(word)
         if self.places is None:
-            return stems
-        return [s for s in stems if any(_term(s, k) in self.places for k in LEVELS)]
+            return tuple(stems)
+        return tuple(s for s in stems if any(_term(s, k) in self.places for k in LEVELS))      # mostly the one empty tuple
 
     def of(self, text: str | None) -> list[int]:
         counts: dict[int, int] = {}
