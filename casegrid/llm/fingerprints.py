@@ -120,7 +120,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     copy = F.struct(at(before, F.col("part")).alias("part"), F.lit(1).alias("copy"))
     dealt = src.withColumn("to", F.explode(F.when(F.col("place") == at(heads, F.col("part")), F.array(own, copy)).otherwise(F.array(own))))
     rows = (dealt.select("doc_id", "text", "place", "to.part", "to.copy")
-            .repartition(n, "part").sortWithinPartitions("part", "copy", F.desc("place"), F.xxhash64("text"), "text"))
+            .repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "copy", F.desc("place"), F.xxhash64("text"), "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list = []
