@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags. Each block gets shallow features: its
 word count and link density, those of its neighbours before and after, whether it is
-a heading, whether the page marks it as main content (inside ``article`` or ``main``;
-unmarked page; outside the marked part), and whether an enclosing element says what it
+a heading, whether the page marks it as main content (inside ``article``, or, where the
+articles hold less than ``ARTICLE_SHARE`` of the marked words, inside ``article``, ``main``
+or an element named like one; unmarked page; outside the marked part), and whether an enclosing element says what it
 is (a navigation, footer, aside or form element, or a class, id or role naming an advert,
 notice, comment section and the like). A decision tree fitted to ``LABELLED`` keeps or
 drops it; where it keeps none of an unmarked page's, the unnamed ones of few links stay. Kept blocks are joined by a newline.
@@ -47,6 +48,9 @@ LABELLED = [
     (4, 0.0, 0, 0.0, 9, 1.0, 0, 0, 0, 0), (30, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0), (80, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
     (12, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (6, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 0),
     (150, 0.01, 7, 0.0, 12, 0.4, 0, 0, 0, 0), (10, 0.3, 8, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (2, 1.0, 1, 0.0, 20, 1.0, 1, 0, 0, 0), (20, 1.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 22, 0.0, 31, 0.0, 1, 0, 0, 0),
+    (18, 0.55, 65, 0.0, 70, 0.0, 0, 0, 0, 0), (7, 1.0, 48, 0.0, 52, 0.0, 1, 0, 0, 0), (60, 0.0, 9, 0.0, 45, 0.0, 0, 0, 0, 0),
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), (35, 0.3, 50, 0.0, 70, 0.1, 0, 0, 0, 0), (9, 0.0, 0, 0.0, 60, 0.0, 1, 0, 0, 0),
     # page without a mark: running text and what stands in it
     (45, 0.0, 8, 0.0, 70, 0.0, 0, 1, 0, 1), (120, 0.05, 45, 0.0, 30, 0.1, 0, 1, 0, 1), (22, 0.0, 60, 0.0, 5, 1.0, 0, 1, 0, 1),
     (6, 0.0, 3, 1.0, 70, 0.0, 1, 1, 0, 1), (5, 0.0, 55, 0.0, 61, 0.0, 0, 1, 0, 1), (3, 0.0, 44, 0.0, 52, 0.0, 0, 1, 0, 1),
@@ -72,6 +76,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
+# Class, id or role words that together (first with second) or alone name the content.
+CONTENT_OF, CONTENT_PART, CONTENT_IDS = frozenset("article entry post main story page".split()), frozenset("body content text".split()), frozenset("content main article maincontent".split())
 NAMED_TAGS = frozenset("nav footer aside form menu dialog".split())
 # Words in a class, id or role that name what is not main text.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation "
@@ -80,6 +86,8 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox ads
                   "subscription signup login search social share sharing related recommended pagination pager toolbar skip hidden".split())
 TOP_NAMES = frozenset("header masthead topbar".split())
 
+ARTICLE_SHARE = 0.4
+
 _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -111,6 +119,7 @@ def _element(tag: str, attributes: str) -> _Element:
             key, value = key.lower(), "".join(values)
             if key in ("class", "id", "role"):
                 parts = {p.lower() for p in _NAME_PARTS.findall(value)}
+                e.content |= bool(parts & CONTENT_OF and parts & CONTENT_PART) or (key != "class" and value.lower() in CONTENT_IDS)
                 e.by_class |= bool(parts & NAMES)
                 e.top |= bool(parts & TOP_NAMES)
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
@@ -124,7 +133,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Element] = []
     parts: list[str] = []
     linked = total = at = skip = 0
-    anchors = 0
     seen: set[str] = set()
     skipping: str | None = None
 
@@ -143,7 +151,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(text)
             n = len(text) - text.count(" ")
             total += n
-            if anchors:
+            if any(e.tag == "a" for e in stack):
                 linked += n
 
     end = len(page)
@@ -184,10 +192,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag != "hr":
-                anchors = 0                 # no link spans blocks in what browsers build
-        if tag == "a":
-            anchors = 0 if closing else 1
+        if tag == "a" and not closing:
+            stack[:] = [e for e in stack if e.tag != "a"]       # a link ends where the next begins
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
@@ -203,7 +209,7 @@ def blocks(page: str) -> list[Block]:
                     if stack[i].tag in ("ul", "ol", "table", "dl", "div", "section", "body", "article", "main", "td", "th", "li"):
                         break
             e = _element(tag, m[3])
-            if e.content and not e.by_class and tag not in seen:
+            if tag in CONTENT and not e.by_class and tag not in seen:
                 seen.add(tag)
                 for outer in stack:         # a wrapper of the content is not what its class names
                     outer.by_class = False
@@ -219,11 +225,15 @@ def _after_raw(page: str, at: int, tag: str) -> int:
 
 def features(found: list[Block]) -> np.ndarray:
     """One row of FEATURES per block."""
-    marked = [any(e.content for e in b.inside) and not any(e.content and e.by_class for e in b.inside) for b in found]
+    named = np.array([any(e.named or e.by_class for e in b.inside) for b in found], bool)
+    content = np.array([any(e.content for e in b.inside) for b in found], bool) & ~np.array([any(e.content and e.by_class for e in b.inside) for b in found], bool)
+    article = content & np.array([any(e.tag == "article" for e in b.inside) for b in found], bool)
+    words = np.array([b.words for b in found]) * ~named
+    marked = article if words[article].sum() >= ARTICLE_SHARE * words[content].sum() and article.any() else content
     rows = np.zeros((len(found), len(FEATURES)))
     for i, b in enumerate(found):
-        named = any(e.named or e.by_class for e in b.inside) or (any(e.top for e in b.inside) and not (marked[i] and b.heading))
-        rows[i, [0, 1, 6, 7, 8]] = b.words, b.links, b.heading, 2 if marked[i] else 0 if any(marked) else 1, named
+        top = any(e.top for e in b.inside) and not (marked[i] and b.heading)
+        rows[i, [0, 1, 6, 7, 8]] = b.words, b.links, b.heading, 2 if marked[i] else 0 if marked.any() else 1, named[i] or top
     rows[1:, 2:4], rows[:-1, 4:6] = rows[:-1, 0:2], rows[1:, 0:2]
     return rows
 

@@ -45,6 +45,15 @@ def test_comment_articles_and_teasers_go():
     assert H.main_text(page, TREE) == RUNNING
 
 
+def test_named_content_and_linked_blocks():
+    page = (f'<div class="entry-content"><p>{RUNNING}</p><p>Yes.</p></div><a href=x><h3>Other story</h3><p>{RUNNING}</p></a>')
+    assert H.main_text(page, TREE).split("\n") == [RUNNING, "Yes."]
+    page = f'<main><p>{RUNNING}</p><article><h3>Teaser</h3></article><p>Last.</p></main>'
+    assert H.main_text(page, TREE).split("\n") == [RUNNING, "Teaser", "Last."]
+    page = f'<main><p>Some words on the site</p><article><p>{RUNNING}</p><p>No.</p></article></main>'
+    assert H.main_text(page, TREE).split("\n") == [RUNNING, "No."]
+
+
 def test_tree_fits_its_table():
     table = np.array(H.LABELLED, float)
     assert ((TREE.predict(table[:, :-1]) >= 0.5) == table[:, -1]).all()
