@@ -109,12 +109,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
                   .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "m", "phrase")).alias("cands")))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     texts = docs.select("doc_id", text_hash, "text")
-    # Rows of one id and text become one before the comparison, which so stays above the join.
+    # Rows of one id and text become one before the comparison, which so stays above the join;
+    # a text's words are made once, as the argument of a function, not once per candidate.
+    occurs = lambda w: F.filter("cands", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["m"]), " ") == c["phrase"])
     confirmed = (texts.join(candidates, same(texts, candidates)).select(texts["doc_id"], texts["text_hash"], "text", "cands")
-                 .dropDuplicates(["doc_id", "text_hash"]).withColumn("w", words(F.col("text")))
-                 .withColumn("hits", F.filter("cands", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["m"]), " ") == c["phrase"]))
-                 .select("doc_id", "text_hash", "hits").where(F.size("hits") > 0))
-    confirmed = written(confirmed, "confirmed")
+                 .dropDuplicates(["doc_id", "text_hash"])
+                 .select("doc_id", "text_hash", F.transform(F.array(words(F.col("text"))), occurs)[0].alias("hits")))
+    confirmed = written(confirmed, "confirmed").where(F.size("hits") > 0)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["m"] - 1))))
     marked = confirmed.select("doc_id", "text_hash", F.size(covered).alias("n_hit"))
     listed = (confirmed.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda c: c["phrase"]))).alias("phrase"))
