@@ -1,5 +1,9 @@
 """Packing into optimal length buckets.
 
+A row's length is the number of its ids in a tokenizer file, the end id included
+(``n_ids``; counted once and written). ``n_tokens`` is the number of its words and the end mark,
+and no length or budget is taken from it.
+
 The corpus's length histogram (one aggregate, a row per grid length) goes to a dynamic
 program that chooses the bucket boundaries of least total padding. Inside a bucket,
 rows form batches of ``budget // boundary`` rows, each padded to the boundary, so a
@@ -14,17 +18,23 @@ Rows of a bucket are dealt by hash to chunks of about ``CHUNK_ROWS`` rows, each
 batched on its own: a bucket with most of the corpus is still many small groups. A
 chunk's last batch may be short.
 
-Edge cases: null or wordless texts have one token, the end mark. Rows of one id and text are
+Edge cases: null and empty texts have one id, the end id. Rows of one id and text are
 separate rows of the same chunk. Ties in the padding go to the fewest, then the
 shortest boundaries. An empty table gives an empty plan. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegrid.llm.common import chunks, public_tokenizer, written
+from casegrid.llm.token_files import _encoder
+
 EXACT, FINE, CHUNK_ROWS = 1024, 64, 16_384
 
 
@@ -33,6 +43,19 @@ def n_tokens(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")) + 1
 
 
+def n_ids(tokenizer: str, text: str = "text") -> Column:
+    """Ids of the text by the tokenizer file, and the end id."""
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = _encoder(tokenizer)
+        for s in batches:
+            texts = ["" if t is None else t for t in s]
+            yield pd.Series(np.concatenate([np.zeros(0, np.int64), *(enc.lengths(texts[i:j]) + 1 for i, j in chunks(texts))]))
+
+    return run(F.col(text))
+
+
 def grid(length: Column) -> Column:
     """The grid step of a length: itself up to EXACT, then FINE steps per doubling."""
     beyond = F.floor(F.log2(length / F.lit(float(EXACT))) * FINE)
@@ -67,13 +90,15 @@ def boundaries(longest: np.ndarray, rows: np.ndarray, tokens: np.ndarray, bucket
     return out[::-1]
 
 
-def pack(docs: DataFrame, budget: int = 32_768, buckets: int = 16) -> DataFrame:
-    """(doc_id, n_tokens, bucket, pad_to, chunk, batch, slot) per row of ``docs`` (doc_id, text);
-    (bucket, chunk, batch) names a batch and slot a row's place in it."""
+def pack(docs: DataFrame, budget: int = 32_768, buckets: int = 16, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_ids, bucket, pad_to, chunk, batch, slot) per row of ``docs`` (doc_id, text);
+    (bucket, chunk, batch) names a batch and slot a row's place in it. ``tokenizer`` is a
+    vocabulary file's path, by default the public byte_bpe_50k."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", n_tokens().cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("h"))
-    steps = (rows.groupBy(grid(F.col("n_tokens")).alias("step"))
-             .agg(F.max("n_tokens").alias("longest"), F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
+    ids = n_ids(tokenizer or public_tokenizer("byte_bpe_50k.json"))
+    rows = written(docs.select("doc_id", n_tokens().cast("long").alias("n_tokens"), ids.alias("n_ids"), F.xxhash64("doc_id", "text").alias("h")), "lengths")
+    steps = (rows.groupBy(grid(F.col("n_ids")).alias("step"))
+             .agg(F.max("n_ids").alias("longest"), F.count("*").alias("rows"), F.sum("n_ids").alias("tokens"))
              .orderBy("step").toPandas())                      # a row per grid step
     ends = boundaries(*(steps[k].to_numpy(np.int64) for k in ("longest", "rows", "tokens")), buckets)
     plan, low = [], 0
@@ -82,9 +107,9 @@ def pack(docs: DataFrame, budget: int = 32_768, buckets: int = 16) -> DataFrame:
         plan.append((b, low, end, max(1, budget // end), max(1, -(-int(inside["rows"].sum()) // CHUNK_ROWS))))
         low = end
     table = F.broadcast(spark.createDataFrame(plan, "bucket int, above long, pad_to long, batch_rows long, chunks long"))   # `buckets` rows
-    placed = (rows.withColumn("bucket", sum((F.col("n_tokens") > end).cast("int") for end in ends[:-1]) if len(ends) > 1 else F.lit(0))
+    placed = (rows.withColumn("bucket", sum((F.col("n_ids") > end).cast("int") for end in ends[:-1]) if len(ends) > 1 else F.lit(0))
               .join(table, "bucket").withColumn("chunk", F.pmod("h", "chunks")))
     nth = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("h", "doc_id")) - 1
     return placed.withColumn("nth", nth).select(
-        "doc_id", "n_tokens", "bucket", "pad_to", "chunk", F.floor(F.col("nth") / F.col("batch_rows")).alias("batch"),
+        "doc_id", "n_tokens", "n_ids", "bucket", "pad_to", "chunk", F.floor(F.col("nth") / F.col("batch_rows")).alias("batch"),
         F.pmod(F.col("nth").cast("long"), F.col("batch_rows")).alias("slot"))

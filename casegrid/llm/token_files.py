@@ -38,6 +38,8 @@ from casegrid.llm.common import CHUNK_BYTES, drop_path, scratch_path
 
 #: Pieces that a worker remembers before it starts anew, and numbers in a block.
 CACHE, BLOCK = 600_000, 1 << 18
+#: A count above any text's: the text is encoded whole.
+WHOLE = 1 << 40
 
 # Byte lengths of the four numbers of each control byte; masks by code.
 LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
@@ -82,6 +84,24 @@ class _Places(dict):
         return place
 
 
+class _Counts(dict):
+    """piece -> its number of ids, or ``WHOLE`` if it isn't apart from its neighbours. An unseen
+    piece counts 0 and is noted. ``old`` holds the counts from before the worker began anew;
+    those still in use move over."""
+
+    def __init__(self, old: dict[str, int]):
+        super().__init__()
+        self.old, self.new = old, []
+
+    def __missing__(self, piece: str) -> int:
+        n = self.old.get(piece)
+        if n is None:
+            self.new.append(piece)
+            return 0
+        self[piece] = n
+        return n
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, through one tokenizer file."""
 
@@ -96,6 +116,7 @@ class Encoder:
         self.spaced = np.zeros(top + 1, bool)           # ids of tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self._forget()
+        self.counts = [_Counts({}), _Counts({})]
 
     def _forget(self) -> None:
         self.size = 0
@@ -167,6 +188,42 @@ class Encoder:
             out[i] = e.tobytes()
         return out
 
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of every text, without gathering them."""
+        for k, c in enumerate(self.counts):
+            if len(c) > CACHE:
+                c.old = {}
+                self.counts[k] = _Counts(c)
+        heads, rest = self.counts
+        out, seen = [], []
+        for t in texts:
+            head, *tail = t.split(" ")
+            out.append(heads[head] + sum(map(rest.__getitem__, tail)))
+            seen.append((len(heads.new), len(rest.new)))
+        new = self._count_new()
+        i = j = 0
+        for k, (i_end, j_end) in enumerate(seen):           # the pieces that counted 0 in this text
+            if i < i_end or j < j_end:
+                out[k] += sum(map(heads.__getitem__, new[0][i:i_end])) + sum(map(rest.__getitem__, new[1][j:j_end]))
+                i, j = i_end, j_end
+        odd = [k for k, n in enumerate(out) if n >= WHOLE]
+        for k, e in zip(odd, self._encode([texts[k] for k in odd]), strict=True):
+            out[k] = len(e)
+        return np.array(out, np.int64)
+
+    def _count_new(self) -> list[list[str]]:
+        """Count the noted pieces, and return them."""
+        noted = [c.new for c in self.counts]
+        for spaced, counts in enumerate(self.counts):
+            new, counts.new = list(dict.fromkeys(counts.new)), []
+            apart = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+            counts.update(dict.fromkeys(new, WHOLE))
+            for i in range(0, len(apart), 4096):
+                part = apart[i:i + 4096]
+                n = self._encode_spaced(part)[1].tolist() if spaced else [len(e) for e in self._encode(part)]
+                counts.update(zip(part, n, strict=True))
+        return noted
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -50,3 +50,23 @@ def test_grid_never_mixes_order(spark):
 def test_empty(make_docs):
     assert P.pack(make_docs([])).count() == 0
     assert P.pack(make_docs([(1, None)])).count() == 1
+
+
+def test_lengths_are_the_tokenizers(make_docs):
+    from tokenizers import Tokenizer
+
+    from casegrid.llm.common import public_tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizer("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    texts = ["漢字仮名" * 60, "".join(rng.choices("ABCDEFabcdef0123456789+/", k=900)), "for(i=0;i<n;++i){a[i]=b[i]^c;}" * 20, " two  spaces\n\nand lines ", "", None,
+             *("".join(rng.choices("xyz0189{}();", k=rng.randint(1, 400))) for _ in range(60)), *("plain words in a row " * k for k in range(1, 12))]
+    want = [1 + len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    out = P.pack(make_docs(list(enumerate(texts))), budget=2000, buckets=4).collect()
+    assert {r.doc_id: r.n_ids for r in out} == dict(enumerate(want))
+    batches = defaultdict(list)
+    for r in out:
+        assert r.n_ids <= r.pad_to
+        batches[r.bucket, r.chunk, r.batch].append(r)
+    assert all(b[0].pad_to * len(b) <= 2000 or len(b) == 1 for b in batches.values())
+    assert len({r.pad_to for r in out}) == 4
