@@ -11,13 +11,18 @@ the paragraph covers ``MIN_COVER`` of the 2-grams of one of that family's notice
 A paragraph is a run of lines without a blank line between; a text without blank lines
 has its lines as paragraphs.
 
-Edge cases: null and empty texts and texts without a cue have no paragraphs; repeated
+A paragraph is judged if it holds a cue, or if it covers ``MIN_COVER`` of a notice without
+one, so none that could be confirmed is passed over. ``ANCHORS`` leave out early what can be
+neither: cues, and words without which less than that is left of each notice's 2-grams.
+
+Edge cases: null and empty texts and texts without a cue or such cover have no paragraphs; repeated
 rows get the same answer each; documents are told apart by id and text. Ties between families go to the first
 label. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -31,8 +36,9 @@ UNKNOWN = "unknown"
 MIN_PROBABILITY, MIN_COVER = 0.5, 0.6
 TEMPERATURES = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 5.0)
 
-# Texts that hold none of these (in lower case) hold no licence paragraph.
-CUES = ("licens", "licenc", "copyright", "public domain", "permission", "redistribut", "warrant", "spdx", "cc by", "cc-by", "cc0", "copyleft")
+# A paragraph that holds one of these (in lower case) is judged.
+CUES = ("licens", "licenc", "copyright", "domain", "permission", "redistribut", "warrant", "spdx", "cc by", "cc-by", "cc0", "copyleft",
+        "rights reserved", "gpl", "gnu", "creative commons")
 
 # Licence notices by family, as published or as commonly worded, and paragraphs that are none.
 NOTICES = [
@@ -120,6 +126,28 @@ CALIBRATION = [
 ]
 
 
+def _pairs(notice: str) -> list[str]:
+    w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", notice.lower())
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+
+
+#: (family, distinct 2-grams) of the notices.
+NOTICE_PAIRS = [(family, _pairs(text)) for family, text in NOTICES if family != UNKNOWN]
+
+
+def _anchors() -> tuple[str, ...]:
+    """The cues, and longest words of the notices until no text without any of them covers
+    ``MIN_COVER`` of a notice."""
+    out = list(CUES)
+    for _, pairs in NOTICE_PAIRS:
+        while len(left := [p for p in pairs if not any(c in w for w in p.split() for c in out)]) / len(pairs) >= MIN_COVER:
+            out.append(max((w for p in left for w in p.split()), key=lambda w: (len(w), w)))
+    return tuple(out)
+
+
+ANCHORS = _anchors()
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
 
@@ -137,8 +165,8 @@ def _featured(rows: DataFrame) -> DataFrame:
             .withColumn("terms", F.array_distinct(F.concat(_grams(w, 1), _grams(w, 2), _grams(w, 3)))))
 
 
-def _has_cue(text: str) -> Column:
-    cue = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in CUES])
+def _has_cue(text: str, cues: tuple[str, ...] = CUES) -> Column:
+    cue = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in cues])
     return F.exists(F.array(F.lower(F.col(text))), cue)          # the text is lowered once
 
 
@@ -182,13 +210,23 @@ def train(spark: SparkSession) -> LicenceModel:
     return LicenceModel(stages, labels, min(zip(loss, TEMPERATURES, strict=True))[1])
 
 
+def _covers_a_notice(text: str) -> Column:
+    """Whether ``MIN_COVER`` of some notice's 2-grams occur in the text."""
+    known = F.array(*[F.lit(p) for p in sorted({p for _, pairs in NOTICE_PAIRS for p in pairs})])
+    covers = lambda own: reduce(lambda a, b: a | b, [
+        F.size(F.array_intersect(own, F.array(*[F.lit(p) for p in pairs]))) / len(pairs) >= MIN_COVER for _, pairs in NOTICE_PAIRS])
+    pairs = F.transform(F.array(_words(F.col(text))), lambda w: F.array_intersect(_grams(w, 2), known))
+    return F.exists(pairs, covers)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, place, text): paragraphs with a cue; rows of one id and text once."""
-    with_cue = (docs.where(_has_cue("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    """(doc_id, text_hash, place, text): paragraphs to judge; rows of one id and text once."""
+    anchored = (docs.where(_has_cue("text", ANCHORS)).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
                 .dropDuplicates(["doc_id", "text_hash"]))
     blank = r"\n[ \t\r]*\n\s*"
     parts = F.when(F.col("text").rlike(blank), F.split("text", blank)).otherwise(F.split("text", r"\r?\n"))
-    return with_cue.select("doc_id", "text_hash", F.posexplode(parts).alias("place", "text")).where(_has_cue("text"))
+    rows = anchored.select("doc_id", "text_hash", F.posexplode(parts).alias("place", "text")).where(_has_cue("text", ANCHORS))
+    return rows.where(_has_cue("text") | _covers_a_notice("text"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

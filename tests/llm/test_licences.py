@@ -35,3 +35,18 @@ def test_scan(spark, make_docs):
 def test_plan_has_no_python(spark, make_docs):
     plan = L.scan(make_docs([(1, "Released under the MIT License.")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_every_labelled_row_passes_the_gate(spark, make_docs):
+    labelled = L.NOTICES + L.CALIBRATION
+    rows = [(i, f"Some prose.\n{t}\nMore prose.") for i, (_, t) in enumerate(labelled)]
+    rows += [(900, "(c) 2020 Example Inc. All rights reserved."), (901, "is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files")]
+    out = {r.doc_id: r for r in L.scan(make_docs(rows)).collect()}
+    assert all(r.n_cues == 1 for r in out.values())
+    assert [out[i].licences for i, _ in enumerate(L.NOTICES)] == ["" if f == L.UNKNOWN else f for f, _ in L.NOTICES]
+    assert out[900].licences == "proprietary" and out[901].licences == "mit"
+
+
+def test_no_text_without_an_anchor_covers_a_notice():
+    for _, pairs in L.NOTICE_PAIRS:
+        assert sum(not any(a in w for w in p.split() for a in L.ANCHORS) for p in pairs) / len(pairs) < L.MIN_COVER
