@@ -5,8 +5,9 @@ word count and link density, those of its neighbours before and after, whether i
 a heading, whether the page marks it as main content (inside ``article``, or, where the
 articles hold less than ``ARTICLE_SHARE`` of the marked words, inside ``article``, ``main``
 or an element named like one; unmarked page; outside the marked part), and whether an enclosing element says what it
-is (a navigation, footer, aside or form element, or a class, id or role naming an advert,
-notice, comment section and the like). A decision tree fitted to ``LABELLED`` keeps or
+is (a navigation, footer, aside or form element, or a whole class word, id or role naming an advert,
+comment section and the like; words such as discussion, related or notice only where the element
+holds links, or short text under such a class). A decision tree fitted to ``LABELLED`` keeps or
 drops it; where it keeps none of an unmarked page's, the unnamed ones of few links stay. Kept blocks are joined by a newline.
 
 Inside a block, character references are decoded and white space becomes one space;
@@ -79,12 +80,25 @@ CONTENT = frozenset("article main".split())
 # Class, id or role words that together (first with second) or alone name the content.
 CONTENT_OF, CONTENT_PART, CONTENT_IDS = frozenset("article entry post main story page".split()), frozenset("body content text".split()), frozenset("content main article maincontent".split())
 NAMED_TAGS = frozenset("nav footer aside form menu dialog".split())
-# Words in a class, id or role that name what is not main text.
+# Class words, ids and roles that name what is not main text, alone or in a compound of names and PAGE_PARTS only.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation "
                   "menu menubar breadcrumb breadcrumbs footer sidebar aside complementary contentinfo widget widgets cookie cookies consent gdpr "
-                  "notice notices alert popup modal overlay dialog comment comments disqus replies reply respond discussion newsletter subscribe "
-                  "subscription signup login search social share sharing related recommended pagination pager toolbar skip hidden".split())
+                  "alert popup modal overlay dialog comment comments disqus replies reply respond newsletter subscribe "
+                  "subscription signup login pagination pager toolbar skip hidden".split())
+# Names that head main text as well; the words and links under them decide.
+AMBIGUOUS = frozenset("discussion notice notices related recommended search sharing share social".split())
+# Names that are ambiguous as the id of a part of a text (TEXT_PARTS).
+TOPICS = frozenset("advert adverts advertisement advertising banner sponsor promotion navigation menu breadcrumb widget widgets cookie cookies consent "
+                   "gdpr alert dialog modal overlay reply replies subscription signup login newsletter pagination toolbar hidden".split())
+TEXT_PARTS = frozenset("section p ul ol li dl dt dd table tr td th figure blockquote pre".split())
 TOP_NAMES = frozenset("header masthead topbar".split())
+# Words that say where or what an element of a page is, in compounds with the names above (cookie-bar, post-comments).
+PAGE_PARTS = frozenset("area article articles author bar block body bottom box button buttons container content count desktop entry fb fixed form "
+                       "global google icon icons inline inner item items js label leaderboard left link links list main meta mobile module news "
+                       "outer page panel post posts primary right secondary section site slot sticky stories text thread title toggle top unit "
+                       "wp wrap wrapper".split())
+# Words that make an element named by an ambiguous class running text.
+RUNNING_WORDS = 12
 
 ARTICLE_SHARE = 0.4
 
@@ -99,6 +113,8 @@ class _Element:
     tag: str
     named: bool = False         # says itself that it is not main text
     by_class: bool = False      # ... by a class, id or role only
+    maybe_class: bool = False   # ... by an ambiguous class, if it holds no running text
+    maybe_id: bool = False      # ... by an ambiguous id, if it holds links
     top: bool = False           # a page header
     content: bool = False
 
@@ -112,6 +128,30 @@ class Block:
     inside: list[_Element]
 
 
+def _compound(token: str, names: frozenset[str]) -> bool:
+    """Whether the token is one of the names, or a compound of them and of parts of a page."""
+    parts = [p for p in map(str.lower, _NAME_PARTS.findall(token)) if len(p) > 1]
+    return any(p in names for p in parts) and all(p in names or p in PAGE_PARTS for p in parts)
+
+
+def _name(e: _Element, key: str, token: str) -> None:
+    """Note what a class word, id or role says of its element; a heading's id is its anchor."""
+    if key == "id" and e.tag in HEADINGS:
+        return
+    if key == "role":
+        e.by_class |= token.lower() in NAMES | {"search"}
+    elif key == "id" and e.tag in TEXT_PARTS and token.lower() in TOPICS:
+        e.maybe_id = True
+    elif _compound(token, NAMES | AMBIGUOUS):
+        if not _compound(token, AMBIGUOUS):
+            e.by_class = True
+        elif key == "id":
+            e.maybe_id = True
+        else:
+            e.maybe_class = True
+    e.top |= _compound(token, TOP_NAMES)
+
+
 def _element(tag: str, attributes: str) -> _Element:
     e = _Element(tag, named=tag in NAMED_TAGS, top=tag == "header", content=tag in CONTENT)
     if attributes and tag not in ("html", "body", "main"):
@@ -120,8 +160,8 @@ def _element(tag: str, attributes: str) -> _Element:
             if key in ("class", "id", "role"):
                 parts = {p.lower() for p in _NAME_PARTS.findall(value)}
                 e.content |= bool(parts & CONTENT_OF and parts & CONTENT_PART) or (key != "class" and value.lower() in CONTENT_IDS)
-                e.by_class |= bool(parts & NAMES)
-                e.top |= bool(parts & TOP_NAMES)
+                for token in value.split():
+                    _name(e, key, token)
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
                 e.named = True
     return e
@@ -212,7 +252,7 @@ def blocks(page: str) -> list[Block]:
             if tag in CONTENT and not e.by_class and tag not in seen:
                 seen.add(tag)
                 for outer in stack:         # a wrapper of the content is not what its class names
-                    outer.by_class = False
+                    outer.by_class = outer.maybe_class = outer.maybe_id = False
             stack.append(e)
     flush()
     return out
@@ -223,8 +263,23 @@ def _after_raw(page: str, at: int, tag: str) -> int:
     return m.end() if m else len(page)
 
 
+def _settle(found: list[Block]) -> None:
+    """Elements with an ambiguous name are named if half of their words are links, or if a
+    class named them and they hold no running text."""
+    held: dict[int, tuple[_Element, list[Block]]] = {}
+    for b in found:
+        for e in b.inside:
+            if (e.maybe_class or e.maybe_id) and not e.by_class:
+                held.setdefault(id(e), (e, []))[1].append(b)
+    for e, inside in held.values():
+        linked = sum(b.words * b.links for b in inside) >= 0.5 * sum(b.words for b in inside)
+        running = any(b.words >= RUNNING_WORDS and b.links < 0.5 for b in inside)
+        e.by_class = linked or (e.maybe_class and not running)
+
+
 def features(found: list[Block]) -> np.ndarray:
     """One row of FEATURES per block."""
+    _settle(found)
     named = np.array([any(e.named or e.by_class for e in b.inside) for b in found], bool)
     content = np.array([any(e.content for e in b.inside) for b in found], bool) & ~np.array([any(e.content and e.by_class for e in b.inside) for b in found], bool)
     article = content & np.array([any(e.tag == "article" for e in b.inside) for b in found], bool)

@@ -80,3 +80,23 @@ def test_rows(spark):
     long = RUNNING * 4000
     assert out == [(0, long, len(long)), (1, "", 0), (2, "", 0), (3, "", 0), (3, "", 0)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_parts_of_a_text_with_everyday_names():
+    """Sections and anchors whose names hold words such as discussion or social stay whole."""
+    for open_, close in (('<section id="discussion">', "</section>"), ('<section id="social-impact">', "</section>"), ('<div class="search-results-table">', "</div>"),
+                         ('<div class="notice-period">', "</div>"), ('<section id="cookies">', "</section>"), ('<section id="menu">', "</section>"),
+                         ('<div class="related">', "</div>"), ('<section id="http-header">', "</section>"), ('<div class="has-sidebar">', "</div>")):
+        page = f'<article><h1>Title</h1><p>{RUNNING}</p>{open_}<h2>Part</h2><p>{RUNNING}</p><p>Short.</p>{close}<p>End.</p></article>'
+        assert H.main_text(page, TREE).split("\n") == ["Title", RUNNING, "Part", RUNNING, "Short.", "End."], open_
+    page = f'<article><h2 id="related-work">Related work</h2><p class="notice-period">Three months.</p><h2 id="comments">Comments</h2><p>{RUNNING}</p></article>'
+    assert H.main_text(page, TREE).split("\n") == ["Related work", "Three months.", "Comments", RUNNING]
+
+
+def test_named_parts_go():
+    link = "<a href=x>Another story of this site</a>"
+    for part in (f'<section id="comments"><p>{RUNNING}</p></section>', f'<div id="respond"><p>{RUNNING}</p></div>', f'<div class="x sidebar-right"><p>{RUNNING}</p></div>',
+                 f'<div class="cookieBanner"><p>{RUNNING}</p></div>', f'<div id="ad-300x250">{RUNNING}</div>', f'<div class="related-posts"><h3>Related</h3><ul><li>{link}</li><li>{link}</li></ul></div>',
+                 f'<section id="related"><p>{link}</p></section>', '<div class="social-share">Share this</div>', f'<div role="search">{RUNNING}</div>', f'<div class="post-comments">{RUNNING}</div>'):
+        page = f'<article><p>{RUNNING}</p>{part}<p>End.</p></article>'
+        assert H.main_text(page, TREE).split("\n") == [RUNNING, "End."], part
