@@ -4,7 +4,8 @@ Three steps, each a plain Spark job:
 
 1. **Land**: read the CSV once with every column as a string plus a corrupt
    record column (``PERMISSIVE``), and write it as Parquet. One file with quoted
-   newlines is read by as many tasks as it has splits (``read_records``).
+   newlines is read by as many tasks as it has splits (``read_records``); a file
+   with quotes that RFC 4180 doesn't allow is read whole by Spark's CSV reader.
    Each row is tagged in the same pass with a rejection reason (malformed
    record, unparsable date, unparsable Yes/No flag).
 2. **Type**: rename the queried columns to snake_case and parse the date and
@@ -21,6 +22,7 @@ tables (a lazily read CSV only validates the columns a query touches).
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,14 +56,13 @@ def raw_schema(columns: list[str]) -> T.StructType:
                         + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, is_header, record): the text of every CSV record, quoted newlines included,
-    read by lines so that a file is split over tasks.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the files at ``path``, with whether each begins and ends inside a quoted field
+    and the line that its record begins with, if quotes are as RFC 4180 has them.
 
     A line lies inside a quoted field if the quotes before it in its file are odd in
-    number (RFC 4180: quotes in a field are doubled). Each split counts its own quotes;
-    the parity that each split begins with comes from one small row per split. A record
-    on one line passes on as it is; only lines of longer records are grouped.
+    number (quotes in a field are doubled). Each split counts its own quotes;
+    the parity that each split begins with comes from one small row per split.
     """
     lines = (spark.read.option("lineSep", "\n").text(path)
              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -85,6 +86,31 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     lines = (lines.withColumn("inside", inside).withColumn("closed", (F.col("inside") + F.col("odd")) % 2 == 0)
              .withColumn("record", F.coalesce(F.last(starts, ignorenulls=True).over(within), "open_record"))
              .withColumn("is_header", (F.col("block") == 0) & (F.row_number().over(within) == 1)))
+    return lines
+
+
+def odd_files(spark: SparkSession, path: str) -> list[str]:
+    """The files at ``path`` that have a quote elsewhere than around a field or doubled in a
+    quoted one, or an unclosed one. Up to the first such place the parity of quotes tells
+    quoted fields rightly, so the line there is found."""
+    lines = _lines(spark, path)
+    value = F.when(F.col("closed"), F.regexp_replace("value", r"\r$", "")).otherwise(F.col("value"))
+    whole = F.concat(F.when(F.col("inside") == 1, F.lit(',"')).otherwise(F.lit(",")), value, F.when(F.col("closed"), F.lit(",")).otherwise(F.lit('",')))
+    # Text between two quotes: inside and outside a field by turns. Outside it is a doubled quote's nothing, or has separators at both ends.
+    parts = F.split(whole, '"')
+    outside = F.transform(parts, lambda x, i: (i % 2 == 1) | ((i > 0) & (i < F.size(parts) - 1) & (x == ""))
+                          | (((i == 0) | x.startswith(",")) & ((i == F.size(parts) - 1) | x.endswith(","))))
+    bad = F.contains("value", F.lit('"')) & ~F.forall(outside, lambda x: x)
+    files = lines.groupBy("file").agg(F.max(bad).alias("bad"), (F.sum("odd") % 2 == 1).alias("open"))
+    return sorted(r["file"] for r in files.where("bad or open").select("file").collect())     # a row per file
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, is_header, record): the text of every CSV record, quoted newlines included,
+    read by lines so that a file is split over tasks; for files that ``odd_files`` doesn't name.
+    A record on one line passes on as it is; only lines of longer records are grouped.
+    """
+    lines = _lines(spark, path)
     alone = (F.col("inside") == 0) & F.col("closed")
     whole = lines.where(alone).select("file", "is_header", F.col("value").alias("text"))
     parts = lines.where(~alone).groupBy("file", "record").agg(
@@ -95,15 +121,28 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_split(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """``read_raw`` through ``read_records``."""
+    """``read_raw`` through ``read_records``; files with stray quotes by Spark's own reader, each in one task."""
+    odd = odd_files(spark, path)
     records = read_records(spark, path)
+    if odd:
+        records = records.where(~F.col("file").isin(odd))
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
     header = F.from_csv("record", ", ".join(f"`{c}` string" for c in columns), {**options, "mode": "FAILFAST"})
     same = lambda h: F.array(*[h[c] for c in columns]) == F.array(*[F.lit(c) for c in columns])
     checked = F.when(F.col("is_header"), F.when(same(header), F.lit(False)).otherwise(F.raise_error(
         F.concat(F.lit("unexpected CSV header in "), F.col("file"))).cast("boolean"))).otherwise(F.lit(True))
-    return records.where(checked).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+    rows = records.where(checked).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+    if not odd:
+        return rows
+    return rows.union(_whole_files(spark, [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(f)) for f in odd], columns, multiline=True))
+
+
+def _whole_files(spark: SparkSession, path: str | list[str], columns: list[str], multiline: bool) -> DataFrame:
+    return (_csv_reader(spark, multiline).schema(raw_schema(columns))
+            .option("enforceSchema", False)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .csv(path))
 
 
 def read_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -115,10 +154,7 @@ def read_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
     columns = columns or header_columns(spark, path, multiline)
     if multiline:
         return _read_split(spark, path, columns)
-    return (_csv_reader(spark, multiline).schema(raw_schema(columns))
-            .option("enforceSchema", False)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .csv(path))
+    return _whole_files(spark, path, columns, multiline)
 
 
 def _source_of(columns: list[str], name: str) -> str | None:

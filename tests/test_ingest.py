@@ -198,6 +198,28 @@ def test_split_read_equals_multiline_read(spark, tmp_path):
     assert got == sorted(map(tuple, whole.collect()), key=repr) and len(got) == 1600
 
 
+@pytest.mark.parametrize("stray", ['2020-01-01,5" pipe,TX', '2020-01-01,say "hi" there,TX', '2020-01-01,"a"b,TX', '2020-01-01, "x",TX', '2020-01-01,"never closed,TX'])
+def test_stray_quotes_read_as_by_spark(spark, tmp_path, stray):
+    for name, odd in (("plain.csv", ""), ("odd file.csv", stray + "\n")):
+        with open(tmp_path / name, "w", newline="") as out:
+            out.write("Date received,Note,State\n" + "".join(f'2020-01-{i % 28 + 1:02d},"line ""{i}""\nmore",TX\n2020-02-01,,""\n' for i in range(150))
+                      + odd + "".join(f"2020-03-01,after {i},CA\n" for i in range(300)) + '2020-04-01,"two\nlines",WA\n')
+    path = str(tmp_path)
+    columns = C.header_columns(spark, path)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert [f.rsplit("/", 1)[1][:3] for f in C.odd_files(spark, path)] == ["odd"]
+        got = sorted(map(tuple, C.read_raw(spark, path, columns).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    whole = (C._csv_reader(spark, True).schema(C.raw_schema(columns)).option("enforceSchema", False)
+             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", C.CORRUPT).csv(path))
+    assert got == sorted(map(tuple, whole.collect()), key=repr)
+    if "5" in stray:
+        assert sum(r[2] == "CA" for r in got) == 600
+
+
 # Strict read-back and series load ----------------------------------------------
 
 def test_export_read_back_is_strict(spark, tmp_path):
