@@ -4,8 +4,8 @@ Three steps, each a plain Spark job:
 
 1. **Land**: read the CSV once with every column as a string plus a corrupt
    record column (``PERMISSIVE``), and write it as Parquet. One file with quoted
-   newlines is read by as many tasks as it has splits (``read_records``); a file
-   with quotes that RFC 4180 doesn't allow is read whole by Spark's CSV reader.
+   newlines is read by as many tasks as it has splits (``read_records``), whatever
+   its quotes.
    Each row is tagged in the same pass with a rejection reason (malformed
    record, unparsable date, unparsable Yes/No flag).
 2. **Type**: rename the queried columns to snake_case and parse the date and
@@ -22,13 +22,17 @@ tables (a lazily read CSV only validates the columns a query touches).
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegrid import schema as S
+from casegrid.session import scratch_path
 
 CORRUPT = "_corrupt_record"
 REASON = "reject_reason"
@@ -56,89 +60,305 @@ def raw_schema(columns: list[str]) -> T.StructType:
                         + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of the files at ``path``, with whether each begins and ends inside a quoted field
-    and the line that its record begins with, if quotes are as RFC 4180 has them.
-
-    A line lies inside a quoted field if the quotes before it in its file are odd in
-    number (quotes in a field are doubled). Each split counts its own quotes;
-    the parity that each split begins with comes from one small row per split.
+# Splitting one file over tasks ------------------------------------------------
+#
+# A line either begins a record (OUT) or lies inside a quoted field (IN), and the state after a
+# line follows from the state before it. So a split of a file maps a state to a state, whatever
+# comes before it; composing those maps over the splits gives every split its own start state.
+# Quotes are read as Spark's CSV reader does: they open a field only at its first character, are
+# doubled inside, and after the closing one whatever follows goes on to the next delimiter.
+
+OUT, IN = 0, 1
+#: Bytes of a record's part that the first pass keeps of a split; longer parts take a third scan.
+FRAGMENT_BYTES = 1 << 20
+
+_INSIDE = rb'[^"]*+(?:""[^"]*+)*+'
+_FIELD = rb'(?:"' + _INSIDE + rb'"[^,]*+|[^",][^,]*+)?+'
+# A line that ends outside of quotes, from either state.
+_CLOSED = (re.compile(_FIELD + rb"(?:," + _FIELD + rb")*+\Z"), re.compile(_INSIDE + rb'"[^,]*+(?:,' + _FIELD + rb")*+\Z"))
+# A line whose quotes are all as RFC 4180 has them, from either state.
+_RFC = rb'(?:"' + _INSIDE + rb'"|(?!")[^",]*+)'
+_END = rb'(?:\r?\Z|,?(?<![^,])"' + _INSIDE + rb"\Z)"
+_PLAIN = (re.compile(rb"(?:" + _RFC + rb"(?:," + _RFC + rb")*+)?+" + _END), re.compile(_INSIDE + rb'(?:\Z|"(?:,' + _RFC + rb")*+" + _END + rb")"))
+
+
+def _states(n: int, at: list[int], quoted: list[bytes], state: int, known: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, int]:
+    """(state before each of ``n`` lines, state after them); ``quoted`` are the lines ``at`` which
+    there are quotes, all others leave the state. From where it meets ``known`` it is that."""
+    out = np.empty(n, np.int8)
+    done = 0
+    for i, line in zip(at, quoted, strict=True):
+        out[done:i + 1] = state
+        if known is not None and known[0][i] == state:
+            out[i:] = known[0][i:]
+            return out, known[1]
+        state = OUT if _CLOSED[state].match(line) else IN
+        done = i + 1
+    out[done:] = state
+    return out, state
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Stretches of lines of one split, in order, and whether each begins a new split."""
+    last = None
+    for batch in batches:
+        file, block = batch.column("file").to_numpy(), batch.column("block").to_numpy()
+        cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(file)], strict=True):
+            if i < j:
+                new = (file[i], block[i]) != last
+                last = (file[i], block[i])
+                yield batch.slice(i, j - i), new
+
+
+def _quotes(lines: pa.Array) -> tuple[list[int], list[bytes]]:
+    mask = pc.match_substring(lines, '"')
+    return np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist(), lines.filter(mask).to_pylist()
+
+
+class _Part:
+    """Lines of a record that may go on beyond the split, given up as ``None`` above a size."""
+
+    def __init__(self, limit: int):
+        self.limit, self.lines, self.size = limit, [], 0
+
+    def add(self, lines: pa.Array) -> None:
+        if self.lines is not None:
+            self.size += lines.nbytes
+            self.lines = self.lines + lines.to_pylist() if self.size <= self.limit else None
+
+    def text(self) -> bytes | None:
+        return None if self.lines is None else b"\n".join(self.lines)
+
+
+class _Summary:
+    """What the first pass finds out about one split, for either start state."""
+
+    FIELDS = (("file", pa.int64()), ("block", pa.int64()), ("file_size", pa.int64()), ("bytes", pa.int64()), ("to_out", pa.int32()), ("to_in", pa.int32()),
+              ("opens_in", pa.bool_()), ("stray_out", pa.bool_()), ("stray_in", pa.bool_()), ("head", pa.binary()),
+              ("tail_out", pa.binary()), ("tail_in", pa.binary()), ("header_out", pa.bool_()), ("name", pa.string()))
+
+    def __init__(self, file: int, block: int, file_size: int, name: str | None, limit: int, strays: bool):
+        self.file, self.block, self.file_size, self.name, self.limit, self.strays = file, block, file_size, name, limit, strays
+        self.bytes, self.state, self.stray, self.blank = 0, [OUT, IN], [False, False], True
+        self.head, self.opened = _Part(limit), [False, False]
+        self.tail, self.tail_is_first = [None, None], False
+
+    def add(self, lines: pa.Array) -> None:
+        self.bytes += int(pc.sum(pc.binary_length(lines)).as_py()) + len(lines)
+        at, quoted = _quotes(lines)
+        known = None
+        for h in (OUT, IN):
+            before, after = known = _states(len(lines), at, quoted, self.state[h], known)
+            if self.strays and not self.stray[h]:
+                self.stray[h] = not all(_PLAIN[before[i]].match(q) for i, q in zip(at, quoted, strict=True))
+            starts = np.flatnonzero(before == OUT)
+            if not self.opened[h] and h == IN:
+                self.head.add(lines[:starts[0]] if len(starts) else lines)
+            if after == OUT:
+                self.tail[h] = None
+            elif len(starts):
+                self.tail[h] = _Part(self.limit)
+                self.tail[h].add(lines[starts[-1]:])
+                if h == OUT:
+                    # A record is the file's first if only blank lines come before it.
+                    self.tail_is_first = self.blank and _blank(lines[:starts[-1]])
+            elif self.tail[h] is not None:
+                self.tail[h].add(lines)
+            self.opened[h] |= len(starts) > 0
+            self.state[h] = after
+        self.blank = self.blank and _blank(lines)
+
+    def row(self) -> tuple:
+        text = lambda part: b"" if part is None else part.text()
+        return (self.file, self.block, self.file_size, self.bytes, self.state[OUT], self.state[IN], self.opened[IN], *self.stray,
+                self.head.text(), text(self.tail[OUT]), text(self.tail[IN]), self.block == 0 and self.tail_is_first, self.name)
+
+
+def _blank(lines: pa.Array) -> bool:
+    return not len(lines) or pc.max(pc.binary_length(lines)).as_py() <= 1 and all(x in (b"", b"\r") for x in lines.to_pylist())
+
+
+def _text_lines(spark: SparkSession, path: str, names: bool = False) -> DataFrame:
+    """The lines at ``path`` in their order, under the split that they begin in (with ``names``, the first one's
+    have the file's path)."""
+    name = F.when(F.col("_metadata.file_block_start") == 0, F.col("_metadata.file_path")) if names else F.lit(None).cast("string")
+    return (spark.read.option("lineSep", "\n").text(path)
+            .select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.col("_metadata.file_size").alias("file_size"), name.alias("name"), F.col("value").cast("binary").alias("value")))
+
+
+def _summaries(spark: SparkSession, path: str, limit: int, strays: bool = False) -> DataFrame:
+    """A row per split (``_Summary``), found in one pass over the lines."""
+    schema = pa.schema(_Summary.FIELDS)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = None
+        for run, new in _runs(batches):
+            if new:
+                if split:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, split.row(), strict=True))], schema)
+                split = _Summary(*(run.column(c)[0].as_py() for c in ("file", "block", "file_size", "name")), limit, strays)
+            split.add(run.column("value"))
+        if split:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, split.row(), strict=True))], schema)
+
+    types = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary", pa.string(): "string"}
+    return _text_lines(spark, path, strays).mapInArrow(summarise, ", ".join(f"{f.name} {types[f.type]}" for f in schema))
+
+
+def _split_states(summaries: DataFrame) -> DataFrame:
+    """(file, block, state, after, opened, record) per split: the states before and after it, whether a
+    record begins in it, and the split that the record open at its start begins in.
+
+    A split's map either has one value, keeps the state or swaps it, so the state is the last single
+    value before, swapped as often as splits since then do. The windows are over rows of splits.
     """
-    lines = (spark.read.option("lineSep", "\n").text(path)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("id"), "value")
-             .withColumn("odd", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2))
-    within = Window.partitionBy("file", "block").orderBy("id")
-    before = F.coalesce(F.sum("odd").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("before", before % 2)
-    # Where the split's last record begins, for either parity that the split may begin with.
-    last = lambda parity: F.max(F.when(F.col("before") == parity, F.col("id")))
-    splits = lines.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd"), last(0).alias("last0"), last(1).alias("last1"))
-    earlier = Window.partitionBy("file").orderBy("block")
-    carry = F.coalesce(F.sum("odd").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    splits = splits.withColumn("carry", carry)
-    begun = F.when(F.col("carry") == 0, F.col("last0")).otherwise(F.col("last1"))
-    splits = splits.withColumn("begun", begun).withColumn(
-        "open_record", F.last("begun", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
-    lines = lines.join(splits.select("file", "block", "carry", "open_record"), ["file", "block"])
-    inside = (F.col("before") + F.col("carry")) % 2
-    starts = F.when(inside == 0, F.col("id"))
-    lines = (lines.withColumn("inside", inside).withColumn("closed", (F.col("inside") + F.col("odd")) % 2 == 0)
-             .withColumn("record", F.coalesce(F.last(starts, ignorenulls=True).over(within), "open_record"))
-             .withColumn("is_header", (F.col("block") == 0) & (F.row_number().over(within) == 1)))
-    return lines
+    swap = ((F.col("to_out") == IN) & (F.col("to_in") == OUT)).cast("long")
+    fixed = F.when(F.col("to_out") == F.col("to_in"), F.col("to_out"))
+    order = Window.partitionBy("file").orderBy("block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = summaries.select("file", "block", "file_size", "bytes", "to_out", "to_in", "opens_in", "stray_out", "stray_in", "name", fixed.alias("fixed"), swap.alias("swap"))
+    rows = rows.withColumn("swaps", F.sum("swap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    since = F.coalesce(F.last(F.when(F.col("fixed").isNotNull(), F.col("swaps")), ignorenulls=True).over(earlier), F.lit(0))
+    state = (F.coalesce(F.last("fixed", ignorenulls=True).over(earlier), F.lit(OUT)) + F.coalesce(F.last("swaps").over(earlier), F.lit(0)) - since) % 2
+    rows = rows.withColumn("state", state.cast("int"))
+    opened = (F.col("state") == OUT) | F.col("opens_in")
+    rows = rows.withColumns({"opened": opened, "after": F.when(F.col("state") == OUT, F.col("to_out")).otherwise(F.col("to_in")),
+                             "stray": F.when(F.col("state") == OUT, F.col("stray_out")).otherwise(F.col("stray_in"))})
+    return rows.withColumn("record", F.last(F.when(F.col("opened"), F.col("block")), ignorenulls=True).over(earlier))
 
 
 def odd_files(spark: SparkSession, path: str) -> list[str]:
     """The files at ``path`` that have a quote elsewhere than around a field or doubled in a
-    quoted one, or an unclosed one. Up to the first such place the parity of quotes tells
-    quoted fields rightly, so the line there is found."""
-    lines = _lines(spark, path)
-    value = F.when(F.col("closed"), F.regexp_replace("value", r"\r$", "")).otherwise(F.col("value"))
-    whole = F.concat(F.when(F.col("inside") == 1, F.lit(',"')).otherwise(F.lit(",")), value, F.when(F.col("closed"), F.lit(",")).otherwise(F.lit('",')))
-    # Text between two quotes: inside and outside a field by turns. Outside it is a doubled quote's nothing, or has separators at both ends.
-    parts = F.split(whole, '"')
-    outside = F.transform(parts, lambda x, i: (i % 2 == 1) | ((i > 0) & (i < F.size(parts) - 1) & (x == ""))
-                          | (((i == 0) | x.startswith(",")) & ((i == F.size(parts) - 1) | x.endswith(","))))
-    bad = F.contains("value", F.lit('"')) & ~F.forall(outside, lambda x: x)
-    files = lines.groupBy("file").agg(F.max(bad).alias("bad"), (F.sum("odd") % 2 == 1).alias("open"))
-    return sorted(r["file"] for r in files.where("bad or open").select("file").collect())     # a row per file
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, is_header, record): the text of every CSV record, quoted newlines included,
-    read by lines so that a file is split over tasks; for files that ``odd_files`` doesn't name.
-    A record on one line passes on as it is; only lines of longer records are grouped.
+    quoted one, or an unclosed one (a report for the user: the load reads them like any other)."""
+    splits = _split_states(_summaries(spark, path, 0, strays=True))
+    files = splits.groupBy("file").agg(F.max("stray").alias("stray"), F.max_by("after", "block").alias("after"), F.max("name").alias("name"))
+    return sorted(r["name"] for r in files.where(F.col("stray") | (F.col("after") == IN)).select("name").collect())     # a row per file
+
+
+def _lines_with_state(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
+    """Lines with the state and the open record of their split. Only splits that begin inside quotes
+    have a row to join: 24 bytes for each ``spark.sql.files.maxPartitionBytes`` of text, 20 MB for 100 TB."""
+    inside = F.broadcast(states.where(F.col("state") == IN).select("file", "block", "state", "record"))
+    return _text_lines(spark, path).join(inside, ["file", "block"], "left")
+
+
+def _pieces(spark: SparkSession, path: str, states: DataFrame, fragments: bool) -> DataFrame:
+    """(file, record, block, is_header, text) of the records that lie whole in a split; or, with
+    ``fragments``, of the parts of all others. A narrow pass: no line is shuffled."""
+    schema = pa.schema([("file", pa.int64()), ("record", pa.int64()), ("block", pa.int64()), ("is_header", pa.bool_()), ("text", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = block = record = None
+        state, part, first, part_first = OUT, None, False, False       # part: lines of the record that is open
+
+        def rows(texts: pa.Array, header: list[bool], record: int) -> pa.RecordBatch:
+            n = len(texts)
+            return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int64()), pa.array([record] * n, pa.int64()), pa.array([block] * n, pa.int64()),
+                                               pa.array(header, pa.bool_()), texts], schema=schema)
+
+        def fragment() -> Iterator[pa.RecordBatch]:
+            if fragments and part is not None:
+                yield rows(pa.array([b"\n".join(part)], pa.binary()), [part_first], block if record is None else record)
+
+        for run, new in _runs(batches):
+            lines = run.column("value")
+            if new:
+                yield from fragment()
+                file, block, record = (run.column(c)[0].as_py() for c in ("file", "block", "record"))
+                state = run.column("state")[0].as_py() or OUT
+                part, part_first, first = ([] if state == IN else None), False, block == 0
+                if state == OUT:
+                    record = None
+            before, after = _states(len(lines), *_quotes(lines), state)
+            state = after
+            starts = np.flatnonzero(before == OUT)
+            if not len(starts):
+                if fragments or record is None:
+                    part += lines.to_pylist()
+                continue
+            done = []               # records of several lines
+            if part is not None:
+                if fragments or record is None:
+                    part += lines[:starts[0]].to_pylist()
+                if record is not None:
+                    yield from fragment()
+                else:
+                    done.append((b"\n".join(part), part_first))
+                part, record = None, None
+            ends = np.append(starts[1:], len(lines))
+            header = np.zeros(len(starts), bool)
+            if first:
+                # The file's first record that is not an empty line.
+                for i in range(len(starts)):
+                    if not _blank(lines[starts[i]:ends[i]]):
+                        header[i], first = True, False
+                        break
+            if after == IN:
+                part, part_first = lines[starts[-1]:].to_pylist(), bool(header[-1])
+                starts, ends, header = starts[:-1], ends[:-1], header[:-1]
+            if fragments:
+                continue
+            alone = ends - starts == 1
+            if alone.any():
+                yield rows(lines.take(pa.array(starts[alone])), header[alone].tolist(), block)
+            for i, j, h in zip(starts[~alone].tolist(), ends[~alone].tolist(), header[~alone].tolist(), strict=True):
+                done.append((b"\n".join(lines[i:j].to_pylist()), h))
+            if done:
+                yield rows(pa.array([t for t, _ in done], pa.binary()), [h for _, h in done], block)
+        yield from fragment()
+
+    lines = _lines_with_state(spark, path, states).select("file", "block", "value", "state", "record")
+    return lines.mapInArrow(cut, "file long, record long, block long, is_header boolean, text binary")
+
+
+def read_records(spark: SparkSession, path: str, fragment_bytes: int = FRAGMENT_BYTES) -> DataFrame:
+    """(is_header, record): the text of every CSV record, quoted newlines included, split as
+    Spark's multi-line CSV reader does, but by as many tasks as the files have splits.
+
+    The text is scanned twice: once for a row per split, once for the records. Records that
+    run over splits are put together from the parts that the first pass kept; only those
+    parts are shuffled. If one of them is over ``fragment_bytes``, a third scan fetches them.
     """
-    lines = _lines(spark, path)
-    alone = (F.col("inside") == 0) & F.col("closed")
-    whole = lines.where(alone).select("file", "is_header", F.col("value").alias("text"))
-    parts = lines.where(~alone).groupBy("file", "record").agg(
-        F.max("is_header").alias("is_header"), F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("parts"))
-    joined = parts.select("file", "is_header", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("text"))
-    text = F.regexp_replace("text", r"\r$", "")
-    return whole.union(joined).select("file", "is_header", text.alias("record")).where(F.trim("record") != "")
+    found = scratch_path(spark, "csv-splits")
+    _summaries(spark, path, fragment_bytes).write.parquet(found)
+    summaries = spark.read.parquet(found)
+    states = _split_states(summaries)
+    texts = (summaries.select("file", "block", "head", "tail_out", "tail_in", "header_out")
+             .join(states.select("file", "block", "state", "after", "opened", "record"), ["file", "block"]))
+    tail = F.when(F.col("state") == OUT, F.col("tail_out")).otherwise(F.col("tail_in"))
+    heads = texts.where(F.col("state") == IN).select("file", "record", "block", F.lit(False).alias("is_header"), F.col("head").alias("text"))
+    tails = texts.where((F.col("after") == IN) & F.col("opened")).select("file", F.col("block").alias("record"), "block",
+                                                                        ((F.col("state") == OUT) & F.col("header_out")).alias("is_header"), tail.alias("text"))
+    parts = heads.union(tails)
+    if parts.where("text is null").limit(1).count():
+        parts = _pieces(spark, path, states, fragments=True)
+    # Text that no quote closes ends with the file, its last newline included.
+    ends = states.groupBy("file").agg(F.max_by("after", "block").alias("after"), F.max_by(F.when(F.col("opened"), F.col("block")).otherwise(F.col("record")), "block").alias("record"),
+                                      (F.sum("bytes") == F.max("file_size")).alias("newline"))
+    unclosed = ends.where((F.col("after") == IN) & F.col("newline")).select("file", "record", F.lit("\n").alias("end"))
+    joined = (parts.groupBy("file", "record").agg(F.max("is_header").alias("is_header"), F.array_sort(F.collect_list(F.struct("block", F.col("text").cast("string").alias("text")))).alias("parts"))
+              .join(unclosed, ["file", "record"], "left"))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"), F.coalesce("end", F.lit("")))
+    whole = _pieces(spark, path, states, fragments=False).select("is_header", F.col("text").cast("string").alias("text"))
+    both = whole.union(joined.select("is_header", text.alias("text")))
+    return both.select("is_header", F.regexp_replace("text", r"\r$", "").alias("record")).where("record <> ''")
 
 
 def _read_split(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """``read_raw`` through ``read_records``; files with stray quotes by Spark's own reader, each in one task."""
-    odd = odd_files(spark, path)
-    records = read_records(spark, path)
-    if odd:
-        records = records.where(~F.col("file").isin(odd))
+    """``read_raw`` through ``read_records``."""
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
     header = F.from_csv("record", ", ".join(f"`{c}` string" for c in columns), {**options, "mode": "FAILFAST"})
     same = lambda h: F.array(*[h[c] for c in columns]) == F.array(*[F.lit(c) for c in columns])
     checked = F.when(F.col("is_header"), F.when(same(header), F.lit(False)).otherwise(F.raise_error(
-        F.concat(F.lit("unexpected CSV header in "), F.col("file"))).cast("boolean"))).otherwise(F.lit(True))
-    rows = records.where(checked).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
-    if not odd:
-        return rows
-    return rows.union(_whole_files(spark, [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(f)) for f in odd], columns, multiline=True))
+        F.concat(F.lit("unexpected CSV header: "), F.col("record"))).cast("boolean"))).otherwise(F.lit(True))
+    records = read_records(spark, path)
+    return records.where(checked).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
 
 
-def _whole_files(spark: SparkSession, path: str | list[str], columns: list[str], multiline: bool) -> DataFrame:
+def _whole_files(spark: SparkSession, path: str, columns: list[str], multiline: bool) -> DataFrame:
     return (_csv_reader(spark, multiline).schema(raw_schema(columns))
             .option("enforceSchema", False)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)

@@ -245,3 +245,63 @@ def test_series_missing_values_are_dropped(spark, tmp_path):
     from casegrid.sources.series import load_series
     (tmp_path / "s.csv").write_text("date,value\n2019-01-01,1.0\n2019-04-01,\n,2.0\n")
     assert [r.delinquency_rate for r in load_series(spark, str(tmp_path / "s.csv")).collect()] == [1.0]
+
+
+# The split reader against Spark's own, whatever the quotes ------------------------
+
+def _both_readers(spark, path, split_bytes, fragment_bytes=C.FRAGMENT_BYTES):
+    columns = C.header_columns(spark, path)
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes"), C.FRAGMENT_BYTES
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    default = C.read_records.__defaults__
+    C.read_records.__defaults__ = (fragment_bytes,)
+    try:
+        got = sorted(map(tuple, C.read_raw(spark, path, columns).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep[0])
+        C.read_records.__defaults__ = default
+    return got, sorted(map(tuple, C._whole_files(spark, path, columns, multiline=True).collect()), key=repr)
+
+
+_piece = st.sampled_from(["a", "bc", " ", "é", '"', '""', '"""', ",", "\n", ',"', '",', '"\n', '\n"', "x" * 30, '"q, r\ns"', ',"t",'])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(_piece, min_size=1, max_size=40), st.sampled_from([40, 97, 400]), st.sampled_from([0, 60, 1 << 20]))
+def test_any_quotes_read_as_by_spark(spark, pieces, split_bytes, fragment_bytes):
+    from casegrid.session import scratch_path
+    path = scratch_path(spark, "hyp-quotes")
+    os.makedirs(path)
+    with open(path + "/f.csv", "w", newline="") as f:
+        f.write("A,B,C\n" + "".join(pieces) + "\nlast,1,2\n")
+    got, want = _both_readers(spark, path, split_bytes, fragment_bytes)
+    assert got == want
+
+
+def test_record_over_many_splits(spark, tmp_path):
+    long = "\n".join(f'row {i} ""quoted"", x' for i in range(3000))
+    (tmp_path / "f.csv").write_text(f'A,B\n1,"{long}"\n2,b\n3,"{long}"\n4,"unclosed\n5,c\n')
+    for limit in (1 << 20, 500):
+        got, want = _both_readers(spark, str(tmp_path), 4000, limit)
+        assert got == want and len(got) == 4
+
+
+def test_reader_scans_text_twice_and_shuffles_no_lines(spark, tmp_path):
+    import contextlib
+    import io
+    (tmp_path / "f.csv").write_text('A,B\n' + '1,"two\nlines"\n' * 500)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            C.read_raw(spark, str(tmp_path)).explain("simple")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = out.getvalue()
+    assert plan.count("FileScan text") == 1          # the other scan made the table of splits
+    lines = plan[:plan.index("FileScan text")].splitlines()
+    depth = lines[-1].index("FileScan") if "FileScan" in lines[-1] else len(lines[-1])
+    above = [x for x in lines if len(x) - len(x.lstrip(" :+-")) < depth]
+    whole = plan[plan.index("Union"):plan.index("FileScan text")]
+    assert "MapInArrow" in whole and "Exchange hashpartitioning" not in whole and "Window" not in whole.split("BroadcastExchange")[0]
+    assert above
