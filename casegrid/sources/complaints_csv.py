@@ -22,11 +22,11 @@ tables (a lazily read CSV only validates the columns a query touches).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,29 +73,36 @@ OUT, IN = 0, 1
 FRAGMENT_BYTES = 1 << 20
 
 _INSIDE = rb'[^"]*+(?:""[^"]*+)*+'
-_FIELD = rb'(?:"' + _INSIDE + rb'"[^,]*+|[^",][^,]*+)?+'
-# A line that ends outside of quotes, from either state.
-_CLOSED = (re.compile(_FIELD + rb"(?:," + _FIELD + rb")*+\Z"), re.compile(_INSIDE + rb'"[^,]*+(?:,' + _FIELD + rb")*+\Z"))
-# A line whose quotes are all as RFC 4180 has them, from either state.
-_RFC = rb'(?:"' + _INSIDE + rb'"|(?!")[^",]*+)'
-_END = rb'(?:\r?\Z|,?(?<![^,])"' + _INSIDE + rb"\Z)"
-_PLAIN = (re.compile(rb"(?:" + _RFC + rb"(?:," + _RFC + rb")*+)?+" + _END), re.compile(_INSIDE + rb'(?:\Z|"(?:,' + _RFC + rb")*+" + _END + rb")"))
-
-
-def _states(n: int, at: list[int], quoted: list[bytes], state: int, known: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, int]:
-    """(state before each of ``n`` lines, state after them); ``quoted`` are the lines ``at`` which
-    there are quotes, all others leave the state. From where it meets ``known`` it is that."""
-    out = np.empty(n, np.int8)
-    done = 0
-    for i, line in zip(at, quoted, strict=True):
-        out[done:i + 1] = state
-        if known is not None and known[0][i] == state:
-            out[i:] = known[0][i:]
-            return out, known[1]
-        state = OUT if _CLOSED[state].match(line) else IN
-        done = i + 1
-    out[done:] = state
-    return out, state
+_FIELD = rb'(?:"' + _INSIDE + rb'"[^,\n]*+|[^",\n][^,\n]*+)?+'
+_RECORD = re.compile(_FIELD + rb"(?:," + _FIELD + rb")*+\n")
+_REST = re.compile(_INSIDE + rb'"[^,\n]*+(?:,' + _FIELD + rb")*+\n")      # of a record, from inside quotes
+# The same with all quotes as RFC 4180 has them, or with the last one not closed.
+_RFC = rb'(?:"' + _INSIDE + rb'"|(?!")[^",\n]*+)'
+_END = rb'(?:\r?\n|,?(?<![^,\n])"' + _INSIDE + rb"\Z)"
+_RFC_RECORD = re.compile(rb"(?:" + _RFC + rb"(?:," + _RFC + rb")*+)?+" + _END)
+_RFC_REST = re.compile(_INSIDE + rb'(?:\Z|"(?:,' + _RFC + rb")*+" + _END + rb")")
+
+
+def _starts(text: bytes, state: int, known: list[int] | None = None, after: int = OUT) -> tuple[list[int], int]:
+    """(where in ``text``, whole lines, a record begins; the state at its end). From where it meets a
+    start of ``known`` it goes on as that, to the state ``after``."""
+    pos, starts = 0, []
+    if state == IN:
+        rest = _REST.match(text)
+        if not rest:
+            return [], IN
+        pos = rest.end()
+    while pos < len(text):
+        if known is not None:
+            i = bisect_left(known, pos)
+            if i < len(known) and known[i] == pos:
+                return starts + known[i:], after
+        starts.append(pos)
+        record = _RECORD.match(text, pos)
+        if not record:
+            return starts, IN
+        pos = record.end()
+    return starts, OUT
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -111,24 +118,27 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, b
                 yield batch.slice(i, j - i), new
 
 
-def _quotes(lines: pa.Array) -> tuple[list[int], list[bytes]]:
-    mask = pc.match_substring(lines, '"')
-    return np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist(), lines.filter(mask).to_pylist()
+def _text(run: pa.RecordBatch) -> bytes:
+    return b"\n".join([*run.column("value").to_pylist(), b""])
+
+
+def _blank(record: bytes) -> bool:
+    return record in (b"\n", b"\r\n")
 
 
 class _Part:
-    """Lines of a record that may go on beyond the split, given up as ``None`` above a size."""
+    """Text of a record that may go on beyond the split, given up as ``None`` above a size."""
 
-    def __init__(self, limit: int):
-        self.limit, self.lines, self.size = limit, [], 0
+    def __init__(self, limit: int, text: bytes = b""):
+        self.limit, self.size, self.texts = limit, 0, []
+        self.add(text)
 
-    def add(self, lines: pa.Array) -> None:
-        if self.lines is not None:
-            self.size += lines.nbytes
-            self.lines = self.lines + lines.to_pylist() if self.size <= self.limit else None
+    def add(self, text: bytes) -> None:
+        self.size += len(text)
+        self.texts = [*self.texts, text] if self.size <= self.limit else None
 
-    def text(self) -> bytes | None:
-        return None if self.lines is None else b"\n".join(self.lines)
+    def whole(self) -> bytes | None:
+        return None if self.texts is None else b"".join(self.texts)
 
 
 class _Summary:
@@ -144,39 +154,40 @@ class _Summary:
         self.head, self.opened = _Part(limit), [False, False]
         self.tail, self.tail_is_first = [None, None], False
 
-    def add(self, lines: pa.Array) -> None:
-        self.bytes += int(pc.sum(pc.binary_length(lines)).as_py()) + len(lines)
-        at, quoted = _quotes(lines)
-        known = None
+    def add(self, text: bytes) -> None:
+        self.bytes += len(text)
+        known, end = None, OUT
         for h in (OUT, IN):
-            before, after = known = _states(len(lines), at, quoted, self.state[h], known)
+            begin = self.state[h]
+            known, end = starts, self.state[h] = _starts(text, begin, known, end)
             if self.strays and not self.stray[h]:
-                self.stray[h] = not all(_PLAIN[before[i]].match(q) for i, q in zip(at, quoted, strict=True))
-            starts = np.flatnonzero(before == OUT)
-            if not self.opened[h] and h == IN:
-                self.head.add(lines[:starts[0]] if len(starts) else lines)
-            if after == OUT:
+                self.stray[h] = self._has_stray(text, begin, starts)
+            if h == IN and not self.opened[h]:
+                self.head.add(text[:starts[0]] if starts else text)
+            if end == OUT:
                 self.tail[h] = None
-            elif len(starts):
-                self.tail[h] = _Part(self.limit)
-                self.tail[h].add(lines[starts[-1]:])
+            elif starts:
+                self.tail[h] = _Part(self.limit, text[starts[-1]:])
                 if h == OUT:
-                    # A record is the file's first if only blank lines come before it.
-                    self.tail_is_first = self.blank and _blank(lines[:starts[-1]])
+                    # A record is the file's first if only empty lines come before it.
+                    self.tail_is_first = self.blank and not text[:starts[-1]].strip(b"\r\n")
             elif self.tail[h] is not None:
-                self.tail[h].add(lines)
+                self.tail[h].add(text)
             self.opened[h] |= len(starts) > 0
-            self.state[h] = after
-        self.blank = self.blank and _blank(lines)
+        self.blank = self.blank and not text.strip(b"\r\n")
 
-    def row(self) -> tuple:
-        text = lambda part: b"" if part is None else part.text()
-        return (self.file, self.block, self.file_size, self.bytes, self.state[OUT], self.state[IN], self.opened[IN], *self.stray,
-                self.head.text(), text(self.tail[OUT]), text(self.tail[IN]), self.block == 0 and self.tail_is_first, self.name)
+    @staticmethod
+    def _has_stray(text: bytes, begin: int, starts: list[int]) -> bool:
+        ends = [*starts[1:], len(text)]
+        if begin == IN and not _RFC_REST.fullmatch(text, 0, starts[0] if starts else len(text)):
+            return True
+        return not all(_RFC_RECORD.fullmatch(text, i, j) for i, j in zip(starts, ends, strict=False))
 
-
-def _blank(lines: pa.Array) -> bool:
-    return not len(lines) or pc.max(pc.binary_length(lines)).as_py() <= 1 and all(x in (b"", b"\r") for x in lines.to_pylist())
+    def row(self) -> dict:
+        whole = lambda part: b"" if part is None else part.whole()
+        row = (self.file, self.block, self.file_size, self.bytes, *self.state, self.opened[IN], *self.stray, self.head.whole(),
+               whole(self.tail[OUT]), whole(self.tail[IN]), self.block == 0 and self.tail_is_first, self.name)
+        return dict(zip([name for name, _ in self.FIELDS], row, strict=True))
 
 
 def _text_lines(spark: SparkSession, path: str, names: bool = False) -> DataFrame:
@@ -197,11 +208,11 @@ def _summaries(spark: SparkSession, path: str, limit: int, strays: bool = False)
         for run, new in _runs(batches):
             if new:
                 if split:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, split.row(), strict=True))], schema)
+                    yield pa.RecordBatch.from_pylist([split.row()], schema)
                 split = _Summary(*(run.column(c)[0].as_py() for c in ("file", "block", "file_size", "name")), limit, strays)
-            split.add(run.column("value"))
+            split.add(_text(run))
         if split:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, split.row(), strict=True))], schema)
+            yield pa.RecordBatch.from_pylist([split.row()], schema)
 
     types = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary", pa.string(): "string"}
     return _text_lines(spark, path, strays).mapInArrow(summarise, ", ".join(f"{f.name} {types[f.type]}" for f in schema))
@@ -244,70 +255,73 @@ def _lines_with_state(spark: SparkSession, path: str, states: DataFrame) -> Data
     return _text_lines(spark, path).join(inside, ["file", "block"], "left")
 
 
-def _pieces(spark: SparkSession, path: str, states: DataFrame, fragments: bool) -> DataFrame:
-    """(file, record, block, is_header, text) of the records that lie whole in a split; or, with
-    ``fragments``, of the parts of all others. A narrow pass: no line is shuffled."""
+def _records(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
+    """(is_header, text) of the records that lie whole in a split, each with its line end. A narrow
+    pass: no line is shuffled."""
+    schema = pa.schema([("is_header", pa.bool_()), ("text", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, part, first = OUT, None, False
+        for run, new in _runs(batches):
+            text = _text(run)
+            if new:
+                state, part, first = run.column("state")[0].as_py() or OUT, None, run.column("block")[0].as_py() == 0
+            # ``part``: texts of the open record, if it began in this split.
+            starts, after = _starts(text, state)
+            if state == IN and part is not None:
+                part.append(text[:starts[0]] if starts else text)
+                if starts or after == OUT:
+                    yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([b"".join(part)], pa.binary())], schema=schema)
+                    part, first = None, False
+            state = after
+            offsets = np.array([*starts, len(text)] if after == OUT else starts, np.int32)
+            if after == IN and starts:
+                part = [text[starts[-1]:]]
+            n = len(offsets) - 1
+            if n > 0:
+                header = np.zeros(n, bool)
+                for i in range(n if first else 0):
+                    if not _blank(text[offsets[i]:offsets[i + 1]]):
+                        header[i], first = True, False
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array(header), pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(text)])], schema=schema)
+
+    return _lines_with_state(spark, path, states).select("file", "block", "value", "state").mapInArrow(cut, "is_header boolean, text binary")
+
+
+def _fragments(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
+    """(file, record, block, is_header, text) of the parts of the records that run over splits, of any size."""
     schema = pa.schema([("file", pa.int64()), ("record", pa.int64()), ("block", pa.int64()), ("is_header", pa.bool_()), ("text", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = tail = None
         file = block = record = None
-        state, part, first, part_first = OUT, None, False, False       # part: lines of the record that is open
-
-        def rows(texts: pa.Array, header: list[bool], record: int) -> pa.RecordBatch:
-            n = len(texts)
-            return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int64()), pa.array([record] * n, pa.int64()), pa.array([block] * n, pa.int64()),
-                                               pa.array(header, pa.bool_()), texts], schema=schema)
+        state, blank, is_header = OUT, True, False
 
-        def fragment() -> Iterator[pa.RecordBatch]:
-            if fragments and part is not None:
-                yield rows(pa.array([b"\n".join(part)], pa.binary()), [part_first], block if record is None else record)
+        def parts() -> Iterator[pa.RecordBatch]:
+            rows = [(record, False, head)] if head is not None else []
+            rows += [(block, is_header, tail)] if tail is not None else []
+            if rows:
+                yield pa.RecordBatch.from_pylist([{"file": file, "record": r, "block": block, "is_header": h, "text": b"".join(t)} for r, h, t in rows], schema)
 
         for run, new in _runs(batches):
-            lines = run.column("value")
+            text = _text(run)
             if new:
-                yield from fragment()
-                file, block, record = (run.column(c)[0].as_py() for c in ("file", "block", "record"))
-                state = run.column("state")[0].as_py() or OUT
-                part, part_first, first = ([] if state == IN else None), False, block == 0
-                if state == OUT:
-                    record = None
-            before, after = _states(len(lines), *_quotes(lines), state)
+                yield from parts()
+                file, block, record, state = (run.column(c)[0].as_py() for c in ("file", "block", "record", "state"))
+                state = state or OUT
+                head, tail, begun, blank = ([] if state == IN else None), None, state == OUT, block == 0
+            starts, after = _starts(text, state)
+            if state == IN:
+                (tail if begun else head).append(text[:starts[0]] if starts else text)
+            begun = begun or len(starts) > 0
+            if after == IN and starts:
+                tail, is_header = [text[starts[-1]:]], blank and not text[:starts[-1]].strip(b"\r\n")
+            elif after == OUT:
+                tail = None
+            blank = blank and not text.strip(b"\r\n")
             state = after
-            starts = np.flatnonzero(before == OUT)
-            if not len(starts):
-                if fragments or record is None:
-                    part += lines.to_pylist()
-                continue
-            done = []               # records of several lines
-            if part is not None:
-                if fragments or record is None:
-                    part += lines[:starts[0]].to_pylist()
-                if record is not None:
-                    yield from fragment()
-                else:
-                    done.append((b"\n".join(part), part_first))
-                part, record = None, None
-            ends = np.append(starts[1:], len(lines))
-            header = np.zeros(len(starts), bool)
-            if first:
-                # The file's first record that is not an empty line.
-                for i in range(len(starts)):
-                    if not _blank(lines[starts[i]:ends[i]]):
-                        header[i], first = True, False
-                        break
-            if after == IN:
-                part, part_first = lines[starts[-1]:].to_pylist(), bool(header[-1])
-                starts, ends, header = starts[:-1], ends[:-1], header[:-1]
-            if fragments:
-                continue
-            alone = ends - starts == 1
-            if alone.any():
-                yield rows(lines.take(pa.array(starts[alone])), header[alone].tolist(), block)
-            for i, j, h in zip(starts[~alone].tolist(), ends[~alone].tolist(), header[~alone].tolist(), strict=True):
-                done.append((b"\n".join(lines[i:j].to_pylist()), h))
-            if done:
-                yield rows(pa.array([t for t, _ in done], pa.binary()), [h for _, h in done], block)
-        yield from fragment()
+        yield from parts()
 
     lines = _lines_with_state(spark, path, states).select("file", "block", "value", "state", "record")
     return lines.mapInArrow(cut, "file long, record long, block long, is_header boolean, text binary")
@@ -333,17 +347,18 @@ def read_records(spark: SparkSession, path: str, fragment_bytes: int = FRAGMENT_
                                                                         ((F.col("state") == OUT) & F.col("header_out")).alias("is_header"), tail.alias("text"))
     parts = heads.union(tails)
     if parts.where("text is null").limit(1).count():
-        parts = _pieces(spark, path, states, fragments=True)
-    # Text that no quote closes ends with the file, its last newline included.
+        parts = _fragments(spark, path, states)
+    # Text that no quote closes ends with the file, its last newline included if it has one.
     ends = states.groupBy("file").agg(F.max_by("after", "block").alias("after"), F.max_by(F.when(F.col("opened"), F.col("block")).otherwise(F.col("record")), "block").alias("record"),
                                       (F.sum("bytes") == F.max("file_size")).alias("newline"))
-    unclosed = ends.where((F.col("after") == IN) & F.col("newline")).select("file", "record", F.lit("\n").alias("end"))
+    unclosed = ends.where((F.col("after") == IN) & F.col("newline")).select("file", "record", F.lit(True).alias("to_end"))
     joined = (parts.groupBy("file", "record").agg(F.max("is_header").alias("is_header"), F.array_sort(F.collect_list(F.struct("block", F.col("text").cast("string").alias("text")))).alias("parts"))
               .join(unclosed, ["file", "record"], "left"))
-    text = F.concat(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"), F.coalesce("end", F.lit("")))
-    whole = _pieces(spark, path, states, fragments=False).select("is_header", F.col("text").cast("string").alias("text"))
-    both = whole.union(joined.select("is_header", text.alias("text")))
-    return both.select("is_header", F.regexp_replace("text", r"\r$", "").alias("record")).where("record <> ''")
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    without_end = lambda c: F.regexp_replace(c, r"\r?\n\z", "")
+    whole = _records(spark, path, states).select("is_header", without_end(F.col("text").cast("string")).alias("record"))
+    joined = joined.select("is_header", F.when(F.col("to_end"), text).otherwise(without_end(text)).alias("record"))
+    return whole.union(joined).where("record <> ''")
 
 
 def _read_split(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
