@@ -25,6 +25,8 @@ def main() -> None:
     ap.add_argument("--threads", type=int, default=4)
     ap.add_argument("--no-multiline", action="store_true",
                     help="the extract has no quoted newlines: read it as splittable CSV")
+    ap.add_argument("--infer-types", action="store_true",
+                    help="give the columns that no report reads the types of their values")
     a = ap.parse_args()
     spark = SparkSession.builder.appName("casegrid").getOrCreate()
     given = spark.sparkContext.getConf()
@@ -33,7 +35,7 @@ def main() -> None:
             spark.conf.set(k, v)
     size_shuffle_partitions(spark, a.csv)
     print(json.dumps(run(spark, a.csv, a.series, a.work, a.out, threads=a.threads,
-                         multiline=not a.no_multiline), indent=1))
+                         multiline=not a.no_multiline, infer=a.infer_types), indent=1))
 
 
 if __name__ == "__main__":

@@ -37,6 +37,10 @@ class ReportConfig:
     # (None = keep the last, possibly partial, month, as the published report does).
     trend_until: str | None = None
 
+    # Growth and trend by calendar month: a state's months without cases count as 0
+    # (False = by row, as the published reports do).
+    calendar_months: bool = False
+
     @property
     def merge_map(self) -> dict[str, str]:
         return dict(self.product_merge)

@@ -1,21 +1,25 @@
 """Composite metrics: ``DataFrame -> DataFrame`` transforms usable with
 ``df.transform``.
 
-Scale contract: every function that uses a window *without* a partition
-(share of total, z-score, national lag) expects an input that is already
+Scale contract: functions that compare rows with all others (share of total,
+z-score, latest period) put them in one window by default, for an input already
 aggregated to a grain bounded by the dimensions (states, products, months,
-quarters), never raw case rows. The heavy work - scan, filter and the
-two-stage hash aggregate - happens before, in ``period_counts``.
+quarters). For keys without such a bound (customers, parts) pass
+``bounded=False``: totals then come from a one-row aggregate, merged from a row
+per task, and no task sees all rows. Lags and rolling frames over an order without
+a partition have their counterparts in ``operators.ordered``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegrid.functions import asc_nl, band, desc_nl, pct, pct_change, round_half_away, safe_div
+from casegrid.operators.ordered import over_ranges
 
 
 def _all():
@@ -23,6 +27,14 @@ def _all():
     return Window.partitionBy()
 
 
+def with_totals(df: DataFrame, totals: Mapping[str, Column], bounded: bool) -> DataFrame:
+    """``df`` with aggregates over all its rows as columns: by one window over everything, or by a
+    scalar subquery per aggregate, whose partial results are one row per task."""
+    if bounded:
+        return df.withColumns({name: agg.over(_all()) for name, agg in totals.items()})
+    return df.select("*", *[df.agg(agg).scalar().alias(name) for name, agg in totals.items()])
+
+
 # C15 ---------------------------------------------------------------------
 
 def period_counts(cases: DataFrame, keys: Sequence[Column | str],
@@ -41,22 +53,57 @@ def period_counts(cases: DataFrame, keys: Sequence[Column | str],
 # C1 ----------------------------------------------------------------------
 
 def share_of_total(df: DataFrame, value: str, out: str = "pct_of_total",
-                   scale: int = 2) -> DataFrame:
+                   scale: int = 2, bounded: bool = True) -> DataFrame:
     """``ROUND(value * 100.0 / SUM(value) OVER (), scale)``; total = rows left after filters."""
-    return df.withColumn(out, pct(F.col(value), F.sum(value).over(_all()), scale))
+    return (with_totals(df, {"__total": F.sum(value)}, bounded)
+            .withColumn(out, pct(F.col(value), F.col("__total"), scale)).drop("__total"))
+
+
+def _framed(df: DataFrame, order: str | Sequence[str], partition: Sequence[str], bounded: bool, halo: int,
+            columns: Callable[[WindowSpec], Mapping[str, Column]]) -> DataFrame:
+    """Columns over an ordered window that looks back ``halo`` rows: a plain one, or over ranges of the order
+    if a partition may be larger than a task (``bounded=False``)."""
+    keys = [asc_nl(c) for c in ([order] if isinstance(order, str) else order)]
+    if bounded:
+        return df.withColumns(dict(columns(Window.partitionBy(*partition).orderBy(*keys))))
+    return over_ranges(df, keys, columns, halo, partition)
+
+
+# M12 ---------------------------------------------------------------------
+
+def with_calendar(df: DataFrame, period: str, keys: Sequence[str], fill: Mapping[str, int | float], *,
+                  grain: str = "month", whole: bool = True) -> DataFrame:
+    """One row per key and calendar period, so that a lag by row is a lag by calendar.
+
+    Periods run from a key's first to the last of the table (``whole``) or of the key; those
+    without a row get the values of ``fill``, NULL in other columns. ``df`` has one row per
+    key and period; rows without a period are dropped. NULL keys are keys.
+    """
+    step = {"day": "INTERVAL 1 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS", "year": "INTERVAL 1 YEAR"}[grain]
+    rows = df.filter(F.col(period).isNotNull())
+    spans = rows.groupBy(*keys).agg(F.min(period).alias("__from"), F.max(period).alias("__to"))
+    if whole:
+        spans = spans.withColumn("__to", rows.agg(F.max(period)).scalar())
+    spine = spans.select(*keys, F.explode(F.sequence("__from", "__to", F.expr(step))).alias(period))
+    same = F.lit(True)
+    for c in (*keys, period):
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}"))
+    joined = spine.alias("s").join(rows.alias("r"), same, "left")
+    out = [F.col(f"s.{c}") if c in (*keys, period)
+           else F.coalesce(F.col(f"r.{c}"), F.lit(fill[c])).alias(c) if c in fill else F.col(f"r.{c}") for c in df.columns]
+    return joined.select(*out)
 
 
 # C2 ----------------------------------------------------------------------
 
-def growth_vs_lag(df: DataFrame, order: str, value: str, *, partition: Sequence[str] = (),
+def growth_vs_lag(df: DataFrame, order: str | Sequence[str], value: str, *, partition: Sequence[str] = (),
                   lag: int = 1, prev_out: str = "prev", pct_out: str = "growth_pct",
-                  scale: int = 2, min_base: int | None = None) -> DataFrame:
-    """Lag by row (not by calendar) and the percent change against it.
+                  scale: int = 2, min_base: int | None = None, bounded: bool = True) -> DataFrame:
+    """Lag by row (not by calendar; see ``with_calendar``) and the percent change against it.
 
     ``min_base``: keep only rows whose lagged value is ``>= min_base``.
     """
-    w = Window.partitionBy(*partition).orderBy(asc_nl(order))
-    out = df.withColumn(prev_out, F.lag(value, lag).over(w))
+    out = _framed(df, order, partition, bounded, lag, lambda w: {prev_out: F.lag(value, lag).over(w)})
     out = out.withColumn(pct_out, pct_change(F.col(value), F.col(prev_out), scale))
     if min_base is not None:
         out = out.filter(F.col(prev_out).isNotNull() & (F.col(prev_out) >= F.lit(min_base)))
@@ -84,7 +131,7 @@ def zscore(df: DataFrame, value: str, *, z_out: str = "z_score", scale: int = 2,
            mean_out: str | None = None, mean_scale: int = 0,
            band_out: str | None = None, band_on: str = "rounded",
            cuts: Sequence[float] = (), labels: Sequence[str] = (),
-           default: str = "") -> DataFrame:
+           default: str = "", bounded: bool = True) -> DataFrame:
     """z = (value - mean) / NULLIF(stddev_samp, 0) against one baseline (all rows).
 
     ``band_on``: ``"rounded"`` bands the rounded z (report Q8), ``"raw"`` bands
@@ -95,8 +142,7 @@ def zscore(df: DataFrame, value: str, *, z_out: str = "z_score", scale: int = 2,
         raise ValueError("band_on must be 'rounded' or 'raw'")
     # Bind the two window aggregates once (one Window node), then derive
     # everything else in a single projection.
-    stats = df.withColumns({"__mean": F.avg(F.col(value)).over(_all()),
-                            "__sd": F.stddev_samp(F.col(value)).over(_all())})
+    stats = with_totals(df, {"__mean": F.avg(F.col(value)), "__sd": F.stddev_samp(F.col(value))}, bounded)
     z = safe_div(F.col(value) - F.col("__mean"), F.col("__sd"))
     z_rounded = round_half_away(z, scale)
     derived = {z_out: z_rounded}
@@ -109,15 +155,15 @@ def zscore(df: DataFrame, value: str, *, z_out: str = "z_score", scale: int = 2,
 
 # C7 ----------------------------------------------------------------------
 
-def rolling(df: DataFrame, order: str, value: str, rows: int, *, fn: str = "sum",
-            partition: Sequence[str] = (), out: str = "rolling") -> DataFrame:
+def rolling(df: DataFrame, order: str | Sequence[str], value: str, rows: int, *, fn: str = "sum",
+            partition: Sequence[str] = (), out: str = "rolling", bounded: bool = True) -> DataFrame:
     """Frame of the last ``rows`` rows (``ROWS BETWEEN rows-1 PRECEDING AND CURRENT ROW``).
 
     The first rows of a partition use fewer rows (no NULL padding).
     """
     agg = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "max": F.max, "min": F.min}[fn]
-    w = Window.partitionBy(*partition).orderBy(asc_nl(order)).rowsBetween(-(rows - 1), 0)
-    return df.withColumn(out, agg(F.col(value)).over(w))
+    return _framed(df, order, partition, bounded, rows - 1,
+                   lambda w: {out: agg(F.col(value)).over(w.rowsBetween(-(rows - 1), 0))})
 
 
 def rolling_days(df: DataFrame, date_col: str, value: str, days: int, *,
@@ -130,16 +176,15 @@ def rolling_days(df: DataFrame, date_col: str, value: str, days: int, *,
 
 # C8 ----------------------------------------------------------------------
 
-def trend_class(df: DataFrame, order: str, value: str, *, partition: Sequence[str] = (),
+def trend_class(df: DataFrame, order: str | Sequence[str], value: str, *, partition: Sequence[str] = (),
                 labels: tuple[str, str, str] = ("Accelerating", "Decelerating", "Mixed"),
                 growth_out: str = "growth_vs_3mo_ago_pct", trend_out: str = "trend",
-                scale: int = 1) -> DataFrame:
+                scale: int = 1, bounded: bool = True) -> DataFrame:
     """Three row-lags; growth against lag 3; 'accelerating' = three rises in a
     row, 'decelerating' = two falls in a row, else mixed. Keeps m1..m3."""
     up, down, mixed = labels
-    w = Window.partitionBy(*partition).orderBy(asc_nl(order))
     v = F.col(value)
-    out = df.withColumns({f"m{k}": F.lag(value, k).over(w) for k in (1, 2, 3)})
+    out = _framed(df, order, partition, bounded, 3, lambda w: {f"m{k}": F.lag(value, k).over(w) for k in (1, 2, 3)})
     m1, m2, m3 = F.col("m1"), F.col("m2"), F.col("m3")
     return out.withColumns({
         growth_out: pct_change(v, m3, scale),
@@ -167,22 +212,43 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 def latest_per_group(df: DataFrame, group: Sequence[str], order_desc: str,
                      tie: Sequence[str] = ()) -> DataFrame:
-    """Latest row per group (largest ``order_desc``)."""
-    w = Window.partitionBy(*group).orderBy(desc_nl(order_desc), *[asc_nl(t) for t in tie])
-    return (df.withColumn("__rn", F.row_number().over(w))
-              .filter(F.col("__rn") == 1).drop("__rn"))
+    """Latest row per group (largest ``order_desc``, NULL last; then smallest ``tie``).
+
+    One aggregate that keeps the best row per group, on the map side first: no window, and a
+    group of any size is one row per task when it is shuffled. An order that can't be
+    negated (text) takes a row-number window instead.
+    """
+    kind = df.schema[order_desc].dataType
+    col = F.col(order_desc)
+    if isinstance(kind, T.DateType):
+        falling = -F.unix_date(col)
+    elif isinstance(kind, T.TimestampType):
+        falling = -F.unix_micros(col)
+    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        falling = -col.cast("decimal(20,0)")
+    elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        falling = -col
+    else:
+        w = Window.partitionBy(*group).orderBy(desc_nl(order_desc), *[asc_nl(t) for t in tie])
+        return (df.withColumn("__rn", F.row_number().over(w))
+                  .filter(F.col("__rn") == 1).drop("__rn"))
+    # Structs compare field by field, null first: a flag before each field puts it last.
+    key = F.struct(col.isNull().alias("n"), falling.alias("v"),
+                   *[x for i, t in enumerate(tie) for x in (F.col(t).isNull().alias(f"n{i}"), F.col(t).alias(f"t{i}"))])
+    best = df.groupBy(*group).agg(F.min_by(F.struct(*df.columns), key).alias("__row"))
+    return best.select("__row.*")
 
 
 # C11 ---------------------------------------------------------------------
 
-def at_latest_period(df: DataFrame, period: str, where: Column | None = None) -> DataFrame:
+def at_latest_period(df: DataFrame, period: str, where: Column | None = None, bounded: bool = True) -> DataFrame:
     """Rows satisfying ``where`` whose ``period`` equals the largest such period.
 
     Same as ``WHERE p AND period = (SELECT MAX(period) FROM t WHERE p)``, as one
     max over the (bounded, aggregated) filtered rows instead of a second scan.
     """
     rows = df if where is None else df.filter(where)
-    return (rows.withColumn("__latest", F.max(period).over(_all()))
+    return (with_totals(rows, {"__latest": F.max(period)}, bounded)
                 .filter(F.col(period) == F.col("__latest")).drop("__latest"))
 
 

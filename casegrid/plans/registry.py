@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from casegrid import schema as S
 from casegrid.config import ReportConfig
+from casegrid.operators import metrics as M
+from casegrid.operators.profile import exact_tops, profile, profile_approx
 from casegrid.plans import reports as R
 from casegrid.plans.catalog import (create_if_absent, read_case_table, replace_table,
                                     write_case_table, write_wide_table)
@@ -53,11 +55,84 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_table(TD.case_counts(spark, sf_dir))
 
 
+def _sparse_inputs(spark: SparkSession, sf_dir: str) -> R.ReportInputs:
+    """Cases of state and product as one key: many of these have months without a case."""
+    cases = TD.case_counts(spark, sf_dir).withColumn("state", F.concat_ws("/", "state", "product", "company_response"))
+    return R.ReportInputs(cases=cases)
+
+
+def _profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P0 in one: counts, range, distinct and top values of every case column from one scan."""
+    return profile(TD.case_fact(spark, sf_dir), k=10)
+
+
+def _profile_heavy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top values by a frequent-items sketch, its candidates counted exactly by a second scan."""
+    cases = TD.case_fact(spark, sf_dir)
+    return exact_tops(cases, profile_approx(cases, TD.HEAVY_COLUMNS, k=40), k=10).drop("proven")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+def _share_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of all line items per part: a total over unbounded keys."""
+    counts = _lineitem(spark, sf_dir).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("lines"))
+    return M.share_of_total(counts, "lines", scale=4, bounded=False)
+
+
+def _zscore_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z-score and band of each customer's number of orders, over unbounded keys."""
+    counts = _orders(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    return M.zscore(counts, "orders", mean_out="mean_orders", mean_scale=2, band_out="risk_level", cuts=S.RISK_CUTS,
+                    labels=S.RISK_LABELS, default=S.RISK_DEFAULT, bounded=False)
+
+
+def _orders_at_latest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders of the latest day that has one."""
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.col("o_orderdate").cast("date").alias("order_day"), "o_orderstatus")
+    return M.at_latest_period(rows, "order_day", F.col("o_orderstatus") == "F", bounded=False)
+
+
+def _orders_lag_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's price against the order before it, over one order of all rows."""
+    rows = _orders(spark, sf_dir).select("o_orderkey", "o_totalprice")
+    return M.growth_vs_lag(rows, "o_orderkey", "o_totalprice", prev_out="prev_price", bounded=False)
+
+
+def _lineitem_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum over the last 90 lines per line status (two hot partitions)."""
+    rows = _lineitem(spark, sf_dir).select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return M.rolling(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "l_partkey", 90, partition=["l_linestatus"], out="rolling_90", bounded=False)
+
+
+def _latest_order_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's latest order (smallest key of a day), by an aggregate."""
+    rows = _orders(spark, sf_dir).select("o_custkey", F.col("o_orderdate").cast("date").alias("order_day"), "o_orderkey", "o_orderstatus")
+    return M.latest_per_group(rows, ["o_custkey"], "order_day", ["o_orderkey"])
+
+
 def report_queries() -> dict[str, Query]:
     q: dict[str, Query] = {name: _report(fn) for name, fn in R.REPORTS.items()}
     q |= {name: _report(fn) for name, fn in R.OPTIONAL_REPORTS.items()}
     q["q4_excluding_products"] = _report(
         R.q4_product_resolution, TD.TESTDATA_CONFIG.with_(exclude_products=TD.EXCLUDED_PRODUCTS))
+    calendar = TD.TESTDATA_CONFIG.with_(calendar_months=True, regions=TD.SPARSE_REGIONS, min_base=1)
+    q["q2_calendar_growth"] = lambda spark, sf_dir: R.q2_monthly(_sparse_inputs(spark, sf_dir), calendar)
+    q["q10_calendar_trend"] = lambda spark, sf_dir: R.q10_trend_class(_sparse_inputs(spark, sf_dir), calendar)
+    q["profile_columns"] = _profile_columns
+    q["profile_heavy_values"] = _profile_heavy_values
+    q["share_by_part"] = _share_by_part
+    q["zscore_by_customer"] = _zscore_by_customer
+    q["orders_at_latest_day"] = _orders_at_latest_day
+    q["orders_lag_growth"] = _orders_lag_growth
+    q["lineitem_rolling"] = _lineitem_rolling
+    q["latest_order_per_customer"] = _latest_order_per_customer
     q["e2_merge_categories"] = _e2_merge
     q["e2_product_ranking"] = _e2_ranking
     q["daily_table"] = _daily
@@ -151,6 +226,39 @@ def _ingest_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if("timely_response").alias("n_timely"), F.countDistinct("note").alias("notes"))
 
 
+def _typed_extract(spark: SparkSession, sf_dir: str, infer: bool) -> DataFrame:
+    """Landed (or, with ``infer``, typed) rows of an extract whose columns are of every type, with empty
+    values, a mixed column and one without values."""
+    base = scratch_path(spark, "typed-extract")
+    day = F.col("l_shipdate").cast("date")
+    rows = _lineitem(spark, sf_dir).select(
+        F.date_format(day, "yyyy-MM-dd").alias("Date received"), F.lit("P").alias("Product"), F.lit("S").alias("State"),
+        F.col("l_orderkey").alias("Order"), F.col("l_quantity").alias("Quantity"),
+        F.when(F.col("l_linestatus") == TD.TIMELY_STATUS, F.lit("yes")).otherwise(F.lit("No")).alias("Shipped"),
+        F.when(F.col("l_linenumber") != 1, day).alias("Ship day"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("Ship time"),
+        F.when(F.col("l_linenumber") == 2, F.lit("n/a")).otherwise(F.col("l_partkey").cast("string")).alias("Mixed"),
+        F.when(F.col("l_linenumber") == 2, F.lit("0.5")).otherwise(F.col("l_partkey").cast("string")).alias("Number"),
+        F.lit(None).cast("string").alias("Nothing"), F.col("l_returnflag").alias("Code"))
+    csv_writer(rows).csv(f"{base}/csv")
+    if infer:
+        return C.read_complaints(spark, f"{base}/csv", f"{base}/landed", infer=True)[0]
+    C.land(C.read_raw(spark, f"{base}/csv"), f"{base}/landed")
+    return spark.read.parquet(f"{base}/landed")
+
+
+def _ingest_inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest type of every column of an extract."""
+    return C.landed_types(_typed_extract(spark, sf_dir, infer=False))
+
+
+def _ingest_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates over columns that got their types from the inference."""
+    rows = _typed_extract(spark, sf_dir, infer=True)
+    return rows.groupBy("code", "shipped").agg(
+        F.sum("order").alias("order_sum"), F.sum("quantity").alias("quantity_sum"), F.max("ship_day").alias("last_day"),
+        F.count_if(F.hour("ship_time") == 0).alias("at_midnight"), F.count("ship_day").alias("days"), F.min("mixed").alias("least_mixed"))
+
+
 def _csv_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export K3 as CSV, read it back, merge categories, overwrite the same file."""
     cfg = TD.TESTDATA_CONFIG
@@ -203,6 +311,8 @@ def ingest_queries() -> dict[str, Query]:
         "ingest_series_range": _series_range,
         "ingest_row_counts": _ingest_row_counts,
         "ingest_all_columns": _ingest_all_columns,
+        "ingest_inferred_types": _ingest_inferred_types,
+        "ingest_typed_columns": _ingest_typed_columns,
         "table_replace": _table_replace,
         "view_by_name": _view_by_name,
         "csv_overwrite_in_place": _csv_overwrite,

@@ -102,6 +102,8 @@ def q2_monthly(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.recent_since),
                              ["state", month_of("date_received").alias("month")],
                              {"complaint_count": "n"})
+    if cfg.calendar_months:
+        counts = M.with_calendar(counts, "month", ["state"], {"complaint_count": 0})
     return M.growth_vs_lag(counts, "month", "complaint_count", partition=["state"],
                            prev_out="prev_month_count", pct_out="mom_growth_pct", scale=2,
                            min_base=cfg.min_base)
@@ -286,6 +288,8 @@ def q10_rows(inp: ReportInputs, cfg: ReportConfig = DEFAULT) -> DataFrame:
     counts = M.period_counts(_base(inp, cfg, cfg.current_since, until=cfg.trend_until),
                              ["state", month_of("date_received").alias("month")],
                              {"complaints": "n"})
+    if cfg.calendar_months:
+        counts = M.with_calendar(counts, "month", ["state"], {"complaints": 0})
     lagged = M.trend_class(counts, "month", "complaints", partition=["state"],
                            labels=(S.TREND_ACCELERATING, S.TREND_DECELERATING, S.TREND_MIXED),
                            growth_out="growth_vs_3mo_ago_pct", trend_out="trend", scale=1)

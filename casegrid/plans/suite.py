@@ -44,7 +44,7 @@ BASE_ROW_EXPORTS = {"profile_responses": R.profile_responses}
 
 def load_case_table(spark: SparkSession, csv_path: str, base_dir: str,
                     table: str = "complaints", date_format: str = "yyyy-MM-dd",
-                    multiline: bool = True) -> DataFrame:
+                    multiline: bool = True, infer: bool = False) -> DataFrame:
     """``CREATE TABLE IF NOT EXISTS complaints AS <tolerant CSV read>``.
 
     Lands the CSV once, writes good rows as the year-partitioned case table
@@ -58,7 +58,7 @@ def load_case_table(spark: SparkSession, csv_path: str, base_dir: str,
     cases = f"{base_dir}/cases"
     if not is_written(spark, cases):
         landed = f"{base_dir}/landed"
-        good, bad = C.read_complaints(spark, csv_path, landed, date_format, multiline)
+        good, bad = C.read_complaints(spark, csv_path, landed, date_format, multiline, infer)
         bad.write.mode("overwrite").parquet(f"{base_dir}/quarantine")
         write_wide_table(good, cases)       # last: its success mark says that the load is whole
         delete_path(spark, landed)
@@ -110,13 +110,14 @@ def export_reports(inputs: R.ReportInputs, base_rows: DataFrame, out_dir: str,
 
 def run(spark: SparkSession, csv_path: str, series_path: str, work_dir: str, out_dir: str,
         cfg: ReportConfig = DEFAULT, threads: int = 4, population: DataFrame | None = None,
-        table: str = "complaints", multiline: bool = True) -> dict[str, int]:
+        table: str = "complaints", multiline: bool = True, infer: bool = False) -> dict[str, int]:
     """Load, summarise and export everything (the seven published scripts).
 
     ``population``: the per-state dimension; default the fixed 49-row table.
     ``multiline``: False for extracts without quoted newlines (splittable read).
+    ``infer``: give the columns that no report reads the types of their values.
     """
-    cases = load_case_table(spark, csv_path, work_dir, table, multiline=multiline)
+    cases = load_case_table(spark, csv_path, work_dir, table, multiline=multiline, infer=infer)
     # Series and population become (replaced) catalog tables, as in the load step.
     series = replace_table(load_series(spark, series_path), f"{table}_delinquency",
                            f"{work_dir}/delinquency")

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from casegrid import schema as S
 from casegrid.session import scratch_path
+from casegrid.sources.infer import infer_types, parsed, type_map
 
 CORRUPT = "_corrupt_record"
 REASON = "reject_reason"
@@ -426,8 +427,9 @@ def land(raw: DataFrame, staging_path: str, date_format: str = "yyyy-MM-dd") ->
     with_reject_reason(raw, date_format).write.mode("overwrite").parquet(staging_path)
 
 
-def typed(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Rename and type the landed rows; keep ``reject_reason`` (NULL = good row)."""
+def typed(raw: DataFrame, date_format: str = "yyyy-MM-dd", types: dict[str, str] | None = None) -> DataFrame:
+    """Rename and type the landed rows; keep ``reject_reason`` (NULL = good row). ``types``: the types of
+    further columns by header name (``infer.type_map``); all others stay text."""
     raw = with_reject_reason(raw, date_format)
     out, used = [], set()
     for c in raw.columns:
@@ -443,6 +445,8 @@ def typed(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
             out.append(_parse_date(src, date_format).alias(name))
         elif name == "timely_response":
             out.append(src.try_cast("boolean").alias(name))
+        elif types and types.get(c, "string") != "string":
+            out.append(parsed(F.nullif(src, F.lit("")), types[c]).alias(name))
         else:
             out.append(src.alias(name))
     return raw.select(*out, F.col(CORRUPT), F.col(REASON))
@@ -455,12 +459,21 @@ def split(typed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_complaints(spark: SparkSession, csv_path: str, staging_path: str,
-                    date_format: str = "yyyy-MM-dd", multiline: bool = True,
+                    date_format: str = "yyyy-MM-dd", multiline: bool = True, infer: bool = False,
                     ) -> tuple[DataFrame, DataFrame]:
     """Land the CSV once, then return (good typed rows, rejected rows), both lazy
-    over the landed Parquet."""
+    over the landed Parquet. ``infer``: the columns that no report reads get the narrowest type
+    that all values of the good rows have (one more pass over the landed columns)."""
     land(read_raw(spark, csv_path, multiline=multiline), staging_path, date_format)
-    return split(typed(spark.read.parquet(staging_path), date_format))
+    landed = spark.read.parquet(staging_path)
+    return split(typed(landed, date_format, type_map(landed_types(landed)) if infer else None))
+
+
+def landed_types(landed: DataFrame) -> DataFrame:
+    """``infer.infer_types`` of the good rows' columns but those with a type or meaning of their own."""
+    fixed = {CORRUPT, REASON}
+    columns = [c for c in landed.columns if c not in fixed and snake(c) not in S.SOURCE_COLUMNS.values()]
+    return infer_types(landed.where(F.col(REASON).isNull()), columns)
 
 
 def to_source_layout(cases: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ EXCLUDED_PRODUCTS = ("SMALL", "PROMO")
 # Whitelist rule: NATION_0 .. NATION_19 (NATION_20..23 act as territories).
 TEST_REGIONS: tuple[str, ...] = tuple(f"NATION_{i}" for i in range(20))
 
+# Case columns in which some values stand out (dates are all about as frequent).
+HEAVY_COLUMNS = ("product", "state", "company_response", "timely_response")
+# Keys of state, product and response (as the calendar queries have them): sparse in months.
+SPARSE_REGIONS: tuple[str, ...] = tuple(f"{s}/{p}/{r}" for s in TEST_REGIONS[:6] for p in ("LARGE", "SMALL", "PROMO") for r in RESPONSE_BY_FLAG.values())
+
 TESTDATA_CONFIG = ReportConfig(
     regions=TEST_REGIONS,
     history_since="1995-01-01",
