@@ -41,15 +41,13 @@ def register_files(spark: SparkSession, name: str, path: str, fmt: str = "parque
 def replace_table(df: DataFrame, name: str, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """``DROP TABLE IF EXISTS`` + ``CREATE TABLE AS``; returns the table.
 
-    ``df`` must not read from the table it replaces (Spark reads lazily); to
-    rewrite a table from itself, write a new path first, as ``sinks`` does.
+    The new content is a version of its own under ``path`` (``plans.versions``), so the old table
+    is there until the new one is complete, and ``df`` may read the table it replaces.
     """
-    spark = df.sparkSession
-    w = df.write.mode("overwrite").format("parquet").option("path", path)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.saveAsTable(name)
-    return spark.table(name)
+    from casegrid.plans import versions
+
+    versions.publish(df, path, partition_by)
+    return versions.point_table(df.sparkSession, name, path)
 
 
 def describe(df: DataFrame) -> DataFrame:
