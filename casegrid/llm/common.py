@@ -94,6 +94,12 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2**64: sums of codes times rising
+    powers give the hash of any stretch as a difference times a falling one."""
+    return _Powers.upto(n)
+
+
 # Space and \t \n \v \f \r part words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
