@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from casegrid.llm.common import CHUNK_BYTES, drop_path, scratch_path
 
-#: Pieces that a worker remembers before it starts anew, and numbers in a block.
-CACHE, BLOCK = 600_000, 1 << 18
+#: Pieces that a worker remembers before it starts anew (it keeps as many from before, and takes over
+#: those still in use), and numbers in a block.
+CACHE, BLOCK = 400_000, 1 << 18
 #: A count above any text's: the text is encoded whole.
 WHOLE = 1 << 40
 
@@ -115,10 +116,16 @@ class Encoder:
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.spaced = np.zeros(top + 1, bool)           # ids of tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.size = self.used = 0
+        self.places = []
         self._forget()
         self.counts = [_Counts({}), _Counts({})]
 
     def _forget(self) -> None:
+        """Start anew; what is known becomes the old generation."""
+        self.old = [dict(p) for p in self.places] or [{}, {}]
+        self.old_ids = self.ids[:self.used] if self.size else np.zeros(0, self.dtype)
+        self.old_begin, self.old_count = (self.begin, self.count) if self.size else (np.zeros(0, np.int64),) * 2
         self.size = 0
         self.places = [_Places(self, ""), _Places(self, " ")]
         self.ids = np.zeros(1 << 20, self.dtype)
@@ -144,8 +151,10 @@ class Encoder:
         if self.size > len(self.begin):
             more = np.zeros(2 * self.size - len(self.begin), np.int64)
             self.begin, self.count = np.concatenate((self.begin, more)), np.concatenate((self.count, more))
-        for places in self.places:
+        for places, old in zip(self.places, self.old, strict=True):
             new, places.new = places.new, []
+            if old:
+                new = self._take_over(places, old, new)
             apart = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
             if len(apart) < len(new):
                 self.count[[places[p] for p in set(new).difference(apart)]] = -1
@@ -156,12 +165,27 @@ class Encoder:
                 else:
                     each = self._encode(part)
                     ids, n = np.concatenate(each), np.array([len(e) for e in each])
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), self.dtype)))
-                self.ids[self.used:self.used + len(ids)] = ids
-                at = np.fromiter(map(places.__getitem__, part), np.int64, len(part))
-                self.begin[at], self.count[at] = self.used + np.cumsum(n) - n, n
-                self.used += len(ids)
+                self._store(places, part, ids, n)
+
+    def _store(self, places: _Places, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        """Note the ids of the pieces, ``n`` of them each (-1: none, not apart)."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), self.dtype)))
+        self.ids[self.used:self.used + len(ids)] = ids
+        at = np.fromiter(map(places.__getitem__, pieces), np.int64, len(pieces))
+        own = np.maximum(n, 0)
+        self.begin[at], self.count[at] = self.used + np.cumsum(own) - own, n
+        self.used += len(ids)
+
+    def _take_over(self, places: _Places, old: dict[str, int], new: list[str]) -> list[str]:
+        """Copy the ids of the pieces that the old generation has; returns the others."""
+        known = [p for p in new if p in old]
+        at = np.fromiter(map(old.__getitem__, known), np.int64, len(known))
+        begin, n = self.old_begin[at], self.old_count[at]
+        own = np.maximum(n, 0)
+        ids = self.old_ids[np.arange(int(own.sum())) + np.repeat(begin - (np.cumsum(own) - own), own)]
+        self._store(places, known, ids, n)
+        return [p for p in new if p not in old]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.size > CACHE:
@@ -241,6 +265,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
+        seen = np.zeros(0, np.int64)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
             i = 0
@@ -249,26 +274,33 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                 while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK_BYTES):
                     size += len(texts[j])
                     j += 1
+                ids = [b + end for b in enc.encode(texts[i:j])]
+                found = np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(seen))
+                found[:len(seen)] += seen
+                seen = found
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[i:j].array, "text_hash": pdf["text_hash"].iloc[i:j].array,
-                                    "ids": [b + end for b in enc.encode(texts[i:j])], "width": enc.dtype.itemsize})
+                                    "ids": ids, "width": enc.dtype.itemsize, "seen": None})
                 i = j
+        # One more row per task: how often it met each id.
+        yield pd.DataFrame({"doc_id": [None], "text_hash": [None], "ids": [None], "width": [0], "seen": [seen.tobytes()]})
 
     raw_path = scratch_path(spark, "token-ids")
-    schema = "doc_id long, text_hash long, ids binary, width int"
+    schema = "doc_id long, text_hash long, ids binary, width int, seen binary"
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
      .mapInPandas(tokens, schema).write.option("compression", "zstd").parquet(raw_path))
-    raw = spark.read.schema(schema).parquet(raw_path)
+    written = spark.read.schema(schema).parquet(raw_path)
+    raw = written.where("seen is null").drop("seen")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(0, np.int64)
         for pdf in batches:
-            for w, part in pdf.groupby("width"):
-                got = np.bincount(np.frombuffer(b"".join(part["ids"]), f"<u{w}"), minlength=len(n))
-                got[:len(n)] += n
-                n = got
+            for part in pdf["seen"]:
+                got = np.frombuffer(part, np.int64)
+                n = np.concatenate((n, np.zeros(max(len(got) - len(n), 0), np.int64)))
+                n[:len(got)] += got
         yield pd.DataFrame({"id": np.flatnonzero(n), "n": n[n > 0]})
 
-    counts = raw.select("ids", "width").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = written.where("seen is not null").select("seen").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])     # a row per id of the vocabulary at most
     ids = found["id"].to_numpy(np.int64)
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(ids)), "id": ids}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
