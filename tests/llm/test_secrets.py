@@ -104,6 +104,51 @@ def test_structures_are_confirmed():
     assert kinds("Bearer " + JWT) == ["jwt"]
 
 
+DSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + RNG.randrange(120)]) + RNG.randbytes(n)) for n in (128, 20, 127, 127, 19)))
+OID = der(6, b"\x2a\x86\x48")
+SEALED = der(0x30, der(0x30, OID + der(0x30, der(0x30, OID) + der(0x30, OID))) + der(4, RNG.randbytes(320)))
+
+
+def lines(text, width=64):
+    return "\n".join(text[i:i + width] for i in range(0, len(text), width))
+
+
+def block(kind, body, headers=""):
+    return f"-----BEGIN {kind}-----\n{headers}{lines(b64(body))}\n-----END {kind}-----"
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, DSA, SEALED])
+def test_key_shapes(data):
+    """Every shape in a block, on one line, wrapped, in hexadecimal, and not if cut."""
+    found = lambda t: [s for s in S.spans(t) if s[0] in ("pem", "der")]
+    pem = block("PRIVATE KEY", data)
+    assert found("x\n" + pem + "\ny") == [("pem", 2, 2 + len(pem))]
+    for body in (b64(data), lines(b64(data)), lines(b64(data), 76).replace("\n", "\r\n  "), lines(b64(data)).replace("\n", "\\n"), data.hex()):
+        assert found("a " + body + "\n\nend of it") == [("der", 2, 2 + len(body))], body
+        assert S.redact("a " + body + "\n\nend of it") == "a [secret]\n\nend of it"
+    assert found(lines(b64(data[:-9]))) == [] and found(lines(b64(data)) + "\n" + "A" * 64)[0][1:] == (0, len(lines(b64(data))))
+
+
+def test_blocks_with_headers():
+    kinds = lambda t: [s[0] for s in S.spans(t) if s[0] not in S.BASE_KINDS]
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    sealed = block("RSA PRIVATE KEY", RNG.randbytes(640), headers)
+    assert kinds("x " + sealed) == ["pem"] and S.redact("x " + sealed + " y") == "x [secret] y"
+    assert kinds(block("RSA PRIVATE KEY", RSA, "Comment: mine: and yours\n")) == ["pem"]
+    assert kinds(block("RSA PRIVATE KEY", RNG.randbytes(641), headers)) == []          # not whole cipher blocks
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + "a: " * 20_000 + "\n-----") == []
+
+
+def test_long_lookalike_lines_end():
+    head = base64.b64encode(b"\x30\x82\xff\xff" + b"\1" * 44).decode()
+    assert S.spans("\n".join([head] * 3000)) == []
+
+
+def test_unsigned_tokens_are_not_reported():
+    bare = ".".join([url64(b'{"alg":"none"}'), url64(b'{"sub":"1"}'), ""])
+    assert [s for s in S.spans("Bearer " + bare) if s[0] == "jwt"] == []
+
+
 def test_lookalikes_are_not_reported():
     kinds = lambda t: [s[0] for s in S.spans(t) if s[0] not in S.BASE_KINDS]
     cut, junk = RSA[:-7], der(0x30, RNG.randbytes(90))
