@@ -4,15 +4,15 @@ A row's length is the number of its ids in a tokenizer file, the end id included
 (``n_ids``; counted once and written). ``n_tokens`` is the number of its words and the end mark,
 and no length or budget is taken from it.
 
-The corpus's length histogram (one aggregate, a row per grid length) goes to a dynamic
-program that chooses the bucket boundaries of least total padding. Inside a bucket,
+The corpus's length histogram (one aggregate, a row per distinct length) goes to a dynamic
+program that chooses the bucket boundaries of least total padding, over all lengths. Inside a bucket,
 rows form batches of ``budget // boundary`` rows, each padded to the boundary, so a
 batch never exceeds the token budget unless a single row does (it is then a batch of
 its own, uncut).
 
-The grid is exact up to ``EXACT`` tokens and has ``FINE`` steps per doubling beyond, so
-the histogram has a few thousand rows at any corpus size; a grid step's boundary is the
-longest length in it, so no row is ever longer than its bucket.
+The histogram has at most as many rows as the longest text has ids, and under the square root
+of twice the corpus's ids (so many ids the distinct lengths alone take). The program's choices
+move one way as its last length grows, so it takes n log n steps a bucket, not n squared.
 
 Rows of a bucket are dealt by hash to chunks of about ``CHUNK_ROWS`` rows, each ordered and
 batched on its own: a bucket with most of the corpus is still many small groups. A
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from casegrid.llm.common import chunks, public_tokenizer, written
 from casegrid.llm.token_files import _encoder
 
-EXACT, FINE, CHUNK_ROWS = 1024, 64, 16_384
+CHUNK_ROWS = 16_384
+_NONE = np.int64(2**62)
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -56,37 +57,45 @@ def n_ids(tokenizer: str, text: str = "text") -> Column:
     return run(F.col(text))
 
 
-def grid(length: Column) -> Column:
-    """The grid step of a length: itself up to EXACT, then FINE steps per doubling."""
-    beyond = F.floor(F.log2(length / F.lit(float(EXACT))) * FINE)
-    return F.when(length <= EXACT, length.cast("long")).otherwise(F.lit(EXACT) + 1 + beyond).cast("long")
-
-
-def boundaries(longest: np.ndarray, rows: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
-    """The at most ``buckets`` boundaries of least padding for grid steps in ascending order:
-    longest length, rows and tokens of each step."""
-    n = len(longest)
+def _layer(best: np.ndarray, ends: np.ndarray, c: np.ndarray, s: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the first j lengths with one bucket more than ``best`` has (``first``: the
+    least number of lengths that ``best`` knows), and where that bucket begins."""
+    n = len(ends)
+    new, begins = np.full(n + 1, _NONE), np.zeros(n + 1, np.int64)
+    todo = [(first + 1, n, first, n - 1)]
+    while todo:                             # lengths low..high; their bucket begins in left..right
+        low, high, left, right = todo.pop()
+        if low > high:
+            continue
+        j = (low + high) // 2
+        i = slice(left, min(j - 1, right) + 1)
+        cost = best[i] + ends[j - 1] * (c[j] - c[i]) - (s[j] - s[i])
+        at = left + int(np.argmin(cost))
+        new[j], begins[j] = cost[at - left], at
+        todo += [(low, j - 1, left, at), (j + 1, high, at, right)]
+    return new, begins
+
+
+def boundaries(lengths: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
+    """The at most ``buckets`` boundaries of least padding for ascending lengths and their rows."""
+    n = len(lengths)
     if n == 0:
         return []
-    c, s = np.concatenate(([0], np.cumsum(rows))), np.concatenate(([0], np.cumsum(tokens)))
-    best = np.full(n + 1, np.inf)
+    ends, rows = np.asarray(lengths, np.int64), np.asarray(rows, np.int64)
+    c, s = np.concatenate(([0], np.cumsum(rows))), np.concatenate(([0], np.cumsum(ends * rows)))
+    best = np.full(n + 1, _NONE)
     best[0] = 0
     choice: list[np.ndarray] = []
-    total = [np.inf]
-    for _ in range(min(buckets, n)):
-        new, frm = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        for j in range(1, n + 1):           # the bucket that ends with step j begins after step i
-            cost = best[:j] + longest[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            frm[j] = int(np.argmin(cost))
-            new[j] = cost[frm[j]]
-        best = new
-        choice.append(frm)
-        total.append(new[n])
-    k = int(np.argmin(total))
+    total: list[int] = []
+    for k in range(min(buckets, n)):
+        best, begins = _layer(best, ends, c, s, k)
+        choice.append(begins)
+        total.append(int(best[n]))
+    k = int(np.argmin(total)) + 1
     out, j = [], n
-    for frm in choice[k - 1::-1]:
-        out.append(int(longest[j - 1]))
-        j = frm[j]
+    for begins in choice[k - 1::-1]:
+        out.append(int(ends[j - 1]))
+        j = int(begins[j])
     return out[::-1]
 
 
@@ -97,13 +106,11 @@ def pack(docs: DataFrame, budget: int = 32_768, buckets: int = 16, tokenizer: st
     spark = docs.sparkSession
     ids = n_ids(tokenizer or public_tokenizer("byte_bpe_50k.json"))
     rows = written(docs.select("doc_id", n_tokens().cast("long").alias("n_tokens"), ids.alias("n_ids"), F.xxhash64("doc_id", "text").alias("h")), "lengths")
-    steps = (rows.groupBy(grid(F.col("n_ids")).alias("step"))
-             .agg(F.max("n_ids").alias("longest"), F.count("*").alias("rows"), F.sum("n_ids").alias("tokens"))
-             .orderBy("step").toPandas())                      # a row per grid step
-    ends = boundaries(*(steps[k].to_numpy(np.int64) for k in ("longest", "rows", "tokens")), buckets)
+    steps = rows.groupBy("n_ids").agg(F.count("*").alias("rows")).orderBy("n_ids").toPandas()      # a row per distinct length
+    ends = boundaries(*(steps[k].to_numpy(np.int64) for k in ("n_ids", "rows")), buckets)
     plan, low = [], 0
     for b, end in enumerate(ends):
-        inside = steps[(steps["longest"] > low) & (steps["longest"] <= end)]
+        inside = steps[(steps["n_ids"] > low) & (steps["n_ids"] <= end)]
         plan.append((b, low, end, max(1, budget // end), max(1, -(-int(inside["rows"].sum()) // CHUNK_ROWS))))
         low = end
     table = F.broadcast(spark.createDataFrame(plan, "bucket int, above long, pad_to long, batch_rows long, chunks long"))   # `buckets` rows

@@ -5,7 +5,6 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from casegrid.llm import packing as P
 
@@ -21,7 +20,7 @@ def test_boundaries_are_optimal():
             return sum(n * (min(e for e in ends if e >= x) - x) for x, n in zip(lengths, rows, strict=True))
 
         best = min(padding((*c, lengths[-1])) for r in range(k) for c in itertools.combinations(lengths[:-1], r))
-        ends = P.boundaries(np.array(lengths), np.array(rows), np.array(lengths) * np.array(rows), k)
+        ends = P.boundaries(np.array(lengths), np.array(rows), k)
         assert padding(ends) == best and len(ends) <= k
 
 
@@ -41,10 +40,23 @@ def test_batches(make_docs, monkeypatch):
     assert {r.doc_id: r.n_tokens for r in out}[900] == 1 and {r.doc_id: r.n_tokens for r in out}[901] == 5001
 
 
-def test_grid_never_mixes_order(spark):
-    lengths = [*range(1000, 1100), *range(2040, 2060), 10**6, 10**6 + 1]
-    steps = [r.s for r in spark.createDataFrame([(x,) for x in lengths], "x long").select(P.grid(F.col("x")).alias("s")).collect()]
-    assert steps == sorted(steps) and len(set(steps[:25])) == 25
+def test_boundaries_of_long_lengths_are_optimal():
+    """Against the plain program over every begin of every bucket, lengths far over a thousand included."""
+    rng = np.random.default_rng(5)
+    for n, k in ((200, 6), (150, 1), (40, 40), (300, 16)):
+        lengths = np.sort(rng.choice(50_000, n, replace=False) + 1)
+        rows = rng.integers(1, 10**rng.integers(1, 7), n)
+
+        def padding(i, j, lengths=lengths, rows=rows):
+            return int((rows[i:j] * (lengths[j - 1] - lengths[i:j])).sum())
+
+        best = [0] + [padding(0, j) for j in range(1, n + 1)]
+        for _ in range(k - 1):
+            best = [0] + [min(best[i] + padding(i, j) for i in range(j)) for j in range(1, n + 1)]
+        ends = P.boundaries(lengths, rows, k)
+        at = [0, *(int(np.searchsorted(lengths, e)) + 1 for e in ends)]
+        assert len(ends) <= k and ends[-1] == lengths[-1]
+        assert sum(padding(i, j) for i, j in zip(at, at[1:], strict=False)) == best[n]
 
 
 def test_empty(make_docs):
