@@ -11,12 +11,14 @@ row hash, each piece like a key of its own; there are at most shards / SLACK suc
 so their list is bounded, too.
 
 Edge cases: a null key is a key like another. Repeated rows share a piece and so a shard. An
-empty table gives an empty placement. Extra columns are ignored.
+empty table gives an empty placement. No shards, more shards than slots and a number of slots
+that is not prime are refused. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ SLOTS, SLACK = 65_537, 0.25
 
 def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
     """The shard's place in ``shards`` for each of a prime number of slots."""
+    if not 0 < len(shards) <= slots or slots < 3 or any(slots % d == 0 for d in range(2, math.isqrt(slots) + 1)):
+        raise ValueError(f"{len(shards)} shards need a prime number of slots, at least as many, not {slots}")
     preferences = []
     for name in shards:
         digest = hashlib.sha256(name.encode()).digest()
@@ -67,8 +71,9 @@ def shard_names(n: int) -> list[str]:
 
 def placements(docs: DataFrame, n_shards: int = 64) -> DataFrame:
     """(doc_id, source, piece, slot, shard, shard_after_loss): documents kept together by source
-    as far as their number allows, and where each goes when the last shard is lost."""
+    as far as their number allows, and where each goes when the last shard is lost (null: no other)."""
     names = shard_names(n_shards)
     now = place(docs.select("doc_id", "source"), "source", "doc_id", names)
-    later = docs.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(lookup_table(names[:-1]))], "slot long, shard_after_loss string")
-    return now.join(F.broadcast(later), "slot").select("doc_id", "source", "piece", "slot", "shard", "shard_after_loss")
+    after = lookup_table(names[:-1]) if n_shards > 1 else []
+    later = docs.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(after)], "slot long, shard_after_loss string")
+    return now.join(F.broadcast(later), "slot", "left").select("doc_id", "source", "piece", "slot", "shard", "shard_after_loss")

@@ -1,7 +1,9 @@
 """Sharding: the table's balance and stability, hot keys, edge cases."""
 
+import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from casegrid.llm import sharding as S
@@ -52,3 +54,30 @@ def test_rows(spark, make_docs):
     assert len(out) == 4 and all(r.shard and r.shard_after_loss and 0 <= r.slot < S.SLOTS for r in out)
     assert len({(r.slot, r.shard) for r in out if r.doc_id == 1}) == 1
     assert S.placements(docs.limit(0), 4).count() == 0
+
+
+def test_arguments(make_docs):
+    for shards, slots in (([], 13), (["a"] * 14, 13), (["a", "b"], 15), (["a"], 1)):
+        with pytest.raises(ValueError):
+            S.lookup_table(shards, slots)
+    docs = make_docs([(1, "x"), (2, None)]).withColumn("source", F.lit("s"))
+    out = S.placements(docs, n_shards=1).collect()
+    assert [(r.shard, r.shard_after_loss) for r in out] == [("shard-00000", None)] * 2
+
+
+def test_placement_by_hand(make_docs):
+    """Rows placed by a plain reading: pieces of a hot key, the slot, the table."""
+    rows = [(i, "x") for i in range(60)]
+    source = F.when(F.col("doc_id") < 40, "hot").when(F.col("doc_id") < 58, F.concat(F.lit("s"), F.col("doc_id") % 6))
+    docs = make_docs(rows).withColumn("source", source)
+    names = S.shard_names(4)
+    table, most = S.lookup_table(names), S.SLACK * 60 / 4
+    hashed = docs.select("doc_id", "source", F.xxhash64("doc_id").alias("h")).collect()
+    sizes = Counter(r.source for r in hashed)
+    pieces = {r.doc_id: r.h % math.ceil(sizes[r.source] / most) if sizes[r.source] > most else 0 for r in hashed}
+    out = S.place(docs.select("doc_id", "source"), "source", "doc_id", names).collect()
+    assert len(out) == 60 and {r.doc_id: r.piece for r in out} == pieces
+    assert all(r.shard == names[table[r.slot]] for r in out)
+    by_key = {}
+    for r in out:
+        assert by_key.setdefault((r.source, r.piece), r.shard) == r.shard
