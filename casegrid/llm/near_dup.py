@@ -331,9 +331,10 @@ def _rest_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, shingle:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_hash) per row of ``docs`` (doc_id, text):
+    """(doc_id, n_shingles, component_id, kept, text_hash, survivor) per row of ``docs`` (doc_id, text):
     documents are linked where 100 * intersection >= ``percent`` * union of their sets
-    of ``shingle``-word shingles; a component is what links reach."""
+    of ``shingle``-word shingles; a component is what links reach. ``survivor`` marks the text of
+    least (doc_id, text_hash) of each component, so one text also where ids are null or repeat."""
     rows = written(sketches(docs, shingle), "sketches")
     classes = written(rows.where("class is not null").groupBy("class").agg(
         F.max("n_shingles").alias("n_shingles"), F.min("regs").alias("regs"),
@@ -341,10 +342,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     star = _star_links(docs, classes, shingle, percent)
     rest = _rest_links(docs, classes, components(star, rounds=2), shingle, percent)
     roots = components(star.union(rest))
-    least = (classes.join(roots, "class").groupBy("root").agg(F.min("least").alias("component")))
-    named = roots.join(least, "root").select("class", "component")
-    own = classes.join(named, "class", "left").select("class", F.coalesce("component", "least").alias("component_id"))
+    least = (classes.join(roots, "class").groupBy("root").agg(F.min("least").alias("component"), F.min("rep").alias("first")))
+    named = roots.join(least, "root").select("class", "component", "first")
+    own = classes.join(named, "class", "left").select("class", F.coalesce("component", "least").alias("component_id"), F.coalesce("first", "rep").alias("first"))
     out = rows.drop("regs").join(own, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash",
+                      (F.col("class").isNull() | F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).alias("survivor"))
