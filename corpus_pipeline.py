@@ -26,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id; of rows
-    that repeat an id and a text, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
+    """One document of each near-duplicate group stays, the one with the smallest id (nulls first);
+    of different texts with that id one, of rows that repeat an id and a text, one."""
+    kept = near_duplicates(docs).where("survivor").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
     return docs.join(kept, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
