@@ -55,6 +55,19 @@ def test_whole_run(spark):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_one_of_each_group_stays_without_ids(spark):
+    """Near copies whose ids are all null, or all the same, leave one row; unlike rows of that id stay."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    near_copies = [" ".join([*base, f"t{i}"]) for i in range(3)]
+    unlike = " ".join(f"v{i}" for i in range(60))
+    for doc_id in (None, 9):
+        rows = [(doc_id, t) for t in [*near_copies, *near_copies, unlike, None, ""]]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+        kept = [r.text for r in C.drop_near_duplicates(spark, frame, "").collect()]
+        assert len(set(kept) & set(near_copies)) == 1 and len(kept) == 4 and {unlike, None, ""} < set(kept)
+
+
 @pytest.mark.parametrize("name", sorted(R.llm_oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
