@@ -2,21 +2,25 @@
 
 A page is cut into blocks at block-level tags. Each block gets shallow features: its
 word count and link density, those of its neighbours before and after, whether it is
-a heading, whether the page marks it as main content (inside ``article``, or, where the
-articles hold less than ``ARTICLE_SHARE`` of the marked words, inside ``article``, ``main``
-or an element named like one; unmarked page; outside the marked part), and whether an enclosing element says what it
-is (a navigation, footer, aside or form element, or a whole class word, id or role naming an advert,
-comment section and the like; words such as discussion, related or notice only where the element
-holds links, or short text under such a class). A decision tree fitted to ``LABELLED`` keeps or
-drops it; where it keeps none of an unmarked page's, the unnamed ones of few links stay. Kept blocks are joined by a newline.
+a heading, a paragraph or list item, or a line of rights, whether the page marks it as main
+content (inside ``article``, or, where the articles hold less than ``ARTICLE_SHARE`` of the marked
+words, inside ``article``, ``main`` or an element named like one; unmarked page; outside the marked
+part), and whether an enclosing element says what it is (a navigation, footer, aside or form
+element, or a whole class word, id or role naming an advert, comment section and the like; words
+such as discussion, related or notice only where the element holds links, or short text under such
+a class). A decision tree fitted to the blocks of ``LABELLED`` keeps or drops it: what is named or
+outside the marked part goes; in unmarked pages, and for lists of links in marked ones, the
+neighbours decide. Where it keeps none of an unmarked page's, the unnamed ones of few links stay.
+Kept blocks are joined by a newline.
 
 Inside a block, character references are decoded and white space becomes one space;
 ``br`` counts as white space. Scripts, styles, comments and embedded objects never
 enter a block.
 
 Edge cases: null or empty html gives an empty text; broken markup is read on (an
-unclosed element ends with its parent, an unclosed script with the page); repeated pages give
-repeated rows; the whole of a long page is read. Extra columns are ignored.
+unclosed element ends with its parent, an unclosed script with the page, a tag with an
+unclosed quote at its next >); repeated pages give repeated rows; the whole of a long page is
+read, in time that grows with its length at any nesting. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,43 +35,104 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "main", "named")
-
-# Labelled blocks, in the order of FEATURES with the label (1: main text) last.
-# main: 2 inside the marked content, 1 page without such a mark, 0 outside it.
-LABELLED = [
-    # marked content: paragraphs and headings of any length
-    (9, 0.0, 0, 0.0, 60, 0.0, 1, 2, 0, 1), (60, 0.0, 9, 0.0, 45, 0.0, 0, 2, 0, 1), (1, 0.0, 60, 0.0, 80, 0.0, 0, 2, 0, 1),
-    (2, 0.0, 1, 0.0, 1, 0.0, 0, 2, 0, 1), (1, 0.0, 2, 0.0, 12, 0.0, 0, 2, 0, 1), (200, 0.02, 40, 0.0, 6, 1.0, 0, 2, 0, 1),
-    (35, 0.3, 50, 0.0, 70, 0.1, 0, 2, 0, 1), (12, 0.0, 1, 1.0, 0, 0.0, 0, 2, 0, 1), (5, 0.0, 3, 1.0, 90, 0.0, 1, 2, 0, 1),
-    (18, 0.55, 70, 0.0, 66, 0.0, 0, 2, 0, 1), (4, 0.0, 2, 0.5, 0, 0.0, 0, 2, 0, 1), (25, 0.0, 6, 1.0, 9, 0.0, 0, 2, 0, 1),
-    (7, 1.0, 50, 0.0, 48, 0.0, 1, 2, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 2, 0, 1), (90, 0.45, 4, 0.0, 8, 0.0, 0, 2, 0, 1),
-    # marked content: lists of links
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 2, 0, 0), (6, 1.0, 5, 1.0, 0, 0.0, 0, 2, 0, 0), (4, 0.95, 80, 0.0, 3, 1.0, 0, 2, 0, 0),
-    (9, 1.0, 7, 1.0, 8, 1.0, 0, 2, 0, 0), (2, 1.0, 40, 0.0, 2, 1.0, 0, 2, 0, 0), (5, 1.0, 6, 0.9, 30, 0.0, 0, 2, 0, 0),
-    # outside the marked content
-    (4, 0.0, 0, 0.0, 9, 1.0, 0, 0, 0, 0), (30, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0), (80, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (12, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (6, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 0),
-    (150, 0.01, 7, 0.0, 12, 0.4, 0, 0, 0, 0), (10, 0.3, 8, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (2, 1.0, 1, 0.0, 20, 1.0, 1, 0, 0, 0), (20, 1.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 22, 0.0, 31, 0.0, 1, 0, 0, 0),
-    (18, 0.55, 65, 0.0, 70, 0.0, 0, 0, 0, 0), (7, 1.0, 48, 0.0, 52, 0.0, 1, 0, 0, 0), (60, 0.0, 9, 0.0, 45, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), (35, 0.3, 50, 0.0, 70, 0.1, 0, 0, 0, 0), (9, 0.0, 0, 0.0, 60, 0.0, 1, 0, 0, 0),
-    # page without a mark: running text and what stands in it
-    (45, 0.0, 8, 0.0, 70, 0.0, 0, 1, 0, 1), (120, 0.05, 45, 0.0, 30, 0.1, 0, 1, 0, 1), (22, 0.0, 60, 0.0, 5, 1.0, 0, 1, 0, 1),
-    (6, 0.0, 3, 1.0, 70, 0.0, 1, 1, 0, 1), (5, 0.0, 55, 0.0, 61, 0.0, 0, 1, 0, 1), (3, 0.0, 44, 0.0, 52, 0.0, 0, 1, 0, 1),
-    (28, 0.25, 33, 0.0, 41, 0.0, 0, 1, 0, 1), (17, 0.0, 4, 0.0, 25, 0.0, 0, 1, 0, 1), (8, 0.0, 38, 0.0, 47, 0.0, 1, 1, 0, 1),
-    (16, 0.1, 90, 0.0, 2, 1.0, 0, 1, 0, 1), (9, 0.0, 30, 0.0, 26, 0.0, 0, 1, 0, 1), (4, 0.0, 2, 1.0, 36, 0.0, 1, 1, 0, 1),
-    # page without a mark: short or linked blocks away from running text
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0), (5, 0.0, 4, 0.0, 3, 0.0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 1, 1.0, 0, 1, 0, 0),
-    (8, 0.0, 55, 0.0, 0, 0.0, 0, 1, 0, 0), (6, 0.5, 40, 0.0, 0, 0.0, 0, 1, 0, 0), (24, 0.9, 3, 1.0, 5, 1.0, 0, 1, 0, 0),
-    (30, 0.8, 4, 1.0, 60, 0.0, 0, 1, 0, 0), (7, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 0), (9, 0.0, 2, 1.0, 5, 0.0, 0, 1, 0, 0),
-    (4, 1.0, 70, 0.0, 65, 0.0, 0, 1, 0, 0), (1, 0.0, 66, 0.0, 2, 1.0, 0, 1, 0, 0), (12, 0.6, 8, 0.0, 9, 0.0, 0, 1, 0, 0),
-    # named by an enclosing element: never main text
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0), (40, 0.0, 30, 0.0, 25, 0.0, 0, 2, 1, 0),
-    (120, 0.0, 90, 0.0, 80, 0.0, 0, 2, 1, 0), (60, 0.0, 50, 0.0, 70, 0.0, 0, 1, 1, 0), (5, 0.0, 60, 0.0, 40, 0.0, 1, 2, 1, 0),
-    (25, 0.1, 20, 0.0, 0, 0.0, 0, 1, 1, 0), (3, 0.0, 2, 0.0, 2, 0.0, 0, 2, 1, 0), (15, 0.0, 60, 0.0, 12, 0.0, 0, 0, 1, 0),
-    (70, 0.0, 3, 1.0, 45, 0.0, 0, 1, 1, 0), (10, 0.0, 0, 0.0, 8, 0.0, 1, 1, 1, 0), (33, 0.0, 35, 0.0, 31, 0.0, 0, 2, 1, 0),
-]
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "prose", "rights", "main", "named")
+_WORDS, _LINKS, _MAIN, _NAMED = FEATURES.index("words"), FEATURES.index("links"), FEATURES.index("main"), FEATURES.index("named")
+
+# The blocks of labelled pages in order. A block is its kind (h heading, p paragraph or list item, c line of
+# rights, d other), words, l and the share of linked words in percent, + main text or - not; ~ stands before blocks outside
+# the marked content, ! before blocks named by an enclosing element.
+LABELLED = """
+unmarked h1+ p2+ p30+ p1+
+unmarked d2l100- d2l100- d3l100- h6+ p5+ p70+ p45+ p120l5+ p22+ d2l100- d3l100- d8-
+unmarked h2- d1l100- d1l100- h9+ p60+ h3+ p55+ p61+ p90l10+ p16l10+ p2l100- p3l100-
+unmarked h4+ p45+ p9+ p40+ h2+ p38+ p3+
+unmarked h3+ p33+ h1+ p4+
+unmarked p30+ p50+ p7+
+unmarked p44+ p4l100+ p52+ p28l25+ p33+ p9l100+ p40+
+unmarked d5- d3- d4l100- d2l100- h4+ d60+ d45+ d8-
+unmarked h3+ d45+ d70+ d20+ d2-
+unmarked d3l100- d5- d4- d24l90- p30l80- d7- p60+ p70+ h3- p5l100- p6l100- p4l100- c8-
+unmarked p3- p2l100- p3l100- h5+ p36+ p17+ p25+ p6+ c10-
+unmarked h5+ d12+ d90+ d30+ d9+ d26+ d5+ d61+
+unmarked p66+ d1- d2l100- d1l100-
+unmarked p70+ p3- p4l100- p4l100- p3l100-
+unmarked p50+ p8+ p4l100- p3l100- d6l50- d12l60-
+unmarked p1l100- p1l100- p2- p1l100- h4+ p12+ p48+
+unmarked h1+ p3+ p2+
+unmarked h2+ p3+ p24+ p2+ p1+
+unmarked p30l100- p12l100- d40l100- p11l100- p60+ p33+ p15l100- p20l100- d9l100- h12l100- d30l100-
+unmarked p7l100- d25l100- p50+ p9l100- c8l100- d200l100- h5l100- d14l100- p300l100- p2l100-
+unmarked d3l100- p40l30+ p2l100- p70l100- h2l100- h9l100- p80l20+ d2l100- d1l100- c3l100- p34+
+unmarked d22l100- p3l100- p45+ d6l100- d5l100- p31+ h14l100- d7l100- h4+ p90+
+unmarked p50+ p3l100+ p19+ p2l100+ p21+ p12l100+ p70+
+unmarked !p12l100- p30+ !d4l100- p60+ !p90l100- p25+ !p2l100- d50+ !h5l100- !d9l100- p45+ !p40l80-
+unmarked d70+ p200l100- d50l100- p30+ p13l100- h40l100- p100l100- d2l100- p60+ p5l100- d100l100- p300+
+unmarked h4l100- p2l100- d6- d2l100- p8l100- d40+ p33+ d1l100- p2l100- d9l100- p51+
+unmarked d3- d2- d4- d30+ d8+ d20+ d6+ d33+ d3- d2- d5-
+unmarked d6- d1- d20+ d7+ d20+
+unmarked d2- d1- d3- d40+ d1+ d50+ d2+ d31+ d3+ d20+ d1+ d19+ d2- d3-
+unmarked p2l100- p50l20+ p6l100- p5l100- p200+ d12l100- d30l100- p60l10+
+unmarked p3+ p2+ p4+
+unmarked d60+ c12-
+unmarked h7+ p120+ c9- d2l100- d1l100-
+unmarked h4- p2l100- p3l100- p2l100- h8+ p35+ p41+
+unmarked p55l40+ p60+ p80l30+ h2- d3l100- d4l100-
+unmarked p40+ p3+ p2+ p4+ p2+ p35+ p5+
+unmarked d1l100- d2l100- d9- h12+ p6+ p88+ p3+ p27+ p2+
+unmarked d4- d7l100- d6- p47+ d3- d5l100-
+unmarked !p1l100- !d8- h5+ p29+ !p60- p31+ !h3- !p25l10- !p40- !c7-
+unmarked !d2l100- !d3- p20+ p6+ !p120- !p9- !d30-
+marked h9+ p60+ p45+ p80+ p2+ p1+ p12+ ~d9- ~c8-
+marked p50+ h2+ p8l100+ p9l100+ p7l100+ p11l95+ ~d5- ~d2l100-
+marked p50+ p4l100+ p48+ p18l55+ p66+ p2l100+ p30+
+marked h3+ p2l100- p1l100- p2l100- p3l100- p40+ p90+ p70+ ~p80-
+marked p60+ p2l100- p3l100- p2l100- ~h4- ~p30-
+marked p80+ p3l100+ ~d3l100- ~d2l100-
+marked ~h4- ~p30- ~d3- ~d1l100- h9+ p60+ p200l2+ p6+ ~d12- ~p80- ~p150- ~c9- ~d4l100-
+marked ~d18l55- ~h7l100- ~d60- ~p5- d35l30+ d25+ d4+ c8+ p1+
+marked h7l100+ p50+ h7l100+ p48+ d90l45+ d3+ ~h2- ~p35l30- ~p10-
+marked p3+
+marked d4+
+marked d30+
+marked d70+ ~d2-
+marked c5+
+marked d9+ d3+ d60+ d5+ d34+
+marked p30+ d2+
+marked d8+ d2+ d1+ c9+ d33+
+marked d3+ p5l100+
+marked d6+ d7l100+ d5+ d90+ d6l100+ p9l100+ d9+
+marked p2+ p9l100+ d2+ p6+ ~d1l100- ~d1-
+marked d1+ p8l100+ p9+ p8l100+ d40+ ~d70- ~p60-
+marked p12l40+ d2l45+ ~p3l100-
+marked d2l30+ c2l40+ p5l50+ d90l50+ p1l50+
+marked c12+ ~c3- ~p200-
+marked c30+ d12l100+ c40+ d5l100+
+marked h1l100+ d2+ h2l100+
+marked ~h60- ~d33- ~p9l100- ~p10l100- h20+ ~h1-
+marked !h9- !p1- !d50- !p200l30- ~!h9- !c3-
+unmarked !d40- !d200- !h30- p50+ !p90- !d70- !p5- p45+ !p1l50- !d9l100-
+marked ~p70l100- ~d12l100- ~p300- ~h4l100- ~d2l100- ~d90- ~p5l100- ~p40- ~d200l100- ~h20- ~c2l100- ~p12l100-
+marked p30+ !p4l100- p40+ !d12l100- p50+ !h6l100- p33+ !p90l100- d20+ !d3l100- !p7l100- !d80l100- p12+ !p2l100-
+marked !d4l100- p9+ !p150l100- !p1l100- d60+ !c5l100- p70+ !p30l60- ~p9- ~d40l100-
+marked p1l100+ p47+ ~p20l100- ~p40-
+marked p18+ p1l100+ d1+ ~d7l100- ~p3-
+marked p4+ c2l100+ p13+ p2l100+ p58+
+marked p34+ p2l100+ ~d4-
+marked p7+ p1l100+
+marked p90+ p3l100- p1l100- p2l100- p50+ p6l100+ p7l100+ d30l100+ p5l100+ ~p2l100-
+marked h2l100+ p30+ h4l100+ d9l100+ p2+ ~d5l100-
+marked h1+ p1l100- p2l100- p17+ p3l100- p1l100- p2l100- d50+
+marked d1l100- d3l100- h6+ p35+ d2l100- d2l100- d1l100-
+marked p50+ ~p30- ~p4l100- ~p60- ~p9l100- ~d50- ~d5l100- ~p20- ~p1l100- ~p40- ~d2l100- ~d41- ~d90l100- ~p25-
+marked p50+ !p30- !p4l100- !p60- !p9l100- !d50- !d5l100- !p20- !p1l100- !p40- !d2l100- !d41- !d90l100- !p25-
+marked ~!p30- ~!p3l100- ~!p60- p20+ p5l100+ p30+ ~p70- ~h7l100- ~p33- ~d12l100- ~d21-
+unmarked p50+ !p30- !p4l100- !p60- !p9l100- !d50- !d5l100- !p20- !p1l100- !p40- !d2l100- !d41- !d90l100- !p25-
+marked p115l100+ d14l10+ p5l100+ d2+ p30l100+ d40l20+ h8l100+ d6l50+ p90l100+ c5+ p7l100+ d9l45+ p12l100+ d70+ ~d30l10-
+marked d9l100+ d30l10+ d9l100+ d3l30+ d8l100+ d18+ d40l100+ d5l50+ d6l100+ d1+ d5l100+ p2+ p100l100+ p20+ p5l100+ d120l20+
+marked h2+ d200+ d4l50+ d9+ h5+ p6l100+ ~p45- ~h9- ~d1-
+marked ~!d2l100- h6+ p40+ !p30- !p120- p5+ !h5- !p60- !d3- p22+ !p3- ~!c10- ~!d8-
+marked ~!p15- p70+ !d33- !p2l100- p8+ !h2- !p70- !d25l10-
+"""
 
 # Element names by their part in a page.
 SKIPPED = frozenset("head script style noscript template svg iframe object canvas audio video select button textarea datalist".split())
@@ -91,6 +156,11 @@ AMBIGUOUS = frozenset("discussion notice notices related recommended search shar
 TOPICS = frozenset("advert adverts advertisement advertising banner sponsor promotion navigation menu breadcrumb widget widgets cookie cookies consent "
                    "gdpr alert dialog modal overlay reply replies subscription signup login newsletter pagination toolbar hidden".split())
 TEXT_PARTS = frozenset("section p ul ol li dl dt dd table tr td th figure blockquote pre".split())
+# Tags whose text is running text or an item of it.
+PROSE = frozenset("p blockquote pre li dt dd figcaption".split()) | HEADINGS
+# Tags that end an open one of their own kind (and a paragraph) up to the next of SCOPES.
+ENDING = frozenset("p li td th tr dt dd option".split()) | HEADINGS
+SCOPES = frozenset("ul ol table dl div section body article main td th li".split())
 TOP_NAMES = frozenset("header masthead topbar".split())
 # Words that say where or what an element of a page is, in compounds with the names above (cookie-bar, post-comments).
 PAGE_PARTS = frozenset("area article articles author bar block body bottom box button buttons container content count desktop entry fb fixed form "
@@ -102,7 +172,13 @@ RUNNING_WORDS = 12
 
 ARTICLE_SHARE = 0.4
 
-_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_START = re.compile(r"<(?:(!--)|/?([a-zA-Z])|[!?/])")
+_COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)|.*\ball rights reserved\b", re.I | re.S)
+_HREF = re.compile(r"\bhref\b", re.I)
+_LABEL = re.compile(r"(~?)(!?)([hpcd])(\d+)(?:l(\d+))?([+-])")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -117,6 +193,21 @@ class _Element:
     maybe_id: bool = False      # ... by an ambiguous id, if it holds links
     top: bool = False           # a page header
     content: bool = False
+    up: _Element | None = None  # the element around it
+
+
+@dataclass
+class _Part:
+    """What holds for the blocks of an element by it and all around it."""
+
+    named: bool = False
+    top: bool = False
+    content: bool = False
+    unfit: bool = False         # in content that a class names as something else
+    article: bool = False
+    words: int = 0              # of all blocks below it
+    linked: float = 0.0
+    running: bool = False       # one of them is running text
 
 
 @dataclass
@@ -125,7 +216,8 @@ class Block:
     words: int
     links: float
     heading: bool
-    inside: list[_Element]
+    prose: bool
+    inside: _Element | None     # the innermost
 
 
 def _compound(token: str, names: frozenset[str]) -> bool:
@@ -167,21 +259,82 @@ def _element(tag: str, attributes: str) -> _Element:
     return e
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's flat text blocks, in page order."""
+class _Open:
+    """The open elements of a page; each is entered and left once, and found in few steps."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Element] = []
+        self.ends: list[int] = []           # places of those in ENDING or SCOPES
+        self.count: dict[str, int] = {}
+        self.link: _Element | None = None
+        self.all: list[_Element] = []
+
+    def leave(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            self.count[e.tag] -= 1
+            if self.ends and self.ends[-1] == len(self.stack):
+                self.ends.pop()
+            if e is self.link:
+                self.link = None
+
+    def close(self, tag: str) -> None:
+        if self.count.get(tag):
+            depth = len(self.stack) - 1
+            while self.stack[depth].tag != tag:
+                depth -= 1
+            self.leave(depth)
+
+    def end_before(self, tag: str) -> None:
+        """Leave what the tag's opening ends: at most one of each kind is open up to a scope."""
+        for i in reversed(self.ends):
+            if self.stack[i].tag in (tag, "p"):
+                self.leave(i)
+                return
+            if self.stack[i].tag in SCOPES:
+                return
+
+    def end_link(self) -> None:
+        """A link ends where the next begins; what it holds goes on."""
+        if self.link is not None:
+            if self.stack[-1] is self.link:
+                self.leave(len(self.stack) - 1)
+            else:
+                self.count["a"] -= 1
+                self.count[""] = self.count.get("", 0) + 1
+                self.link.tag, self.link.named, self.link.by_class, self.link.maybe_class, self.link.maybe_id = "", False, False, False, False
+                self.link = None
+
+    def enter(self, e: _Element) -> None:
+        e.up = self.stack[-1] if self.stack else None
+        if e.tag in ENDING or e.tag in SCOPES:
+            self.ends.append(len(self.stack))
+        self.count[e.tag] = self.count.get(e.tag, 0) + 1
+        self.stack.append(e)
+        self.all.append(e)
+
+
+def blocks(page: str) -> tuple[list[Block], list[_Element]]:
+    """The page's flat text blocks and its elements, both in page order."""
     out: list[Block] = []
-    stack: list[_Element] = []
+    tree = _Open()
     parts: list[str] = []
     linked = total = at = skip = 0
     seen: set[str] = set()
     skipping: str | None = None
+    quoted, last, end = True, page.rfind(">"), len(page)
 
     def flush() -> None:
         nonlocal parts, linked, total
         if total:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, text.count(" ") + 1, min(1.0, linked / total), any(e.tag in HEADINGS for e in stack), list(stack)))
+                inner = tree.stack[-1] if tree.stack else None
+                kind = inner
+                while kind is not None and kind.tag in INLINE | {""}:
+                    kind = kind.up
+                heading = any(tree.count.get(h) for h in HEADINGS)
+                out.append(Block(text, text.count(" ") + 1, min(1.0, linked / total), heading, heading or (kind is not None and kind.tag in PROSE), inner))
         parts, linked, total = [], 0, 0
 
     def take(raw: str) -> None:
@@ -191,21 +344,25 @@ def blocks(page: str) -> list[Block]:
             parts.append(text)
             n = len(text) - text.count(" ")
             total += n
-            if any(e.tag == "a" for e in stack):
+            if tree.link is not None:
                 linked += n
 
-    end = len(page)
     while at < end:
-        m = _MARKUP.search(page, at)
-        if m is None:
+        start = _START.search(page, at)
+        if start is None or (start.start() > last and not start[1]):
             if skipping is None:
                 take(page[at:])
             break
         if skipping is None:
-            take(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+            take(page[at:start.start()])
+        if not start[2]:
+            at = _COMMENT.match(page, start.start()).end() if start[1] else page.index(">", start.start()) + 1
             continue
+        m = _TAG.match(page, start.start()) if quoted else None
+        if m is None:                       # an unclosed quote: from here on, quotes mean nothing
+            quoted = False
+            m = _PLAIN_TAG.match(page, start.start())
+        at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
         if skipping is not None:
             if tag == skipping:
@@ -232,30 +389,24 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-        if tag == "a" and not closing:
-            stack[:] = [e for e in stack if e.tag != "a"]       # a link ends where the next begins
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            tree.close(tag)
         elif tag not in VOID:
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag in HEADINGS:
-                # These end an open one of their own kind; a paragraph ends at any block.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag or (stack[i].tag == "p" and tag not in INLINE):
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("ul", "ol", "table", "dl", "div", "section", "body", "article", "main", "td", "th", "li"):
-                        break
-            e = _element(tag, m[3])
+            if tag == "a":
+                tree.end_link()
+            elif tag in ENDING:
+                tree.end_before(tag)
+            target = tag == "a" and _HREF.search(m[3]) is not None
+            e = _element(tag, m[3]) if tag != "a" or target else _Element(tag)      # an anchor holds nothing
             if tag in CONTENT and not e.by_class and tag not in seen:
                 seen.add(tag)
-                for outer in stack:         # a wrapper of the content is not what its class names
+                for outer in tree.stack:    # a wrapper of the content is not what its class names
                     outer.by_class = outer.maybe_class = outer.maybe_id = False
-            stack.append(e)
+            tree.enter(e)
+            if target:
+                tree.link = e
     flush()
-    return out
+    return out, tree.all
 
 
 def _after_raw(page: str, at: int, tag: str) -> int:
@@ -263,34 +414,52 @@ def _after_raw(page: str, at: int, tag: str) -> int:
     return m.end() if m else len(page)
 
 
-def _settle(found: list[Block]) -> None:
-    """Elements with an ambiguous name are named if half of their words are links, or if a
-    class named them and they hold no running text."""
-    held: dict[int, tuple[_Element, list[Block]]] = {}
+def _parts(found: list[Block], elements: list[_Element]) -> dict[int, _Part]:
+    """What holds in each element (by its identity). Elements with an ambiguous name are named if
+    half of their words are links, or if a class named them and they hold no running text."""
+    parts = {id(e): _Part() for e in elements}
     for b in found:
-        for e in b.inside:
-            if (e.maybe_class or e.maybe_id) and not e.by_class:
-                held.setdefault(id(e), (e, []))[1].append(b)
-    for e, inside in held.values():
-        linked = sum(b.words * b.links for b in inside) >= 0.5 * sum(b.words for b in inside)
-        running = any(b.words >= RUNNING_WORDS and b.links < 0.5 for b in inside)
-        e.by_class = linked or (e.maybe_class and not running)
+        if b.inside is not None:
+            p = parts[id(b.inside)]
+            p.words, p.linked, p.running = p.words + b.words, p.linked + b.words * b.links, p.running or (b.words >= RUNNING_WORDS and b.links < 0.5)
+    for e in reversed(elements):            # elements stand after those around them
+        p = parts[id(e)]
+        if (e.maybe_class or e.maybe_id) and not e.by_class and p.words:
+            e.by_class = p.linked >= 0.5 * p.words or (e.maybe_class and not p.running)
+        if e.up is not None:
+            up = parts[id(e.up)]
+            up.words, up.linked, up.running = up.words + p.words, up.linked + p.linked, up.running or p.running
+    for e in elements:
+        p, up = parts[id(e)], parts[id(e.up)] if e.up is not None else _Part()
+        p.named, p.top = up.named or e.named or e.by_class, up.top or e.top
+        p.content, p.unfit = up.content or e.content, up.unfit or (e.content and e.by_class)
+        p.article = up.article or e.tag == "article"
+    return parts
+
+
+def _neighbours(rows: np.ndarray) -> np.ndarray:
+    """Fill the features of the blocks before and after; beyond the page there are no words."""
+    for to, of in (("words", _WORDS), ("links", _LINKS)):
+        rows[1:, FEATURES.index(f"{to}_before")] = rows[:-1, of]
+        rows[:-1, FEATURES.index(f"{to}_after")] = rows[1:, of]
+    return rows
 
 
-def features(found: list[Block]) -> np.ndarray:
+def features(found: list[Block], elements: list[_Element]) -> np.ndarray:
     """One row of FEATURES per block."""
-    _settle(found)
-    named = np.array([any(e.named or e.by_class for e in b.inside) for b in found], bool)
-    content = np.array([any(e.content for e in b.inside) for b in found], bool) & ~np.array([any(e.content and e.by_class for e in b.inside) for b in found], bool)
-    article = content & np.array([any(e.tag == "article" for e in b.inside) for b in found], bool)
+    parts, nothing = _parts(found, elements), _Part()
+    held = [parts[id(b.inside)] if b.inside is not None else nothing for b in found]
+    named = np.array([p.named for p in held], bool)
+    content = np.array([p.content and not p.unfit for p in held], bool)
+    article = content & np.array([p.article for p in held], bool)
     words = np.array([b.words for b in found]) * ~named
     marked = article if words[article].sum() >= ARTICLE_SHARE * words[content].sum() and article.any() else content
     rows = np.zeros((len(found), len(FEATURES)))
-    for i, b in enumerate(found):
-        top = any(e.top for e in b.inside) and not (marked[i] and b.heading)
-        rows[i, [0, 1, 6, 7, 8]] = b.words, b.links, b.heading, 2 if marked[i] else 0 if marked.any() else 1, named[i] or top
-    rows[1:, 2:4], rows[:-1, 4:6] = rows[:-1, 0:2], rows[1:, 0:2]
-    return rows
+    for i, (b, p) in enumerate(zip(found, held, strict=True)):
+        top = p.top and not (marked[i] and b.heading)
+        rows[i, [_WORDS, _LINKS]] = b.words, b.links
+        rows[i, -5:] = b.heading, b.prose, _RIGHTS.match(b.text[:400]) is not None, 2 if marked[i] else 0 if marked.any() else 1, named[i] or top
+    return _neighbours(rows)
 
 
 @dataclass
@@ -312,7 +481,7 @@ class Tree:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
+def fit(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Tree:
     """A tree by least Gini impurity; ties go to the first feature and the lowest cut."""
     node = Tree(float(y.mean()))
     if depth == 0 or node.share in (0.0, 1.0):
@@ -332,19 +501,36 @@ def fit(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
     return node
 
 
+def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of LABELLED. The kinds c and d stand for paragraphs, too, where the line's rights or
+    names decide; each page also stands as a named part of another page and as one outside the marked content: all not main text."""
+    x, y = [], []
+    for line in LABELLED.strip().splitlines():
+        mark, *cells = line.split()
+        found = [_LABEL.fullmatch(cell).groups() for cell in cells]
+        for prose, away, part in ((0, 0, 0), (1, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1)):
+            rows = np.zeros((len(cells), len(FEATURES)))
+            for i, (outside, name, kind, words, links, label) in enumerate(found):
+                rows[i, [_WORDS, _LINKS]] = int(words), int(links or 0) / 100
+                main = 0 if outside or away else 2 if mark == "marked" else 1
+                rows[i, -5:] = kind == "h", kind in "hp" or (kind == "c" and prose), kind == "c", main, bool(name or part)
+                y.append(label == "+" and not away and not part)
+            x.append(_neighbours(rows))
+    return np.concatenate(x), np.array(y, float)
+
+
 def labelled_tree() -> Tree:
-    table = np.array(LABELLED, float)
-    return fit(table[:, :-1], table[:, -1])
+    return fit(*labelled_blocks())
 
 
 def main_text(page: str | None, tree: Tree) -> str:
-    found = blocks(page) if page else []
+    found, elements = blocks(page) if page else ([], [])
     if not found:
         return ""
-    x = features(found)
+    x = features(found, elements)
     kept = tree.predict(x) >= 0.5
     if not kept.any():                  # a page of short blocks only
-        kept = (x[:, 7] == 1) & (x[:, 8] == 0) & (x[:, 1] < 0.5)
+        kept = (x[:, _MAIN] == 1) & (x[:, _NAMED] == 0) & (x[:, _LINKS] < 0.5)
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 

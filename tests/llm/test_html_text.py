@@ -1,7 +1,5 @@
 """Main text of hand-made pages, the tree, and edge cases."""
 
-import numpy as np
-
 from casegrid.llm import html_text as H
 
 TREE = H.labelled_tree()
@@ -55,8 +53,8 @@ def test_named_content_and_linked_blocks():
 
 
 def test_tree_fits_its_table():
-    table = np.array(H.LABELLED, float)
-    assert ((TREE.predict(table[:, :-1]) >= 0.5) == table[:, -1]).all()
+    x, y = H.labelled_blocks()
+    assert ((TREE.predict(x) >= 0.5) == y).all()
 
 
 def test_test_pages(spark):
