@@ -71,6 +71,7 @@ unmarked h4l100- p2l100- d6- d2l100- p8l100- d40+ p33+ d1l100- p2l100- d9l100- p
 unmarked d3- d2- d4- d30+ d8+ d20+ d6+ d33+ d3- d2- d5-
 unmarked d6- d1- d20+ d7+ d20+
 unmarked d2- d1- d3- d40+ d1+ d50+ d2+ d31+ d3+ d20+ d1+ d19+ d2- d3-
+unmarked p50+ c60+ p40+ c90+ p30+ c45l5+ p2l100- d3l100-
 unmarked p2l100- p50l20+ p6l100- p5l100- p200+ d12l100- d30l100- p60l10+
 unmarked p3+ p2+ p4+
 unmarked d60+ c12-
@@ -129,6 +130,7 @@ marked ~!p30- ~!p3l100- ~!p60- p20+ p5l100+ p30+ ~p70- ~h7l100- ~p33- ~d12l100-
 unmarked p50+ !p30- !p4l100- !p60- !p9l100- !d50- !d5l100- !p20- !p1l100- !p40- !d2l100- !d41- !d90l100- !p25-
 marked p115l100+ d14l10+ p5l100+ d2+ p30l100+ d40l20+ h8l100+ d6l50+ p90l100+ c5+ p7l100+ d9l45+ p12l100+ d70+ ~d30l10-
 marked d9l100+ d30l10+ d9l100+ d3l30+ d8l100+ d18+ d40l100+ d5l50+ d6l100+ d1+ d5l100+ p2+ p100l100+ p20+ p5l100+ d120l20+
+marked p50+ c14+ p60+ c40+ d80+ c200l10+ d9+ p100+ c11l50+ p9l100+ c30+ p90+ c16+ ~c14-
 marked h2+ d200+ d4l50+ d9+ h5+ p6l100+ ~p45- ~h9- ~d1-
 marked ~!d2l100- h6+ p40+ !p30- !p120- p5+ !h5- !p60- !d3- p22+ !p3- ~!c10- ~!d8-
 marked ~!p15- p70+ !d33- !p2l100- p8+ !h2- !p70- !d25l10-

@@ -65,6 +65,7 @@ def test_rules_of_marks_and_names():
         rows[:, f], rows[:, f + 1] = np.round(np.exp(rng.uniform(0, 6, len(rows)))), rng.choice([0, 0.1, 0.5, 1], len(rows))
     rows[:, 6], rows[:, 9], rows[:, 10] = rng.random(len(rows)) < 0.2, rng.choice([0, 1, 2], len(rows)), rng.random(len(rows)) < 0.2
     rows[:, 7] = np.maximum(rows[:, 6], rng.random(len(rows)) < 0.5)
+    rows[:, 8] = (main := rows[:, 9]) * (rng.random(len(rows)) < 0.2) == 2       # lines of rights, in marked text
     kept, main, named = H.labelled_tree().predict(rows) >= 0.5, rows[:, 9], rows[:, 10] == 1
     assert not kept[named | (main == 0)].any() and kept[~named & (main == 2) & (rows[:, 1] <= 0.5)].all()
     assert kept[~named & (main == 1) & (rows[:, 7] == 1) & (rows[:, [1, 3, 5]] < 0.3).all(1)].all()
