@@ -16,6 +16,10 @@ masks the bytes gathered there; a second lookup turns ranks into ids.
 Encoding splits a text at single spaces and encodes each distinct piece once per worker;
 the byte-level pre-tokenizer never joins or looks across such a place (a space between
 two characters that aren't white space). A text where that is not so is encoded whole.
+An unseen piece of Latin letters, digits and ASCII punctuation is cut once more, into runs of each
+and single line ends, which the pre-tokenizer parts, too; so a word costs the tokenizer one
+call, whatever stands after it. A tokenizer of another kind (a normaliser, another
+pre-tokenizer, added tokens that take in spaces or depend on neighbours) encodes every text whole.
 
 Edge cases: null texts count as empty and hold the end id alone. Rows with one doc_id
 follow each other by text hash; rows with a null doc_id come last. An empty table gives an empty
@@ -24,9 +28,12 @@ file set. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -70,17 +77,66 @@ def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out & MASKS[width - 1]
 
 
+# Runs that the byte-level pre-tokenizer parts: letters to U+024F, digits, ASCII punctuation but for
+# the apostrophe (it may begin a contraction), a line end alone; a space belongs to what follows it.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+RUNS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
+OF_RUNS = re.compile(rf"[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*")
+
+
+class _Ids:
+    """The ids of numbered pieces."""
+
+    def __init__(self, dtype: np.dtype):
+        self.ids, self.used = np.zeros(1 << 20, dtype), 0
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def room(self, size: int) -> None:
+        """Make room for ``size`` pieces."""
+        if size > len(self.begin):
+            more = np.zeros(2 * size - len(self.begin), np.int64)
+            self.begin, self.count = np.concatenate((self.begin, more)), np.concatenate((self.count, more))
+
+    def put(self, at: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Pieces ``at`` have ``ids``, ``n`` each."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), self.ids.dtype)))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.begin[at], self.count[at] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces ``at``, one after the other, the number of ids up to each one's end)."""
+        count = np.maximum(self.count[at], 0)
+        total = np.cumsum(count)
+        return self.ids[np.arange(int(total[-1])) + np.repeat(self.begin[at] - total + count, count)], total
+
+
+class _Runs(dict):
+    """run -> its place; an unseen run gets the next one and is noted."""
+
+    def __init__(self, dtype: np.dtype):
+        super().__init__()
+        self.known, self.new = _Ids(dtype), []
+
+    def __missing__(self, run: str) -> int:
+        place = self[run] = len(self)
+        self.new.append(run)
+        return place
+
+
 class _Places(dict):
     """piece -> its place in the encoder's table; an unseen piece gets the next one."""
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
-        self.encoder, self.lead, self.new = encoder, lead, []
+        self.encoder, self.lead, self.new, self.at = encoder, lead, [], []
 
     def __missing__(self, piece: str) -> int:
         place = self[piece] = self.encoder.size
         self.encoder.size += 1
         self.new.append(piece)
+        self.at.append(place)
         return place
 
 
@@ -110,20 +166,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added, self.splits = self._kind()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         top = max(vocabulary.values())
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.spaced = np.zeros(top + 1, bool)           # ids of tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.line_end = vocabulary.get("\u010a", -1)
         self._forget()
+        self.runs = _Runs(self.dtype)
         self.counts = [_Counts({}), _Counts({})]
 
+    def _kind(self) -> tuple[list[str], bool]:
+        """The added tokens, and whether texts may be split at single spaces."""
+        spec = json.loads(self.tokenizer.to_str())
+        added, before = spec["added_tokens"], spec["pre_tokenizer"] or {}
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        apart = not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        plain = spec["normalizer"] is None and not any(spec.get(k) for k in ("truncation", "padding"))
+        return [t["content"] for t in added], bool(plain and byte_level and apart and not spec["model"].get("dropout"))
+
     def _forget(self) -> None:
         self.size = 0
         self.places = [_Places(self, ""), _Places(self, " ")]
-        self.ids = np.zeros(1 << 20, self.dtype)
-        self.used = 0
-        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.known = _Ids(self.dtype)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -138,32 +204,66 @@ class Encoder:
         each = self._encode([" " + w for w in words])
         return np.concatenate(each), np.array([len(e) for e in each])
 
+    def _encode_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of them per word) of words that follow no space."""
+        ids = self._encode(["\n".join(words)])[0]
+        edge = np.flatnonzero(ids == self.line_end)
+        if len(edge) == len(words) - 1 and "\n" not in words:
+            return np.delete(ids, edge), np.diff(np.concatenate(([-1], edge, [len(ids)]))) - 1
+        each = self._encode(words)
+        return np.concatenate(each), np.array([len(e) for e in each])
+
+    def _encode_runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encode_spaced`` of words that are made of runs, by their runs."""
+        if len(self.runs) > CACHE:
+            self.runs = _Runs(self.dtype)
+        runs = RUNS.findall(" " + " ".join(words))
+        at = np.fromiter(map(self.runs.__getitem__, runs), np.int64, len(runs))
+        new, self.runs.new = self.runs.new, []
+        known = self.runs.known
+        known.room(len(self.runs))
+        lead = np.fromiter((r[0] == " " for r in new), bool, len(new))
+        for spaced in (True, False):
+            some = np.flatnonzero(lead == spaced)
+            for i in range(0, len(some), 4096):
+                part = [new[k] for k in some[i:i + 4096].tolist()]
+                ids, n = self._encode_spaced([r[1:] for r in part]) if spaced else self._encode_lines(part)
+                known.put(len(self.runs) - len(new) + some[i:i + 4096], ids, n)
+        ids, total = known.gather(at)
+        first = np.flatnonzero(np.fromiter((r[0] == " " for r in runs), bool, len(runs)))
+        ends = np.append(total[first[1:] - 1], total[-1])
+        return ids, np.diff(ends, prepend=0)
+
     def _learn(self) -> None:
         """Encode the pieces seen first since the last call. Pieces that aren't apart from
         their neighbours (empty, or with white space at an edge) get the count -1."""
-        if self.size > len(self.begin):
-            more = np.zeros(2 * self.size - len(self.begin), np.int64)
-            self.begin, self.count = np.concatenate((self.begin, more)), np.concatenate((self.count, more))
+        self.known.room(self.size)
         for places in self.places:
-            new, places.new = places.new, []
-            apart = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-            if len(apart) < len(new):
-                self.count[[places[p] for p in set(new).difference(apart)]] = -1
+            new, at, places.new, places.at = places.new, np.array(places.at, np.int64), [], []
+            runs = np.zeros(len(new), bool)
+            if places.lead and new:
+                runs = np.fromiter(map(bool, map(OF_RUNS.fullmatch, new)), bool, len(new))
+                together = " ".join(new)
+                for t in self.added:
+                    if t in together:
+                        runs &= [t not in p for p in new]
+            if runs.any():
+                self.known.put(at[runs], *self._encode_runs(list(compress(new, runs))))
+            rest = np.flatnonzero(~runs).tolist()
+            self.known.count[at[rest]] = -1
+            apart = [k for k in rest if new[k] and not new[k][0].isspace() and not new[k][-1].isspace()]
             for i in range(0, len(apart), 4096):
-                part = apart[i:i + 4096]
+                part = [new[k] for k in apart[i:i + 4096]]
                 if places.lead:
                     ids, n = self._encode_spaced(part)
                 else:
                     each = self._encode(part)
                     ids, n = np.concatenate(each), np.array([len(e) for e in each])
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), self.dtype)))
-                self.ids[self.used:self.used + len(ids)] = ids
-                at = np.fromiter(map(places.__getitem__, part), np.int64, len(part))
-                self.begin[at], self.count[at] = self.used + np.cumsum(n) - n, n
-                self.used += len(ids)
+                self.known.put(at[apart[i:i + 4096]], ids, n)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not texts or not self.splits:
+            return [e.tobytes() for e in self._encode(texts)]
         if self.size > CACHE:
             self._forget()
         first, rest = (p.__getitem__ for p in self.places)
@@ -175,12 +275,9 @@ class Encoder:
             n.append(1 + len(tail))
         self._learn()
         at = np.array(places, np.int64)
-        count, begin = self.count[at], self.begin[at]
         starts = np.cumsum(n) - n
-        whole = np.minimum.reduceat(count, starts) < 0
-        count = np.maximum(count, 0)
-        total = np.cumsum(count)
-        ids = self.ids[np.arange(int(total[-1])) + np.repeat(begin - total + count, count)]
+        whole = np.minimum.reduceat(self.known.count[at], starts) < 0
+        ids, total = self.known.gather(at)
         ends = total[starts + n - 1]
         out = [ids[s:e].tobytes() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         odd = np.flatnonzero(whole).tolist()
@@ -190,6 +287,8 @@ class Encoder:
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """The number of ids of every text, without gathering them."""
+        if not self.splits:
+            return np.array([len(e) for e in self._encode(texts)], np.int64)
         for k, c in enumerate(self.counts):
             if len(c) > CACHE:
                 c.old = {}

@@ -3,9 +3,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer, normalizers, pre_tokenizers
 
 from casegrid.llm import token_files as K
 from casegrid.llm.common import public_tokenizer, scratch_path
@@ -31,6 +32,32 @@ def test_pieces_encode_as_the_whole(texts):
     assert got == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abZé×÷ɏɐ19²'’.,!%<|>\n\n  ßñ中…\u0301\u00a0")), max_size=60), min_size=1, max_size=4))
+def test_cut_pieces_encode_as_the_whole(texts):
+    texts = [*texts, "a <|endoftext|>x y.<|endoftext|>. it's,don't!'s\nNew\n\nline 3rd $$$x"]
+    got = [np.frombuffer(b, ENCODER.dtype).tolist() for b in ENCODER.encode(texts)]
+    assert got == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ENCODER.lengths(texts).tolist() == [len(g) for g in got]
+
+
+@pytest.mark.parametrize("change", ["lower", "spaces", "prefix"])
+def test_other_kinds_of_tokenizer_encode_whole(tmp_path, change):
+    other = Tokenizer.from_file(PATH)
+    if change == "lower":
+        other.normalizer = normalizers.Lowercase()
+    elif change == "spaces":
+        other.add_tokens([AddedToken("two words", normalized=False)])
+    else:
+        other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "t.json"))
+    texts = ["Some TWO words and two words.", "", "x  y"]
+    e = K.Encoder(str(tmp_path / "t.json"))
+    want = [other.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not e.splits and e.lengths(texts).tolist() == [len(w) for w in want]
+    assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode(texts)] == want
+
+
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(K, "CACHE", 3)
     e = K.Encoder(PATH)
