@@ -6,10 +6,14 @@ nothing), trained on ``NOTICES``: notices of each family and ``unknown`` paragra
 speak of licences without granting one. Its scores are divided by a temperature chosen
 on ``CALIBRATION``, a second set of labelled paragraphs, so probabilities are calibrated;
 a best family below ``MIN_PROBABILITY`` counts as unknown. A family is confirmed only if
-the paragraph covers ``MIN_COVER`` of the 2-grams of one of that family's notices.
+the paragraph covers ``MIN_COVER`` of the 2-grams of one of that family's templates.
 
-A paragraph is a run of lines without a blank line between; a text without blank lines
-has its lines as paragraphs.
+A paragraph is a run of lines without a blank line between. In a text without blank lines each
+line is one; the lines up to one that ends a sentence (``.``, ``!`` or ``?``) are judged
+together as well, and count as one paragraph if that confirms a family that none of them
+shows alone: a notice wrapped over lines.
+
+Templates are the notices and the licence rows of ``CALIBRATION``, which have short wordings.
 
 A paragraph is judged if it holds a cue, or if it covers ``MIN_COVER`` of a notice without
 one, so none that could be confirmed is passed over. ``ANCHORS`` leave out early what can be
@@ -131,8 +135,9 @@ def _pairs(notice: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
-#: (family, distinct 2-grams) of the notices.
-NOTICE_PAIRS = [(family, _pairs(text)) for family, text in NOTICES if family != UNKNOWN]
+TEMPLATES = [(family, text) for family, text in NOTICES + CALIBRATION if family != UNKNOWN]
+#: (family, distinct 2-grams) of the templates.
+NOTICE_PAIRS = [(family, _pairs(text)) for family, text in TEMPLATES]
 
 
 def _anchors() -> tuple[str, ...]:
@@ -220,13 +225,19 @@ def _covers_a_notice(text: str) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, place, text): paragraphs to judge; rows of one id and text once."""
+    """(doc_id, text_hash, run, whole, text): paragraphs to judge; rows of one id and text once.
+    ``whole`` marks several lines that are judged together beside their ``run``'s single ones."""
     anchored = (docs.where(_has_cue("text", ANCHORS)).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
                 .dropDuplicates(["doc_id", "text_hash"]))
     blank = r"\n[ \t\r]*\n\s*"
-    parts = F.when(F.col("text").rlike(blank), F.split("text", blank)).otherwise(F.split("text", r"\r?\n"))
-    rows = anchored.select("doc_id", "text_hash", F.posexplode(parts).alias("place", "text")).where(_has_cue("text", ANCHORS))
-    return rows.where(_has_cue("text") | _covers_a_notice("text"))
+    lines, parted = F.split("text", r"\r?\n"), F.col("text").rlike(blank)
+    runs = F.when(parted, F.split("text", blank)).otherwise(F.split("text", r"(?<=[.!?])[ \t]*\r?\n"))
+    each = F.when(F.col("parted") | (F.size(lines) == 1), F.array("text")).otherwise(F.concat(lines, F.array("text")))
+    rows = (anchored.select("doc_id", "text_hash", parted.alias("parted"), F.posexplode(runs).alias("run", "text"))
+            .where(_has_cue("text", ANCHORS))
+            .select("doc_id", "text_hash", "run", F.size(each).alias("parts"), F.posexplode(each).alias("place", "text")))
+    judged = rows.where(_has_cue("text", ANCHORS)).where(_has_cue("text") | _covers_a_notice("text"))
+    return judged.select("doc_id", "text_hash", "run", ((F.col("parts") > 1) & (F.col("place") == F.col("parts") - 1)).alias("whole"), "text")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -235,15 +246,22 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     model = train(spark)
     known = model.classified(paragraphs(docs)).withColumn("pairs", F.array_distinct(_grams(F.col("words"), 2)))
-    notices = (_table(spark, [n for n in NOTICES if n[0] != UNKNOWN]).withColumn("w", _words(F.col("text")))
+    notices = (_table(spark, TEMPLATES).withColumn("w", _words(F.col("text")))
                .groupBy("family").agg(F.collect_list(F.array_distinct(_grams(F.col("w"), 2))).alias("notices")))      # fixed size
     cover = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(F.col("pairs"), n)) / F.greatest(F.size(n), F.lit(1))))
     judged = known.join(F.broadcast(notices), "family", "left").withColumn("confirmed", F.coalesce(cover >= MIN_COVER, F.lit(False)))
-    found = judged.groupBy("doc_id", "text_hash").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"),
-        F.count("*").alias("n_cues"), F.count_if("confirmed").alias("n_confirmed"),
-        F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"),
-        F.max(F.when(F.col("confirmed"), F.round("probability", 6))).alias("best_probability"))
+    one, sure = ~F.col("whole"), F.col("confirmed")
+    by_run = judged.groupBy("doc_id", "text_hash", "run").agg(
+        F.collect_set(F.when(sure & one, F.col("family"))).alias("families"), F.collect_set(F.when(sure & ~one, F.col("family"))).alias("joined"),
+        F.count_if(one).alias("cues"), F.count_if(one & sure).alias("confirmed"), F.count_if(one & (F.col("family") == UNKNOWN)).alias("unknown"),
+        F.max(F.when(sure & one, F.col("probability"))).alias("best"), F.max(F.when(sure & ~one, F.col("probability"))).alias("joined_best"))
+    wrapped = (F.col("confirmed") == 0) & (F.size("joined") > 0)
+    pick = lambda a, b: F.when(wrapped, a).otherwise(b)
+    zero, single = F.lit(0).cast("long"), F.lit(1).cast("long")
+    found = by_run.groupBy("doc_id", "text_hash").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pick(F.col("joined"), F.col("families")))))), ",").alias("licences"),
+        F.sum(pick(single, F.col("cues"))).alias("n_cues"), F.sum(pick(single, F.col("confirmed"))).alias("n_confirmed"),
+        F.sum(pick(zero, F.col("unknown"))).alias("n_unknown"), F.max(F.round(pick(F.col("joined_best"), F.col("best")), 6)).alias("best_probability"))
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
     none = F.lit(0).cast("long")
     return (base.join(found, base["doc_id"].eqNullSafe(found["doc_id"]) & (base["text_hash"] == found["text_hash"]), "left")

@@ -1,5 +1,7 @@
 """Licences: labelled notices, unknown paragraphs, template confirmation, edge cases."""
 
+import textwrap
+
 import pytest
 
 from casegrid.llm import licences as L
@@ -50,3 +52,24 @@ def test_every_labelled_row_passes_the_gate(spark, make_docs):
 def test_no_text_without_an_anchor_covers_a_notice():
     for _, pairs in L.NOTICE_PAIRS:
         assert sum(not any(a in w for w in p.split() for a in L.ANCHORS) for p in pairs) / len(pairs) < L.MIN_COVER
+
+
+def test_notices_wrapped_over_lines(spark, make_docs):
+    def mit(width):
+        return "\n".join(textwrap.wrap(next(t for _, t in L.NOTICES if t.startswith("Permission is hereby granted, free")), width))
+
+    gpl = "\n".join(textwrap.wrap(next(t for _, t in L.NOTICES if t.startswith("This program is free software")), 50))
+    rows = [(1, "Licensed under the\nApache License, Version 2.0."), (2, mit(60)), (3, mit(80)), (4, "Some prose.\r\n" + gpl.replace("\n", "\r\n") + ".\r\nMore prose."),
+            (5, "Released under the MIT License.\nLicensed under the\nApache License, Version 2.0.\nEnd"),
+            (6, "Released under the MIT License\nand more\nwithout an end"), (7, "Licensed under the\nEclipse Public\nLicense, version 2.0.")]
+    out = {r.doc_id: (r.licences, r.n_cues, r.n_confirmed) for r in L.scan(make_docs(rows)).collect()}
+    assert {i: out[i][0] for i in (1, 2, 3, 4, 7)} == {1: "apache-2.0", 2: "mit", 3: "mit", 4: "gpl", 7: ""}
+    assert all(out[i][1:] == (1, 1) for i in (1, 2, 3, 4))
+    assert out[5] == ("apache-2.0,mit", 2, 2) and out[6] == ("mit", 1, 1)
+
+
+def test_short_wordings_are_confirmed(spark, make_docs, model):
+    rows = [(i, t) for i, (_, t) in enumerate(L.CALIBRATION)]
+    said = {r.text: r.family for r in model.classified(L._table(spark, L.CALIBRATION).drop("family")).collect()}
+    out = {r.doc_id: r.licences for r in L.scan(make_docs(rows)).collect()}
+    assert out == {i: said[t] if said[t] == family != L.UNKNOWN else "" for i, (family, t) in enumerate(L.CALIBRATION)}
