@@ -340,6 +340,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
+        n = np.zeros(0, np.int64)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
             i = 0
@@ -348,26 +349,31 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                 while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK_BYTES):
                     size += len(texts[j])
                     j += 1
+                ids = [b + end for b in enc.encode(texts[i:j])]
+                got = np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(n))
+                got[:len(n)] += n
+                n = got
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[i:j].array, "text_hash": pdf["text_hash"].iloc[i:j].array,
-                                    "ids": [b + end for b in enc.encode(texts[i:j])], "width": enc.dtype.itemsize})
+                                    "ids": ids, "width": enc.dtype.itemsize})
                 i = j
+        if len(n):              # the task's counts of ids, in a row of width 0
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "text_hash": pd.array([None], "Int64"), "ids": [n.astype("<i8").tobytes()], "width": 0})
 
     raw_path = scratch_path(spark, "token-ids")
     schema = "doc_id long, text_hash long, ids binary, width int"
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
      .mapInPandas(tokens, schema).write.option("compression", "zstd").parquet(raw_path))
-    raw = spark.read.schema(schema).parquet(raw_path)
+    written_rows = spark.read.schema(schema).parquet(raw_path)
+    raw = written_rows.where("width > 0")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(0, np.int64)
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for w, part in pdf.groupby("width"):
-                got = np.bincount(np.frombuffer(b"".join(part["ids"]), f"<u{w}"), minlength=len(n))
-                got[:len(n)] += n
-                n = got
-        yield pd.DataFrame({"id": np.flatnonzero(n), "n": n[n > 0]})
+            for b in pdf["ids"]:
+                n = np.frombuffer(b, "<i8")
+                yield pd.DataFrame({"id": np.flatnonzero(n), "n": n[n > 0]})
 
-    counts = raw.select("ids", "width").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    # the filter on width spares the pages of other rows
+    counts = written_rows.where("width = 0").select("ids").mapInPandas(unpacked, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])     # a row per id of the vocabulary at most
     ids = found["id"].to_numpy(np.int64)
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(ids)), "id": ids}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
