@@ -2,10 +2,11 @@
 
 Three steps, each a plain Spark job:
 
-1. **Land**: read the CSV once with every column as a string plus a corrupt
-   record column (``PERMISSIVE``), and write it as Parquet. One file with quoted
-   newlines is read by as many tasks as it has splits (``read_records``), whatever
-   its quotes.
+1. **Land**: read the CSV with every column as a string plus a corrupt
+   record column (``PERMISSIVE``), and write it as Parquet. A file without quotes is read
+   line by line, over all its splits; of the others, small ones in a task each and large ones
+   with quoted newlines by as many tasks as they have splits (``read_records``), whatever
+   their quotes.
    Each row is tagged in the same pass with a rejection reason (malformed
    record, unparsable date, unparsable Yes/No flag).
 2. **Type**: rename the queried columns to snake_case and parse the date and
@@ -24,6 +25,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ def _csv_reader(spark: SparkSession, multiline: bool):
             .option("escape", '"').option("quote", '"'))
 
 
-def header_columns(spark: SparkSession, path: str, multiline: bool = True) -> list[str]:
+def header_columns(spark: SparkSession, path: str | list[str], multiline: bool = True) -> list[str]:
     """Column names from the header (no type inference, no data scan)."""
     return _csv_reader(spark, multiline).option("inferSchema", False).csv(path).columns
 
@@ -191,7 +194,7 @@ class _Summary:
         return dict(zip([name for name, _ in self.FIELDS], row, strict=True))
 
 
-def _text_lines(spark: SparkSession, path: str, names: bool = False) -> DataFrame:
+def _text_lines(spark: SparkSession, path: str | list[str], names: bool = False) -> DataFrame:
     """The lines at ``path`` in their order, under the split that they begin in (with ``names``, the first one's
     have the file's path)."""
     name = F.when(F.col("_metadata.file_block_start") == 0, F.col("_metadata.file_path")) if names else F.lit(None).cast("string")
@@ -200,7 +203,7 @@ def _text_lines(spark: SparkSession, path: str, names: bool = False) -> DataFram
                     F.col("_metadata.file_size").alias("file_size"), name.alias("name"), F.col("value").cast("binary").alias("value")))
 
 
-def _summaries(spark: SparkSession, path: str, limit: int, strays: bool = False) -> DataFrame:
+def _summaries(spark: SparkSession, path: str | list[str], limit: int, strays: bool = False) -> DataFrame:
     """A row per split (``_Summary``), found in one pass over the lines."""
     schema = pa.schema(_Summary.FIELDS)
 
@@ -249,14 +252,14 @@ def odd_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(r["name"] for r in files.where(F.col("stray") | (F.col("after") == IN)).select("name").collect())     # a row per file
 
 
-def _lines_with_state(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
+def _lines_with_state(spark: SparkSession, path: str | list[str], states: DataFrame) -> DataFrame:
     """Lines with the state and the open record of their split. Only splits that begin inside quotes
     have a row to join: 24 bytes for each ``spark.sql.files.maxPartitionBytes`` of text, 20 MB for 100 TB."""
     inside = F.broadcast(states.where(F.col("state") == IN).select("file", "block", "state", "record"))
     return _text_lines(spark, path).join(inside, ["file", "block"], "left")
 
 
-def _records(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
+def _records(spark: SparkSession, path: str | list[str], states: DataFrame) -> DataFrame:
     """(is_header, text) of the records that lie whole in a split, each with its line end. A narrow
     pass: no line is shuffled."""
     schema = pa.schema([("is_header", pa.bool_()), ("text", pa.binary())])
@@ -290,7 +293,7 @@ def _records(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
     return _lines_with_state(spark, path, states).select("file", "block", "value", "state").mapInArrow(cut, "is_header boolean, text binary")
 
 
-def _fragments(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
+def _fragments(spark: SparkSession, path: str | list[str], states: DataFrame) -> DataFrame:
     """(file, record, block, is_header, text) of the parts of the records that run over splits, of any size."""
     schema = pa.schema([("file", pa.int64()), ("record", pa.int64()), ("block", pa.int64()), ("is_header", pa.bool_()), ("text", pa.binary())])
 
@@ -328,7 +331,7 @@ def _fragments(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
     return lines.mapInArrow(cut, "file long, record long, block long, is_header boolean, text binary")
 
 
-def read_records(spark: SparkSession, path: str, fragment_bytes: int = FRAGMENT_BYTES) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], fragment_bytes: int = FRAGMENT_BYTES) -> DataFrame:
     """(is_header, record): the text of every CSV record, quoted newlines included, split as
     Spark's multi-line CSV reader does, but by as many tasks as the files have splits.
 
@@ -362,35 +365,73 @@ def read_records(spark: SparkSession, path: str, fragment_bytes: int = FRAGMENT_
     return whole.union(joined).where("record <> ''")
 
 
-def _read_split(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def _read_split(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """``read_raw`` through ``read_records``."""
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
     header = F.from_csv("record", ", ".join(f"`{c}` string" for c in columns), {**options, "mode": "FAILFAST"})
-    same = lambda h: F.array(*[h[c] for c in columns]) == F.array(*[F.lit(c) for c in columns])
+    # Spark's own readers tell names apart by case only if the session does.
+    name = F.lower if spark.conf.get("spark.sql.caseSensitive") == "false" else lambda c: c
+    same = lambda h: F.array(*[name(h[c]) for c in columns]) == F.array(*[name(F.lit(c)) for c in columns])
     checked = F.when(F.col("is_header"), F.when(same(header), F.lit(False)).otherwise(F.raise_error(
         F.concat(F.lit("unexpected CSV header: "), F.col("record"))).cast("boolean"))).otherwise(F.lit(True))
     records = read_records(spark, path)
     return records.where(checked).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
 
 
-def _whole_files(spark: SparkSession, path: str, columns: list[str], multiline: bool) -> DataFrame:
+def _whole_files(spark: SparkSession, path: str | list[str], columns: list[str], multiline: bool) -> DataFrame:
     return (_csv_reader(spark, multiline).schema(raw_schema(columns))
             .option("enforceSchema", False)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .csv(path))
 
 
-def read_raw(spark: SparkSession, path: str, columns: list[str] | None = None,
+def literal_path(path: str) -> str:
+    """``path`` as a path to read: what stands for other names in it is escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+#: The largest file that one task reads whole, unless a split is larger.
+WHOLE_BYTES = 1 << 30
+
+
+def _ways(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str], list[str]]:
+    """The files at ``path`` that hold text, as those to be read by lines, whole, and by ``read_records``.
+
+    In a file without a quote or a carriage return every line is a record, and Spark's reader splits it
+    by itself (lines of white space alone, which it drops, count as quotes do). Of the others
+    ``read_records`` takes those that would hold a task much longer than the rest: it needs several times
+    the CPU seconds of Spark's reader, so up to twice a core's share of all bytes is read whole.
+    """
+    value = F.col("value")
+    by_line = (value == "") | (value.rlike(r"[^\x00-\x20]") & ~value.contains('"') & ~value.contains("\r"))
+    # A row per file comes to the driver.
+    files = (spark.read.option("lineSep", "\n").text(path)
+             .groupBy(F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_size").alias("bytes"))
+             .agg(F.count_if(~by_line).alias("odd")).collect())
+    share = sum(f["bytes"] for f in files) // spark.sparkContext.defaultParallelism
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    limit = max(split, min(WHOLE_BYTES, 2 * share))
+    ways: tuple[list[str], list[str], list[str]] = ([], [], [])
+    for f in sorted(files, key=lambda f: f["name"]):
+        ways[0 if not f["odd"] else 1 if f["bytes"] <= limit else 2].append(literal_path(unquote(f["name"])))    # the name is a URI
+    return ways
+
+
+def read_raw(spark: SparkSession, path: str | list[str], columns: list[str] | None = None,
              multiline: bool = True) -> DataFrame:
     """All-string read; malformed records (wrong field count) keep their text in
     ``_corrupt_record``. Every file's header is checked against ``columns``
     (``enforceSchema=false``): a file whose columns are reordered or renamed
     fails the load instead of being read into the wrong columns."""
     columns = columns or header_columns(spark, path, multiline)
-    if multiline:
-        return _read_split(spark, path, columns)
-    return _whole_files(spark, path, columns, multiline)
+    if not multiline:
+        return _whole_files(spark, path, columns, multiline)
+    by_line, whole, large = _ways(spark, path)
+    found = [_whole_files(spark, by_line, columns, multiline=False)] if by_line else []
+    found += [_whole_files(spark, whole, columns, multiline=True)] if whole else []
+    found += [_read_split(spark, large, columns)] if large else []
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], raw_schema(columns))
 
 
 def _source_of(columns: list[str], name: str) -> str | None:

@@ -308,3 +308,25 @@ def test_reader_scans_text_twice_and_shuffles_no_lines(spark, tmp_path):
     above = [x for x in plan[union:scan].splitlines()[1:] if 0 < len(x) - len(x.lstrip(" :+-")) < depth]
     assert "MapInArrow" in "".join(above) and "BroadcastHashJoin" in "".join(above)
     assert not any("Exchange hash" in x or "Window" in x or "Sort" in x for x in above[:next(i for i, x in enumerate(above) if "BroadcastHashJoin" in x) + 1])
+
+
+# Each file is read by the cheapest way that reads it whole and right --------------
+
+def test_files_without_quotes_and_small_ones_need_no_split_reader(spark, tmp_path, monkeypatch):
+    rows = "".join(f"{i},x\n\n" for i in range(400))
+    texts = {"plain.csv": "A,B\n" + rows, "a [1] {b}*.csv": "A,B\n" + rows, "crlf.csv": "A,B\r\n1,x\r\n", "white.csv": "A,B\n \n1,x\n",
+             "quoted.csv": 'A,B\n1,"two\nlines"\n', "empty.csv": "", "large.csv": "A,B\n" + '1,"two\nlines"\n' * 1500}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    path, read = str(tmp_path), []
+    monkeypatch.setattr(C, "read_records", lambda spark, path, old=C.read_records: read.extend(path) or old(spark, path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        by_line, whole, large = ([f.rsplit("/", 1)[1] for f in way] for way in C._ways(spark, path))
+        got = sorted(map(tuple, C.read_raw(spark, path, ["A", "B"]).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert by_line == [r"a \[1\] \{b\}\*.csv", "plain.csv"] and whole == ["crlf.csv", "quoted.csv", "white.csv"]
+    assert large == ["large.csv"] and [f.rsplit("/", 1)[1] for f in read] == ["large.csv"]
+    want = C._whole_files(spark, path, ["A", "B"], multiline=True).collect()
+    assert got == sorted(map(tuple, want), key=repr) and len(got) == 400 * 2 + 1500 + 4
