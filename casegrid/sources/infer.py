@@ -5,7 +5,7 @@ Types form chains: every value of a narrower type is also one of the wider, up t
 first type of ``TYPES`` to which all its non-empty values parse (or all but a share of
 ``tolerance``, the rest being rejected by the load); a column without values stays text.
 
-The pass is one aggregate of counters, so partial results merge in any order and nothing but
+The pass is one aggregate of counts per column and kind of value, so partial results merge in any order and nothing but
 a row per column leaves it. What parses is fixed by a pattern and a cast, not by a sample.
 """
 
@@ -36,6 +36,27 @@ def _filled(c: str) -> Column:
     return F.nullif(F.col(f"`{c}`"), F.lit(""))
 
 
+#: Types of which every value is one of the wider type too.
+_WITHIN = {"double": ("bigint",), "timestamp": ("date",)}
+_PLACE = {kind: i for i, kind in enumerate(TYPES)}
+
+
+def _narrowest(value: Column) -> Column:
+    """The place in ``TYPES`` of the narrowest type that the text is a value of, -1 for none, null without text.
+
+    What its first characters and its length rule out is not matched. (A pattern's end also stands
+    before a last line end of up to two characters.)"""
+    first = F.substring(value, 1, 1)
+    dated = F.substring(value, 5, 1) == "-"
+    may_be = {"boolean": first.isin(*"tTfFyYnN") & (F.length(value) <= 7),
+              "bigint": first.isin(*"+-0123456789") & ~dated, "double": first.isin(*"+-.0123456789"),
+              "date": dated & (F.length(value) <= 12), "timestamp": dated}
+    kind = F.when(value.isNull(), F.lit(None).cast("int"))
+    for name in ("bigint", "date", "timestamp", "double", "boolean"):
+        kind = kind.when(may_be[name] & parsed(value, name).isNotNull(), F.lit(_PLACE[name]))
+    return kind.otherwise(F.lit(-1))
+
+
 def infer_types(raw: DataFrame, columns: list[str] | None = None, tolerance: float = 0.0) -> DataFrame:
     """(column_name, column_type, n_values, n_missing, n_bad) per text column of ``raw``; ``n_bad`` counts
     values that are not of the type (0 unless ``tolerance`` lets some be)."""
@@ -44,24 +65,23 @@ def infer_types(raw: DataFrame, columns: list[str] | None = None, tolerance: flo
     schema = "column_name string, column_type string, n_values long, n_missing long, n_bad long"
     if not columns:
         return spark.createDataFrame([], schema)
-    # Names by position: two headers may differ in case only.
-    numbered = raw.select(*[_filled(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    counters = [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(columns)):
-        value = F.col(f"c{i}")
-        counters.append(F.count(value).alias(f"c{i}_values"))
-        counters += [F.count(parsed(value, kind)).alias(f"c{i}_{kind}") for kind in TYPES]
-    rows = []
-    for i, c in enumerate(columns):
-        n = F.col(f"c{i}_values")
-        good = [F.col(f"c{i}_{kind}") for kind in TYPES]
-        kind, bad = F.when(n == 0, F.lit("string")), F.when(n == 0, F.lit(0).cast("long"))
-        for name, g in zip(TYPES, good, strict=True):
-            kind = kind.when(n - g <= n * F.lit(tolerance), F.lit(name))
-            bad = bad.when(n - g <= n * F.lit(tolerance), n - g)
-        rows.append(F.struct(F.lit(c).alias("column_name"), kind.otherwise(F.lit("string")).alias("column_type"), n.alias("n_values"),
-                             (F.col("rows") - n).alias("n_missing"), bad.otherwise(F.lit(0).cast("long")).alias("n_bad")))
-    return numbered.agg(*counters).select(F.inline(F.array(*rows)))
+    # Names by position: two headers may differ in case only. A row per value keeps the generated code as
+    # small for many columns as for one, so that it is compiled; counts per column and kind are left.
+    value = raw.select(F.posexplode(F.array(*[_filled(c) for c in columns])).alias("pos", "value"))
+    kinds = value.groupBy("pos", _narrowest(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    total = lambda is_in: F.sum(F.when(is_in, F.col("n")).otherwise(0))
+    counts = kinds.groupBy("pos").agg(F.sum("n").alias("rows"), total(F.col("kind").isNotNull()).alias("n_values"), *[
+        total(F.col("kind").isin(*(_PLACE[k] for k in (name, *_WITHIN.get(name, ()))))).alias(name) for name in TYPES])
+    # A row per column; one of a table without rows has counts of 0.
+    names = spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("pos", "column_name"))
+    found = names.join(F.broadcast(counts), "pos", "left").na.fill(0, ["rows", "n_values", *TYPES])
+    n = F.col("n_values")
+    kind, bad = F.when(n == 0, F.lit("string")), F.when(n == 0, F.lit(0).cast("long"))
+    for name in TYPES:
+        of_type = n - F.col(name) <= n * F.lit(tolerance)
+        kind, bad = kind.when(of_type, F.lit(name)), bad.when(of_type, n - F.col(name))
+    return found.orderBy("pos").select("column_name", kind.otherwise(F.lit("string")).alias("column_type"), "n_values",
+                                       (F.col("rows") - n).alias("n_missing"), bad.otherwise(F.lit(0).cast("long")).alias("n_bad"))
 
 
 def type_map(inferred: DataFrame) -> dict[str, str]:

@@ -178,3 +178,15 @@ def test_calendar_spine(spark):
     grown = {(r.k, r.month): r.prev for r in M.growth_vs_lag(M.with_calendar(df, "month", ["k"], {"n": 0}), "month", "n", partition=["k"]).collect()}
     assert grown["a", month(4)] == 0                     # the row lag would have given 5
     assert M.with_calendar(df.where("false"), "month", ["k"], {"n": 0}).count() == 0
+
+
+def test_each_value_is_matched_in_a_row_of_its_own(spark):
+    # Generated code that grows with the columns is no longer compiled: one pattern set serves all of them.
+    raw = spark.createDataFrame([("1", "a"), ("123e-5", "2020-02-30"), ("2020-01-01\n", None), ("", "yes")], "a string, b string")
+    found = infer_types(raw)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and plan.count("[0-9]{1,19}") <= 2
+    assert [tuple(r) for r in found.collect()] == [("a", "string", 3, 1, 0), ("b", "string", 3, 1, 0)]
+    assert [tuple(r) for r in infer_types(raw.limit(0)).collect()] == [("a", "string", 0, 0, 0), ("b", "string", 0, 0, 0)]
+    assert [r["column_type"] for r in infer_types(raw.where("a like '%e%'")).collect()] == ["double", "string"]
+    assert [r["column_type"] for r in infer_types(raw.where("a like '2020%'")).collect()] == ["date", "string"]
