@@ -3,7 +3,7 @@
 The published load is ``CREATE TABLE IF NOT EXISTS ... FROM csv``: it loads
 once and never again. Here new extract files dropped into a folder are
 picked up exactly once (the file source records processed files in its
-checkpoint), typed and split as in the batch ingest, and written to
+checkpoint), read, typed and split as in the batch ingest, and written to
 
 * the typed case table (partitioned by received year), and
 * the daily summary table.
@@ -24,6 +24,8 @@ Operating rules (they are the file source's contract):
 * The checkpoint is the record of what was ingested, and holds the stream's run
   id. Each output folder names the run that owns it; another run (a new
   checkpoint would read every landed file again) is refused there.
+* The stream itself lists files only; each micro-batch reads its files as the batch ingest
+  does, so a few large files keep all cores busy.
 * Every file's header is checked against the expected columns: a file with
   reordered or renamed columns fails the stream instead of being misread.
 """
@@ -44,14 +46,20 @@ from casegrid.sources import complaints_csv as C
 BATCH_COLUMN = "ingest_batch"
 
 
-def _batch_writer(cases_path: str, daily_path: str, quarantine_path: str,
+#: Columns of the source that lists files; their content is never read through it.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _batch_writer(columns: list[str], multiline: bool, cases_path: str, daily_path: str, quarantine_path: str,
                   relief_response: str, date_format: str, run_id: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
         # Each epoch owns the folder ingest_batch=<run>-<epoch> of every sink
         # and overwrites it: a batch replayed after a failure replaces its own
         # output instead of appending a second copy.
         sub = f"{BATCH_COLUMN}={run_id}-{epoch_id:06d}"
-        rows = C.typed(batch, date_format).persist()  # read once by three sinks
+        files = [C.literal_path(r["path"]) for r in batch.collect()]    # a row per file of the batch
+        raw = C.read_raw(batch.sparkSession, files, columns, multiline)
+        rows = C.typed(raw, date_format).persist()  # read once by three sinks
         try:
             good, bad = C.split(rows)
             (good.withColumn(CASE_PARTITION, F.year("date_received"))
@@ -121,18 +129,15 @@ def start_ingest(spark: SparkSession, landing_dir: str, columns: list[str] | Non
     level); readers see ``ingest_batch`` as a partition column.
     """
     columns = columns or C.header_columns(spark, landing_dir, multiline)
-    reader = (spark.readStream.schema(C.raw_schema(columns))
-              .option("header", True).option("multiLine", multiline)
-              .option("escape", '"').option("enforceSchema", False)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", C.CORRUPT))
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if max_file_age:       # e.g. "3650d" when old extracts may still be landed
         reader = reader.option("maxFileAge", max_file_age)
     run_id = _own(spark, checkpoint_path, cases_path, daily_path, quarantine_path)
-    stream = reader.csv(landing_dir)
+    stream = reader.load(landing_dir).select("path")
     writer = (stream.writeStream
-              .foreachBatch(_batch_writer(cases_path, daily_path, quarantine_path,
+              .foreachBatch(_batch_writer(columns, multiline, cases_path, daily_path, quarantine_path,
                                           relief_response, date_format, run_id))
               .option("checkpointLocation", checkpoint_path))
     writer = (writer.trigger(availableNow=True) if available_now

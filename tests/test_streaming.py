@@ -63,3 +63,19 @@ def test_incremental_ingest_exactly_once(spark, tmpdir_path):
     compact = compact_daily(spark, f"{base}/daily", f"{base}/daily_compact")
     assert compact.count() == compact.select("date_received", "state", "product").distinct().count()
     assert compact.agg(F.sum("n")).first()[0] == 6
+
+
+def test_a_batch_of_one_file_is_read_by_many_tasks(spark, tmpdir_path, monkeypatch):
+    day = dt.date(2023, 5, 1)
+    _land(spark, [(day, f"P{i % 7}", "TX", None, True) for i in range(2000)], f"{tmpdir_path}/landing")
+    seen = []
+    monkeypatch.setattr(C, "split", lambda rows, old=C.split: seen.append(rows.rdd.getNumPartitions()) or old(rows))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        start_ingest(spark, f"{tmpdir_path}/landing", cases_path=f"{tmpdir_path}/cases", daily_path=f"{tmpdir_path}/daily",
+                     quarantine_path=f"{tmpdir_path}/bad", checkpoint_path=f"{tmpdir_path}/_ckpt").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert len(seen) == 1 and seen[0] > 3
+    assert _totals(spark, tmpdir_path)[0].n == 2000
